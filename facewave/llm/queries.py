@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from facewave.llm.bpe import op9_bpe
+from facewave.llm.langid import op10_langid
+from facewave.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_langid": op10_langid,
 }
 #: DuckDB SQL by name, where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {}
