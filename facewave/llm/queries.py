@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from facewave.llm.bpe import op9_bpe
 from facewave.llm.html_text import op6_html_text
+from facewave.llm.kd_shards import op8_kd_shards
 from facewave.llm.langid import op10_langid
 from facewave.llm.suffix_arrays import op1_suffix_arrays
 from facewave.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op8_kd_shards": op8_kd_shards,
     "op1_suffix_arrays": op1_suffix_arrays,
     "op4_toxicity": op4_toxicity,
     "op6_html_text": op6_html_text,
