@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facewave.llm._shared import stored
 from facewave.llm._text import LOWER, slices, utf8, word_hashes, word_spans
 from facewave.llm.langid import held_out
 
@@ -172,14 +173,18 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, roun
     return b
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 6000, least: float = 0.02, odds: float = 10.0) -> Model:
-    """``rows`` have a text and a label of 0 or 1 (others do not count)."""
-    rows = rows.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 6000, least: float = 0.02, odds: float = 10.0) -> Model:
+    """``docs`` have keys and texts; ``labels`` have keys and a label of 0 or 1 (others do not count; of several labels of a
+    key the highest counts). Labels are chosen first, so only the bounded sample of texts is moved."""
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
+    marks = marks.join(docs.select(F.col(key).alias("key")), "key", "left_semi")
+    sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model(None, None, float(1 in sizes))
     rate = {y: min(1.0, per_class / n) for y, n in sizes.items()}
     chosen = F.pmod(F.xxhash64("key"), F.lit(2**20)) < F.when(F.col("y") == 1, int(2**20 * rate[1])).otherwise(int(2**20 * rate[0]))
+    # about 2 * per_class keys: small enough for every task by that bound
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(marks.where(chosen)), "key")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +199,8 @@ def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "d
                     low[i] = h[a:b].min() if b > a else 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low)], ["text", "y", "low"])
 
-    sample = rows.where(chosen).select("text", "y").mapInArrow(sketch, "text string, y int, low long").groupBy("y", "low").agg(F.min("text").alias("text")).select("text", "y")
+    sample = rows.select("text", "y").mapInArrow(sketch, "text string, y int, low long").groupBy("y", "low").agg(F.min("text").alias("text"))
+    sample = stored(sample.select("text", "y"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -242,13 +248,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
     return df.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(work, f"{schema + ', ' if schema else ''}score double, predicted int")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The training rows: labelled documents outside the held-out part. Where a document has several labels, the highest counts."""
-    one = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(~held_out()).select("doc_id", "text").join(one, "doc_id")
-
-
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = fit(docs.where(~held_out()), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
