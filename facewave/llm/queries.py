@@ -8,9 +8,11 @@ from facewave.llm.kd_shards import op8_kd_shards
 from facewave.llm.langid import op10_langid
 from facewave.llm.suffix_arrays import op1_suffix_arrays
 from facewave.llm.toxicity import op4_toxicity
+from facewave.llm.vp_search import op2_vp_search
 from facewave.llm.warc import op7_warc
 
 QUERIES = {
+    "op2_vp_search": op2_vp_search,
     "op7_warc": op7_warc,
     "op8_kd_shards": op8_kd_shards,
     "op1_suffix_arrays": op1_suffix_arrays,
