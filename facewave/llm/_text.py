@@ -23,8 +23,6 @@ NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, U), np.empty(0, U))
-#: One odd multiplier for each place in a shingle.
-PLACES = np.array([(0xD6E8FEB86659FD93 * (2 * i + 1)) % (1 << 64) | 1 for i in range(64)], dtype=U)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +69,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: One odd multiplier for each place in a shingle, without simple relations between them.
+PLACES = mix(np.arange(1, 65, dtype=U) * _BASE) | U(1)
+
+
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:

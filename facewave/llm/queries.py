@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from facewave.llm.bpe import op9_bpe
 from facewave.llm.html_text import op6_html_text
+from facewave.llm.jaccard_join import op5_jaccard_join
 from facewave.llm.kd_shards import op8_kd_shards
 from facewave.llm.langid import op10_langid
 from facewave.llm.suffix_arrays import op1_suffix_arrays
@@ -12,6 +13,7 @@ from facewave.llm.vp_search import op2_vp_search
 from facewave.llm.warc import op7_warc
 
 QUERIES = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op2_vp_search": op2_vp_search,
     "op7_warc": op7_warc,
     "op8_kd_shards": op8_kd_shards,
