@@ -57,7 +57,7 @@ def symmetry(points: Column, nose: int, pairs: Sequence[tuple[int, int]]) -> Col
 
 def normalised(points: Column, corners: tuple[int, int] = EYE_CORNERS) -> Column:
     """Points less their centroid, over the distance of two corners (or the spread of x and y where that is none)."""
-    n = F.size(points)
+    n = F.nullif(F.size(points), F.lit(0))
     total = lambda c: F.aggregate(points, F.lit(0.0), lambda t, p: t + p[c])
     mean = {c: total(c) / n for c in "xyz"}
     width = distance(point(points, corners[0]), point(points, corners[1]))
@@ -152,7 +152,7 @@ def is_artifact(*means: Column, threshold: float = 0.5) -> Column:
 
 def confidence(uncertainty: Column) -> Column:
     """1 / (1 + mean uncertainty) of a vector, within [0, 1]; null where that mean is not above 0."""
-    mean = F.aggregate(uncertainty, F.lit(0.0), lambda t, x: t + x) / F.size(uncertainty)
+    mean = F.aggregate(uncertainty, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(uncertainty), F.lit(0))
     return F.when(mean > 0, F.least(F.greatest(1 / (1 + mean), F.lit(0.0)), F.lit(1.0)))
 
 

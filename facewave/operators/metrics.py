@@ -32,9 +32,9 @@ def mid_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "ra
 
 
 def safe_corr(a: str, b: str) -> Column:
-    """Correlation; 0 where it is not a finite number."""
-    c = F.corr(a, b)
-    return F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c)
+    """Correlation; 0 where one side does not vary."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread > 0, F.covar_pop(a, b) / spread).otherwise(0.0)
 
 
 def r_squared(target: str, pred: str, mean: str = "__mean") -> Column:
@@ -66,7 +66,7 @@ def rand_index(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFra
     over = lambda keys: cells.groupBy(*by, *keys).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(two(F.col("n"))).alias("s"))
     join = (lambda x, y: x.join(y, list(by))) if by else (lambda x, y: x.crossJoin(y))  # one row each without keys
     out = join(join(join(cells.groupBy(*by).agg(F.sum(two(F.col("n"))).alias("s"), two(F.sum("n")).alias("all")), over([a]).withColumnRenamed("s", "sa")), over([b]).withColumnRenamed("s", "sb")), over([]).drop("s"))
-    expected = F.col("sa") * F.col("sb") / F.col("all")
+    expected = F.try_divide(F.col("sa") * F.col("sb"), F.col("all"))
     top = (F.col("sa") + F.col("sb")) / 2 - expected
     return out.select(*by, F.when(F.coalesce(top, F.lit(0.0)) == 0, 1.0).otherwise((F.col("s") - expected) / top).alias("ari"))
 
@@ -99,17 +99,17 @@ def pass_statistics(passes: DataFrame, key: str, values: str) -> DataFrame:
 
 
 def waveform(values: Column) -> dict[str, Column]:
-    n = F.size(values)
+    n = F.nullif(F.size(values), F.lit(0))
     return {"rms": F.sqrt(F.aggregate(values, F.lit(0.0), lambda t, x: t + x * x) / n), "peak_to_peak": (F.array_max(values) - F.array_min(values)).cast("double")}
 
 
 def smooth_l1(pred: Column, target: Column) -> Column:
     """Mean of 0.5 d^2 below one and |d| - 0.5 beyond."""
     gaps = F.zip_with(pred, target, lambda a, b: F.abs(a - b).cast("double"))
-    return F.aggregate(gaps, F.lit(0.0), lambda t, d: t + F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5)) / F.size(gaps)
+    return F.aggregate(gaps, F.lit(0.0), lambda t, d: t + F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5)) / F.nullif(F.size(gaps), F.lit(0))
 
 
 def gaussian_nll(pred: Column, target: Column, log_var: Column) -> Column:
     """Mean of 0.5 (log variance + d^2 / variance)."""
     parts = F.zip_with(F.zip_with(pred, target, lambda a, b: F.pow(a - b, 2)), log_var, lambda d, v: 0.5 * (v + d * F.exp(-v)))
-    return F.aggregate(parts, F.lit(0.0), lambda t, x: t + x) / F.size(parts)
+    return F.aggregate(parts, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(parts), F.lit(0))

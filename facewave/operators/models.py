@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 def gram(df: DataFrame, features: str, targets: Sequence[str] = (), by: str | None = None) -> dict:
     """Sums of z z' with z = (1, features, targets), for each value of ``by`` (None: one entry)."""
-    d = 1 + len(targets)
-
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for pdf in batches:
@@ -37,7 +35,7 @@ def gram(df: DataFrame, features: str, targets: Sequence[str] = (), by: str | No
     out: dict = {}
     for r in parts.orderBy("k", "i").collect():
         out.setdefault(r["k"], []).append(r["v"])
-    return {k: np.array(v).reshape(math.isqrt(len(v)), -1) for k, v in out.items()} if d else out
+    return {k: np.array(v).reshape(math.isqrt(len(v)), -1) for k, v in out.items()}
 
 
 @dataclass

@@ -62,7 +62,7 @@ def band_power(spectrum: DataFrame, key: str, rate: float, bands: Mapping[str, t
 
 def signal_features(df: DataFrame, spectrum: DataFrame, key: str, signal: str) -> DataFrame:
     """(key, rms, variance, dominant, entropy) of each signal."""
-    n = F.size(signal)
+    n = F.nullif(F.size(signal), F.lit(0))
     mean = F.aggregate(signal, F.lit(0.0), lambda t, x: t + x) / n
     square = F.aggregate(signal, F.lit(0.0), lambda t, x: t + x * x) / n
     base = df.select(key, F.sqrt(square).alias("rms"), (square - mean * mean).alias("variance"))

@@ -21,7 +21,7 @@ def read_recording(spark: SparkSession, path: str) -> DataFrame:
 
 def write_recording(df: DataFrame, path: str) -> None:
     """The fixed columns in their order; a column that is missing is written empty."""
-    df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in RECORDING]).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("int" if c in ("blink_flag", "face_detected") else "double").alias(c) for c in RECORDING]).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_session(df: DataFrame, path: str, session: str = "session") -> None:
