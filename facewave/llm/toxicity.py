@@ -7,7 +7,7 @@ states. A clause scores the weights of its matched patterns; a document is score
 so a lone word counts by the pattern it stands in.
 
 The insult lexicon (words and beginnings of 4 to 6 bytes, each with its log-odds) and the curve are learned from labelled
-rows. Bound: about ``per_class`` rows of each class, chosen by a hash of the key; rows of one class whose smallest word hash
+rows. Bound: about ``per_class`` rows of each class, chosen by a hash of the key; rows of one class whose smallest shingle hash
 agrees (copies) count once, so that a group of copies teaches no words. Every text is scored whole.
 
 Defined results: null and empty texts score like a text without any match; without labelled rows of both classes the score
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facewave.llm._shared import stored
-from facewave.llm._text import LOWER, slices, utf8, word_hashes, word_spans
+from facewave.llm._text import LOWER, shingle_sets, slices, utf8, word_hashes, word_spans
 from facewave.llm.langid import held_out
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -188,16 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            low = np.zeros(len(batch), np.int64)
-            for first, last in slices(offsets, 1 << 21):
-                part = LOWER[data[offsets[first] : offsets[last]]]
-                starts, ends, bounds = word_spans(part, offsets[first : last + 1] - offsets[first], IS_WORD)
-                h = word_hashes(part, starts, ends).view(np.int64)
-                for i in range(first, last):
-                    a, b = bounds[i - first], bounds[i - first + 1]
-                    low[i] = h[a:b].min() if b > a else 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low)], ["text", "y", "low"])
+            low = [int(x[:1].view(np.int64)[0]) if len(x) else 0 for _, x in shingle_sets(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int64())], ["text", "y", "low"])
 
     sample = rows.select("text", "y").mapInArrow(sketch, "text string, y int, low long").groupBy("y", "low").agg(F.min("text").alias("text"))
     sample = stored(sample.select("text", "y"), "sample")
