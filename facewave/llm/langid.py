@@ -2,7 +2,7 @@
 
 A text is the vector of its byte trigrams (A-Z in lower case, other ASCII that is no letter as one blank), hashed to
 ``DIM`` places, weighted by TF-IDF and set to length one. Each language has a few centroids, found by spherical k-means
-among its own training rows; the nearest centroid by cosine names the language. A text whose best cosine lies below half
+among its own training rows; the nearest centroid by cosine names the language. A text whose best cosine lies below a quarter
 of the training rows' lowest per mille is ``rejected``.
 
 Bound: the model is fitted on about ``per_lang`` rows of each language (chosen by a hash of the key; all rows where there
@@ -43,6 +43,10 @@ def trigram_counts(column: pa.Array, limit: int = 1 << 20, rows: int = 512) -> I
             at = offsets[first : last + 1] - offsets[first]
             part = CLASS[data[offsets[first] : offsets[last]]]
             owner = np.repeat(np.arange(last - first), np.diff(at))
+            # a blank on both sides of every text, so that the shortest one has a trigram
+            edges = np.concatenate([at[1:], at[:-1]])  # where two texts meet, the end of one stands before the start of the next
+            part = np.insert(part, edges, 0x20)
+            owner = np.insert(owner, edges, np.concatenate([np.arange(last - first)] * 2))
             keep = np.ones(len(part), bool)
             keep[1:] = (part[1:] != 0x20) | (part[:-1] != 0x20) | (owner[1:] != owner[:-1])
             part, owner = part[keep].astype(np.uint32), owner[keep]
@@ -69,16 +73,19 @@ class Model:
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts at the mean and then, each time, at the row farthest from all starts. Clusters under a
-    twentieth of the rows are dropped, as they may be rows with a wrong label."""
-    starts = [unit(x.mean(axis=0, keepdims=True))[0]]
+    """Spherical k-means; every start after the first is drawn (by a fixed seed) the likelier the farther it is from the others.
+    Clusters under a twentieth of the rows are dropped, as they may be rows with a wrong label."""
+    rng = np.random.default_rng(0)
+    starts = [x[int(rng.integers(len(x)))]]
     while len(starts) < min(k, len(x)):
-        starts.append(x[int((x @ np.array(starts).T).max(axis=1).argmin())])
+        far = np.clip(1 - (x @ np.array(starts).T).max(axis=1), 0, None) ** 2
+        if not far.sum():
+            break
+        starts.append(x[int(rng.choice(len(x), p=far / far.sum()))])
     c = np.array(starts)
     for _ in range(rounds):
         near = (x @ c.T).argmax(axis=1)
-        c = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
-        c = unit(c)
+        c = unit(np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))]))
     share = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c)) / len(x)
     return c[share >= min(0.05, share.max())]
 
@@ -114,7 +121,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     found = [(name, c) for name in sorted(set(labels)) for c in k_means(x[labels == name], clusters)]
     centroids = np.array([c for _, c in found], np.float32)
     best = (x @ centroids.T).max(axis=1)
-    return Model([str(n) for n, _ in found], idf, centroids, float(np.quantile(best, 0.001)) / 2)
+    return Model([str(n) for n, _ in found], idf, centroids, float(np.quantile(best, 0.001)) / 4)
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -255,3 +255,13 @@ def test_extract_keeps_columns(spark):
     out = html_text.extract(df.withColumn("h", F.col("html")), "h")
     assert [(r["page_id"], r["text"]) for r in out.orderBy("page_id").collect()] == [(1, "x"), (2, "")]
     assert len(html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000)) == 4
+
+
+def test_trigrams_do_not_hang_on_neighbours():
+    import pyarrow as pa
+
+    texts = ["", "a", None, "Die und", "", "a", "x  y", "Die und"]
+    alone = [next(langid.trigram_counts(pa.array([t], pa.string())))[1][0] for t in texts]
+    together = next(langid.trigram_counts(pa.array(texts)))[1]
+    assert np.array_equal(np.array(alone), together)
+    assert together[1].sum() == 1 and together[0].sum() == 0
