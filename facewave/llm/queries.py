@@ -7,21 +7,22 @@ from facewave.llm.html_text import op6_html_text
 from facewave.llm.jaccard_join import op5_jaccard_join
 from facewave.llm.kd_shards import op8_kd_shards
 from facewave.llm.langid import op10_langid
+from facewave.llm.oracle import ORACLE_SQL
 from facewave.llm.suffix_arrays import op1_suffix_arrays
 from facewave.llm.toxicity import op4_toxicity
 from facewave.llm.vp_search import op2_vp_search
 from facewave.llm.warc import op7_warc
 
 QUERIES = {
-    "op5_jaccard_join": op5_jaccard_join,
-    "op2_vp_search": op2_vp_search,
-    "op7_warc": op7_warc,
-    "op8_kd_shards": op8_kd_shards,
     "op1_suffix_arrays": op1_suffix_arrays,
+    "op2_vp_search": op2_vp_search,
     "op4_toxicity": op4_toxicity,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_html_text": op6_html_text,
+    "op7_warc": op7_warc,
+    "op8_kd_shards": op8_kd_shards,
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
 }
-#: DuckDB SQL by name, where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
