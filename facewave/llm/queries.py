@@ -7,6 +7,7 @@ from facewave.llm.html_text import op6_html_text
 from facewave.llm.jaccard_join import op5_jaccard_join
 from facewave.llm.kd_shards import op8_kd_shards
 from facewave.llm.langid import op10_langid
+from facewave.llm.lm_score import op3_lm_score
 from facewave.llm.oracle import ORACLE_SQL
 from facewave.llm.suffix_arrays import op1_suffix_arrays
 from facewave.llm.toxicity import op4_toxicity
@@ -16,6 +17,7 @@ from facewave.llm.warc import op7_warc
 QUERIES = {
     "op1_suffix_arrays": op1_suffix_arrays,
     "op2_vp_search": op2_vp_search,
+    "op3_lm_score": op3_lm_score,
     "op4_toxicity": op4_toxicity,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_html_text": op6_html_text,
