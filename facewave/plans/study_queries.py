@@ -408,3 +408,94 @@ def m9(spark, d):
     score = lambda df: float(models.pooled_r2(models.gram(df, "x", ["y"], "fold"), 6, 10.0)[0])
     a, b = score(w), score(models.zeroed(w, "x", [3, 4]))
     return spark.createDataFrame([(a, b, a - b)], "base double, ablated double, lost double")
+
+
+def _study(spark, d):
+    w = windows(spark, d)
+    return w.select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("subject"), F.slice("x", 1, 8).alias("features"), F.col("x")[20].alias("alpha"), "label", "x")
+
+
+@entry("a7_alpha_metrics", "WITH q AS (SELECT l_suppkey, l_linestatus AS model, l_discount AS p, l_tax AS t, avg(l_tax) OVER (PARTITION BY l_suppkey, l_linestatus) AS m FROM lineitem) SELECT l_suppkey, model, round(avg(abs(p - t)), 6) AS mae, round(1 - sum(power(t - p, 2)) / sum(power(t - m, 2)), 6) AS r2, round(corr(p, t), 6) AS pearson FROM q GROUP BY l_suppkey, model")
+def a7(spark, d):
+    x = lines(spark, d).withColumn("model", F.col("l_linestatus"))
+    m = metrics.regression(x, ["l_suppkey", "model"], "l_discount", "l_tax")
+    return m.select("l_suppkey", "model", *[r(F.col(c)).alias(c) for c in ("mae", "r2", "pearson")])
+
+
+@entry("t2_effect_size", f"{_kw_sql('l_linestatus', 'l_extendedprice')} SELECT round(greatest(0, (h - k + 1) / (n - k)), 8) AS epsilon2 FROM h")
+def t2(spark, d):
+    return hypothesis.kruskal_wallis(lines(spark, d), "l_linestatus", "l_extendedprice").select(r(F.col("epsilon2"), 8).alias("epsilon2"))
+
+
+@entry("m4_exact_silhouette", f"WITH s AS (SELECT a.vec_id, a.label, b.label AS other, sum(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))))) AS t, count(*) AS n FROM embeddings a, embeddings b GROUP BY a.vec_id, a.label, b.label), o AS (SELECT vec_id, t / (n - 1) AS a FROM s WHERE label = other), e AS (SELECT vec_id, min(t / n) AS b FROM s WHERE label <> other GROUP BY vec_id) SELECT vec_id, round((b - a) / greatest(a, b), 5) AS silhouette FROM o JOIN e USING (vec_id)")
+def m4(spark, d):
+    from facewave.plans import study
+
+    return study.exact_silhouette(windows(spark, d), "x", "label", "vec_id").select("vec_id", r(F.col("silhouette"), 5).alias("silhouette"))
+
+
+@entry("m5_profiles")
+def m5(spark, d):
+    from facewave.plans import study
+
+    p = study.fit_scorer(_study(spark, d), (3,), 0.6, 8).profiles()
+    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(p) for j, v in enumerate(row)], "component int, feature int, mean double")
+
+
+@entry("m10_augmented_regression")
+def m10(spark, d):
+    from facewave.plans import study
+
+    return study.compact_and_augmented(_study(spark, d))
+
+
+@entry("m11_clustering_study")
+def m11(spark, d):
+    from facewave.plans import study
+
+    return study.clustering_study(_study(spark, d))[1]
+
+
+@entry("m12_stability")
+def m12(spark, d):
+    from facewave.plans import study
+
+    return study.stability(_study(spark, d))
+
+
+@entry("m13_scored_windows")
+def m13(spark, d):
+    from facewave.plans import study
+
+    x = _study(spark, d)
+    return study.fit_scorer(x, (3,), 0.6, 8).score(x).select("id", "label", "share")
+
+
+@entry("m14_experiment")
+def m14(spark, d):
+    from facewave.plans import study
+
+    return study.experiment(_study(spark, d))
+
+
+@entry("t8_artifact_check", f"{_kw_sql('l_linenumber', 'l_tax').replace('FROM lineitem)', 'FROM lineitem WHERE l_linenumber <> 3)')} SELECT 'l_tax' AS variable, round(h, 5) AS h, k AS groups FROM h")
+def t8(spark, d):
+    from facewave.plans import study
+
+    x = lines(spark, d).withColumn("label", F.col("l_linenumber"))
+    return study.artifact_check(x, [3], ["l_tax"]).select("variable", r(F.col("h"), 5).alias("h"), "groups")
+
+
+@entry("w18_full_vector")
+def w18(spark, d):
+    from pyspark.sql.window import Window
+
+    from facewave.functions import facial
+    from facewave.operators import sequence
+    from facewave.plans.tables import points
+
+    x = sequence.landmark_dynamics(windows(spark, d), "x", Window.partitionBy("label").orderBy("vec_id"))
+    flat = F.flatten(F.transform(facial.normalised(points(), (0, 3)), lambda p: F.array(p["x"], p["y"], p["z"])))
+    p = points()
+    geometry = F.array(*[facial.distance(facial.point(p, a), facial.point(p, b)) for a, b in ((0, 3), (1, 2), (4, 5))], facial.roll_hint(facial.point(p, 0), facial.point(p, 3)))
+    return x.select("vec_id", F.concat(flat, geometry, F.array("mean_velocity", "mean_acceleration", "magnitude")).alias("features")).select("vec_id", F.size("features").alias("n"), r(F.aggregate("features", F.lit(0.0), lambda t, v: t + v)).alias("total"))
