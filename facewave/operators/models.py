@@ -16,6 +16,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def gram(df: DataFrame, features: str, targets: Sequence[str] = (), by: str | None = None) -> dict:
@@ -109,23 +110,22 @@ def pooled_r2(sums: dict[int, np.ndarray], d: int, alpha: float) -> np.ndarray:
     return np.where(spread > 1e-12, 1 - residual / np.where(spread > 1e-12, spread, 1), (residual < 1e-12).astype(float))
 
 
-def permutation_control(df: DataFrame, features: str, target: str, fold: str, key: str, alpha: float, n: int = 200, seed: int = 42) -> tuple[float, float]:
-    """(true R2, p) when targets are permuted over all rows. A row's target under permutation i is that of the row with the same place
-    in a seeded order, found by one equi-join for all permutations; features' sums are made once."""
+def permutation_control(df: DataFrame, features: str, target: str, fold: str, key: str, alpha: float, n: int = 200, seed: int = 42, group_rows: int = 50_000) -> tuple[float, float]:
+    """(true R2, p) when targets are permuted. For each permutation rows fall into groups of about ``group_rows`` by a seeded hash, and a row
+    takes the target of the row with its place in another seeded order of the group, by one equi-join for all permutations. Groups
+    are drawn anew each time, so no task orders more than a group, whatever the table."""
     base = gram(df, features, [target], fold)
     d = len(next(iter(base.values()))) - 2
     true = float(pooled_r2(base, d, alpha)[0])
-    reached = 0
-    from pyspark.sql.window import Window
-
+    groups = max(1, math.ceil(sum(m[0, 0] for m in base.values()) / group_rows))
     spread = df.select(key, target, features, fold).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    place = lambda salt: F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", F.lit(salt), key), key))
-    a = spread.select("perm", features, fold, place("x").alias("at"))
-    b = spread.select("perm", F.col(target).alias("y"), place("y").alias("at"))
+    spread = spread.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "perm", key), F.lit(groups)))
+    place = lambda salt: F.row_number().over(Window.partitionBy("perm", "group").orderBy(F.xxhash64(F.lit(seed), "perm", F.lit(salt), key), key))
+    a = spread.select("perm", "group", features, fold, place("x").alias("at"))
+    b = spread.select("perm", "group", F.col(target).alias("y"), place("y").alias("at"))
     many = max(base) + 1
-    shuffled = a.join(b, ["perm", "at"]).withColumn("__k", F.col("perm") * many + F.col(fold))
-    for block in _groups(gram(shuffled, features, ["y"], "__k"), many):
-        reached += float(pooled_r2(block, d, alpha)[0]) >= true
+    shuffled = a.join(b, ["perm", "group", "at"]).withColumn("__k", F.col("perm") * many + F.col(fold))
+    reached = sum(float(pooled_r2(block, d, alpha)[0]) >= true for block in _groups(gram(shuffled, features, ["y"], "__k"), many))
     return true, (reached + 1) / (n + 1)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from facewave.functions import facial as f
 from facewave.operators import alignment, sequence
-from facewave.plans.tables import FRAMES, at, frames, lines, points, table, windows
+from facewave.plans.tables import FRAMES, at, frames, points, table, windows
 from facewave.sources import tables as sources
 
 ENTRIES: dict = {}
@@ -159,8 +160,6 @@ def p17(spark, d):
 
 @entry("p18_session_time", f"{FRAMES}, t AS (SELECT frame_idx, ts - min(ts) OVER (PARTITION BY session) AS e, k FROM fr) SELECT frame_idx, round(e, 3) AS elapsed, CASE WHEN e < 864000 THEN 'warming up' ELSE CAST(k AS VARCHAR) || ' per min' END AS label FROM t")
 def p18(spark, d):
-    from pyspark.sql.window import Window
-
     x = frames(spark, d).withColumn("elapsed", F.col("ts") - F.min("ts").over(Window.partitionBy("session")))
     label = f.warmup_label(F.col("elapsed"), F.col("k").cast("double"), 864000)
     label = F.when(label.startswith("warming"), "warming up").otherwise(F.regexp_replace(label, r"\.0 ", " "))
@@ -203,8 +202,6 @@ W = "OVER (PARTITION BY session ORDER BY ts, frame_idx)"
 
 @entry("w1_landmark_dynamics", "WITH s AS (SELECT label, vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(64) t(i)), v AS (SELECT *, coalesce(x - lag(x) OVER w, 0) AS v FROM s WINDOW w AS (PARTITION BY label, i ORDER BY vec_id)), a AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY label, i ORDER BY vec_id), 0) AS a FROM v) SELECT vec_id, round(avg(abs(v)), 6) AS mean_velocity, round(avg(abs(a)), 6) AS mean_acceleration, round(sqrt(sum(v * v)), 6) AS magnitude FROM a GROUP BY vec_id")
 def w1(spark, d):
-    from pyspark.sql.window import Window
-
     x = sequence.landmark_dynamics(windows(spark, d), "x", Window.partitionBy("label").orderBy("vec_id"))
     return x.select("vec_id", r(F.col("mean_velocity")).alias("mean_velocity"), r(F.col("mean_acceleration")).alias("mean_acceleration"), r(F.col("magnitude")).alias("magnitude"))
 
@@ -256,8 +253,6 @@ def w8(spark, d):
 
 @entry("w9_trailing_window", f"{FRAMES}, q AS (SELECT *, sum(CASE WHEN face THEN 0 ELSE 1 END) {W} AS run FROM fr) SELECT frame_idx, round(m, 6) AS mean FROM (SELECT frame_idx, avg(ear) OVER w AS m, count(*) OVER w AS n FROM q WHERE face WINDOW w AS (PARTITION BY session, run ORDER BY ts, frame_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE n = 3")
 def w9(spark, d):
-    from pyspark.sql.window import Window
-
     x = frames(spark, d).withColumn("run", sequence.runs(~F.col("face"), sequence.in_order())).where("face")
     w = Window.partitionBy("session", "run").orderBy("ts", "frame_idx").rowsBetween(-2, 0)
     return x.withColumns({"m": F.avg("ear").over(w), "n": F.count("*").over(w)}).where("n = 3").select("frame_idx", r(F.col("m")).alias("mean"))

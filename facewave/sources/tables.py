@@ -92,11 +92,7 @@ def planted_windows(spark: SparkSession, subjects: int = 8, per_subject: int = 6
                 level = own.normal(0.28, 0.03) + rng.normal(0, 0.04)
                 ear = level + rng.normal(0, 0.01, length)
                 power = np.exp(own.normal(0, 0.3) + weight * (ear.mean() - 0.28) / 0.04 * 0.1 + rng.normal(0, noise * 0.1))
-                eeg = sum(a * np.sin(2 * np.pi * f * t + rng.uniform(0, 2 * np.pi)) for f, a in ((6, 1), (10, math_sqrt(power)), (20, 0.5), (40, 0.25))) + rng.normal(0, 0.1, samples)
+                eeg = sum(a * np.sin(2 * np.pi * f * t + rng.uniform(0, 2 * np.pi)) for f, a in ((6, 1), (10, float(np.sqrt(power))), (20, 0.5), (40, 0.25))) + rng.normal(0, 0.1, samples)
                 yield pd.DataFrame({"window_id": [i], "subject": [f"s{subject:03d}"], "ear": [ear.tolist()], "eeg": [eeg.tolist()]})
 
     return spark.range(subjects * per_subject).mapInPandas(work, "window_id long, subject string, ear array<double>, eeg array<double>")
-
-
-def math_sqrt(x: float) -> float:
-    return float(np.sqrt(x))
