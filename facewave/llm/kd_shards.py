@@ -8,7 +8,8 @@ coordinate are split by the text's CRC and at last by a hash of the key, so that
 many rows share a coordinate. Equal texts have equal coordinates and the same CRC and thus stay together but for at most one group at each split.
 
 Defined results: null text has no bytes (the fixed part of the size remains) and CRC 0; null metadata counts as 0; rows that are equal in all
-get shards by their hash; an empty table gives an empty result; extra columns are dropped by the query and kept by ``shards``.
+get shards by their hash; an empty table gives an empty result; extra columns are dropped by the query and kept by ``shards``,
+which replaces columns named shard and slot.
 """
 
 from __future__ import annotations
@@ -151,6 +152,7 @@ def shards(df: DataFrame, n: int, size: Column, dims: dict[str, Column], crc: Co
 
     Slots are numbered within ``spread`` parts of every shard, by the hash of the key, and the parts' counts are added up
     before, so no task sorts a whole shard."""
+    df = df.drop("shard", "slot")
     names = [f"__d{i}" for i in range(len(dims))]
     fields = [c.cast("int").alias(a) for c, a in zip(dims.values(), names, strict=True)]
     code = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 64 - BITS).cast("int")

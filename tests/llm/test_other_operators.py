@@ -49,7 +49,7 @@ def test_vectors_that_take_no_part(spark):
 def test_shards_are_even_and_gapless(spark):
     rng = np.random.default_rng(3)
     rows = [(i, int(rng.integers(10, 3000)) if i % 3 else 500, int(rng.integers(0, 2**32)) if i % 4 else 7) for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, size long, crc long").withColumn("slot", F.lit("x")).drop("slot")
+    df = spark.createDataFrame(rows, "doc_id long, size long, crc long").withColumns({"slot": F.lit("x"), "shard": F.lit("y")})
     dims = {"size": kd_shards.scaled(df, "size"), "crc": F.shiftright("crc", 8).cast("int")}
     out = kd_shards.shards(df, 7, F.col("size"), dims, F.col("crc"), "doc_id").toPandas()
     assert len(out) == 3000 and set(out["shard"]) == set(range(7))
