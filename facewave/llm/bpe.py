@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 LONG = 48
 NONE = np.iinfo(np.int32).max
-#: Words of a generation of kept results.
-KEPT = 150_000
+#: Words of a generation of kept results (about 300 bytes each); words of more than ``LONG`` letters are not kept.
+KEPT = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -45,6 +46,12 @@ class Kept:
         self.now: dict = {}
         self.before: dict = {}
 
+    def forget(self, words: list[str]) -> None:
+        """Drops those of ``words`` that are too long to keep."""
+        for w in words:
+            if len(w) > LONG:
+                del self.now[w]
+
     def missing(self, words: set[str]) -> list[str]:
         """Has every known one of ``words`` in ``now``; returns the others."""
         if len(self.now) > KEPT:
@@ -179,10 +186,12 @@ class Bpe:
     def found(self, texts: list[str | None], kept: Kept, of) -> list[list]:
         """For each text, what ``kept`` has for its words; ``of`` makes it from the ids of a word."""
         split = [self.split(t) for t in texts]
-        new = kept.missing({w for words in split for w in words})
+        new = kept.missing(set(chain.from_iterable(split)))
         kept.now.update(zip(new, map(of, self.ids(new)), strict=True))
         have = kept.now.__getitem__
-        return [[*map(have, words)] for words in split]
+        out = [[*map(have, words)] for words in split]
+        kept.forget(new)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         return [[i for ids in found for i in ids] for found in self.found(texts, self.seen, tuple)]
@@ -243,7 +252,8 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        of = lambda ids: (" ".join(map(str, ids)), bpe.decode(ids))
+        number = {i: str(i) for i in bpe.name}
+        of = lambda ids: (" ".join([number[i] for i in ids]), " ".join([bpe.name[i] for i in ids]))
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
             n, a, b = [], [], []
