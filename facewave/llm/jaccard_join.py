@@ -7,7 +7,9 @@ inequality parts nothing. Regions are therefore made in two steps.
    two sets within the distance must share a shingle among the first ``n - ceil(t n) + 1`` of each. Rare shingles have short lists:
    all pairs in them are counted, and a pair stays only if its shared shingles leave room for the overlap it needs.
    Frequent shingles have long lists: each elects a pivot (the member with the smallest hash, so near copies elect the same
-   one), and all that share a pivot form its region. No pairs are made there.
+   one), and all that share a pivot form its region. No pairs are made there, and the lists themselves are never brought together: a
+   smallest hash is found part by part, then every set looks its pivots up. A list that is long although its shingle is not
+   among the frequent ones (of which there are at most ``frequent_limit``) elects its pivot where it lies.
 2. Inside a region, distances to its pivot are exact. Sets within the distance are linked to it and need no comparison with one
    another; any other set y is compared with those x that the triangle inequality leaves, ``|d(x, p) - d(y, p)| <= 1 - t``, which
    draws sets near the boundary into y's own region. A region of more than ``block_shingles`` is dealt to tasks in pairs of blocks, each
@@ -61,7 +63,7 @@ def _by_part(keys: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndar
 
 
 def frequent(docs: DataFrame, text: str, parts: int, often: int, limit: int, flush: int = 1 << 21) -> np.ndarray:
-    """Sorted keys of the shingles that ``often`` texts or more hold. At most about ``limit`` of them, the most frequent,
+    """Sorted keys of the shingles that ``often`` texts or more hold, counted in each task before they move. At most ``limit`` of them, the most frequent,
     whatever the input: the order of shingles may be any, and what is left out only makes longer lists."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +72,13 @@ def frequent(docs: DataFrame, text: str, parts: int, often: int, limit: int, flu
         size = 0
 
         def out() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held))
-            rows = [(p, keys[at].astype(np.uint32).tobytes()) for p, at in _by_part(keys, np.arange(len(keys)))]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.binary())], ["part", "keys"])
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            rows = []
+            for p, at in _by_part(keys, np.arange(len(keys))):
+                low, more = keys[at].astype(np.uint32), n[at] > 1
+                rows.append((p, low[~more].tobytes(), low[more].tobytes(), n[at][more].astype(np.uint32).tobytes()))
+            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "once", "keys", "n"])
 
         for batch in batches:
             for _, s in shingle_sets(batch.column(0)):
@@ -87,17 +93,28 @@ def frequent(docs: DataFrame, text: str, parts: int, often: int, limit: int, flu
             yield out()
 
     def count(table: pa.Table) -> pa.Table:
-        keys = np.sort(np.concatenate([np.frombuffer(k.as_buffer(), np.uint32) for k in table["keys"]]))
+        once, keys, n = (np.concatenate([np.frombuffer(k.as_buffer(), np.uint32) for k in table[c]]) for c in ("once", "keys", "n"))
+        keys, n = np.concatenate([once, keys]), np.concatenate([np.ones(len(once), np.int64), n.astype(np.int64)])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
         edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        n = np.diff(np.append(edges, len(keys)))
+        keys, n = keys[edges], np.add.reduceat(n, edges)
         high = table["part"][0].as_py() << 32
-        return pa.table([pa.array(keys[edges[n >= often]].astype(np.int64) + high), pa.array(n[n >= often].astype(np.int64))], ["key", "n"])
+        return pa.table([pa.array(keys[n >= often].astype(np.int64) + high), pa.array(n[n >= often])], ["key", "n"])
 
-    found = stored(docs.select(text).mapInArrow(spread, "part int, keys binary").groupBy("part").applyInArrow(count, "key long, n long"), "frequent")
+    dealt = docs.select(text).mapInArrow(spread, "part int, once binary, keys binary, n binary")
+    found = stored(dealt.groupBy("part").applyInArrow(count, "key long, n long"), "frequent")
     total = found.count()
     if total > limit:
-        found = found.where(F.col("n") > found.approxQuantile("n", [1 - limit / total], 1e-4)[0])
-    return np.sort(found.select("key").toArrow()["key"].to_numpy().astype(U)) if total else np.empty(0, U)
+        level = F.floor(F.log2("n") * 8)  # some hundreds of levels at most
+        least = left = 0
+        for r in found.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+            left += r["count"]
+            if left > limit:
+                least = r["level"] + 1
+                break
+        found = found.where(level >= least)
+    return np.sort(found.select("key").toArrow()["key"].to_numpy().astype(U))
 
 
 def signatures(docs: DataFrame, key: str, text: str, parts: int, heavy: np.ndarray) -> DataFrame:
@@ -144,36 +161,41 @@ def _pairs_of_lists(lists: np.ndarray, begins: np.ndarray, sizes: np.ndarray) ->
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def candidates(signed: DataFrame, flush: int = 1 << 20) -> DataFrame:
-    """(rare, a, b, shared): pairs of sets with the number of rare prefix shingles they share, and (not rare) pairs of a
-    pivot and a member of its region."""
+def _distinct_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(sid, number of rare keys, keys) of the sets of a batch, each once."""
+    seen: set[int] = set()
+    for sid, rare, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        if sid is not None and sid not in seen:
+            seen.add(sid)
+            yield sid, rare, np.frombuffer(keys, U)
+
+
+def pairs_in_lists(signed: DataFrame, often: int, flush: int = 1 << 20) -> DataFrame:
+    """(rare, a, b, shared) from the lists of rare shingles: pairs of sets with the number of shingles that they share in lists
+    of fewer than ``often``, and (not rare) a pivot and a member of each longer list."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            keys = np.concatenate([k for _, k in held])
+            sids = np.repeat(np.array([s for s, _ in held], np.int64), [len(k) for _, k in held])
+            rows = [(p, keys[at].astype(np.uint32).tobytes(), sids[at].tobytes()) for p, at in _by_part(keys, np.argsort(keys, kind="stable"))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "keys", "sids"])
+
         for batch in batches:
-            seen: set[int] = set()
-            rows: list[tuple[int, int, bytes]] = []
-            size = 0
-            columns = [c.to_pylist() for c in batch.columns]
-            for i, (sid, rare, keys) in enumerate(zip(*columns, strict=True)):
-                if sid is not None and sid not in seen:
-                    seen.add(sid)
-                    rows.append((sid, rare, keys))
-                    size += len(keys) // 8
-                if rows and (size >= flush or i == len(batch) - 1):
-                    keys = np.concatenate([np.frombuffer(k, U) for _, _, k in rows])
-                    lengths = np.array([len(k) // 8 for _, _, k in rows])
-                    sids = np.repeat(np.array([s for s, _, _ in rows], np.int64), lengths)
-                    within = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                    is_rare = within < np.repeat(np.array([r for _, r, _ in rows]), lengths)
-                    for kind in (True, False):
-                        on = np.flatnonzero(is_rare == kind)
-                        out = [(p, keys[at].astype(np.uint32).tobytes(), sids[at].tobytes()) for p, at in _by_part(keys, on[np.argsort(keys[on], kind="stable")])]
-                        if out:
-                            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(out)), pa.array([p for p, _, _ in out], pa.int32()), pa.array([k for _, k, _ in out], pa.binary()), pa.array([s for _, _, s in out], pa.binary())], ["rare", "part", "keys", "sids"])
-                    rows, size = [], 0
+            for sid, rare, keys in _distinct_rows(batch):
+                if rare:
+                    held.append((sid, keys[:rare]))
+                    size += rare
+                if size >= flush:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     def meet(table: pa.Table) -> pa.Table:
-        rare = table["rare"][0].as_py()
         keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint32) for k in table["keys"]])
         sids = np.concatenate([np.frombuffer(s.as_buffer(), np.int64) for s in table["sids"]])
         order = np.lexsort((sids, keys))
@@ -183,27 +205,79 @@ def candidates(signed: DataFrame, flush: int = 1 << 20) -> DataFrame:
         keys, sids = keys[new], sids[new]
         begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.append(begins, len(keys)))
-        begins, sizes = begins[sizes > 1], sizes[sizes > 1]
-        if rare:
-            a, b = _pairs_of_lists(sids, begins, sizes)
-        else:
-            place = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            b = sids[place]
-            of = np.repeat(np.arange(len(begins)), sizes)
-            by = np.lexsort((mix(b.view(U)), of))
-            first = np.concatenate(([True], np.diff(of[by]) > 0)) if len(by) else np.empty(0, bool)
-            a = b[by][first][of] if len(by) else b
-        if not len(a):
-            none = pa.array([], pa.int64())
-            return pa.table([pa.array([], pa.bool_()), none, none, none], ["rare", "a", "b", "shared"])
+        short, long = (sizes > 1) & (sizes < often), sizes >= often
+        a, b = _pairs_of_lists(sids, begins[short], sizes[short])
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
-        at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
         shared = np.diff(np.append(at, len(a)))
-        return pa.table([pa.array(np.full(len(at), rare)), pa.array(a[at]), pa.array(b[at]), pa.array(shared.astype(np.int64))], ["rare", "a", "b", "shared"])
+        rows = [(a[at], b[at], shared)]
+        for begin, size in zip(begins[long].tolist(), sizes[long].tolist(), strict=True):
+            members = sids[begin : begin + size]
+            pivot = members[mix(members.view(U)).view(np.int64).argmin()]
+            rows.append((np.full(size, pivot), members, np.zeros(size, np.int64)))
+        rare = np.arange(sum(len(x) for x, *_ in rows)) < len(at)
+        return pa.table([pa.array(rare), *(pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows, strict=True))], ["rare", "a", "b", "shared"])
 
-    lists = signed.select("sid", "rare", "keys").mapInArrow(spread, "rare boolean, part int, keys binary, sids binary")
-    return lists.groupBy("rare", "part").applyInArrow(meet, "rare boolean, a long, b long, shared long").groupBy("rare", "a", "b").agg(F.sum("shared").alias("shared"))
+    dealt = signed.select("sid", "rare", "keys").mapInArrow(spread, "part int, keys binary, sids binary")
+    return dealt.groupBy("part").applyInArrow(meet, "rare boolean, a long, b long, shared long")
+
+
+def pivot_members(signed: DataFrame, flush: int = 1 << 20) -> DataFrame:
+    """(pivot, sid) for the frequent shingles: each shingle's pivot and, for each set, the pivots of its shingles. There are at
+    most as many pivots as frequent shingles, so all of them go to every task."""
+    rows = signed.where("octet_length(keys) > 8 * rare").select("sid", "rare", "keys")
+
+    def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            keys = np.concatenate([k for _, k in held])
+            sids = np.repeat(np.array([s for s, _ in held], np.int64), [len(k) for _, k in held])
+            hashes = mix(sids.view(U)).view(np.int64)
+            order = np.lexsort((hashes, keys))
+            keys, sids, hashes = keys[order], sids[order], hashes[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            last = np.append(first[1:], len(keys)) - 1
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[first].view(np.int64), sids[first], hashes[first], hashes[last])], ["key", "sid", "low", "high"])
+
+        for batch in batches:
+            for sid, rare, keys in _distinct_rows(batch):
+                held.append((sid, keys[rare:]))
+                size += len(keys) - rare
+                if size >= flush:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    elected = rows.mapInArrow(elect, "key long, sid long, low long, high long").groupBy("key").agg(F.min_by("sid", "low").alias("pivot"), F.min("low").alias("low"), F.max("high").alias("high"))
+    got = elected.where("low < high").select("key", "pivot").toArrow()  # lists of one set need no region
+    keys = got["key"].to_numpy().astype(U)
+    order = np.argsort(keys)
+    shared = signed.sparkSession.sparkContext.broadcast((keys[order], got["pivot"].to_numpy()[order]))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pivots = shared.value
+        for batch in batches if len(known) else ():
+            own, of = [], []
+            for sid, rare, keys in _distinct_rows(batch):
+                at = np.minimum(np.searchsorted(known, keys[rare:]), len(known) - 1)
+                found = np.unique(pivots[at[known[at] == keys[rare:]]])
+                own.append(found)
+                of.append(np.full(len(found), sid))
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(of))], ["pivot", "sid"])
+
+    return rows.mapInArrow(look_up, "pivot long, sid long")
+
+
+def candidates(signed: DataFrame, often: int) -> DataFrame:
+    """(rare, a, b, shared): pairs of sets with the number of rare prefix shingles they share, and (not rare) pairs of a
+    pivot and a member of its region."""
+    members = pivot_members(signed).select(F.lit(False).alias("rare"), F.col("pivot").alias("a"), F.col("sid").alias("b"), F.lit(0).cast("long").alias("shared"))
+    return pairs_in_lists(signed, often).union(members).groupBy("rare", "a", "b").agg(F.sum("shared").alias("shared"))
 
 
 def region_links(sids: np.ndarray, sets: list[np.ndarray], pivot: int) -> list[tuple[int, int]]:
@@ -249,7 +323,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", often:
     signed = stored(signatures(docs, key, text, parts, frequent(docs, text, parts, often, frequent_limit)), "signed")
     sets = stored(signed.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.min(key).alias("rep")), "sets")
 
-    found = stored(candidates(signed), "candidates")
+    found = stored(candidates(signed, often), "candidates")
     brief = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("rare")).alias(f"rest_{x}"))
     fit = f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {NUM + DEN} * (shared + greatest(rest_a, rest_b)) >= {NUM} * (n_a + n_b)"
     pairs = found.where("rare").join(brief("a"), "a").join(brief("b"), "b").where(fit).select("a", "b")

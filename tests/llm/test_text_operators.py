@@ -123,8 +123,8 @@ def test_components(spark, often):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = components_by_hand(docs)
-    for block in (1 << 22, 100):
-        got = {r[0]: (r[1], r[2]) for r in jaccard_join.components(df, often=often, block_shingles=block).collect()}
+    for block, limit in ((1 << 22, 1_000_000), (100, 1_000_000), (1 << 22, 20), (1 << 22, 0)):
+        got = {r[0]: (r[1], r[2]) for r in jaccard_join.components(df, often=often, block_shingles=block, frequent_limit=limit).collect()}
         assert got == want
 
 
