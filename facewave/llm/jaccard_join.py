@@ -332,7 +332,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", often:
 
     sized = regions.join(sets.select("sid", "n"), "sid")
     blocks = sized.groupBy("kind", "region").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    parted = regions.join(blocks, ["kind", "region"])
+    large = stored(blocks.where("blocks > 1"), "large")  # of these there is one for every block_shingles at most
+    large = F.broadcast(large) if large.count() <= broadcast_rows else large
+    parted = regions.join(large, ["kind", "region"], "left").fillna(1, ["blocks"])
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     # block i meets every block j, and the pivot is in all of them
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
