@@ -28,6 +28,11 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df``, marked to go to every task if it has at most ``rows`` rows. It is counted, so give a stored one."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges (longs), as rows (node, root): root is the smallest node of the component.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facewave.llm._shared import connected, stored
+from facewave.llm._shared import connected, small, stored
 from facewave.llm._text import U, mix, shingle_sets
 
 #: Similarity as a fraction. Two sets link when DEN * shared >= NUM * union.
@@ -374,8 +374,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", often:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The documents with one of each component: the one with the smallest id. Rows with a null id stay."""
     found = components(docs, key, text, **more)
-    gone = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    gone = stored(found.where(F.col("component_id") != F.col(key)).select(key).distinct(), "gone")
+    return docs.join(small(gone), key, "left_anti").select(docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

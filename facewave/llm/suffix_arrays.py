@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facewave.llm._shared import small, stored
 from facewave.llm._text import slices, utf8
 
 #: A-Z in lower case; bytes that are neither letter, digit nor from 0x80 on become blanks.
@@ -260,8 +261,8 @@ def longest_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The documents without any hit, in their own columns. Documents with a null key have no hits that could be told, and stay."""
-    bad = locate(docs, bench, key, text, **more).where(F.size("items") > 0).select(key).distinct()
-    return docs.join(bad, key, "left_anti").select(docs.columns)
+    bad = stored(locate(docs, bench, key, text, **more).where(F.size("items") > 0).select(key).distinct(), "hit")
+    return docs.join(small(bad), key, "left_anti").select(docs.columns)
 
 
 def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
