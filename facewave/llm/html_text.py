@@ -1,12 +1,15 @@
 """Main-text extraction from HTML by composite text density (operator 6).
 
 Every page is parsed into its tree of block elements. Each node has its characters, link characters, tags and link tags; its
-composite density is characters per tag, lowered by its share of link text measured against that of the body. The node with the largest sum of
-its children's densities is the content, together with every other node that is at least as dense as the thinnest node on the way from
-that node up to the body. An enclosing ``article`` or ``main`` takes the place of a part of it.
+composite density is characters per tag, lowered by its share of link text measured against that of the body; text that stands directly in a
+node beside its children counts as one more child. The threshold is the density of the thinnest node on the way from the node with the largest
+sum of its children's densities up to the body. Of every node at least that dense, the node with the largest sum in it is content; thinner
+nodes are only gone through. An enclosing ``article`` or ``main`` takes the place of a part of it. Outside an ``article``, blocks below the
+threshold that are mostly link text (lists of links) are left out of what is kept.
 
-Menus, headers and footers of the page, side bars, notices, adverts, forms, scripts, styles and reader comments are told by element, role or
-by the words of their class and id, and count for nothing.
+Menus, headers and footers of the page, side bars, scripts and styles are told by element and count for nothing. So do forms, notices, adverts
+and reader comments, told by role or by the words of their class and id, but one that holds more than ``MOST`` of the page's text without
+links, with no ``article`` or ``main`` around or beside it, is weighed by its density like any other.
 
 Defined results: null or empty html, and pages without text, give an empty text; plain text without tags is its own content;
 unclosed elements end where HTML says or with the page; equal pages get equal results; other columns are not touched.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 # Element groups of HTML, and words of class, id and role that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video head title nav footer aside form button select option textarea input dialog menu".split())
+SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video head title nav footer aside button select option textarea input dialog menu".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl td th body article section div nav aside footer header main".split())
@@ -37,17 +40,21 @@ NOT_CONTENT = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SPACES = re.compile(r"\s+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+MOST = 0.8  # share of the page's text without links above which a word of class, id or role does not rule an element out
 
 
 class Node:
     """A block element. ``parts`` holds its text, link text and child nodes in page order."""
 
-    __slots__ = ("tag", "up", "parts", "chars", "link_chars", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "up", "parts", "chars", "link_chars", "tags", "link_tags", "density", "sum", "own", "own_chars", "top", "article", "doubted", "nested")
 
     def __init__(self, tag: str, up: Node | None) -> None:
         self.tag, self.up, self.parts = tag, up, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
-        self.density = self.sum = 0.0
+        self.density = self.sum = self.own = 0.0
+        self.own_chars, self.top, self.doubted, self.nested = 0, self, False, 0
+        self.article: Node | None = self if tag in ("article", "main") else up.article if up else None
 
 
 class Tree(HTMLParser):
@@ -102,26 +109,17 @@ class Tree(HTMLParser):
             return
         about = dict(attrs)
         names = f"{about.get('class') or ''} {about.get('id') or ''}".lower()
-        inside = self._inside_article()
-        if (
-            tag in SKIPPED
-            or (tag == "header" and not inside)
-            or (about.get("role") or "").lower() in ROLES
-            or "hidden" in about
-            or (names.strip() and tag not in ("article", "main", "body") and NOT_CONTENT.search(names))
-        ):
+        doubted = tag == "form" or (about.get("role") or "").lower() in ROLES or bool(names.strip() and tag not in ("article", "main", "body") and NOT_CONTENT.search(names))
+        if tag in SKIPPED or (tag == "header" and not self.at.article) or "hidden" in about:
             self.skip = [tag]
-        elif tag not in INLINE:
-            self.at.tags += 1
+        elif tag not in INLINE or doubted:
+            self.at.tags += tag not in INLINE
             node = Node(tag, self.at)
+            node.doubted = doubted
             self.at.parts.append(node)
-            self.at, self.links = node, 0
-
-    def _inside_article(self) -> bool:
-        node: Node | None = self.at
-        while node and node.tag not in ("article", "main"):
-            node = node.up
-        return node is not None
+            self.at, self.links = node, self.links if tag in INLINE else 0
+        else:
+            self.at.nested += tag == self.at.tag
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -140,6 +138,11 @@ class Tree(HTMLParser):
             self.links = max(0, self.links - 1)
         if tag == "br":
             self.at.parts.append((" ", False))
+        if tag in INLINE and self.at.tag == tag:  # an inline element is a node only if it is doubted
+            if self.at.nested:
+                self.at.nested -= 1
+            elif self.at.up:
+                self.at = self.at.up
         if tag in INLINE or tag in VOID or tag in ("html", "body", "head"):
             return
         node: Node | None = self.at
@@ -163,46 +166,104 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def _length(text: str) -> int:
+    return len(SPACES.sub(" ", text).strip())
+
+
+def _settle(root: Node) -> None:
+    """Takes doubted elements off the tree, but for those that hold most of the page's text."""
+    nodes = _nodes(root)
+    if not any(x.doubted for x in nodes):
+        return
+    plain: dict[Node, int] = {}
+    for node in reversed(nodes):
+        plain[node] = sum(plain[x] if isinstance(x, Node) else _length(x[0]) * (not x[1]) for x in node.parts)
+    # text of articles that no doubted element holds: where there is any, no doubted element stands for the page
+    clear, stack = 0, [root]
+    while stack:
+        node = stack.pop()
+        clear += sum(_length(x[0]) for x in node.parts if not isinstance(x, Node)) if node.article else 0
+        stack.extend(x for x in node.parts if isinstance(x, Node) and not x.doubted)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        parts, node.parts = node.parts, []
+        for x in parts:
+            if isinstance(x, Node) and x.doubted and (clear or plain[x] <= MOST * plain[root]):
+                node.tags -= 1
+                node.link_tags -= x.tag == "a"
+            else:
+                node.parts.append(x)
+        stack.extend(x for x in node.parts if isinstance(x, Node))
+
+
+def _density(c: int, lc: int, t: int, lt: int, share: float) -> float:
+    if not c:
+        return 0.0
+    t, plain = max(t, 1), max(c - lc, 1)
+    base = math.log(c / plain * lc + share * c + math.e)
+    return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0 + 1e-9)) / math.log(max(base, 1.0 + 1e-9) + 1)
+
+
 def _measure(root: Node) -> list[Node]:
     nodes = _nodes(root)
+    direct = []
     for node in reversed(nodes):
+        kids = [x for x in node.parts if isinstance(x, Node)]
+        own = own_links = 0
         for x in node.parts:
-            if isinstance(x, Node):
-                node.chars += x.chars
-                node.link_chars += x.link_chars
-                node.tags += x.tags
-                node.link_tags += x.link_tags
-            else:
-                n = len(SPACES.sub(" ", x[0]).strip())
-                node.chars += n
-                node.link_chars += n * x[1]
+            if not isinstance(x, Node):
+                n = _length(x[0])
+                own += n
+                own_links += n * x[1]
+        node.own_chars = own
+        direct.append((own, own_links, node.tags - len(kids), node.link_tags))
+        node.chars = own + sum(x.chars for x in kids)
+        node.link_chars = own_links + sum(x.link_chars for x in kids)
+        node.tags += sum(x.tags for x in kids)
+        node.link_tags += sum(x.link_tags for x in kids)
     share = root.link_chars / root.chars if root.chars else 0.0
-    for node in reversed(nodes):
-        c, lc, t, lt = node.chars, node.link_chars, max(node.tags, 1), node.link_tags
-        if c:
-            plain = max(c - lc, 1)
-            base = math.log(c / plain * lc + share * c + math.e)
-            node.density = c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0 + 1e-9)) / math.log(max(base, 1.0 + 1e-9) + 1)
+    for node, about in zip(reversed(nodes), direct, strict=True):
         kids = [x for x in node.parts if isinstance(x, Node)]
-        node.sum = sum(x.density for x in kids) if kids else node.density
+        node.own = _density(*about, share)
+        node.density = _density(node.chars, node.link_chars, node.tags, node.link_tags, share) if kids else node.own
+        node.sum = sum(x.density for x in kids) + node.own
+        node.top = max((node, *(x.top for x in kids)), key=lambda n: n.sum)
     return nodes
 
 
-def _blocks(node: Node, out: list[str], run: list[str]) -> None:
-    """Texts of blocks in page order: text on both sides of a child block are blocks of their own."""
-    stack: list = [iter(node.parts)]
+def _without_links(node: Node, least: float) -> list:
+    """The parts of a kept node but for lists of links: several links in one block, or in blocks side by side."""
+    if node.article and node.article.tag == "article":
+        return node.parts
+    kids = [x for x in node.parts if isinstance(x, Node) and x.chars]
+    linked = [x.link_chars * 2 > x.chars and x.density < least and x.tag not in HEADINGS for x in kids]
+    out = {x for i, x in enumerate(kids) if linked[i] and (x.link_tags > 1 or any(linked[max(i - 1, 0) : i]) or any(linked[i + 1 : i + 2]))}
+    return [x for x in node.parts if x not in out] if out else node.parts
+
+
+def _blocks(root: Node, kept: set[Node], own: set[Node], least: float) -> list[str]:
+    """Texts of the blocks of kept nodes in page order: text on both sides of a child block are blocks of their own. Of a node in ``own``
+    only the text directly in it is taken."""
+    out: list[str] = []
+    run: list[str] = []
+    enter = lambda n, whole: (iter(_without_links(n, least) if whole else n.parts), whole, whole or n in own)
+    stack = [enter(root, root in kept)]
     while stack:
-        for x in stack[-1]:
+        parts, whole, text = stack[-1]
+        for x in parts:
             if isinstance(x, Node):
                 out.append("".join(run))
                 run.clear()
-                stack.append(iter(x.parts))
+                stack.append(enter(x, whole or x in kept))
                 break
-            run.append(x[0])
+            if text:
+                run.append(x[0])
         else:
             stack.pop()
             out.append("".join(run))
             run.clear()
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -211,31 +272,19 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    _settle(tree.root)
     nodes = _measure(tree.root)
     if not tree.root.chars:
         return ""
-    best = max(nodes, key=lambda n: n.sum)
-    least, node = best.density, best
+    node = tree.root.top
+    least = node.density
     while node.up:
         node = node.up
-        if node.up or node is tree.root:
-            least = min(least, node.density)
-    chosen: list[Node] = []
-    stack = [tree.root]
-    while stack:  # from the body down: a node as dense as the way to the content holds content
-        node = stack.pop()
-        if node.chars and node.density >= least:
-            inner = max(_nodes(node), key=lambda n: n.sum)
-            while inner.up and inner.tag not in ("article", "main"):
-                inner = inner.up  # a part of an article stands for all of it
-            chosen.append(inner if inner.tag in ("article", "main") or inner.up else node)
-            continue
-        stack.extend(x for x in reversed(node.parts) if isinstance(x, Node))
-    out: list[str] = []
-    for i, node in enumerate(chosen):
-        if node not in chosen[:i]:
-            _blocks(node, out, [])
-    return " ".join(t for x in out if (t := SPACES.sub(" ", x).strip()))
+        least = min(least, node.density)
+    tops = {n.top for n in nodes if n.chars and n.density >= least}
+    kept = {n.article or n for n in tops}  # a part of an article stands for all of it
+    own = {n for n in nodes if n.own_chars and n.own >= least}
+    return " ".join(t for x in _blocks(tree.root, kept, own, least) if (t := SPACES.sub(" ", x).strip()))
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

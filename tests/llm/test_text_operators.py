@@ -250,6 +250,39 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Topic number {i}</a></li>" for i in range(8)) + "</ul>"
+PROSE = [f"Sentence {i} of a longer story, which goes on for a while and holds no link at all, so that it is dense." for i in range(12)]
+
+
+def paragraphs(a, b):
+    return "".join(f"<p>{x}</p>" for x in PROSE[a:b])
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # no article or main: lists of links without a telling class
+        (f"<body><div>{LINKS}</div><div>{paragraphs(0, 4)}</div><div>{LINKS}</div></body>", PROSE[:4]),
+        (f"<body><div><div>{LINKS}</div><div><div>{paragraphs(0, 4)}</div></div></div></body>", PROSE[:4]),
+        (f"<body>{LINKS}{paragraphs(0, 4)}{LINKS}</body>", PROSE[:4]),
+        (f"<body><div><a href=a>One link</a></div><div><a href=b>Another one</a></div>{paragraphs(0, 4)}</body>", PROSE[:4]),
+        (f"<body>{LINKS}{'<br><br>'.join(PROSE[:4])}<div>{LINKS}</div></body>", PROSE[:4]),
+        # every article and section, also with lists between them
+        (f"<article>{paragraphs(0, 4)}</article><div>{LINKS}</div><article>{paragraphs(4, 6)}</article>", PROSE[:6]),
+        (f"<main><article>{paragraphs(0, 2)}</article>{LINKS}<article>{paragraphs(2, 8)}</article></main>", PROSE[:8]),
+        (f"<div><section>{paragraphs(0, 2)}</section><div>{LINKS}</div><section>{paragraphs(2, 7)}</section></div>", PROSE[:7]),
+        # a class word, a role or a form around the whole page
+        (f"<div class='no-sidebar'><div>{LINKS}</div><div>{paragraphs(0, 4)}</div></div>", PROSE[:4]),
+        (f"<form id=page>{LINKS}<div>{paragraphs(0, 4)}</div><select><option>o</select></form>", PROSE[:4]),
+        (f"<div class='with-sidebar'><article>{paragraphs(0, 4)}</article><div class=sidebar>{paragraphs(4, 5)}</div></div>", PROSE[:4]),
+        (f"<div>{paragraphs(0, 4)}<span class='share'>Share <span>this</span> now</span></div><div class='comments'>{paragraphs(4, 8)}</div>", PROSE[:4]),
+        (f"<article>{paragraphs(0, 1)}</article><div class='comments'>{paragraphs(1, 12)}</div>", PROSE[:1]),
+    ],
+)
+def test_main_text_by_density(html, text):
+    assert html_text.main_text(html) == " ".join(text)
+
+
 def test_extract_keeps_columns(spark):
     df = spark.createDataFrame([(1, "<p>x</p>", "old"), (2, None, "old")], "page_id int, html string, text string")
     out = html_text.extract(df.withColumn("h", F.col("html")), "h")
