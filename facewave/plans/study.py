@@ -151,33 +151,47 @@ def artifact_check(labels: DataFrame, excluded: Sequence[int], others: Sequence[
     return out
 
 
-def exact_silhouette(df: DataFrame, features: str, label: str, key: str, most: int = 5000, seed: int = 42) -> DataFrame:
-    """(key, silhouette) by Euclidean distance among at most ``most`` rows, chosen by a seeded hash (all rows if there are no more). The chosen
-    rows, whose number is bounded, go to every task, and each is compared with all of them in blocks."""
-    import pandas as pd
-
-    chosen = splits.hashed_sample(df.select(key, features, F.col(label).alias("__l")), most, key, seed).toPandas()
-    x = np.array(chosen[features].tolist(), float)
-    names, code = np.unique(chosen["__l"].to_numpy(), return_inverse=True)
-    member = np.eye(len(names))[code]
-    size = member.sum(axis=0)
-
-    def work(batches):
-        for pdf in batches:
-            for i in range(0, len(pdf), 256):
-                part = pdf.iloc[i : i + 256]
-                y = np.array(part[features].tolist(), float)
-                distance = np.sqrt(np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * y @ x.T, 0))
-                sums = distance @ member
-                own = np.searchsorted(names, part["__l"].to_numpy())
-                rows = np.arange(len(part))
-                a = sums[rows, own] / np.maximum(size[own] - 1, 1)
-                mean = sums / size
-                mean[rows, own] = np.inf
-                b = mean.min(axis=1)
-                s = np.where((size[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-                yield pd.DataFrame({key: part[key].to_numpy(), "silhouette": s})
-
-    kept = df.sparkSession.createDataFrame(chosen[[key]])
-    rows = df.select(key, features, F.col(label).alias("__l")).join(F.broadcast(kept), key)
-    return rows.mapInPandas(work, f"{key} {df.schema[key].dataType.simpleString()}, silhouette double")
+def exact_silhouette(df: DataFrame, features: str, label: str, key: str, block: int = 4096) -> DataFrame:
+    """(key, silhouette) by Euclidean distance of every row with features and a label, against all such rows; keys are unique. Rows are dealt to
+    shards by a hash of the key, and every two shards (and each with itself) are compared once, in a task of their own. What goes on from there are
+    sums of distances by row and label. 0 for the only row of a label or where there is one label."""
+    import pyarrow as pa
+
+    rows = df.where(F.col(key).isNotNull() & F.col(features).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("own"), F.col(features).alias("x"))
+    sizes = rows.groupBy(F.col("own").alias("other")).agg(F.count("*").alias("size"))
+    shards = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    dealt = dealt.select("id", "own", "x", "shard", F.least("shard", "with").alias("i"), F.greatest("shard", "with").alias("j"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        shard = group["shard"].to_numpy()
+        sides = []
+        for part in (group.filter(pa.array(shard == group["i"][0].as_py())), group.filter(pa.array(shard == group["j"][0].as_py()))):
+            names, code = np.unique(part["own"].to_numpy(zero_copy_only=False), return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            part = part.take(pa.array(order))
+            x = np.array(part["x"].to_pylist(), float).reshape(len(part), -1)
+            sides.append((part, x, (x * x).sum(axis=1), names, np.searchsorted(code[order], np.arange(len(names)))))
+        out = []
+        for a, b in ((0, 1),) if group["i"][0] == group["j"][0] else ((0, 1), (1, 0)):
+            (part, y, yy, _, _), (_, x, xx, names, starts) = sides[a], sides[b]
+            if not len(y) or not len(x):
+                continue
+            sums = np.empty((len(y), len(names)))
+            for k in range(0, len(y), 256):
+                both = yy[k : k + 256, None] + xx[None]
+                square = both - 2 * y[k : k + 256] @ x.T
+                square[square <= 1e-13 * both] = 0.0  # no more than rounding: equal rows
+                sums[k : k + 256] = np.add.reduceat(np.sqrt(square), starts, axis=1)
+            at = np.repeat(np.arange(len(y)), len(names))
+            out.append(pa.table({"id": part["id"].take(pa.array(at)), "own": part["own"].take(pa.array(at)), "other": pa.array(np.tile(names, len(y)), part["own"].type), "total": sums.ravel()}))
+        return pa.concat_tables(out)
+
+    kind = df.schema[label].dataType.simpleString()
+    sums = dealt.groupBy("i", "j").applyInArrow(compare, f"id {df.schema[key].dataType.simpleString()}, own {kind}, other {kind}, total double")
+    sums = sums.groupBy("id", "own", "other").agg(F.sum("total").alias("total")).join(sizes, "other")
+    inside = F.col("own") == F.col("other")
+    found = sums.groupBy("id").agg(F.max(F.when(inside, F.col("size"))).alias("n"), F.max(F.when(inside, F.col("total") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("a"), F.min(F.when(~inside, F.col("total") / F.col("size"))).alias("b"))
+    score = (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))
+    return found.select(F.col("id").alias(key), F.when((F.col("n") > 1) & F.col("b").isNotNull(), score).otherwise(0.0).alias("silhouette"))

@@ -223,3 +223,21 @@ def test_results_are_plain_json(spark, tmp_path):
     tables.write_results(df, str(tmp_path / "j"))
     assert spark.read.schema("a double, b double, c double").json(str(tmp_path / "j")).first() == (None, None, 1.0)
     assert math.isnan(df.first()["a"])
+
+
+def test_exact_silhouette_of_every_row(spark):
+    from facewave.plans import study
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5200, 2)).round(1)  # with equal rows
+    label = rng.integers(0, 3, 5200)
+    x[:, 0] += label
+    label[7] = 9  # the only row of its label
+    df = spark.createDataFrame([(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(x, label, strict=True))], "id long, x array<double>, label int")
+    got = {r["id"]: r["silhouette"] for r in study.exact_silhouette(df, "x", "label", "id").collect()}
+    assert len(got) == 5200 and got[7] == 0
+    for i in rng.integers(8, 5200, 200):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        a = d[label == label[i]].sum() / ((label == label[i]).sum() - 1)
+        b = min(d[label == k].mean() for k in (0, 1, 2, 9) if k != label[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-6)
