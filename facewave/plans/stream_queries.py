@@ -24,7 +24,11 @@ def entry(name: str, sql: str | None = None):
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"{sf_dir}/events.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    single = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isFile()
+    # a stream reads a folder of part files by its name; a single file only by a pattern
+    raw = spark.readStream.schema(spark.read.parquet(name).schema).parquet(f"{name[:-1]}[{name[-1]}]" if single else name)
     return raw.select(F.col("user_id").alias("session"), F.col("event_id").alias("frame_idx"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("ear"), (F.col("event_type") != "error").alias("face"), "event_type")
 
 

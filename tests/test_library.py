@@ -241,3 +241,17 @@ def test_exact_silhouette_of_every_row(spark):
         a = d[label == label[i]].sum() / ((label == label[i]).sum() - 1)
         b = min(d[label == k].mean() for k in (0, 1, 2, 9) if k != label[i])
         assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-6)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_streams_read_tables_of_several_files(spark, tmp_path, parts):
+    from facewave.plans import stream_queries
+
+    rows = [(i, i % 3, "error" if i % 4 == 0 else "click", i * 1.5, i * 3600) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, s long").select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type", "value", F.lit("{}").alias("props"))
+    df.repartition(parts).write.parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) == parts
+    want = {u: (sum(r[1] == u for r in rows), sum(r[3] for r in rows if r[1] == u)) for u in range(3)}
+    got = {r["session"]: (r["frames"], r["total"]) for r in stream_queries.r7(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert stream_queries.r1(spark, str(tmp_path)).count() == 40
