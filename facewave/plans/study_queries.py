@@ -329,7 +329,7 @@ def t3(spark, d):
 
 @entry("t4_permutation_test")
 def t4(spark, d):
-    return hypothesis.permutation_test(lines(spark, d), "l_returnflag", "l_quantity", ["l_linestatus"], "row", 100)
+    return hypothesis.permutation_test(lines(spark, d), "l_returnflag", "l_quantity", ["l_linestatus"], "row")
 
 
 @entry("t5_bootstrap_interval")
@@ -361,15 +361,15 @@ def m1(spark, d):
 
 @entry("m2_mixture_selection")
 def m2(spark, d):
-    w = windows(spark, d).select("vec_id", F.slice("x", 1, 4).alias("x"))
-    best = models.fit_mixtures(w, "x", range(2, 4), rounds=8)[0]
+    w = windows(spark, d).select("vec_id", "x")
+    best = models.fit_mixtures(w, "x")[0]
     return models.assign(w, "x", best).select("vec_id", "label")
 
 
 @entry("m3_kmeans_selection")
 def m3(spark, d):
     w = windows(spark, d)
-    k, curve, _ = models.k_means(w, "x", range(2, 4), seeds=(1,))
+    k, curve, _ = models.k_means(w, "x")
     return spark.createDataFrame([(int(a), float(b), a == k) for a, b in curve.items()], "k int, silhouette double, chosen boolean")
 
 
@@ -399,7 +399,7 @@ def m7(spark, d):
 @entry("m8_permutation_control")
 def m8(spark, d):
     w = windows(spark, d).select("vec_id", F.slice("x", 1, 6).alias("x"), F.col("x")[10].alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
-    return spark.createDataFrame([models.permutation_control(w, "x", "y", "fold", "vec_id", 10.0, 50)], "r2 double, p double")
+    return spark.createDataFrame([models.permutation_control(w, "x", "y", "fold", "vec_id", 10.0)], "r2 double, p double")
 
 
 @entry("m9_ablation")
@@ -412,7 +412,7 @@ def m9(spark, d):
 
 def _study(spark, d):
     w = windows(spark, d)
-    return w.select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("subject"), F.slice("x", 1, 8).alias("features"), F.col("x")[20].alias("alpha"), "label", "x")
+    return w.select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("subject"), F.col("x").alias("features"), F.col("x")[20].alias("alpha"), "label", "x")
 
 
 @entry("a7_alpha_metrics", "WITH q AS (SELECT l_suppkey, l_linestatus AS model, l_discount AS p, l_tax AS t, avg(l_tax) OVER (PARTITION BY l_suppkey, l_linestatus) AS m FROM lineitem) SELECT l_suppkey, model, round(avg(abs(p - t)), 6) AS mae, round(1 - sum(power(t - p, 2)) / sum(power(t - m, 2)), 6) AS r2, round(corr(p, t), 6) AS pearson FROM q GROUP BY l_suppkey, model")
@@ -438,7 +438,7 @@ def m4(spark, d):
 def m5(spark, d):
     from facewave.plans import study
 
-    p = study.fit_scorer(_study(spark, d), (3,), 0.6, 8).profiles()
+    p = study.fit_scorer(_study(spark, d), range(2, 9), rounds=50).profiles()
     return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(p) for j, v in enumerate(row)], "component int, feature int, mean double")
 
 
@@ -468,14 +468,14 @@ def m13(spark, d):
     from facewave.plans import study
 
     x = _study(spark, d)
-    return study.fit_scorer(x, (3,), 0.6, 8).score(x).select("id", "label", "share")
+    return study.fit_scorer(x, range(2, 9), rounds=50).score(x).select("id", "label", "share")
 
 
 @entry("m14_experiment")
 def m14(spark, d):
     from facewave.plans import study
 
-    return study.experiment(_study(spark, d))
+    return study.experiment(_study(spark, d), 5, 200)
 
 
 @entry("t8_artifact_check", f"{_kw_sql('l_linenumber', 'l_tax').replace('FROM lineitem)', 'FROM lineitem WHERE l_linenumber <> 3)')} SELECT 'l_tax' AS variable, round(h, 5) AS h, k AS groups FROM h")

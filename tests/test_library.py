@@ -255,3 +255,14 @@ def test_streams_read_tables_of_several_files(spark, tmp_path, parts):
     got = {r["session"]: (r["frames"], r["total"]) for r in stream_queries.r7(spark, str(tmp_path)).collect()}
     assert got == want
     assert stream_queries.r1(spark, str(tmp_path)).count() == 40
+
+
+def test_selection_is_not_held_to_few_clusters(spark, tmp_path):
+    from facewave.plans import study_queries
+
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 5, (5, 64))
+    rows = [(i, (centres[i % 5] + rng.normal(0, 0.5, 64)).tolist(), i % 5) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    curve = {r["k"]: r["chosen"] for r in study_queries.m3(spark, str(tmp_path)).collect()}
+    assert sorted(curve) == list(range(2, 9)) and [k for k in curve if curve[k]] == [5]
