@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all machines of a cluster share. Only where the session names
-    none (tests on one machine) is a temporary folder taken."""
+    """A new folder below ``spark.checkpoint.dir``, which all machines of a cluster share. It goes when the application ends."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
+        raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
+    path = f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _files(spark, path, lambda system, place: system.deleteOnExit(place))
+    return path
+
+
+def _files(spark: SparkSession, path: str, do: Callable) -> None:
+    """``do`` with the file system of ``path`` and the path, by Spark's own Hadoop client."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    do(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
@@ -28,6 +34,18 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that ``stored`` wrote, once nothing reads it any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _files(df.sparkSession, folder, lambda system, place: system.delete(place, True))
+
+
+def parts_by_bytes(df: DataFrame, column: str, part_bytes: int) -> int:
+    """How many parts of about ``part_bytes`` the texts of a column make."""
+    total = df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    return int(total // part_bytes) + 1
+
+
 def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     """``df``, marked to go to every task if it has at most ``rows`` rows. It is counted, so give a stored one."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -43,14 +61,16 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(),
         "edges",
     )
-    before = None
+    before, start = None, e
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        e = stored(e.distinct(), "edges")
+        old, e = start, stored(e.distinct(), "edges")
+        start = e
+        discard(old)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break

@@ -6,7 +6,9 @@ Python call. Slices are bounded by bytes (one row at least), so memory does not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes of text that are worked on at a time.
+SLICE = 1 << 19
 _powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, U), np.empty(0, U))
 
 
@@ -39,6 +43,28 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
 
 
+def give_back() -> None:
+    """Freed memory goes back to the machine: a Python worker lives on and serves later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def tidy(work: Callable) -> Callable:
+    """``work`` for mapInArrow, which gives memory back when its task ends."""
+
+    @wraps(work)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most ``limit`` bytes, or of one row."""
     first, n = 0, len(offsets) - 1
@@ -74,28 +100,37 @@ PLACES = mix(np.arange(1, 65, dtype=U) * _BASE) | U(1)
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse. Those for one slice are kept; those for a longer word are not."""
     global _powers
-    if len(_powers[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        steps = [np.full(size, b, U) for b in (_BASE, _BASE_INVERSE)]
-        for s in steps:
-            s[0] = U(1)
-        _powers = tuple(np.multiply.accumulate(s) for s in steps)
-        if size > 1 << 24:  # one very long text; not kept
-            big, _powers = _powers, (np.empty(0, U), np.empty(0, U))
-            return big
-    return _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    steps = [np.full(max(n, SLICE + 1), b, U) for b in (_BASE, _BASE_INVERSE)]
+    for s in steps:
+        s[0] = U(1)
+    found = tuple(np.multiply.accumulate(s) for s in steps)
+    if len(found[0]) == SLICE + 1:
+        _powers = found
+    return found
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word from one running sum over all bytes."""
-    power, inverse = _powers_to(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
-
-
-def shingle_sets(column: pa.Array | pa.ChunkedArray, size: int = 5, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray]]:
+    """A 64-bit hash of each word from a running sum over the bytes of some words at a time. Words come in order."""
+    out = np.empty(len(starts), U)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE, "right")))
+        first = starts[a]
+        n = int(ends[b - 1] - first)
+        power, inverse = _powers_to(n + 1)
+        total = np.zeros(n + 1, U)
+        np.cumsum((data[first : first + n].astype(U) + U(1)) * power[:n], out=total[1:])
+        begin = starts[a:b] - first
+        out[a:b] = mix((total[ends[a:b] - first] - total[begin]) * inverse[begin])
+        a = b
+    return out
+
+
+def shingle_sets(column: pa.Array | pa.ChunkedArray, size: int = 5, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 64-bit shingles) of each row, in order. Words are runs of bytes other than white space, A-Z in
     lower case. A text of fewer than ``size`` words is one shingle; a text without words has none."""
     data, offsets = utf8(column)

@@ -16,7 +16,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -25,10 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from facewave.llm._text import SLICE, slices, tidy, utf8
+
 LONG = 48
 NONE = np.iinfo(np.int32).max
-#: Words of a generation of kept results (about 300 bytes each); words of more than ``LONG`` letters are not kept.
-KEPT = 300_000
+#: Bytes of a generation of kept results, of which there are two; words of more than ``LONG`` letters are not kept.
+KEPT = 32 << 20
 
 
 def byte_letters() -> list[str]:
@@ -39,12 +41,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _weight(word: str, found) -> int:
+    """Bytes that a kept result takes, about: the word, a place in the dictionary, and what was found."""
+    return 160 + len(word) + (40 * len(found) if not found or isinstance(found[0], int) else sum(64 + len(x) for x in found))
+
+
 class Kept:
     """Results by word in two generations: when the newer is full it becomes the older, and words in use move on."""
 
     def __init__(self) -> None:
         self.now: dict = {}
         self.before: dict = {}
+        self.size = 0  # of the newer, about
+
+    def put(self, words: list[str], found: list) -> None:
+        self.now.update(zip(words, found, strict=True))
+        self.size += sum(map(_weight, words, found))
 
     def forget(self, words: list[str]) -> None:
         """Drops those of ``words`` that are too long to keep."""
@@ -54,10 +66,11 @@ class Kept:
 
     def missing(self, words: set[str]) -> list[str]:
         """Has every known one of ``words`` in ``now``; returns the others."""
-        if len(self.now) > KEPT:
-            self.now, self.before = {}, self.now
+        if self.size > KEPT:
+            self.now, self.before, self.size = {}, self.now, 0
         new = [w for w in words if w not in self.now]
-        self.now.update((w, self.before[w]) for w in new if w in self.before)
+        old = [w for w in new if w in self.before]
+        self.put(old, [self.before[w] for w in old])
         return [w for w in new if w not in self.before]
 
 
@@ -187,7 +200,7 @@ class Bpe:
         """For each text, what ``kept`` has for its words; ``of`` makes it from the ids of a word."""
         split = [self.split(t) for t in texts]
         new = kept.missing(set(chain.from_iterable(split)))
-        kept.now.update(zip(new, map(of, self.ids(new)), strict=True))
+        kept.put(new, [*map(of, self.ids(new))])
         have = kept.now.__getitem__
         out = [[*map(have, words)] for words in split]
         kept.forget(new)
@@ -201,72 +214,80 @@ class Bpe:
         return " ".join(self.name[i] for i in ids or () if i in self.name)
 
 
-@lru_cache(maxsize=4)
+    def clear(self) -> None:
+        """Drops kept results: they serve one task."""
+        self.seen, self.written = Kept(), Kept()
+
+
+@lru_cache(maxsize=1)
 def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str | None]]:
-    run: list[str | None] = []
-    size = 0
-    for t in texts:
-        if run and size + len(t or "") > limit:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t or "")
-    if run:
-        yield run
+def _runs(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a column, some at a time."""
+    _, offsets = utf8(column)
+    for first, last in slices(offsets, SLICE):
+        yield column.slice(first, last - first).to_pylist()
+
+
+def _task(path: str, work: Callable[[Bpe, pa.RecordBatch], pa.RecordBatch]) -> Callable:
+    """``work`` on every batch of a task; what it has kept goes when the task ends."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        try:
+            for batch in batches:
+                yield work(bpe, batch)
+        finally:
+            bpe.clear()
+
+    return tidy(batches_of)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds ``ids`` (array<int>) to every row; a column of that name is replaced."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
-            out = [x for run in _runs(batch.column(batch.schema.get_field_index(text)).to_pylist()) for x in bpe.encode(run)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, ids])
+    def work(bpe: Bpe, batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [pa.array(bpe.encode(run), pa.list_(pa.int32())) for run in _runs(batch.column(batch.schema.get_field_index(text)))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], [*batch.schema.names, ids])
 
     df = df.drop(ids)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{ids}` array<int>"
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(_task(path, work), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the text of ``ids`` to every row; a column of that name is replaced. Null ids give an empty text."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
-            out = [bpe.decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, decoded])
+    def work(bpe: Bpe, batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(batch.schema.get_field_index(ids))
+        out = [bpe.decode(x) for first in range(0, len(column), 256) for x in column.slice(first, 256).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, decoded])
 
     df = df.drop(decoded)
-    return df.mapInArrow(work, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{decoded}` string")
+    return df.mapInArrow(_task(path, work), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{decoded}` string")
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row: each text is encoded, its ids are decoded again, and only
     the digests of both leave the task."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        number = {i: str(i) for i in bpe.name}
-        of = lambda ids: (" ".join([number[i] for i in ids]), " ".join([bpe.name[i] for i in ids]))
+    def work(bpe: Bpe, batch: pa.RecordBatch) -> pa.RecordBatch:
+        name = bpe.name
+        of = lambda ids: (" ".join([str(i) for i in ids]), " ".join([name[i] for i in ids]))
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        for batch in batches:
-            n, a, b = [], [], []
-            for run in _runs(batch.column(1).to_pylist()):
-                for found in bpe.found(run, bpe.written, of):
-                    numbers = " ".join([x[0] for x in found])
-                    n.append(numbers.count(" ") + 1 if numbers else 0)
-                    a.append(sha(numbers))
-                    b.append(sha(" ".join([x[1] for x in found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        n, a, b = [], [], []
+        for run in _runs(batch.column(1)):
+            for found in bpe.found(run, bpe.written, of):
+                numbers = " ".join([x[0] for x in found])
+                n.append(numbers.count(" ") + 1 if numbers else 0)
+                a.append(sha(numbers))
+                b.append(sha(" ".join([x[1] for x in found])))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(work, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(_task(path, work), f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

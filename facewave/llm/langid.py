@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facewave.llm._text import slices, utf8
+from facewave.llm._text import SLICE, slices, tidy, utf8
 
 DIM = 4096
 LETTER = regex.compile(r"\p{L}")
@@ -34,27 +34,55 @@ CLASS[0x41:0x5B] = np.arange(0x61, 0x7B)
 CLASS[0x80:] = np.arange(0x80, 0x100)
 
 
-def trigram_counts(column: pa.Array, limit: int = 1 << 20, rows: int = 512) -> Iterator[tuple[int, np.ndarray]]:
+def _codes(part: np.ndarray) -> np.ndarray:
+    """The place of each trigram."""
+    part = part.astype(np.uint32)
+    code = part[:-2] * np.uint32(0x9E3779B1) ^ part[1:-1] * np.uint32(0x85EBCA77) ^ part[2:] * np.uint32(0xC2B2AE3D)
+    return (code * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 12)
+
+
+def _long_counts(raw: np.ndarray) -> np.ndarray:
+    """The counts of one text, a part at a time; runs of blanks are one."""
+    part = np.concatenate(([0x20], CLASS[raw], [0x20])).astype(np.uint8)
+    part = part[np.concatenate(([True], (part[1:] != 0x20) | (part[:-1] != 0x20)))]
+    return sum(np.bincount(_codes(part[k : k + SLICE + 2]), minlength=DIM) for k in range(0, max(len(part) - 2, 1), SLICE))
+
+
+def trigram_counts(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, counts [rows, DIM]) of runs of rows."""
     data, offsets = utf8(column)
-    for start, stop in slices(offsets, limit):
+    for start, stop in slices(offsets, SLICE):
         for first in range(start, stop, rows):
             last = min(first + rows, stop)
+            if offsets[last] - offsets[first] > SLICE:  # one long text: slices are shorter otherwise
+                yield first, _long_counts(data[offsets[first] : offsets[last]]).astype(np.int32)[None]
+                continue
             at = offsets[first : last + 1] - offsets[first]
             part = CLASS[data[offsets[first] : offsets[last]]]
-            owner = np.repeat(np.arange(last - first), np.diff(at))
+            owner = np.repeat(np.arange(last - first, dtype=np.int32), np.diff(at))
             # a blank on both sides of every text, so that the shortest one has a trigram
             edges = np.concatenate([at[1:], at[:-1]])  # where two texts meet, the end of one stands before the start of the next
             part = np.insert(part, edges, 0x20)
-            owner = np.insert(owner, edges, np.concatenate([np.arange(last - first)] * 2))
+            owner = np.insert(owner, edges, np.concatenate([np.arange(last - first, dtype=np.int32)] * 2))
             keep = np.ones(len(part), bool)
             keep[1:] = (part[1:] != 0x20) | (part[:-1] != 0x20) | (owner[1:] != owner[:-1])
-            part, owner = part[keep].astype(np.uint32), owner[keep]
-            code = part[:-2] * np.uint32(0x9E3779B1) ^ part[1:-1] * np.uint32(0x85EBCA77) ^ part[2:] * np.uint32(0xC2B2AE3D)
-            code = (code * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 12)
+            code, owner = _codes(part[keep]), owner[keep]
             same = owner[2:] == owner[:-2]
-            cells = np.bincount(owner[:-2][same] * DIM + code[same], minlength=(last - first) * DIM)
-            yield first, cells.reshape(last - first, DIM)
+            cells = np.bincount(owner[:-2][same] * DIM + code[same].astype(np.int32), minlength=(last - first) * DIM)
+            yield first, cells.astype(np.int32).reshape(last - first, DIM)
+
+
+def lettered(column: pa.Array) -> np.ndarray:
+    """Whether each text has a letter. Only texts without one in ASCII are looked at by character."""
+    data, offsets = utf8(column)
+    out = np.zeros(len(column), bool)
+    for first, last in slices(offsets, SLICE):
+        ascii_letters = (CLASS[data[offsets[first] : offsets[last]]] - np.uint8(0x61)) < 26
+        seen = np.concatenate(([0], np.cumsum(ascii_letters, dtype=np.int64)))
+        out[first:last] = np.diff(seen[offsets[first : last + 1] - offsets[first]]) > 0
+    for row in np.flatnonzero(~out & (np.diff(offsets) > 0)):
+        out[row] = LETTER.search(data[offsets[row] : offsets[row + 1]].tobytes().decode()) is not None
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -105,7 +133,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 packed = [np.minimum(c, 65535).astype(np.uint16).tobytes() for c in cells]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(cells)), pa.array(packed, pa.binary())], ["lang", "cells"])
 
-    got = sample.select("text", "lang").mapInArrow(count, "lang string, cells binary").toArrow()
+    got = sample.select("text", "lang").mapInArrow(tidy(count), "lang string, cells binary").toArrow()
     labels = np.array(got["lang"].to_pylist())
     if not len(labels):
         return None
@@ -133,20 +161,20 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
-            lettered = np.array([bool(t and LETTER.search(t)) for t in column.to_pylist()], bool)
+            letters = lettered(column)
             best, at = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             if model:
                 for first, cells in trigram_counts(column):
                     near = model.vectors(cells) @ model.centroids.T
                     best[first : first + len(cells)] = near.max(axis=1)
                     at[first : first + len(cells)] = near.argmax(axis=1)
-            names = [model.names[i] if ok and model else "und" for i, ok in zip(at, lettered, strict=True)]
-            score = np.where(lettered, np.clip(best, 0, 1), 0.0)
-            rejected = ~lettered | (score < (model.reject_below if model else 2))
+            names = [model.names[i] if ok and model else "und" for i, ok in zip(at, letters, strict=True)]
+            score = np.where(letters, np.clip(best, 0, 1), 0.0)
+            rejected = ~letters | (score < (model.reject_below if model else 2))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*kept, *new])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(work, f"{schema + ', ' if schema else ''}lang_pred string, score double, rejected boolean")
+    return df.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(tidy(work), f"{schema + ', ' if schema else ''}lang_pred string, score double, rejected boolean")
 
 
 def held_out(key: str = "doc_id") -> F.Column:

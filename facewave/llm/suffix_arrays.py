@@ -1,20 +1,20 @@
 """Benchmark decontamination by suffix arrays over the training text (operator 1).
 
 Every task turns its documents into shards of bounded size and builds one suffix array for each: the start of every word
-sequence that a benchmark text could share, sorted by the words that follow, up to the length of the longest item. All
-suffixes of all benchmark items are then binary-searched in it together; their neighbours give the longest verbatim match of each,
-and the range of suffixes that begin with a window gives all its locations. A document lies in one shard only, so what is
-found in it needs no shuffle.
+sequence in the benchmark's vocabulary, sorted by the words that follow. All suffixes of all benchmark items are then binary-searched in it
+together; their neighbours give the longest verbatim match of each, and the range of suffixes that begin with a window gives all its locations. To find
+windows, suffixes are told apart up to a window's words; to find longest matches, up to those of the longest item. A document lies in one shard
+only, so what is found in it needs no shuffle.
 
 A window is ``width`` consecutive words of an item; an item with fewer words, but at least one, is one window. Words
-outside the benchmark's vocabulary match nothing, so a suffix that meets one within its first words (fewer than the shortest
-window) is not kept in the array.
+outside the benchmark's vocabulary match nothing, so a suffix begins only where one can match.
 
-The benchmark goes to the tasks in blocks of at most ``block_words`` words, so its size is bounded there however
-large it is; for each block the documents are searched once.
+The benchmark goes to the tasks in blocks of at most ``block_words`` words. Where there are several, the documents are searched once for each, and what the earlier ones
+found is stored beside each row: the driver and a task hold one block at a time, and rows, not ids, carry the results.
 
 Defined results: null or empty documents have no words and no hits; null or empty items have no window; repeated items each
-count (their ids are all reported); an empty benchmark hits nothing; equal texts get equal results; other columns are not touched.
+count (their ids are all reported); an item without an id counts under an empty one; an empty benchmark hits nothing; rows with equal or null ids are
+judged each by its own text; equal texts get equal results; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facewave.llm._shared import small, stored
-from facewave.llm._text import slices, utf8
+from facewave.llm._shared import discard, stored
+from facewave.llm._text import slices, tidy, utf8
 
 #: A-Z in lower case; bytes that are neither letter, digit nor from 0x80 on become blanks.
 TO_WORDS = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
@@ -140,37 +140,37 @@ def search(words: np.ndarray, array: np.ndarray, bench: Suffixes, suffixes: np.n
 
 
 class Shard:
-    """Some texts, their words as numbers, and the suffix array over them."""
+    """Some texts, their words as numbers, and the suffix array over them, sorted by ``depth`` words."""
 
-    def __init__(self, texts: list[bytes], bench: Suffixes) -> None:
+    def __init__(self, texts: list[bytes], bench: Suffixes, depth: int) -> None:
         get = bench.number.get
         numbers = [np.fromiter((get(w, 0) for w in words_of(t)), np.int32) for t in texts]
         self.n_words = np.array([len(x) for x in numbers], np.int64)
         self.ends = np.cumsum(self.n_words + 1)  # a 0 parts the texts
         size = int(self.ends[-1]) if len(texts) else 0
-        self.words = np.zeros(size + bench.depth + 1, np.int32)
+        self.words = np.zeros(size + depth + 1, np.int32)
         for x, e in zip(numbers, self.ends, strict=True):
             self.words[e - 1 - len(x) : e - 1] = x
-        gaps = np.flatnonzero(self.words == 0)
-        run = gaps[np.searchsorted(gaps, np.arange(size))] - np.arange(size)
-        starts = np.flatnonzero(run >= bench.widths.min())
-        self.array = suffix_array(self.words, starts, bench.depth) if len(starts) else starts
+        self.depth = depth
+        starts = np.flatnonzero(self.words)
+        self.array = suffix_array(self.words, starts, depth) if len(starts) else starts
 
     def longest(self, bench: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-        """Of each benchmark suffix the words of its longest match in this shard, and where that is (-1: nowhere)."""
+        """Of each benchmark suffix the words of its longest match in this shard (up to ``depth``), and where that is (-1: nowhere)."""
         every = np.arange(len(bench.starts))
         words, at = np.zeros(len(every), np.int64), np.full(len(every), -1, np.int64)
         if len(self.array):
-            place = search(self.words, self.array, bench, every, bench.lengths, False)
+            widths = np.minimum(bench.lengths, self.depth)
+            place = search(self.words, self.array, bench, every, widths, False)
             for beside in (np.maximum(place - 1, 0), np.minimum(place, len(self.array) - 1)):
-                _, agree = compare(self.words, self.array[beside], bench, every, bench.lengths)
+                _, agree = compare(self.words, self.array[beside], bench, every, widths)
                 more = agree > words
                 words[more], at[more] = agree[more], self.array[beside][more]
         return words, at
 
-    def windows(self, bench: Suffixes, longest: np.ndarray) -> tuple[list[list[int]], list[set[int]]]:
+    def windows(self, bench: Suffixes) -> tuple[list[list[int]], list[set[int]]]:
         """Of each text the runs of hit words as [start, end, start, end, ...], and the numbers of the windows in it."""
-        able = np.flatnonzero(longest[bench.window_rows] >= bench.widths)
+        able = np.flatnonzero(self.longest(bench)[0][bench.window_rows] >= bench.widths)
         rows, widths = bench.window_rows[able], bench.widths[able]
         change = np.zeros(len(self.words) + 1, np.int32)
         found: list[set[int]] = [set() for _ in self.n_words]
@@ -187,51 +187,70 @@ class Shard:
         return [(edges[a:b] - s).tolist() for a, b, s in zip(*cut, begins, strict=True)], found
 
 
-def _blocks(bench: DataFrame, item: str, text: str, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in parts of about ``block_words`` words, one at a time."""
-    rows = bench.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+def _shards(column: pa.Array, bench: Suffixes, depth: int, shard_bytes: int) -> Iterator[tuple[int, Shard]]:
+    """(first row, shard) of the texts of a batch."""
+    data, offsets = utf8(column)
+    for first, last in slices(offsets, shard_bytes):
+        yield first, Shard([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)], bench, depth)
+
+
+def _blocks(bench: DataFrame, item: str, text: str, block_words: int) -> tuple[int, Iterator[list[tuple[str, str | None]]]]:
+    """The number of blocks, and the benchmark in parts of about ``block_words`` words, one at a time."""
+    rows = bench.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).where("t is not null")
     total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] / 4
     n = int(total // block_words) + 1
-    for k in range(n):
-        yield [(r["i"], r["t"]) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)).collect()]
+    return n, ([(r["i"], r["t"]) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)).collect()] for k in range(n))
+
+
+def _merged(a: list[int], b: list[int]) -> list[int]:
+    """Two lists of runs [start, end, ...] as one, without overlaps."""
+    out: list[int] = []
+    for start, end in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
+        if out and start <= out[-1]:
+            out[-1] = max(out[-1], end)
+        else:
+            out += [start, end]
+    return out
 
 
-def locate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, shard_bytes: int = 1 << 23, block_words: int = 200_000) -> DataFrame:
-    """(key, n_words, hits, items) of every document: its words, the runs of hit words as [start, end, start, end, ...] and
+def locate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, shard_bytes: int = 1 << 22, block_words: int = 200_000) -> DataFrame:
+    """(key, n_words, hits, items) of every row: its words, the runs of hit words as [start, end, start, end, ...] and
     the sorted ids of the items with windows in it."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_words long, hits array<long>, items array<string>"
+    names = ["n_words", "hits", "items"]
 
-    def one(block: Suffixes | None) -> DataFrame:
+    def one(rows: DataFrame, block: Suffixes | None, first: bool, last: bool) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = utf8(batch.column(1))
-                for first, last in slices(offsets, shard_bytes):
-                    texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)]
-                    if block:
-                        shard = Shard(texts, block)
-                        n_words, longest = shard.n_words, shard.longest(block)[0]
-                        hits, found = shard.windows(block, longest)
-                        ids = [sorted({i for w in ws for i in block.items[w]}) for ws in found]
-                    else:
-                        n_words, hits, ids = [len(words_of(t)) for t in texts], [[]] * len(texts), [[]] * len(texts)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], [key, "n_words", "hits", "items"])
-
-        return docs.select(key, text).mapInArrow(work, schema)
-
-    parts = [one(benchmark_suffixes(items, width)) for items in _blocks(bench, item, item_text, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    # a row for each block: runs of several blocks are merged by their sorted bounds
-    bounds = F.expr("transform(sequence(0, int(size(hits) / 2) - 1), i -> struct(hits[2 * i] as s, hits[2 * i + 1] as e))")
-    every = reduce(DataFrame.union, parts).withColumn("hits", F.when(F.size("hits") > 0, bounds).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>")))
-    every = every.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merge = """aggregate(hits, cast(array() as array<bigint>), (acc, x) -> case when size(acc) > 0 and element_at(acc, -1) >= x.s
-        then concat(slice(acc, 1, size(acc) - 1), array(greatest(element_at(acc, -1), x.e))) else concat(acc, array(x.s, x.e)) end)"""
-    return every.withColumn("hits", F.expr(merge))
-
-
-def longest_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shard_bytes: int = 1 << 23, block_words: int = 200_000) -> DataFrame:
+                n_words, hits, ids = [], [], []
+                for _, shard in _shards(batch.column(1), block, int(block.widths.max()), shard_bytes) if block else ():
+                    runs, found = shard.windows(block)
+                    n_words += shard.n_words.tolist()
+                    hits += runs
+                    ids += [sorted({i for w in ws for i in block.items[w]}) for ws in found]
+                if not block:
+                    n_words = [len(words_of(t.encode())) if t else 0 for t in batch.column(1).to_pylist()]
+                    hits, ids = [[] for _ in n_words], [[] for _ in n_words]
+                if not first:
+                    hits = [_merged(a, b) if a and b else a or b for a, b in zip(batch.column(3).to_pylist(), hits, strict=True)]
+                    ids = [sorted({*a, *b}) for a, b in zip(batch.column(4).to_pylist(), ids, strict=True)]
+                kept = batch.columns[:1] if last else batch.columns[:2]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], [*batch.schema.names[: len(kept)], *names])
+
+        return rows.mapInArrow(tidy(work), f"`{key}` {kind}, {'' if last else '__text string, '}n_words long, hits array<long>, items array<string>")
+
+    n, blocks = _blocks(bench, item, item_text, block_words)
+    rows = docs.select(key, F.col(text).alias("__text"))
+    for k, items in enumerate(blocks):
+        old, rows = rows, one(rows, benchmark_suffixes(items, width), k == 0, k == n - 1)
+        if n > 1:
+            rows = stored(rows, "located")
+            if k:
+                discard(old)
+    return rows
+
+
+def longest_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shard_bytes: int = 1 << 22, block_words: int = 200_000) -> DataFrame:
     """(item, item_start, n_words, key, start): for each benchmark item the longest word sequence that a document repeats,
     and one place of it."""
     kind = docs.schema[key].dataType.simpleString()
@@ -239,9 +258,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text
     def one(block: Suffixes | None) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches if block else ():
-                data, offsets = utf8(batch.column(1))
-                for first, last in slices(offsets, shard_bytes):
-                    shard = Shard([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)], block)
+                for first, shard in _shards(batch.column(1), block, block.depth, shard_bytes):
                     words, at = shard.longest(block)
                     best: dict[str, int] = {}
                     for k in np.flatnonzero(words).tolist():
@@ -252,17 +269,37 @@ def longest_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text
                     origin = {o: s for o, s in zip(reversed(block.owner), reversed(block.starts.tolist()), strict=True)}
                     yield pa.RecordBatch.from_arrays([pa.array([*best], pa.string()), pa.array([int(block.starts[k]) - origin[block.owner[k]] for k in ks], pa.int64()), pa.array(words[ks]), batch.column(0).take(pa.array(first + doc)), pa.array(at[ks] - (shard.ends - 1 - shard.n_words)[doc])], [item, "item_start", "n_words", key, "start"])
 
-        return docs.select(key, text).mapInArrow(work, f"`{item}` string, item_start long, n_words long, `{key}` {kind}, start long")
+        found = docs.select(key, text).mapInArrow(tidy(work), f"`{item}` string, item_start long, n_words long, `{key}` {kind}, start long")
+        return found.groupBy(item).agg(F.min(F.struct((-F.col("n_words")).alias("n"), F.col(key).alias("k"), "start", "item_start")).alias("b"))
 
-    found = reduce(DataFrame.union, [one(benchmark_suffixes(items)) for items in _blocks(bench, item, item_text, block_words)])
-    best = found.groupBy(item).agg(F.min(F.struct((-F.col("n_words")).alias("n"), F.col(key).alias("k"), "start", "item_start")).alias("b"))
+    n, blocks = _blocks(bench, item, item_text, block_words)
+    found = [one(benchmark_suffixes(items)) if n == 1 else stored(one(benchmark_suffixes(items)), "matches") for items in blocks]
+    best = reduce(DataFrame.union, found).groupBy(item).agg(F.min("b").alias("b"))
     return best.select(item, F.col("b.item_start").alias("item_start"), (-F.col("b.n")).alias("n_words"), F.col("b.k").alias(key), F.col("b.start").alias("start"))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The documents without any hit, in their own columns. Documents with a null key have no hits that could be told, and stay."""
-    bad = stored(locate(docs, bench, key, text, **more).where(F.size("items") > 0).select(key).distinct(), "hit")
-    return docs.join(small(bad), key, "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, shard_bytes: int = 1 << 22, block_words: int = 200_000) -> DataFrame:
+    """The rows without any hit, in their own columns. Each row is kept or dropped where its text is searched, so neither its id nor a join has a part in it."""
+    place = docs.columns.index(text)
+
+    def one(rows: DataFrame, block: Suffixes) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [not found for _, shard in _shards(batch.column(place), block, int(block.widths.max()), shard_bytes) for found in shard.windows(block)[1]]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return rows.mapInArrow(tidy(work), docs.schema)
+
+    n, blocks = _blocks(bench, item, item_text, block_words)
+    rows = docs
+    for k, items in enumerate(blocks):
+        if block := benchmark_suffixes(items, width):
+            old, rows = rows, one(rows, block)
+            if n > 1:
+                rows = stored(rows, "clean")
+                if old is not docs:
+                    discard(old)
+    return rows
 
 
 def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

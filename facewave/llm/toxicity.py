@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facewave.llm._shared import stored
-from facewave.llm._text import LOWER, shingle_sets, slices, utf8, word_hashes, word_spans
+from facewave.llm._text import LOWER, SLICE, shingle_sets, slices, tidy, utf8, word_hashes, word_spans
 from facewave.llm.langid import held_out
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -113,7 +113,7 @@ def lexicon(words: dict[bytes, float], starts: dict[bytes, float]) -> Lexicon:
     return Lexicon(keys, np.array([found[k][0] for k in keys], np.int8), np.array([found[k][1] for k in keys]))
 
 
-def matches(column: pa.Array, words: Lexicon, limit: int = 1 << 21) -> np.ndarray:
+def matches(column: pa.Array, words: Lexicon, limit: int = SLICE) -> np.ndarray:
     """[rows, 3]: weight of all matched patterns, of the strongest clause, number of matched clauses."""
     start, after, factor = compose(transducers())
     data, offsets = utf8(column)
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             low = [int(x[:1].view(np.int64)[0]) if len(x) else 0 for _, x in shingle_sets(batch.column(0))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int64())], ["text", "y", "low"])
 
-    sample = rows.select("text", "y").mapInArrow(sketch, "text string, y int, low long").groupBy("y", "low").agg(F.min("text").alias("text"))
+    sample = rows.select("text", "y").mapInArrow(tidy(sketch), "text string, y int, low long").groupBy("y", "low").agg(F.min("text").alias("text"))
     sample = stored(sample.select("text", "y"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     enough = max(4, least * n.get(1, 0))
-    counts = sample.mapInArrow(count, "kind int, word binary, clean long, toxic long").groupBy("kind", "word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = sample.mapInArrow(tidy(count), "kind int, word binary, clean long, toxic long").groupBy("kind", "word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     log_odds = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1) / (F.col("clean") + 0.5) * (n.get(0, 0) + 1))
     learned = counts.where(F.col("toxic") >= enough).withColumn("w", log_odds).where(F.col("w") >= float(np.log(odds))).collect()
     words = lexicon({bytes(r["word"]): r["w"] for r in learned if r["kind"] == 0}, {bytes(r["word"]): r["w"] for r in learned if r["kind"] == 1})
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             found = matches(batch.column(0), words)
             yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(3)), batch.column(1)], ["a", "b", "c", "y"])
 
-    got = sample.mapInArrow(measure, "a double, b double, c double, y int").toPandas().sort_values(["y", "a", "b", "c"])
+    got = sample.mapInArrow(tidy(measure), "a double, b double, c double, y int").toPandas().sort_values(["y", "a", "b", "c"])
     y = got["y"].to_numpy(float)
     weight = np.where(y == 1, sizes[1] / max(n.get(1, 1), 1), sizes[0] / max(n.get(0, 1), 1))
     return Model(words, _curve(_inputs(got[["a", "b", "c"]].to_numpy()), y, weight * len(y) / weight.sum()), sizes[1] / sum(sizes.values()))
@@ -237,7 +237,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(work, f"{schema + ', ' if schema else ''}score double, predicted int")
+    return df.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(tidy(work), f"{schema + ', ' if schema else ''}score double, predicted int")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

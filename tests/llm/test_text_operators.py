@@ -73,6 +73,21 @@ def test_random_windows(spark):
         assert longest.get(str(i), 0) == best
 
 
+@pytest.mark.parametrize("block_words", [200_000, 4])
+def test_rows_that_share_an_id(spark, block_words):
+    rows = [(1, "x alpha beta y"), (1, "clean"), (None, "gamma"), (None, "clean too"), (2, "alpha beta gamma"), (2, "alpha beta gamma"), (3, None)]
+    items = [("a", "alpha beta"), ("g", "gamma"), (None, "beta gamma"), ("z", "alpha nothing like it"), ("z", "omega omega omega omega omega")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = sorted(((r[0], r[1], sum(r[2][1::2]) - sum(r[2][::2]), r[3]) for r in suffix_arrays.locate(d, b, block_words=block_words).collect()), key=str)
+    want = [(1, 4, 2, ["a"]), (1, 1, 0, []), (None, 1, 1, ["g"]), (None, 2, 0, []), (2, 3, 3, ["", "a", "g"]), (2, 3, 3, ["", "a", "g"]), (3, 0, 0, [])]
+    assert got == sorted(want, key=str)
+    clean = suffix_arrays.decontaminate(d, b, block_words=block_words)
+    assert sorted(str(r["text"]) for r in clean.collect()) == ["None", "clean", "clean too"]
+    # the longest match of an item does not hang on the items beside it
+    longest = {r["item_id"]: r["n_words"] for r in suffix_arrays.longest_matches(d, b, block_words=block_words).collect()}
+    assert longest == {"a": 2, "g": 1, "": 2, "z": 1}
+
+
 def test_empty_benchmark_and_extra_columns(spark):
     d = documents(spark, ["a b", "c"]).withColumn("items", F.lit(1)).withColumn("hits", F.lit(2))
     none = spark.createDataFrame([], "item_id long, text string")
@@ -106,7 +121,7 @@ def components_by_hand(docs):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("often", [2, 4, 16])
+@pytest.mark.parametrize("often", [2, 16])
 def test_components(spark, often):
     rng = np.random.default_rng(2)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -123,18 +138,66 @@ def test_components(spark, often):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = components_by_hand(docs)
-    for block, limit in ((1 << 22, 1_000_000), (100, 1_000_000), (1 << 22, 20), (1 << 22, 0)):
-        got = {r[0]: (r[1], r[2]) for r in jaccard_join.components(df, often=often, block_shingles=block, frequent_limit=limit).collect()}
+    for rows, limit in ((512, 1_000_000), (6, 0)):
+        got = {r[0]: (r[1], r[2]) for r in jaccard_join.components(df, often=often, leaf_rows=rows, frequent_limit=limit, part_bytes=20_000).collect()}
         assert got == want
 
 
+@pytest.mark.parametrize(("pivots", "block_rows"), [(64, 1024), (3, 5)])
+def test_cells_of_large_regions(spark, monkeypatch, pivots, block_rows):
+    """One region of chains of ever more edits and of unlike sets, parted to the end, by cells or at last by blocks."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(6):
+        s = set(rng.integers(0, 4000, 40).tolist())
+        for _ in range(25):
+            s = {x for x in s if rng.random() > 0.06} | set(rng.integers(0, 4000, 3).tolist())
+            sets.append(s)
+    sets += [set(range(100_000 + 50 * i, 100_000 + 50 * i + 40)) | {1, 2} for i in range(40)]
+    sids = [int(x) for x in rng.permutation(10_000)[: len(sets)]]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+
+    def classes(pairs):
+        root = {x: x for x in sids}
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+        return root
+
+    regions = spark.createDataFrame([("x", i, len(s)) for i, s in zip(sids, sets, strict=True)], "region string, sid long, n long")
+    shingles = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in zip(sids, sets, strict=True)], "sid long, shingles binary")
+    links = [(r["a"], r["b"]) for r in jaccard_join.join_regions(regions, shingles, 8, 1 << 20, block_rows).collect()]
+    by_sid = dict(zip(sids, sets, strict=True))
+    assert all(4 * len(by_sid[a] & by_sid[b]) >= 3 * len(by_sid[a] | by_sid[b]) for a, b in links)
+    assert classes(links) == classes([(sids[a], sids[b]) for a, b in near])
+
+
 def test_join_of_odd_rows(spark):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (7, text), (8, None)], "doc_id long, text string").withColumn("sid", F.lit("x"))
     got = sorted(((r[0], r[1], r[2]) for r in jaccard_join.components(df).collect()), key=str)
     assert got == sorted([(5, 3, 5), (5, 3, 5), (None, 3, None), (7, 3, 5), (8, 0, 8)], key=str)
-    assert sorted(str(r[0]) for r in jaccard_join.keep_one(df).collect()) == ["5", "5", "8", "None"]
-    assert jaccard_join.components(df.limit(0)).count() == 0
+    assert sorted(str(r[0]) for r in jaccard_join.keep_one(df).collect()) == ["5", "8", "None"]
+    assert jaccard_join.components(df.limit(0)).count() == jaccard_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_rows_with_one_id_are_judged_by_their_texts(spark):
+    a, near, b = "one two three four five six seven", "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(5, a), (7, a), (7, b), (7, b), (7, None), (7, ""), (9, f"{a} "), (None, b), (None, b), (6, near.upper()), (4, "something else entirely here now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__sid", F.lit("x"))
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.drop("__sid").collect())) == sorted(str(r) for r in spark.createDataFrame([(5, a), (7, b), (7, None), (7, ""), (None, b), (None, b), (4, rows[-1][1])], "doc_id long, text string").collect())
+    only = spark.createDataFrame([(7, a), (7, a), (7, f"{a} eight")], "doc_id long, text string")
+    assert jaccard_join.keep_one(only).count() == 1
+
+
+def test_two_shingles_on_one_key_do_not_lose_a_link():
+    x = np.array([5, 5 + (1 << 60), 7], np.uint64)
+    assert len(jaccard_join._keys(x, 1)) == 2 and np.array_equal(jaccard_join._keys(x, 1), np.array([5, 7], np.uint64))
+    parts = jaccard_join._keys(np.array([(1 << 64) - 1, 1 << 63, 3], np.uint64), 10)
+    assert (parts >> np.uint64(32)).tolist() == [0, 5, 9]
 
 
 def test_connected(spark):
