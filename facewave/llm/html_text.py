@@ -2,14 +2,16 @@
 
 Every page is parsed into its tree of block elements. Each node has its characters, link characters, tags and link tags; its
 composite density is characters per tag, lowered by its share of link text measured against that of the body; text that stands directly in a
-node beside its children counts as one more child. The threshold is the density of the thinnest node on the way from the node with the largest
-sum of its children's densities up to the body. Of every node at least that dense, the node with the largest sum in it is content; thinner
+node beside its children counts as one more child. The node with the largest sum of its children's densities is the article. The threshold is the density of
+the thinnest node on the way from it up to the body. Of every other node at least that dense, the node with the largest sum in it is content too if that sum is
+at least ``SHARE`` of the article's (a page may have several sections, while a lone line of an advert is dense but small); thinner
 nodes are only gone through. An enclosing ``article`` or ``main`` takes the place of a part of it. Outside an ``article``, blocks below the
 threshold that are mostly link text (lists of links) are left out of what is kept.
 
-Menus, headers and footers of the page, side bars, scripts and styles are told by element and count for nothing. So do forms, notices, adverts
-and reader comments, told by role or by the words of their class and id, but one that holds more than ``MOST`` of the page's text without
-links, with no ``article`` or ``main`` around or beside it, is weighed by its density like any other.
+Density does not tell a footer of one sentence from an article of one sentence. Elements whose name, role, class or id says that they are menus, headers or
+footers of the page, side bars, forms, notices, adverts or reader comments therefore weigh ``DOUBT`` of their text in every density, theirs
+and those around them; but one that holds more than ``MOST`` of the page's text without links, with no ``article`` or ``main`` around or beside it, is weighed
+in full. Only what is never text (scripts, styles, controls) is skipped.
 
 Defined results: null or empty html, and pages without text, give an empty text; plain text without tags is its own content;
 unclosed elements end where HTML says or with the page; equal pages get equal results; other columns are not touched.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facewave.llm._text import tidy
+
 # Element groups of HTML, and words of class, id and role that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video head title nav footer aside button select option textarea input dialog menu".split())
+SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video head title button select option textarea input".split())
+BESIDE = frozenset("nav footer aside menu dialog form".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl td th body article section div nav aside footer header main".split())
@@ -41,19 +47,21 @@ NOT_CONTENT = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SPACES = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What the text of an element of another purpose weighs, and the share of the article's sum that makes a node content.
+DOUBT, SHARE = 0.01, 0.25
 MOST = 0.8  # share of the page's text without links above which a word of class, id or role does not rule an element out
 
 
 class Node:
     """A block element. ``parts`` holds its text, link text and child nodes in page order."""
 
-    __slots__ = ("tag", "up", "parts", "chars", "link_chars", "tags", "link_tags", "density", "sum", "own", "own_chars", "top", "article", "doubted", "nested")
+    __slots__ = ("tag", "up", "parts", "chars", "link_chars", "tags", "link_tags", "density", "sum", "own", "own_chars", "top", "article", "doubted", "nested", "weight")
 
     def __init__(self, tag: str, up: Node | None) -> None:
         self.tag, self.up, self.parts = tag, up, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = self.own = 0.0
-        self.own_chars, self.top, self.doubted, self.nested = 0, self, False, 0
+        self.own_chars, self.top, self.doubted, self.nested, self.weight = 0, self, False, 0, 1.0
         self.article: Node | None = self if tag in ("article", "main") else up.article if up else None
 
 
@@ -65,6 +73,13 @@ class Tree(HTMLParser):
         self.root = self.at = Node("body", None)
         self.skip: list[str] = []  # open elements inside one that counts for nothing
         self.links = 0
+        self.open: Counter[str] = Counter()  # elements around the place that is read
+
+    def _rise(self, to: Node) -> None:
+        while self.at is not to:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.up
+        self.links = 0
 
     def close(self) -> None:
         """What the parser still holds at the end of a page that breaks off is text, unless it is the beginning of a tag."""
@@ -76,13 +91,15 @@ class Tree(HTMLParser):
             self.handle_data(unescape(rest))
 
     def _leave(self, tags: set[str] | frozenset[str], scope: frozenset[str] = SCOPES) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         node = self.at
         while node.up and node.tag not in tags:
             if node.tag in scope:
                 return
             node = node.up
         if node.up:
-            self.at, self.links = node.up, 0
+            self._rise(node.up)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skip:
@@ -109,14 +126,15 @@ class Tree(HTMLParser):
             return
         about = dict(attrs)
         names = f"{about.get('class') or ''} {about.get('id') or ''}".lower()
-        doubted = tag == "form" or (about.get("role") or "").lower() in ROLES or bool(names.strip() and tag not in ("article", "main", "body") and NOT_CONTENT.search(names))
-        if tag in SKIPPED or (tag == "header" and not self.at.article) or "hidden" in about:
+        doubted = tag in BESIDE or (tag == "header" and not self.at.article) or (about.get("role") or "").lower() in ROLES or bool(names.strip() and tag not in ("article", "main", "body") and NOT_CONTENT.search(names))
+        if tag in SKIPPED or "hidden" in about:
             self.skip = [tag]
         elif tag not in INLINE or doubted:
             self.at.tags += tag not in INLINE
             node = Node(tag, self.at)
             node.doubted = doubted
             self.at.parts.append(node)
+            self.open[tag] += 1
             self.at, self.links = node, self.links if tag in INLINE else 0
         else:
             self.at.nested += tag == self.at.tag
@@ -142,14 +160,16 @@ class Tree(HTMLParser):
             if self.at.nested:
                 self.at.nested -= 1
             elif self.at.up:
+                self.open[tag] -= 1
                 self.at = self.at.up
         if tag in INLINE or tag in VOID or tag in ("html", "body", "head"):
             return
-        node: Node | None = self.at
-        while node and node.tag != tag:
+        if not self.open[tag]:
+            return
+        node = self.at
+        while node.tag != tag:
             node = node.up
-        if node and node.up:
-            self.at, self.links = node.up, 0
+        self._rise(node.up)
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
@@ -171,7 +191,7 @@ def _length(text: str) -> int:
 
 
 def _settle(root: Node) -> None:
-    """Takes doubted elements off the tree, but for those that hold most of the page's text."""
+    """Gives doubted elements their weight, but for those that hold most of the page's text."""
     nodes = _nodes(root)
     if not any(x.doubted for x in nodes):
         return
@@ -184,17 +204,8 @@ def _settle(root: Node) -> None:
         node = stack.pop()
         clear += sum(_length(x[0]) for x in node.parts if not isinstance(x, Node)) if node.article else 0
         stack.extend(x for x in node.parts if isinstance(x, Node) and not x.doubted)
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        parts, node.parts = node.parts, []
-        for x in parts:
-            if isinstance(x, Node) and x.doubted and (clear or plain[x] <= MOST * plain[root]):
-                node.tags -= 1
-                node.link_tags -= x.tag == "a"
-            else:
-                node.parts.append(x)
-        stack.extend(x for x in node.parts if isinstance(x, Node))
+    for node in nodes[1:]:
+        node.weight = node.up.weight * (DOUBT if node.doubted and (clear or plain[node] <= MOST * plain[root]) else 1.0)
 
 
 def _density(c: int, lc: int, t: int, lt: int, share: float) -> float:
@@ -218,15 +229,17 @@ def _measure(root: Node) -> list[Node]:
                 own_links += n * x[1]
         node.own_chars = own
         direct.append((own, own_links, node.tags - len(kids), node.link_tags))
-        node.chars = own + sum(x.chars for x in kids)
-        node.link_chars = own_links + sum(x.link_chars for x in kids)
-        node.tags += sum(x.tags for x in kids)
-        node.link_tags += sum(x.link_tags for x in kids)
+        # a child of less weight than the node counts by that much less
+        share = [x.weight / node.weight for x in kids]
+        node.chars = own + sum(x.chars * w for x, w in zip(kids, share, strict=True))
+        node.link_chars = own_links + sum(x.link_chars * w for x, w in zip(kids, share, strict=True))
+        node.tags += sum(x.tags * w - (1 - w) for x, w in zip(kids, share, strict=True))
+        node.link_tags += sum(x.link_tags * w for x, w in zip(kids, share, strict=True))
     share = root.link_chars / root.chars if root.chars else 0.0
     for node, about in zip(reversed(nodes), direct, strict=True):
         kids = [x for x in node.parts if isinstance(x, Node)]
-        node.own = _density(*about, share)
-        node.density = _density(node.chars, node.link_chars, node.tags, node.link_tags, share) if kids else node.own
+        node.own = node.weight * _density(*about, share)
+        node.density = node.weight * _density(node.chars, node.link_chars, node.tags, node.link_tags, share) if kids else node.own
         node.sum = sum(x.density for x in kids) + node.own
         node.top = max((node, *(x.top for x in kids)), key=lambda n: n.sum)
     return nodes
@@ -235,10 +248,11 @@ def _measure(root: Node) -> list[Node]:
 def _without_links(node: Node, least: float) -> list:
     """The parts of a kept node but for lists of links: several links in one block, or in blocks side by side."""
     if node.article and node.article.tag == "article":
-        return node.parts
+        return [x for x in node.parts if not isinstance(x, Node) or x.weight == node.weight or x.density >= least]
     kids = [x for x in node.parts if isinstance(x, Node) and x.chars]
     linked = [x.link_chars * 2 > x.chars and x.density < least and x.tag not in HEADINGS for x in kids]
     out = {x for i, x in enumerate(kids) if linked[i] and (x.link_tags > 1 or any(linked[max(i - 1, 0) : i]) or any(linked[i + 1 : i + 2]))}
+    out |= {x for x in kids if x.weight < node.weight and x.density < least}
     return [x for x in node.parts if x not in out] if out else node.parts
 
 
@@ -266,24 +280,29 @@ def _blocks(root: Node, kept: set[Node], own: set[Node], least: float) -> list[s
     return out
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weigh: bool = True, dense: bool = True) -> str:
+    """The main text of a page; without weights, or without the choice by density, only to show what each of them does."""
     if not html:
         return ""
     tree = Tree()
     tree.feed(html)
     tree.close()
-    _settle(tree.root)
+    if weigh:
+        _settle(tree.root)
     nodes = _measure(tree.root)
-    if not tree.root.chars:
+    best = node = tree.root.top
+    if not tree.root.chars or best.weight < 1:
         return ""
-    node = tree.root.top
     least = node.density
     while node.up:
         node = node.up
         least = min(least, node.density)
-    tops = {n.top for n in nodes if n.chars and n.density >= least}
-    kept = {n.article or n for n in tops}  # a part of an article stands for all of it
-    own = {n for n in nodes if n.own_chars and n.own >= least}
+    enough = SHARE * best.sum
+    tops = {n.top for n in nodes if n.chars and n.density >= least and (n.top.sum >= enough or n.top.article and n.top.weight == 1)}
+    kept = {n.article or n for n in tops} | {best.article or best}  # a part of an article stands for all of it
+    own = {n for n in nodes if n.own_chars and n.own >= max(least, enough)}
+    if not dense:
+        kept = {tree.root}
     return " ".join(t for x in _blocks(tree.root, kept, own, least) if (t := SPACES.sub(" ", x).strip()))
 
 
@@ -298,7 +317,7 @@ def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string())], [*names, text])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.select(F.col(html).alias("__html"), *[F.col(f"`{c}`") for c in names]).mapInArrow(work, f"{schema + ', ' if schema else ''}`{text}` string")
+    return df.select(F.col(html).alias("__html"), *[F.col(f"`{c}`") for c in names]).mapInArrow(tidy(work), f"{schema + ', ' if schema else ''}`{text}` string")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Sharding by k-d tree (operator 8).
 
-The rows are points with a weight in bytes. A node that stands for several shards is split along its widest dimension at the
-weighted median - the place that gives each half its share of the shards in bytes - and so on until every leaf is one shard of the
+The rows are points with a weight in bytes; the dimensions are their metadata, each on the same scale (the query takes language, source
+and number of characters). A node that stands for several shards is split along its widest dimension at the weighted median - the place that gives each half its share of the shards in bytes - and so on until every leaf is one shard of the
 target size. Medians are found for all nodes of a level together: counts of bytes by a few bits of the coordinate at a time (a
 grouped sum in Spark, some thousands of rows to the driver whatever the input) narrow each down to one coordinate, then rows with that very
 coordinate are split by the text's CRC and at last by a hash of the key, so that sizes come out near equal even where
-many rows share a coordinate. Equal texts have equal coordinates and the same CRC and thus stay together but for at most one group at each split.
+many rows share a coordinate. Texts that are equal in their metadata too have equal coordinates and the same CRC and thus stay together but for at most one
+group at each split.
 
 Defined results: null text has no bytes (the fixed part of the size remains) and CRC 0; null metadata counts as 0; rows that are equal in all
 get shards by their hash; an empty table gives an empty result; extra columns are dropped by the query and kept by ``shards``,
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from facewave.llm._shared import stored
+from facewave.llm._text import tidy
 
 #: Bits of a coordinate, and bits that one pass settles.
 BITS, STEP = 24, 12
@@ -88,7 +90,7 @@ def _sums(points: DataFrame, root: Node, cells: dict[int, tuple[int, tuple[int,
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), k, np.int32)), pa.array(b.astype(np.int32)), pa.array(t[b])], ["k", "b", "s"])
 
     got: dict[int, list[tuple[int, int]]] = {k: [] for k in cells}
-    for r in points.mapInArrow(work, "k int, b int, s long").groupBy("k", "b").agg(F.sum("s").alias("s")).collect():
+    for r in points.mapInArrow(tidy(work), "k int, b int, s long").groupBy("k", "b").agg(F.sum("s").alias("s")).collect():
         got[r["k"]].append((r["b"], r["s"]))
     return got
 
@@ -107,7 +109,7 @@ def tree(points: DataFrame, n: int) -> Node:
 
     while open_ := {x.first: x for x in root.leaves() if x.n > 1}:
         bounds = [f(F.get(c, i)).alias(f"{c}{i}") for i in range(many) for f, c in ((F.min, "low"), (F.max, "high"))]
-        found = {r["k"]: r for r in points.mapInArrow(spans, "k int, s long, low array<long>, high array<long>").groupBy("k").agg(F.sum("s").alias("s"), *bounds).collect()}
+        found = {r["k"]: r for r in points.mapInArrow(tidy(spans), "k int, s long, low array<long>, high array<long>").groupBy("k").agg(F.sum("s").alias("s"), *bounds).collect()}
         settled: dict[int, list[int]] = {}
         want: dict[int, float] = {}
         for k, node in open_.items():
@@ -147,10 +149,16 @@ def scaled(df: DataFrame, column: str) -> Column:
     return ((F.coalesce(F.col(column), F.lit(0)) - F.lit(low)) / F.lit(float(high - low)) * F.lit(float((1 << BITS) - 1))).cast("int")
 
 
-def shards(df: DataFrame, n: int, size: Column, dims: dict[str, Column], crc: Column, key: str, spread: int = 16) -> DataFrame:
+def placed_by(df: DataFrame, column: str) -> Column:
+    """A column of names or marks as a coordinate: a hash, so that equal values have one place; null counts as 0."""
+    code = F.shiftrightunsigned(F.xxhash64(F.col(column).cast("string")), 64 - BITS).cast("int")
+    return F.when(F.col(column).isNull(), 0).otherwise(code)
+
+
+def shards(df: DataFrame, n: int, size: Column, dims: dict[str, Column], crc: Column, key: str, part_rows: int = 250_000) -> DataFrame:
     """Adds shard (0 to n - 1) and slot (gapless from 0 within the shard). ``dims`` are the dimensions as integers in [0, 2^BITS).
 
-    Slots are numbered within ``spread`` parts of every shard, by the hash of the key, and the parts' counts are added up
+    Slots are numbered within parts of about ``part_rows`` of every shard, by the hash of the key, and the parts' counts are added up
     before, so no task sorts a whole shard."""
     df = df.drop("shard", "slot")
     names = [f"__d{i}" for i in range(len(dims))]
@@ -166,17 +174,20 @@ def shards(df: DataFrame, n: int, size: Column, dims: dict[str, Column], crc: Co
             yield pa.RecordBatch.from_arrays([row, hashed, pa.array(leaf_of(root, dims, crc, key))], ["__row", "__hash", "shard"])
 
     row = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema)
-    placed = every.mapInArrow(place, f"__row struct<{row}>, __hash int, shard int").select("__row.*", "shard", F.pmod(F.col("__hash"), F.lit(spread)).alias("__part"))
-    placed = stored(placed, "placed")
+    placed = stored(every.mapInArrow(tidy(place), f"__row struct<{row}>, __hash int, shard int"), "placed")
+    spread = placed.groupBy("shard").count().agg(F.ceil(F.coalesce(F.max("count"), F.lit(0)) / part_rows)).first()[0]
+    placed = placed.select("__row.*", "shard", F.pmod(F.col("__hash"), F.lit(max(1, int(spread)))).alias("__part"))
     before = placed.groupBy("shard", "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     slot = F.row_number().over(Window.partitionBy("shard", "__part").orderBy(key)) - 1
     return placed.withColumn("__slot", slot).join(F.broadcast(before), ["shard", "__part"]).withColumn("slot", (F.col("__slot") + F.col("__before")).cast("long")).drop("__slot", "__before", "__n", "__part")
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
+    """Dimensions: language, source, and the number of characters (by its logarithm)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text"), F.lit(""))
-    points = stored(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.log(F.octet_length(text) + 16.0).alias("log_size")), "points")
-    dims = {"size": scaled(points, "log_size"), "content": F.shiftright(F.col("text_crc32"), 8).cast("int")}
+    about = [placed_by(docs, "lang").alias("at_lang"), placed_by(docs, "source").alias("at_source"), F.log1p(F.greatest(F.coalesce("n_chars", F.lit(0)), F.lit(0))).alias("log_chars")]
+    points = stored(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *about), "points")
+    dims = {"lang": F.col("at_lang"), "source": F.col("at_source"), "chars": scaled(points, "log_chars")}
     out = shards(points, n, F.col("size"), dims, F.col("text_crc32"), "doc_id")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -6,18 +6,22 @@ vector, the median distance of the others from it, those within and those beyond
 together. The far side of a node is searched where the triangle inequality allows a nearer vector there; the gap is
 multiplied by ``factor``, so with factor one the search is exact and with a larger one it prunes more.
 
-Every row is indexed and every query meets every shard; a query brings back its ``k`` nearest from each shard, and the
+Every row is indexed and every query meets every shard; a query brings back the ``k`` nearest of the shards of a task, and the
 best ``k`` of these are its result.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows with a null id; of several
-dimensions the most frequent takes part; copies of a vector are neighbours of each other, ties go to the smaller id; fewer
+dimensions the most frequent takes part; copies of a vector are neighbours of each other, ties go to the smaller id; a repeated query id asks once (with the
+smallest of its vectors), rows that repeat an id and a vector are one candidate; fewer
 candidates than ``k`` give fewer rows; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from facewave.llm._shared import stored
+from facewave.llm._text import tidy
+
 LEAF = 128
+#: Queries that walk down a tree together.
+STEP = 4096
 
 
 @dataclass
@@ -61,11 +70,14 @@ class VpTree:
         return Node(None, point, float(d[order[half]]), self._build(rows[order[:half]], depth + 1), self._build(rows[order[half:]], depth + 1))
 
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, int]:
-        """Of each query the ``k`` rows found nearest (-1: none) and their distances; and the distances worked out in all."""
+        """Places (in ``queries``, in the tree's rows) of all rows found that are as near as a query's ``k``-th, ties at that place included; and the
+        distances worked out in all."""
         q = np.column_stack([queries, np.zeros(len(queries))])
         square = (q * q).sum(axis=1)
+        # distances come from sums with rounding: what lies within it of a bound is kept
+        slack = 1e-7 * np.sqrt(self.top + square)
         best = np.full((len(q), k), np.inf)
-        rows = np.full((len(q), k), -1, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         seen = 0
 
         def walk(node: Node, on: np.ndarray) -> None:
@@ -75,23 +87,23 @@ class VpTree:
             if node.rows is not None:
                 seen += len(on) * len(node.rows)
                 d = self._distance(q[on], square[on], node.rows)
-                both = np.concatenate([best[on], d], axis=1)
-                ids = np.concatenate([rows[on], np.broadcast_to(node.rows, d.shape)], axis=1)
-                at = np.argpartition(both, k - 1, axis=1)[:, :k]
-                both, ids = np.take_along_axis(both, at, 1), np.take_along_axis(ids, at, 1)
-                best[on], rows[on] = both, ids
+                best[on] = np.partition(np.concatenate([best[on], d], axis=1), k - 1, axis=1)[:, :k]
+                i, j = np.nonzero(d <= (best[on].max(axis=1) + slack[on])[:, None])
+                found.append((on[i], node.rows[j], d[i, j]))
                 return
             seen += len(on)
             d = self._distance(q[on], square[on], np.array([node.point]))[:, 0]
             near = d < node.radius
             walk(node.inside, on[near])
             walk(node.beyond, on[~near])
-            far = (np.abs(d - node.radius) * factor) <= best[on].max(axis=1)
+            far = (np.abs(d - node.radius) * factor) <= best[on].max(axis=1) + slack[on]
             walk(node.beyond, on[near & far])
             walk(node.inside, on[~near & far])
 
         walk(self.root, np.arange(len(q)))
-        return rows, best, seen
+        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        kept = d <= best.max(axis=1)[i] + slack[i]
+        return i[kept], j[kept], seen
 
 
 def usable(vector: Column) -> Column:
@@ -99,28 +111,53 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ok & F.exists(vector, lambda v: v != 0)
 
 
-def nearest_of_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score) of one shard and one block of queries."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    _, first, copy_of = np.unique(x.view([("", x.dtype)] * x.shape[1]), return_index=True, return_inverse=True)
-    members = np.argsort(copy_of.ravel(), kind="stable")
-    begins = np.concatenate([[0], np.cumsum(np.bincount(copy_of.ravel()))])
-    tree = VpTree(x[first].astype(np.float64))
-    rows, _, _ = tree.search(q.astype(np.float64), k + 1, factor)
-    out: list[tuple[int, int, float]] = []
-    for a in range(len(q)):
-        got = rows[a][rows[a] >= 0]
-        score = (x[first[got]].astype(np.float64) * q[a].astype(np.float64)).sum(axis=1)
-        # copies: a vector's smallest ids, one more than wanted as one may be the query itself
-        found = [(-s, int(i)) for s, r in zip(score.tolist(), got.tolist(), strict=True) for i in ids[members[begins[r] : min(begins[r + 1], begins[r] + k + 1)]] if i != query_ids[a]]
-        out += [(int(query_ids[a]), i, -s) for s, i in sorted(found)[:k]]
-    return tuple(np.array(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 4.0, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, block: int = 8192) -> DataFrame:
+class Shard:
+    """The tree over the distinct vectors of a shard, and the ids of each."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+        order = np.lexsort((*x.T, ids))
+        ids, x = ids[order], x[order]
+        once = np.concatenate(([True], (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)))
+        ids, x = ids[once], x[once]
+        _, first, copy_of = np.unique(x.view([("", x.dtype)] * x.shape[1]), return_index=True, return_inverse=True)
+        copy_of = copy_of.ravel()
+        self.ids, self.begins = ids[np.argsort(copy_of, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(copy_of))])
+        self.x = x[first]
+        self.tree = VpTree(self.x.astype(np.float64))
+
+    def nearest(self, query_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, vector id, score) of the vectors found, a query's own id left out."""
+        # one more than wanted, as one may be the query itself
+        i, r, _ = self.tree.search(q, k + 1, factor)
+        score = np.concatenate([(self.x[r[a : a + 65536]].astype(np.float64) * q[i[a : a + 65536]]).sum(axis=1) for a in range(0, len(r), 65536)] or [np.empty(0)])
+        # of copies the smallest ids
+        n = np.minimum(self.begins[r + 1] - self.begins[r], k + 1)
+        at = np.repeat(self.begins[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        found = np.repeat(query_ids[i], n), self.ids[at], np.repeat(score, n)
+        other = found[0] != found[1]
+        return best_of(*(c[other] for c in found), k)
+
+
+def best_of(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the ``k`` rows with the largest scores, ties by id."""
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))[: len(query)]
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[rank < k], vec[rank < k], score[rank < k]
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.array(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, d)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 4.0, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, block: int = 65536) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row of ``queries`` the ``k`` rows of ``vectors`` with the largest inner product
-    that were found, its own id left out."""
+    that were found, its own id left out.
+
+    Trees are built once for each shard. Queries go to all tasks in blocks of at most ``block`` (a broadcast of that bound); a task searches its
+    shards one after the other and returns its best ``k`` of each query. With several blocks the trees are stored and read again for each."""
     spark = vectors.sparkSession
     take = lambda df: df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     base, asked = take(vectors), take(queries)
@@ -129,21 +166,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     if not sizes:
         return spark.createDataFrame([], schema)
     d, n = sizes[0]["d"], sizes[0]["count"]
-    base, asked = base.where(F.size("v") == d), asked.where(F.size("v") == d)
+    base = base.where(F.size("v") == d)
+    asked = asked.where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))  # a repeated id asks once
     shards, blocks = math.ceil(n / shard_rows), math.ceil(max(asked.count(), 1) / block)
-    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), numbers(blocks).alias("block"))
-    right = asked.select("id", "v", numbers(shards).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-
-    def join(a: pa.Table, b: pa.Table) -> pa.Table:
-        matrix = lambda t: np.array(t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, d)
-        if not a.num_rows or not b.num_rows:
-            found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        else:
-            found = nearest_of_shard(a["id"].to_numpy(), matrix(a), b["id"].to_numpy(), matrix(b), k, factor)
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    got = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(join, "query_id long, vec_id long, score double")
+
+    def build(table: pa.Table) -> pa.Table:
+        shard = Shard(table["id"].to_numpy(), _matrix(table["v"], d))
+        return pa.table([pa.array([pickle.dumps(shard)], pa.binary())], ["tree"])
+
+    trees = base.groupBy(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).applyInArrow(build, "tree binary")
+    trees = stored(trees, "trees") if blocks > 1 else trees
+    asked = stored(asked, "asked") if blocks > 1 else asked
+
+    def found(b: int) -> DataFrame:
+        got = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        shared = spark.sparkContext.broadcast((got["id"].to_numpy(), _matrix(got["v"], d).astype(np.float64)))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * (len(ids) // STEP + 1)
+            for batch in batches:
+                for tree in batch.column(0):
+                    shard = pickle.loads(tree.as_py())
+                    for j in range(len(best)):
+                        part = slice(j * STEP, (j + 1) * STEP)
+                        both = zip(best[j], shard.nearest(ids[part], q[part], k, factor), strict=True)
+                        best[j] = best_of(*map(np.concatenate, both), k)
+            for row in best:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["query_id", "vec_id", "score"])
+
+        return trees.mapInArrow(tidy(work), "query_id long, vec_id long, score double")
+
+    got = found(0) if blocks == 1 else reduce(DataFrame.union, [stored(found(b), "found") for b in range(blocks)])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

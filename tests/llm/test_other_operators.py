@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -32,12 +33,44 @@ def test_a_larger_factor_finds_nearly_all():
     x = rng.normal(size=(3000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     tree = vp_search.VpTree(x)
-    exact, _, every = tree.search(x[:50], 20, 1.0)
-    some, _, fewer = tree.search(x[:50], 20, 4.0)
-    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(exact, some, strict=True)]) >= 0.9
+    qi, rows, every = tree.search(x[:50], 20, 1.0)
+    qj, some, fewer = tree.search(x[:50], 20, 4.0)
+    exact = set(zip(qi.tolist(), rows.tolist(), strict=True))
+    assert len(exact) == 1000 and len(exact & set(zip(qj.tolist(), some.tolist(), strict=True))) >= 900
     assert fewer <= every
 
 
+def test_ties_and_repeated_ids(spark):
+    """Small whole numbers make many equal products, also at the last place; several blocks of queries; ids that come twice."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (600, 3)).astype(float)
+    x[(x == 0).all(axis=1)] = 1.0
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[0], rows[20], rows[33]], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in vp_search.search(df, df.where("vec_id % 20 = 0"), k=7, factor=1.0, shard_rows=200, block=9).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert len(got) == 30
+    for q, found in got.items():
+        score = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(600), -score)) if i != q][:7]
+        assert sorted(found) == [(n + 1, i, score[i]) for n, i in enumerate(want)]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_recall_of_the_query(spark):
+    got = vp_search.op2_vp_search(spark, "/root/testdata/sf0.01").toPandas()
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    x = np.array(table["embedding"].tolist(), float)
+    ids = table["vec_id"].to_numpy()
+    hit = 0
+    for q, rows in got.groupby("query_id"):
+        score = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        hit += len(set(ids[np.argsort(-score)[:20]]) & set(rows["vec_id"]))
+        assert np.allclose(sorted(rows["score"]), sorted(score[np.searchsorted(ids, rows["vec_id"])]))
+    assert hit >= 0.9 * len(got) and len(got) == 20 * (ids % 20 == 0).sum()
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (20, [float("nan"), 1.0]), (40, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [1.0]), (None, [1.0, 1.0]), (60, []), (5, [1.0, None]), (6, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

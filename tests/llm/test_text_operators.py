@@ -6,6 +6,7 @@ import hashlib
 import re
 import sys
 from collections import defaultdict
+from html import unescape
 from pathlib import Path
 
 import numpy as np
@@ -284,7 +285,7 @@ def test_toxicity(spark):
 
 def test_grammar_weighs_the_clause():
     words = toxicity.lexicon({b"blarg": 3.0}, {b"snor": 3.0})
-    weigh = lambda t: toxicity.matches(__import__("pyarrow").array([t]), words)[0]
+    weigh = lambda t, **how: toxicity.matches(__import__("pyarrow").array([t]), words, **how)[0]
     plain = weigh("a blarg here")[0]
     assert plain == 3.0 and weigh("a snorfle here")[0] == 3.0
     assert weigh("you blarg")[0] > plain > weigh("he said blarg")[0] > weigh("not a blarg")[0] > 0
@@ -292,6 +293,54 @@ def test_grammar_weighs_the_clause():
     assert weigh("blarg blarg")[0] > 2 * plain
     assert weigh("kill you")[0] < weigh("you kill")[0]
     assert tuple(weigh("")) == (0, 0, 0)
+    # contractions: an ending's apostrophe goes, a French article stays apart
+    assert weigh("you aren't a blarg")[0] == weigh("you arent a blarg")[0] < weigh("you are a blarg")[0]
+    assert weigh("you aren\u2019t a blarg")[0] == weigh("you arent a blarg")[0]
+    assert weigh("'blarg' l'blarg")[2] == 1 and weigh("l'blarg")[0] == plain
+    # each transducer has its part
+    text = "you aren't a blarg, she said blarg blarg"
+    assert len({float(weigh(text, without=w)[0]) for w in ((), ("aim",), ("negate",), ("report",), ("stack",))}) == 5
+
+
+def grammar_rows(spark, n=1200):
+    """Toxic: an insult, or a deed that is meant for someone. Clean: the same words denied, reported, or meant for nobody."""
+    rng = np.random.default_rng(8)
+    filler = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ru", "ve", "do") for b in ("ta", "ne", "so", "ki") for c in ("l", "n", "r")]
+    patterns = [*[("{} blarg", 1)] * 3, *[("you {} blarg", 1)] * 2, *[("you frob {}", 1)] * 2, ("not {} blarg", 0), ("{} muttered blarg", 0), *[("{} frob", 0)] * 2, *[("you {}", 0)] * 4, *[("{}", 0)] * 4]
+    rows = []
+    for i in range(n):
+        pattern, toxic = patterns[int(rng.integers(len(patterns)))]
+        clauses = [" ".join(rng.choice(filler, 5)) for _ in range(6)]
+        clauses[int(rng.integers(6))] = pattern.format(str(rng.choice(filler)))
+        rows.append((i, ". ".join(clauses), toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+def test_learned_classes_and_each_transducer(spark):
+    """Threats and reporting words are learned, and on held-out rows every transducer but that of repeated insults is missed."""
+    rows = grammar_rows(spark).cache()
+    train, labels = rows.select("doc_id", "text").where(~langid.held_out()), rows.select("doc_id", "toxic")
+
+    def wrong(*without):
+        model = toxicity.fit(train, labels, odds=3.0, without=without)
+        out = toxicity.score(rows.where(langid.held_out()), model).toPandas()
+        return ((out["score"] >= 0.5) != (out["toxic"] == 1)).mean()
+
+    whole = wrong()
+    assert whole < 0.1
+    for name in ("aim", "negate", "report"):
+        assert wrong(name) > whole + 0.02, name
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = toxic_rows(spark)
+    text = rows.where("toxic = 1").first()["text"]
+    odd = spark.createDataFrame([(None, text), (1, text), (1, text), (1, "katal"), (None, None)], "doc_id long, text string").union(rows.select("doc_id", "text"))
+    labels = rows.select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (3, None), (4, 7)], "doc_id long, toxic int"))
+    got = toxicity.score(odd, toxicity.fit(odd, labels))
+    found = {(r["doc_id"], r["text"]): r["score"] for r in got.collect()}
+    assert found[None, text] == found[1, text] > 0.3 > found[1, "katal"] and got.count() == 305
+    assert toxicity.score(odd.limit(0), toxicity.fit(odd, labels)).count() == 0
 
 
 # --- pages
@@ -350,7 +399,31 @@ def test_extract_keeps_columns(spark):
     df = spark.createDataFrame([(1, "<p>x</p>", "old"), (2, None, "old")], "page_id int, html string, text string")
     out = html_text.extract(df.withColumn("h", F.col("html")), "h")
     assert [(r["page_id"], r["text"]) for r in out.orderBy("page_id").collect()] == [(1, "x"), (2, "")]
-    assert len(html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000)) == 4
+    assert html_text.main_text("<div>" * 20_000 + "deep" + "</p></section>" * 20_000 + "</div>" * 20_000) == "deep"
+    same = spark.createDataFrame([(1, "<p>x y</p>"), (1, "<p>x y</p>"), (None, "<p>x y</p>"), (2, ""), (3, "<p>" + "long text " * 100_000)], "page_id int, html string")
+    assert sorted(len(r["text"]) for r in html_text.extract(same).collect()) == [0, 3, 3, 3, 999_999]
+    assert html_text.extract(same.limit(0)).count() == 0
+
+
+PAGES = Path("/root/testdata/sf0.01/pages.parquet")
+
+
+@pytest.mark.skipif(not PAGES.exists(), reason="no test tables")
+def test_what_density_and_weights_do():
+    """The article of the given pages, also after its name and those of menu, footer and advert are taken away: then density has to find it."""
+    import pyarrow.parquet as pq
+
+    def article(page):
+        inner = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+        return " ".join(unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(?:h1|p|br|li|ul|div|table|tr|td)[^>]*>", " ", inner))).split())
+
+    pages = [p for p in pq.read_table(PAGES)["html"].to_pylist() if p]
+    bare = [re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", p).replace(' class="ad"', "") for p in pages]
+    right = lambda some, **how: sum(html_text.main_text(p, **how) == article(q) for p, q in zip(some, pages, strict=True)) / len(pages)
+    assert right(pages) == 1
+    assert right(bare) > 0.85  # articles shorter than the advert and the footer are lost
+    assert right(bare, dense=False) == 0
+    assert 0.85 < right(pages, weigh=False) < 1
 
 
 def test_trigrams_do_not_hang_on_neighbours():
