@@ -15,8 +15,10 @@ inequality parts nothing. The join therefore begins with regions of sets that sh
    part. Boundary sets are replicated: with ``r`` the distance of a link, y meets the cell of pivot p only if d(y, p) is at most ``d1 + 2 r`` (d1 its
    distance from its own pivot) and at most ``r`` above the cell's radius. Sets within ``r`` of a pivot are linked with it and need no
    comparison with one another, so copies of one text cost one link each; pivots that share such a set are one component. Cells (and the outer part) that are
-   still large are regions again, joined in the same way; a cell that no longer shrinks is dealt to tasks in pairs of blocks.
-3. In a small region, one pivot's distances give the triangle windows: y is compared only with those x for which ``|d(x, p) - d(y, p)| <= r``.
+   still large are regions again, joined in the same way; a cell that no longer shrinks, or a region whose cells would hold ``WIDE`` times its sets, is dealt to tasks
+   in pairs of blocks.
+3. In a small region, one pivot's distances give the triangle windows: y is compared only with those x for which ``|d(x, p) - d(y, p)| <= r``, and that
+   share a shingle with it among the rarest of both in the region.
 
 Equal sets are one set throughout (told by a 64-bit hash), so exact copies cost nothing after the first pass. Shingles are dealt by part and 32 bits
 of their hash; where two of one set fall together they count as one, and the bounds allow for that. Links join sets into components by grouped minima over edges.
@@ -46,6 +48,8 @@ NUM, DEN = 3, 4
 REACH, FAR = 1 - NUM / DEN, 0.7
 #: Pivots of a large region at most; what a set is to a region: one of its own, or drawn in from beside it.
 PIVOTS, OWN, DRAWN = 64, 0, 1
+#: How many times the sets of a region its cells may hold in all.
+WIDE = 3
 SLACK = 1e-9
 
 
@@ -311,11 +315,37 @@ def _near(shared: np.ndarray, n, m) -> np.ndarray:
     return (NUM + DEN) * shared >= NUM * (n + m)
 
 
+def _partners(sets: list[np.ndarray]) -> Callable[[int], np.ndarray]:
+    """A function that gives those places that a set can be linked with: in the order of how many sets of the region hold a shingle, two linked sets share one among
+    their first."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((token, many[token], owner))
+    token, owner = token[order], owner[order]
+    first = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size) < np.repeat([prefix_size(int(n)) for n in size], size)
+    held = first & (many[token] > 1)
+    token, owner = token[held], owner[held]
+    cut = np.searchsorted(owner, np.arange(len(sets) + 1))
+    order = np.argsort(token, kind="stable")
+    by_token, holder = token[order], owner[order]
+
+    def partners(i: int) -> np.ndarray:
+        own = token[cut[i] : cut[i + 1]]
+        low, high = np.searchsorted(by_token, own, "left"), np.searchsorted(by_token, own, "right")
+        n = high - low
+        out = np.zeros(len(sets), bool)
+        out[holder[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        return out
+
+    return partners
+
+
 def region_links(sids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, drawn: np.ndarray) -> list[tuple[int, int]]:
     """Links that join all linked sets of a small region, one for each join. Sets with one label are known to be of one component, and two drawn sets
     meet elsewhere. The pivot is the first set."""
     size = np.array([len(s) for s in sets])
-    overlap = _index(sets)
+    overlap, partners = _index(sets), _partners(sets)
     label = np.unique(labels, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
 
@@ -334,8 +364,14 @@ def region_links(sids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, d
         window &= (label != label[y]) & (NUM * np.maximum(size, size[y]) <= DEN * np.minimum(size, size[y]))
         if drawn[y]:
             window &= ~drawn
-        if window.any():
-            join(y, np.flatnonzero(window & _near(overlap(sets[y]), size, size[y])))
+        if not window.any():
+            continue
+        at = np.flatnonzero(window & partners(y))
+        if len(at) > 16:
+            join(y, at[_near(overlap(sets[y])[at], size[at], size[y])])
+        elif len(at):
+            common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x in at])
+            join(y, at[_near(common, size[at], size[y])])
     return out
 
 
@@ -425,10 +461,14 @@ def cells(members: DataFrame, sets: DataFrame, level: int, group_rows: int = 102
     # of the sets that are linked with the pivot, those stay that any other set of the cell may reach
     others = inside.where(~F.col("with_pivot")).groupBy("region", "j").agg(F.min("d").alias("nearest"))
     inside = inside.join(small(stored(others, "others")), ["region", "j"]).where(~F.col("with_pivot") | (F.col("d") + REACH + SLACK >= F.col("nearest")))
-    columns = ["sid", F.when(F.col("mine"), OWN).otherwise(DRAWN).alias("role"), "label", "n", "before"]
-    inside = inside.select(F.concat_ws("/", "region", "j").alias("region"), *columns)
+    inside = inside.select("region", F.concat_ws("/", "region", "j").alias("cell"), "sid", F.when(F.col("mine"), OWN).otherwise(DRAWN).alias("role"), "label", "n", "before")
     outer = first.where(F.when(F.col("role") == OWN, F.col("d1") > FAR).otherwise(F.col("d1") > FAR - REACH - SLACK))
-    return links, inside.union(outer.select(F.concat(F.col("region"), F.lit("/o")).alias("region"), "sid", "role", "label", "n", "before"))
+    inside = stored(inside.union(outer.select("region", F.concat(F.col("region"), F.lit("/o")).alias("cell"), "sid", "role", "label", "n", "before")), "inside")
+    # where most sets are drawn into many cells, distances part nothing: such a region goes on whole, to be dealt in blocks
+    wide = inside.groupBy("region").agg(F.count("*").alias("rows"), F.max("before").alias("before")).where(F.col("rows") > WIDE * F.col("before")).select("region")
+    wide = small(stored(wide, "wide"))
+    whole = first.join(wide, "region", "left_semi").select("region", "sid", "role", "label", "n", F.lit(0).cast("long").alias("before"))
+    return links, inside.join(wide, "region", "left_anti").select(F.col("cell").alias("region"), "sid", "role", "label", "n", "before").union(whole)
 
 
 def join_regions(regions: DataFrame, sets: DataFrame, leaf_rows: int, leaf_shingles: int, block_rows: int = 1024) -> DataFrame:
