@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from facewave.operators.metrics import mid_ranks
@@ -43,8 +45,8 @@ def chi_square_tail(x: float, df: int) -> float:
 
 
 def kruskal_wallis(df: DataFrame, label: str, value: str) -> DataFrame:
-    """One row (n, groups, h, epsilon2): the tie-corrected statistic and its effect size; 0 where there are fewer than
-    two groups, no more rows than groups, or one value only."""
+    """One row (n, groups, h, p, epsilon2): the tie-corrected statistic, its p by chi square, and its effect size; 0, 1 and 0 where there
+    are fewer than two groups, no more rows than groups, or one value only."""
     rows = df.where(F.col(label).isNotNull() & F.col(value).isNotNull())
     ranked = mid_ranks(rows, value)
     groups = ranked.groupBy(label).agg(F.sum("rank").alias("r"), F.count("*").alias("m")).agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.sum("m").alias("n"), F.count("*").alias("groups"))
@@ -52,7 +54,19 @@ def kruskal_wallis(df: DataFrame, label: str, value: str) -> DataFrame:
     n, k = F.col("n").cast("double"), F.col("groups")
     correct = 1 - F.col("ties") / (n * n * n - n)
     h = F.when((k >= 2) & (n > k) & (correct > 0), (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / correct).otherwise(0.0)
-    return groups.crossJoin(ties).withColumn("h", h).select("n", "groups", "h", epsilon_squared(F.col("h"), k, n).alias("epsilon2"))
+    return groups.crossJoin(ties).withColumn("h", h).select("n", "groups", "h", chi_square_p(F.col("h"), F.col("groups") - 1).alias("p"), epsilon_squared(F.col("h"), k, n).alias("epsilon2"))
+
+
+@F.pandas_udf(DoubleType())
+def chi_square_p(h: pd.Series, degrees: pd.Series) -> pd.Series:
+    """One value for each test, so a few rows at most."""
+    return pd.Series([chi_square_tail(x, int(d)) if x > 0 else 1.0 for x, d in zip(h, degrees, strict=True)])
+
+
+def band_statistics(df: DataFrame, label: str, bands: Sequence[str]) -> DataFrame:
+    """(band, n, groups, h, p, epsilon2, adjusted): the test of each band's values against the labels, and its p adjusted over the bands."""
+    rows = [kruskal_wallis(df, label, b).select(F.lit(b).alias("band"), "*") for b in bands]
+    return holm(reduce(DataFrame.unionByName, rows), "p", tie="band")
 
 
 def epsilon_squared(h: Column, groups: Column, n: Column) -> Column:
@@ -86,34 +100,77 @@ def signed_rank(differences: np.ndarray) -> float:
     ranks = (np.cumsum(count) - (count - 1) / 2)[back]
     n, plus = len(d), ranks[d > 0].sum()
     if n <= 50 and len(values) == n:
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for r in range(1, n + 1):
-            ways[r:] = ways[r:] + ways[:-r].copy()
-        low = int(min(plus, n * (n + 1) / 2 - plus))
-        return float(min(1.0, 2 * ways[: low + 1].sum() / 2.0**n))
+        return _exact_signed(n, plus)
     variance = n * (n + 1) * (2 * n + 1) / 24 - (count**3 - count).sum() / 48
     return float(math.erfc(abs(plus - n * (n + 1) / 4) / math.sqrt(2 * variance)))
 
 
-def permutation_ranks(df: DataFrame, label: str, rank: str, strata: Sequence[str], key: str, n: int, seed: int = 42, block: int = 50) -> DataFrame:
-    """(perm, label, r, m): rank sums by label when labels are shuffled within strata. Ranks never change, so they are
-    made once; a stratum's permutations are split into blocks, so a large stratum is worked on by several tasks."""
+@F.pandas_udf(DoubleType())
+def sign_p(positive: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([sign_test(int(a), int(b)) for a, b in zip(positive, n, strict=True)])
+
+
+def sign_table(df: DataFrame, difference: str) -> DataFrame:
+    """One row (positive, n, p) of the non-zero differences."""
+    d = F.col(difference)
+    return df.agg(F.count(F.when(d > 0, 1)).alias("positive"), F.count(F.when(d != 0, 1)).alias("n")).select("positive", "n", sign_p("positive", "n").alias("p"))
+
+
+def signed_rank_table(df: DataFrame, difference: str, exact: int = 50) -> DataFrame:
+    """One row (n, plus, z, p) of the finite non-zero differences: the sum of the ranks of positive ones, and its two-sided p, exact without ties up to ``exact`` rows and normal
+    beyond. Ranks are made in ranges of values, so no task holds them all; no difference, or one alone, has p 1."""
+    d = F.col(difference)
+    rows = df.where(d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))).withColumn("__size", F.abs(d))
+    ranked = mid_ranks(rows.where(d != 0), "__size", name="__rank")
+    ties = rows.where(d != 0).groupBy("__size").agg(F.count("*").cast("double").alias("t")).agg(F.coalesce(F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)), F.lit(0.0)).alias("ties"))
+    sums = ranked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(d > 0, F.col("__rank")).otherwise(0.0)), F.lit(0.0)).alias("plus"))
+    given = rows.agg(F.count("*").alias("given"))
+    n = F.col("n").cast("double")
+    variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    out = sums.crossJoin(ties).crossJoin(given).withColumn("z", F.when(variance > 0, (F.col("plus") - n * (n + 1) / 4) / F.sqrt(variance)).otherwise(0.0))  # one row each
+
+    @F.pandas_udf(DoubleType())
+    def p_value(n: pd.Series, given: pd.Series, plus: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+        found = []
+        for m, g, w, t, x in zip(n, given, plus, ties, z, strict=True):
+            found.append(1.0 if g <= 1 or not m else _exact_signed(int(m), w) if m <= exact and not t else math.erfc(abs(x) / math.sqrt(2)))
+        return pd.Series(found)
+
+    return out.select("n", "plus", "z", p_value("n", "given", "plus", "ties", "z").alias("p"))
+
+
+def _exact_signed(n: int, plus: float) -> float:
+    """Two-sided p of a sum of positive ranks without ties, by counting the ways to each sum."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for r in range(1, n + 1):
+        ways[r:] = ways[r:] + ways[:-r].copy()
+    low = int(min(plus, n * (n + 1) / 2 - plus))
+    return float(min(1.0, 2 * ways[: low + 1].sum() / 2.0**n))
+
+
+def permutation_ranks(df: DataFrame, label: str, rank: str, strata: Sequence[str], key: str, n: int, seed: int = 42, block: int = 50, group_rows: int = 100_000) -> DataFrame:
+    """(perm, label, r, m): rank sums by label when labels are shuffled within strata. Ranks never change, so they are made once.
+
+    A stratum of more than ``group_rows`` rows is dealt to groups of about that many by a seeded hash, anew for each block of permutations; labels are shuffled in each
+    group, and only sums by label leave it. No task holds more than a group, whatever the stratum."""
     labels = df.schema[label].dataType.simpleString()
-    spread = df.select(*strata, label, rank, key).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block))))
+    sizes = df.groupBy(*strata).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("__groups"))
+    spread = df.select(*strata, label, rank, key).join(sizes, list(strata)) if strata else df.select(label, rank, key).crossJoin(F.broadcast(sizes))  # one row
+    spread = spread.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block)))).withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), "__block", key), F.col("__groups")).cast("int")).drop("__groups")
 
     def shuffle(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        rng = np.random.default_rng([seed, int(keys[-1]), *(abs(hash_text(str(k))) for k in keys[:-1])])
+        rng = np.random.default_rng([seed, *map(int, keys[-2:]), *(hash_text(str(k)) for k in keys[:-2])])
         names, codes = np.unique(pdf[label].to_numpy(), return_inverse=True)
         ranks, out = pdf[rank].to_numpy(float), []
         m = np.bincount(codes, minlength=len(names))
-        for perm in range(int(keys[-1]) * block, min(n, (int(keys[-1]) + 1) * block)):
+        for perm in range(int(keys[-2]) * block, min(n, (int(keys[-2]) + 1) * block)):
             sums = np.bincount(rng.permutation(codes), weights=ranks, minlength=len(names))
             out += [(perm, names[i], sums[i], int(m[i])) for i in range(len(names))]
         return pd.DataFrame(out, columns=["perm", "label", "r", "m"])
 
-    return spread.groupBy(*strata, "__block").applyInPandas(shuffle, f"perm int, label {labels}, r double, m long").groupBy("perm", "label").agg(F.sum("r").alias("r"), F.sum("m").alias("m"))
+    return spread.groupBy(*strata, "__block", "__group").applyInPandas(shuffle, f"perm int, label {labels}, r double, m long").groupBy("perm", "label").agg(F.sum("r").alias("r"), F.sum("m").alias("m"))
 
 
 def hash_text(text: str) -> int:
@@ -134,18 +191,38 @@ def permutation_test(df: DataFrame, label: str, value: str, strata: Sequence[str
     return true.crossJoin(reached).select("h", F.when(F.col("h") > 0, (F.col("reached") + 1) / F.lit(n + 1)).otherwise(1.0).alias("p"))
 
 
-def bootstrap_ci(df: DataFrame, by: str, value: str, n: int = 2000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """(by, n, mean, std, low, high) of finite values, one row per subject and metric at most in a group; nulls where there is none."""
-    kind = df.schema[by].dataType.simpleString()
+def bootstrap_ci(df: DataFrame, by: str, value: str, n: int = 2000, confidence: float = 0.95, seed: int = 0, group_rows: int = 10_000, key: str | None = None) -> DataFrame:
+    """(by, n, mean, std, low, high) of finite values; nulls where there is none.
 
-    def one(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].to_numpy(float))
-        x = x[np.isfinite(x)]
-        if not len(x):
-            return pd.DataFrame([(keys[0], 0, None, None, None, None)], columns=["k", "n", "mean", "std", "low", "high"])
+    A group of at most ``group_rows`` values is drawn from with replacement in one task. Of a larger one the rows stay where they are: each draws its own weights, one Poisson number of mean 1 for
+    each bootstrap, and a bootstrap's mean is the weighted sum over the sum of weights, added up by Spark. Weights follow ``key``, so that they do not hang on partitions."""
+    kind = df.schema[by].dataType.simpleString()
+    v = F.col(value).cast("double")
+    rows = df.select(F.col(by).alias("k"), (F.col(key) if key else F.monotonically_increasing_id()).alias("row"), F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v).alias("x"))
+    about = rows.groupBy("k").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.when(F.count("x") > 1, F.stddev_samp("x")).when(F.count("x") == 1, 0.0).alias("std"))
+    some = rows.where("x is not null").join(about.select(F.col("k").alias("g"), F.col("n").alias("many")), F.col("k").eqNullSafe(F.col("g"))).select("k", "row", "x", "many")
+    bounds = [(1 - confidence) / 2, (1 + confidence) / 2]
+
+    def small_group(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf["x"].to_numpy(float))
         rng = np.random.default_rng([seed, hash_text(str(keys[0]))])
         means = np.concatenate([x[rng.integers(0, len(x), (min(200, n - i), len(x)))].mean(axis=1) for i in range(0, n, 200)])
-        low, high = np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2])
-        return pd.DataFrame([(keys[0], len(x), x.mean(), x.std(ddof=1) if len(x) > 1 else 0.0, low, high)], columns=["k", "n", "mean", "std", "low", "high"])
-
-    return df.groupBy(by).applyInPandas(one, f"k {kind}, n long, mean double, std double, low double, high double").withColumnRenamed("k", by)
+        return pd.DataFrame([(keys[0], *np.quantile(means, bounds))], columns=["k", "low", "high"])
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for pdf in batches:
+            for k, part in pdf.groupby("k", dropna=False):
+                for a in range(0, len(part), 1000):
+                    x, at = part["x"].to_numpy(float)[a : a + 1000], part["at"].to_numpy(np.int64)[a : a + 1000]
+                    w = np.array([np.random.default_rng([seed, int(i) & (2**63 - 1)]).poisson(1.0, n) for i in at], float)
+                    total[k] = total.get(k, 0) + np.stack([w.sum(axis=0), x @ w])
+        for k, t in total.items():
+            yield pd.DataFrame({"k": [k] * n, "boot": range(n), "w": t[0], "s": t[1]})
+
+    ends = some.where(F.col("many") <= group_rows).groupBy("k").applyInPandas(small_group, f"k {kind}, low double, high double")
+    large = some.where(F.col("many") > group_rows).select("k", "x", F.xxhash64("k", "x", "row").alias("at"))
+    boots = large.mapInPandas(weigh, f"k {kind}, boot int, w double, s double").groupBy("k", "boot").agg((F.sum("s") / F.sum("w")).alias("m"))
+    wide = boots.groupBy("k").agg(F.percentile("m", F.lit(bounds[0])).alias("low"), F.percentile("m", F.lit(bounds[1])).alias("high"))  # n values each
+    ends = ends.unionByName(wide).withColumnRenamed("k", "g")
+    return about.join(ends, F.col("k").eqNullSafe(F.col("g")), "left").select(F.col("k").alias(by), "n", "mean", "std", "low", "high")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from facewave.operators import spectral
+
 
 def mid_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank", parts: int = 64) -> DataFrame:
     """Adds the mid-rank (from 1; equal values share the mean rank) of ``value`` among all rows, or among those equal in ``by``.
@@ -113,3 +115,39 @@ def gaussian_nll(pred: Column, target: Column, log_var: Column) -> Column:
     """Mean of 0.5 (log variance + d^2 / variance)."""
     parts = F.zip_with(F.zip_with(pred, target, lambda a, b: F.pow(a - b, 2)), log_var, lambda d, v: 0.5 * (v + d * F.exp(-v)))
     return F.aggregate(parts, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(parts), F.lit(0))
+
+
+def squared_error(pred: Column, target: Column) -> Column:
+    """Mean of d^2."""
+    parts = F.zip_with(pred, target, lambda a, b: F.pow(a - b, 2))
+    return F.aggregate(parts, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(parts), F.lit(0))
+
+
+def correlation_loss(pred: Column, target: Column, floor: float = 1e-8) -> Column:
+    """1 - correlation; the product of norms is raised by ``floor``."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda t, v: t + v)
+    centred = lambda x: F.transform(x, lambda v: v - total(x) / F.size(x))
+    p, t = centred(pred), centred(target)
+    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
+    return 1 - dot(p, t) / (F.sqrt(dot(p, p)) * F.sqrt(dot(t, t)) + floor)
+
+
+#: What each part weighs in the total.
+LOSS_WEIGHTS = {"waveform": 1.0, "spectral": 0.4, "band_power": 0.6, "correlation": 0.3, "uncertainty": 0.1}
+
+
+def losses(df: DataFrame, pred: str, target: str, pred_band: str, target_band: str, variance: str) -> DataFrame:
+    """Adds a column for each part of the loss of a stored prediction, and their weighted ``total``. ``variance`` is the predicted one (a number)."""
+    p, t = F.col(pred), F.col(target)
+    log_var = F.transform(p, lambda _: F.log(F.col(variance) + 1e-6))
+    df = df.withColumns({"__p": spectral.magnitudes(p), "__t": spectral.magnitudes(t)})
+    df = df.withColumns({"waveform": smooth_l1(p, t), "spectral": smooth_l1(F.col("__p"), F.col("__t")), "band_power": squared_error(F.col(pred_band), F.col(target_band)), "correlation": correlation_loss(p, t), "uncertainty": gaussian_nll(p, t, log_var)})
+    return df.withColumn("total", sum((F.col(c) * w for c, w in LOSS_WEIGHTS.items()), F.lit(0.0))).drop("__p", "__t")
+
+
+def waveform_regression(windows: DataFrame, by: str | None, order: str, pred: str, target: str, width: int, rate: float) -> DataFrame:
+    """``regression`` of all samples and ``spectral_errors`` side by side, for each value of ``by`` or over all windows."""
+    keys = [by] if by else []
+    points = windows.select(*keys, F.explode(F.arrays_zip(F.col(pred).alias("p"), F.col(target).alias("t"))).alias("x")).select(*keys, F.col("x.p").alias("p"), F.col("x.t").alias("t"))
+    errors, spectrum = regression(points, keys, "p", "t"), spectral.spectral_errors(windows, by, order, pred, target, width, rate)
+    return errors.join(spectrum, keys, "left") if by else errors.crossJoin(spectrum)  # one row each without keys

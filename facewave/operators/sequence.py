@@ -14,6 +14,20 @@ def in_order(session: str = "session", ts: str = "ts", tie: str = "frame_idx") -
     return Window.partitionBy(session).orderBy(ts, tie)
 
 
+def numbered(df: DataFrame, by: list[str], order: str, name: str, parts: int = 64) -> DataFrame:
+    """Adds ``name``: the place (from 0) of each row by a numeric column, among all rows or those equal in ``by``. Rows are numbered in ranges of the column, whose
+    counts are added up apart, so neither a large group nor the whole table is one window's partition."""
+    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
+    part = F.lit(0)
+    for b in bounds:
+        part = part + (F.col(order) > b).cast("int")
+    df = df.withColumn("__part", part)
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy(*by, F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = df.groupBy(*by, "__part").agg(F.count("*").alias("__rows")).withColumn("__before", before).drop("__rows")  # ``parts`` rows for each group at most
+    here = (F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order)) - 1).cast("long")
+    return df.withColumn("__here", here).join(counts, [*by, "__part"]).withColumn(name, F.col("__here") + F.col("__before")).drop("__part", "__here", "__before")
+
+
 def difference(value: Column, w: WindowSpec) -> Column:
     """Value less the one before; 0 for the first."""
     return F.coalesce(value - F.lag(value).over(w), F.lit(0.0))

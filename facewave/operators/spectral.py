@@ -12,8 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
+from facewave.operators.sequence import numbered
+
 #: EEG bands in Hz, lower end in and upper end out.
 BANDS: dict[str, tuple[float, float]] = {"delta": (0.5, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 100)}
 
@@ -73,6 +76,12 @@ def signal_features(df: DataFrame, spectrum: DataFrame, key: str, signal: str) -
     return base.join(parts, key)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def magnitudes(x: pd.Series) -> pd.Series:
+    """Magnitudes of the one-sided spectrum of each array."""
+    return x.map(lambda v: np.abs(np.fft.rfft(np.asarray(v, float))) if v is not None and len(v) else np.empty(0))
+
+
 def plain_power(values: Column) -> Column:
     """Sum of squared magnitudes of the spectrum of (x - mean), over the length. By Parseval no transform is needed: half the sum
     of squares and, for an even length, half the squared alternating sum over the length."""
@@ -94,26 +103,43 @@ def window_statistics(values: Column) -> dict[str, Column]:
     return {k: F.when(n < 2, 0.0).otherwise(v) for k, v in out.items()}
 
 
-def long_signal_psd(windows: DataFrame, group: str, order: str, signal: str, width: int, rate: float, size: int = 512) -> DataFrame:
-    """(group, bin, freq, power) of windows joined end to end, where segments cross window borders. Each window of ``width`` samples sends
-    its samples to the segments they lie in, so a long signal is spread over tasks by segment."""
-    kind, hop = windows.schema[group].dataType.simpleString(), size // 2
-    at = windows.withColumn("__start", (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long") * width)
+def long_signal_psd(windows: DataFrame, group: str | None, order: str, signal: str, width: int, rate: float, size: int = 512) -> DataFrame:
+    """(group, bin, freq, power) of windows joined end to end, where segments cross window borders (without a group: one signal of all windows).
+    Each window of ``width`` samples sends its samples to the segments they lie in, so a long signal is spread over tasks by segment. A signal shorter than
+    ``size`` is one segment of its own length."""
+    by = [group] if group else []
+    hop = size // 2
+    at = numbered(windows.select(*by, order, signal), by, order, "__n").withColumn("__start", F.col("__n") * width)
     first = F.greatest(F.floor((F.col("__start") - size) / hop) + 1, F.lit(0))
-    parts = at.select(group, "__start", signal, F.explode(F.sequence(first, F.floor((F.col("__start") + width - 1) / hop))).alias("__segment"))
+    parts = at.select(*by, "__start", signal, F.explode(F.sequence(first, F.floor((F.col("__start") + width - 1) / hop))).alias("__segment"))
 
     def work(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__start")
-        begin = int(keys[1]) * hop
+        begin = int(keys[-1]) * hop
         x = np.concatenate(pdf[signal].tolist()).astype(float)
         x = x[begin - int(pdf["__start"].iloc[0]) :][:size]
-        if len(x) < size:
-            return pd.DataFrame({"g": [], "bin": [], "freq": [], "power": []})
+        if len(x) < size and begin or len(x) < 2:
+            return pd.DataFrame({c: [] for c in [*by, "bin", "freq", "power"]})
         p = welch(x[None, :], rate, size)[0]
-        return pd.DataFrame({"g": keys[0], "bin": np.arange(len(p)), "freq": np.arange(len(p)) * rate / size, "power": p})
-
-    found = parts.groupBy(group, "__segment").applyInPandas(work, f"g {kind}, bin int, freq double, power double")
-    return found.groupBy(F.col("g").alias(group), "bin", "freq").agg(F.avg("power").alias("power"))
+        return pd.DataFrame({**dict.fromkeys(by, keys[0]), "bin": np.arange(len(p)), "freq": np.arange(len(p)) * rate / len(x), "power": p})
+
+    kind = f"{group} {windows.schema[group].dataType.simpleString()}, " if group else ""
+    found = parts.groupBy(*by, "__segment").applyInPandas(work, f"{kind}bin int, freq double, power double")
+    return found.groupBy(*by, "bin", "freq").agg(F.avg("power").alias("power"))
+
+
+def spectral_errors(windows: DataFrame, group: str | None, order: str, pred: str, target: str, width: int, rate: float, size: int = 512) -> DataFrame:
+    """(group, spectral_correlation, spectral_distance, <band>_power_mae ...) of predicted and true windows joined end to end: agreement of their densities, and the
+    gaps of their band powers."""
+    by = [group] if group else []
+    one = lambda c, name: long_signal_psd(windows, group, order, c, width, rate, size).withColumnRenamed("power", name)
+    key = group or "__all"
+    both = one(pred, "p").join(one(target, "t").drop("freq"), [*by, "bin"]).withColumn(key, F.col(group) if group else F.lit(0))
+    bands = [band_power(both.withColumn("power", F.col(c)), key, rate).select(key, *[F.col(b).alias(f"{b}_{c}") for b in BANDS]) for c in ("p", "t")]
+    spread = F.stddev_pop("p") * F.stddev_pop("t")
+    out = both.groupBy(key).agg(F.when(spread > 0, F.covar_pop("p", "t") / spread).otherwise(0.0).alias("spectral_correlation"), F.sqrt(F.sum(F.pow(F.col("p") - F.col("t"), 2))).alias("spectral_distance"))
+    out = out.join(bands[0], key).join(bands[1], key)
+    return out.select(*by, "spectral_correlation", "spectral_distance", *[F.abs(F.col(f"{b}_p") - F.col(f"{b}_t")).alias(f"{b}_power_mae") for b in BANDS])
 
 
 def spectrogram(df: DataFrame, key: str, signal: str, rate: float, size: int = 128, overlap: int = 96, top: float = 100.0) -> DataFrame:

@@ -206,9 +206,14 @@ def w1(spark, d):
     return x.select("vec_id", r(F.col("mean_velocity")).alias("mean_velocity"), r(F.col("mean_acceleration")).alias("mean_acceleration"), r(F.col("magnitude")).alias("magnitude"))
 
 
-@entry("w2_movement_energy", f"{FRAMES}, n AS (SELECT *, row_number() {W} AS n FROM fr) SELECT a.frame_idx, round(sum(0.1 * power(0.9, a.n - b.n) * b.ear) + 0.0000031, 5) AS energy FROM n a JOIN n b ON a.session = b.session AND b.n <= a.n GROUP BY a.frame_idx")
+def _binary(c):
+    """Rounded to 2^-20: decimal fractions, unlike at a decimal place, never lie on the border."""
+    return F.round(c * 1048576) / 1048576
+
+
+@entry("w2_movement_energy", f"{FRAMES}, n AS (SELECT *, row_number() {W} AS n FROM fr) SELECT a.frame_idx, round(sum(0.1 * power(0.9, a.n - b.n) * b.ear) * 1048576) / 1048576 AS energy FROM n a JOIN n b ON a.session = b.session AND b.n <= a.n GROUP BY a.frame_idx")
 def w2(spark, d):
-    return sequence.movement_energy(frames(spark, d), "ear", chunk=32).select("frame_idx", r(F.col("energy") + 0.0000031, 5).alias("energy"))
+    return sequence.movement_energy(frames(spark, d), "ear", chunk=32).select("frame_idx", _binary(F.col("energy")).alias("energy"))
 
 
 @entry("w3_blink_event", f"{FRAMES} SELECT frame_idx, CASE WHEN ear < 20 AND coalesce(lag(ear) {W} >= 20, true) THEN 1 ELSE 0 END AS event FROM fr")
@@ -352,7 +357,7 @@ def s6(spark, d):
     return table(spark, d, "pages").select("url", sources.is_synthetic(F.col("url"), F.col("html")).alias("synthetic"), "page_id")
 
 
-@entry("s4_plain_numbers", f"{FRAMES} SELECT frame_idx, round(CASE WHEN k <> 50 THEN ear / (k - 50) + 0.00000031 END, 6) AS ratio FROM fr")
+@entry("s4_plain_numbers", f"{FRAMES} SELECT frame_idx, round(CASE WHEN k <> 50 THEN ear / (k - 50) END * 1048576) / 1048576 AS ratio FROM fr")
 def s4(spark, d):
     ratio = F.when(F.col("k") == 50, F.lit(float("inf"))).otherwise(F.col("ear") / (F.col("k") - 50))
-    return frames(spark, d).select("frame_idx", r(sources.plain(ratio) + 0.00000031).alias("ratio"))
+    return frames(spark, d).select("frame_idx", _binary(sources.plain(ratio)).alias("ratio"))

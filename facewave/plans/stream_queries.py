@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facewave.plans import frame_queries
 from facewave.plans.tables import FRAMES
+from facewave.sources.shared import shared_top
 from facewave.streaming import live
 
 ENTRIES: dict = {}
@@ -35,8 +35,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ran(df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream to its present end and reads what it wrote to the folder that all machines share."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_top(spark)}/stream-{uuid.uuid4().hex}"
     out = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "append":
         out.format("parquet").option("path", f"{path}/rows").start().awaitTermination()

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -141,14 +142,27 @@ def experiment(df: DataFrame, folds: int = 3, permutations: int = 20) -> DataFra
     return df.sparkSession.createDataFrame(rows, "measure string, value double")
 
 
-def artifact_check(labels: DataFrame, excluded: Sequence[int], others: Sequence[str]) -> DataFrame:
-    """(variable, h, groups): the statistic of each variable after rows of excluded clusters are left out."""
-    kept = labels.where(~F.col("label").isin(*excluded)) if excluded else labels
-    out = None
-    for name in others:
-        row = hypothesis.kruskal_wallis(kept, "label", name).select(F.lit(name).alias("variable"), "h", "groups")
-        out = row if out is None else out.unionByName(row)
-    return out
+def artifact_check(labels: DataFrame, excluded: dict[int, Sequence[int]], bands: Sequence[str]) -> DataFrame:
+    """(fold, variable, n, groups, h, p, adjusted, survives): the tests of each fold after the rows of its excluded clusters are left out; a variable survives where its p, adjusted over the
+    variables, is below 0.05."""
+    out = []
+    for fold, gone in excluded.items():
+        kept = labels.where(F.col("fold") == fold)
+        kept = kept.where(~F.col("label").isin(*gone)) if gone else kept
+        rows = hypothesis.band_statistics(kept, "label", bands)
+        out.append(rows.select(F.lit(fold).alias("fold"), F.col("band").alias("variable"), "n", "groups", "h", "p", "adjusted", (F.col("adjusted") < 0.05).alias("survives")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def cluster_table(stats: DataFrame, fits: DataFrame, bands: Sequence[str], models_: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """One row for each fold: its statistics (fold, band, h, adjusted, epsilon2) with a column for each band, and beside every fold the measures of the fits
+    (model, features compact or augmented, measures) with their differences."""
+    at = lambda c, b: F.max(F.when(F.col("band") == b, F.col(c)))
+    folds = stats.groupBy("fold").agg(*[at(c, b).alias(f"{n}_{b}") for b in bands for c, n in (("h", "kw"), ("adjusted", "p_holm"), ("epsilon2", "epsilon_squared"))])
+    of = lambda k, f, m: F.max(F.when((F.col("model") == k) & (F.col("features") == f), F.col(m)))
+    cells = [of(k, f, m).alias(f"{k}_{f}_{m}") for k in models_ for f in ("compact", "augmented") for m in measures]
+    gains = [(of(k, "augmented", m) - of(k, "compact", m)).alias(f"{k}_paired_{m}_delta") for k in models_ for m in measures]
+    return folds.crossJoin(F.broadcast(fits.agg(*cells, *gains)))  # one row
 
 
 def exact_silhouette(df: DataFrame, features: str, label: str, key: str, block: int = 4096) -> DataFrame:
