@@ -72,6 +72,32 @@ def roll_hint(a: Column, b: Column) -> Column:
     return F.atan2(b["y"] - a["y"], b["x"] - a["x"])
 
 
+#: The pairs of landmarks whose distances describe a face, the nose tip and the compact frame's column names.
+GEOMETRY = {
+    "inter_eye": (33, 263), "mouth_width": (61, 291), "mouth_open": (13, 14), "left_eye_open": (159, 145), "right_eye_open": (386, 374),
+    "brow_distance": (70, 300), "jaw_open": (152, 13), "nose_mouth": (1, 13),
+}
+NOSE = 1
+COMPACT = (
+    "ear_left ear_right ear_avg blink_event blink_rate mar head_pitch head_yaw head_roll head_pitch_vel head_yaw_vel head_roll_vel "
+    "facial_symmetry movement_magnitude movement_energy mean_velocity mean_acceleration"
+).split()
+
+
+def geometry(points: Column, pairs: Mapping[str, tuple[int, int]] = GEOMETRY, nose: int = NOSE, corners: tuple[int, int] = EYE_CORNERS) -> dict[str, Column]:
+    """Distances of pairs in normalised points, the nose's place as hints of yaw and pitch, and the roll of the eye line; 0 where a point is missing."""
+    p = normalised(points, corners)
+    gap = lambda a, b: F.sqrt(sum((F.pow(a[c] - b[c], 2) for c in "yz"), F.pow(a["x"] - b["x"], 2)))
+    out = {name: gap(point(p, a), point(p, b)) for name, (a, b) in pairs.items()}
+    out |= {"yaw_hint": point(p, nose)["x"], "pitch_hint": point(p, nose)["y"], "roll_hint": roll_hint(point(p, corners[0]), point(p, corners[1]))}
+    return {k: F.coalesce(v, F.lit(0.0)) for k, v in out.items()}
+
+
+def window_feature_names(columns: Sequence[str], spectral: Sequence[str] = ("ear_avg", "head_pitch", "head_yaw", "head_roll")) -> list[str]:
+    """Names of a window's features: each statistic of every column, then the spectral power of some."""
+    return [f"{c}_{s}" for s in ("mean", "std", "min", "max", "energy") for c in columns] + [f"{c}_spectral_power" for c in spectral]
+
+
 def action_units(scores: Column, units: Mapping[str, Sequence[str]]) -> Column:
     """For each unit the mean of its scores in a map, missing ones as 0; in the given order."""
     mean = lambda names: reduce(lambda t, k: t + F.coalesce(F.try_element_at(scores, F.lit(k)), F.lit(0.0)), names, F.lit(0.0)) / len(names)

@@ -218,7 +218,7 @@ def bootstrap_ci(df: DataFrame, by: str, value: str, n: int = 2000, confidence:
                     w = np.array([np.random.default_rng([seed, int(i) & (2**63 - 1)]).poisson(1.0, n) for i in at], float)
                     total[k] = total.get(k, 0) + np.stack([w.sum(axis=0), x @ w])
         for k, t in total.items():
-            yield pd.DataFrame({"k": [k] * n, "boot": range(n), "w": t[0], "s": t[1]})
+            yield pd.DataFrame({"k": pd.Series([None if pd.isna(k) else k] * n, dtype=object), "boot": range(n), "w": t[0], "s": t[1]})
 
     ends = some.where(F.col("many") <= group_rows).groupBy("k").applyInPandas(small_group, f"k {kind}, low double, high double")
     large = some.where(F.col("many") > group_rows).select("k", "x", F.xxhash64("k", "x", "row").alias("at"))

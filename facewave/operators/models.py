@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def gram(df: DataFrame, features: str, targets: Sequence[str] = (), by: str | None = None) -> dict:
@@ -94,7 +94,7 @@ def predict_by_fold(df: DataFrame, features: str, fold: str, weights: dict[int,
     """Adds the held-out predictions as columns ``names``."""
     table = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.array(*[F.array(*map(F.lit, map(float, w[:, j]))) for j in range(w.shape[1])]))])
     w = table[F.col(fold)]
-    return df.withColumns({name: w[j][0] + F.aggregate(F.zip_with(F.slice(w[j], 2, 100_000), features, lambda a, x: a * x), F.lit(0.0), lambda t, v: t + v) for j, name in enumerate(names)})
+    return df.withColumns({name: w[j][0] + F.aggregate(F.zip_with(F.slice(w[j], F.lit(2), F.size(features)), features, lambda a, x: a * x), F.lit(0.0), lambda t, v: t + v) for j, name in enumerate(names)})
 
 
 def pooled_r2(sums: dict[int, np.ndarray], d: int, alpha: float) -> np.ndarray:
@@ -110,30 +110,71 @@ def pooled_r2(sums: dict[int, np.ndarray], d: int, alpha: float) -> np.ndarray:
     return np.where(spread > 1e-12, 1 - residual / np.where(spread > 1e-12, spread, 1), (residual < 1e-12).astype(float))
 
 
-def permutation_control(df: DataFrame, features: str, target: str, fold: str, key: str, alpha: float, n: int = 200, seed: int = 42, group_rows: int = 50_000) -> tuple[float, float]:
-    """(true R2, p) when targets are permuted. For each permutation rows fall into groups of about ``group_rows`` by a seeded hash, and a row
-    takes the target of the row with its place in another seeded order of the group, by one equi-join for all permutations. Groups
-    are drawn anew each time, so no task orders more than a group, whatever the table."""
+def permutation_control(df: DataFrame, features: str, target: str, fold: str, key: str, alpha: float, n: int = 200, seed: int = 42, group_rows: int = 20_000, block: int = 50) -> tuple[float, float]:
+    """(true R2, p) when targets are permuted. A permutation leaves the features' moments alone, so those of the true targets serve for all; only sums of features
+    by permuted target are made anew. For each block of permutations rows fall into groups of about ``group_rows`` by a seeded hash, targets change places within a
+    group, and a group gives one vector for each permutation and fold. No task holds more than a group, whatever the table."""
     base = gram(df, features, [target], fold)
     d = len(next(iter(base.values()))) - 2
     true = float(pooled_r2(base, d, alpha)[0])
     groups = max(1, math.ceil(sum(m[0, 0] for m in base.values()) / group_rows))
-    spread = df.select(key, target, features, fold).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    spread = spread.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "perm", key), F.lit(groups)))
-    place = lambda salt: F.row_number().over(Window.partitionBy("perm", "group").orderBy(F.xxhash64(F.lit(seed), "perm", F.lit(salt), key), key))
-    a = spread.select("perm", "group", features, fold, place("x").alias("at"))
-    b = spread.select("perm", "group", F.col(target).alias("y"), place("y").alias("at"))
-    many = max(base) + 1
-    shuffled = a.join(b, ["perm", "group", "at"]).withColumn("__k", F.col("perm") * many + F.col(fold))
-    reached = sum(float(pooled_r2(block, d, alpha)[0]) >= true for block in _groups(gram(shuffled, features, ["y"], "__k"), many))
+    spread = df.select(F.col(key).alias("key"), F.col(target).alias("y"), F.col(features).alias("x"), F.col(fold).cast("int").alias("fold")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block))))
+    spread = spread.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "block", "key"), F.lit(groups)).cast("int"))
+
+    def shuffle(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["fold", "key"])
+        rng = np.random.default_rng([seed, int(keys[0]), int(keys[1])])
+        x, y = np.column_stack([np.ones(len(pdf)), np.array(pdf["x"].tolist(), float)]), pdf["y"].to_numpy(float)
+        names, first = np.unique(pdf["fold"].to_numpy(), return_index=True)
+        out = []
+        for perm in range(int(keys[0]) * block, min(n, (int(keys[0]) + 1) * block)):
+            z = rng.permutation(y)
+            for k, a, b in zip(names.tolist(), first, [*first[1:], len(y)], strict=True):
+                out.append((perm, k, [*(z[a:b] @ x[a:b]), z[a:b] @ z[a:b]]))
+        return pd.DataFrame(out, columns=["perm", "fold", "s"])
+
+    sums = spread.groupBy("block", "group").applyInPandas(shuffle, "perm int, fold int, s array<double>").select("perm", "fold", F.posexplode("s").alias("i", "v")).groupBy("perm", "fold", "i").agg(F.sum("v").alias("v"))
+    found: dict[int, dict[int, np.ndarray]] = {}
+    for r in sums.collect():  # permutations by folds by features
+        found.setdefault(r["perm"], {}).setdefault(r["fold"], np.zeros(d + 2))[r["i"]] = r["v"]
+
+    def moments(m: np.ndarray, s: np.ndarray) -> np.ndarray:
+        m = m.copy()
+        m[: d + 1, d + 1] = m[d + 1, : d + 1] = s[:-1]
+        m[d + 1, d + 1] = s[-1]
+        return m
+
+    reached = sum(float(pooled_r2({k: moments(base[k], s) for k, s in block_.items()}, d, alpha)[0]) >= true for block_ in found.values())
     return true, (reached + 1) / (n + 1)
 
 
-def _groups(sums: dict[int, np.ndarray], many: int) -> Iterator[dict[int, np.ndarray]]:
-    out: dict[int, dict[int, np.ndarray]] = {}
-    for k, m in sums.items():
-        out.setdefault(k // many, {})[k % many] = m
-    yield from out.values()
+def boosted_by_fold(df: DataFrame, features: str, target: str, fold: str, name: str, trees: int = 50, depth: int = 3, seed: int = 42) -> DataFrame:
+    """Adds ``name``: each row's prediction by gradient boosting fitted on the other folds."""
+    rows = df.withColumn("__x", array_to_vector(F.transform(features, lambda x: x.cast("double")))).cache()
+    try:
+        out = None
+        for k in sorted(r[0] for r in rows.select(fold).distinct().collect()):
+            model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol=name, maxIter=trees, maxDepth=depth, seed=seed).fit(rows.where(F.col(fold) != k))
+            part = model.transform(rows.where(F.col(fold) == k))
+            out = part if out is None else out.unionByName(part)
+        return out.drop("__x")
+    finally:
+        rows.unpersist()
+
+
+def baselines(df: DataFrame, features: str, target: str, fold: str, column: int, trees: int = 50, depth: int = 3) -> DataFrame:
+    """(fold, model, mae, rmse, r2) of the training mean, a ridge on one column, a ridge on all and gradient boosting, each fold predicted by the others."""
+    sums = df.groupBy(fold).agg(F.sum(target).alias("__s"), F.count(target).alias("__n"))
+    total = sums.agg(F.sum("__s").alias("__ts"), F.sum("__n").alias("__tn"))
+    means = sums.crossJoin(F.broadcast(total)).select(fold, ((F.col("__ts") - F.col("__s")) / (F.col("__tn") - F.col("__n"))).alias("mean"), (F.col("__s") / F.col("__n")).alias("__own"))
+    rows = df.join(F.broadcast(means), fold).withColumn("__one", F.array(F.get(features, F.lit(column))))  # a row for each fold
+    for name, x, alpha in (("ridge_column", "__one", 10.0), ("ridge", features, 100.0)):
+        rows = predict_by_fold(rows, x, fold, ridge_by_fold(rows, x, [target], fold, alpha), [name])
+    rows = boosted_by_fold(rows, features, target, fold, "boosted", trees, depth)
+    names = ["mean", "ridge_column", "ridge", "boosted"]
+    gap = lambda c: F.pow(F.col(target) - F.col(c), 2)
+    long = rows.select(fold, target, "__own", F.explode(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c))])).alias("model", "p"))
+    return long.groupBy(fold, "model").agg(F.avg(F.abs(F.col(target) - F.col("p"))).alias("mae"), F.sqrt(F.avg(gap("p"))).alias("rmse"), (1 - F.sum(gap("p")) / F.sum(gap("__own"))).alias("r2"))
 
 
 def zeroed(df: DataFrame, features: str, positions: Sequence[int]) -> DataFrame:

@@ -124,3 +124,11 @@ def label_runs(df: DataFrame, label: str, session: str, order: str) -> DataFrame
     change = F.when(F.col(label).eqNullSafe(F.lag(label).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     run = df.withColumn("__change", change).withColumn("run", F.sum("__change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy(session, "run").agg(F.first(label).alias("label"), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("frames"))
+
+
+def scaled_history(df: DataFrame, value: str, bands: int = 60, samples: int = 512, floor: float = 1e-4) -> DataFrame:
+    """Adds ``scaled``, the value between the least and largest of its session's last ``bands``, and ``waveform``, the value over the largest size of the last
+    ``samples``; spans below ``floor`` count as that."""
+    w, v = in_order().rowsBetween(1 - bands, 0), in_order().rowsBetween(1 - samples, 0)
+    low, high, top = F.min(value).over(w), F.max(value).over(w), F.max(F.abs(value)).over(v)
+    return df.withColumns({"scaled": (F.col(value) - low) / F.greatest(high - low, F.lit(floor)), "waveform": F.col(value) / F.greatest(top, F.lit(floor))})

@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -103,6 +103,13 @@ def window_statistics(values: Column) -> dict[str, Column]:
     return {k: F.when(n < 2, 0.0).otherwise(v) for k, v in out.items()}
 
 
+def named_statistics(columns: Mapping[str, Column], spectral: Sequence[str]) -> Column:
+    """A window's columns (arrays over its frames) as a map from feature name to value, in the order of ``facial.window_feature_names``."""
+    found = {c: window_statistics(v) for c, v in columns.items()}
+    pairs = [(f"{c}_{s}", found[c][s]) for s in ("mean", "std", "min", "max", "energy") for c in columns] + [(f"{c}_spectral_power", found[c]["power"]) for c in spectral]
+    return F.create_map(*[x for name, value in pairs for x in (F.lit(name), value)])
+
+
 def long_signal_psd(windows: DataFrame, group: str | None, order: str, signal: str, width: int, rate: float, size: int = 512) -> DataFrame:
     """(group, bin, freq, power) of windows joined end to end, where segments cross window borders (without a group: one signal of all windows).
     Each window of ``width`` samples sends its samples to the segments they lie in, so a long signal is spread over tasks by segment. A signal shorter than

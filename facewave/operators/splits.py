@@ -8,41 +8,57 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facewave.operators.sequence import numbered
 
-def subject_folds(rows: DataFrame, folds: int, subject: str = "subject") -> DataFrame:
+
+def some(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
+    """``df``, which has ``rows`` rows, marked to go to every task if these are at most ``most``."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def subject_folds(rows: DataFrame, folds: int, subject: str = "subject", most: int = 1_000_000) -> DataFrame:
     """(subject, rows, fold): subjects from the largest on, each to the fold with the fewest rows so far. Of equal
-    sizes the larger id comes first. The table of subjects alone reaches the driver."""
-    sizes = [(r[0], r[1]) for r in rows.where(F.col(subject).isNotNull()).groupBy(subject).agg(F.count("*")).collect()]
-    k = min(folds, len(sizes))
+    sizes the larger id comes first. The ``most`` largest subjects reach the driver; if there are more, the many small ones after them are dealt by a hash."""
+    sizes = rows.where(F.col(subject).isNotNull()).groupBy(subject).agg(F.count("*").alias("rows"))
+    count = sizes.count()
+    k = min(folds, count)
     if k < 2:
         raise ValueError("subject-wise folds need at least two subjects")
     heap = [(0, i) for i in range(k)]
     out = []
-    for name, n in sorted(sorted(sizes, reverse=True), key=lambda x: -x[1]):
+    for name, n in sizes.orderBy(F.desc("rows"), F.desc(subject)).limit(most).collect():
         load, i = heapq.heappop(heap)
         out.append((name, n, i))
         heapq.heappush(heap, (load + n, i))
     kind = rows.schema[subject].dataType.simpleString()
-    return rows.sparkSession.createDataFrame(out, f"{subject} {kind}, rows long, fold int")
+    dealt = rows.sparkSession.createDataFrame(out, f"{subject} {kind}, rows long, fold int")
+    if count <= most:
+        return dealt
+    return dealt.unionByName(sizes.join(F.broadcast(dealt.select(subject)), subject, "left_anti").withColumn("fold", F.pmod(F.xxhash64(subject), F.lit(k)).cast("int")))
+
+
+def placed(rows: DataFrame, folds: int, subject: str = "subject") -> DataFrame:
+    """Rows with the fold of their subject."""
+    table = subject_folds(rows, folds, subject).drop("rows")
+    return rows.join(some(table, table.count()), subject)
 
 
 def hold_out(rows: DataFrame, share: float = 0.2, seed: int = 42, subject: str = "subject") -> DataFrame:
     """Adds ``held_out``: the first ceil(share * G) subjects by a seeded hash."""
     names = rows.select(subject).where(F.col(subject).isNotNull()).distinct()
-    n = names.count()
-    first = names.orderBy(F.xxhash64(F.lit(seed), subject), subject).limit(-int(-share * n // 1)).withColumn("held_out", F.lit(True))
-    return rows.join(F.broadcast(first), subject, "left").fillna(False, ["held_out"])
+    n = -int(-share * names.count() // 1)
+    first = names.orderBy(F.xxhash64(F.lit(seed), subject), subject).limit(n).withColumn("held_out", F.lit(True))
+    return rows.join(some(first, n), subject, "left").fillna(False, ["held_out"])
 
 
 def subject_bootstrap(rows: DataFrame, times: int, seed: int = 42, subject: str = "subject") -> DataFrame:
     """Rows of the drawn subjects with ``boot`` and ``weight``, how often the subject was drawn. Draws are rows of a
-    small table, and a row is never repeated."""
-    names = [r[0] for r in rows.select(subject).where(F.col(subject).isNotNull()).distinct().orderBy(subject).collect()]
-    spark = rows.sparkSession
-    draws = spark.range(times * len(names)).select(F.floor(F.col("id") / max(len(names), 1)).cast("int").alias("boot"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(len(names), 1))).cast("int").alias("__at"))
-    table = spark.createDataFrame(list(enumerate(names)), f"__at int, {subject} {rows.schema[subject].dataType.simpleString()}")
-    weights = draws.groupBy("boot", "__at").agg(F.count("*").alias("weight")).join(F.broadcast(table), "__at").drop("__at")
-    return rows.join(F.broadcast(weights), subject)
+    small table, and a row is never repeated. Subjects are numbered where they lie, by a hash."""
+    names = numbered(rows.select(subject).where(F.col(subject).isNotNull()).distinct().withColumn("__h", F.xxhash64(F.lit(seed), subject).cast("double")), [], "__h", "__at").drop("__h")
+    n = names.count()
+    draws = rows.sparkSession.range(times * n).select(F.floor(F.col("id") / max(n, 1)).cast("int").alias("boot"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("__at"))
+    weights = draws.groupBy("boot", "__at").agg(F.count("*").alias("weight")).join(some(names, n), "__at").drop("__at")
+    return rows.join(some(weights, times * n), subject)
 
 
 def hashed_sample(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from facewave.functions import facial as f
-from facewave.operators import alignment, sequence
+from facewave.operators import alignment, sequence, spectral
 from facewave.plans.tables import FRAMES, at, frames, points, table, windows
 from facewave.sources import tables as sources
 
@@ -67,11 +67,16 @@ def p4(spark, d):
     return n.select("vec_id", r(F.get("n", 5)["x"]).alias("x5"), r(F.get("n", 7)["y"]).alias("y7"))
 
 
-@entry("p5_geometry", f"SELECT vec_id, round({_dist(1, 2)}, 6) AS d12, round(atan2({at(3, 'y')} - {at(0, 'y')}, {at(3, 'x')} - {at(0, 'x')}), 6) AS roll FROM embeddings")
+# 32 landmarks stand for the whole face: pairs, nose and eye corners among them
+_pairs = {"inter_eye": (0, 3), "mouth_width": (6, 9), "mouth_open": (10, 11), "left_eye_open": (1, 2), "right_eye_open": (4, 5), "brow_distance": (12, 15), "jaw_open": (20, 10), "nose_mouth": (8, 10)}
+_scale = f"nullif(sqrt(power({at(0, 'x')} - {at(3, 'x')}, 2) + power({at(0, 'y')} - {at(3, 'y')}, 2)), 0)"
+_middle = lambda axis: f"(list_sum(list_transform(range({1 + (axis == 'y')}, 65, 2), lambda i: CAST(embedding[i] AS DOUBLE))) / 32)"
+
+
+@entry("p5_geometry", f"SELECT vec_id, {', '.join(f'round({_dist(a, b)} / {_scale}, 6) AS {n}' for n, (a, b) in _pairs.items())}, round(({at(8, 'x')} - {_middle('x')}) / {_scale}, 6) AS yaw_hint, round(({at(8, 'y')} - {_middle('y')}) / {_scale}, 6) AS pitch_hint, round(atan2({at(3, 'y')} - {at(0, 'y')}, {at(3, 'x')} - {at(0, 'x')}), 6) AS roll_hint FROM embeddings")
 def p5(spark, d):
     w = windows(spark, d).withColumn("p", points())
-    a, b = f.point(F.col("p"), 0), f.point(F.col("p"), 3)
-    return w.select("vec_id", r(f.distance(f.point(F.col("p"), 1), f.point(F.col("p"), 2))).alias("d12"), r(f.roll_hint(a, b)).alias("roll"))
+    return w.select("vec_id", *[r(c).alias(n) for n, c in f.geometry(F.col("p"), _pairs, 8, (0, 3)).items()])
 
 
 NAMES = ["browUp", "browDown", "jawOpen", "smileL", "smileR", "blinkL", "blinkR"]
@@ -116,9 +121,23 @@ def p11(spark, d):
     return windows(spark, d).select("vec_id", total("landmarks"), total("geometry"), total("dynamics"))
 
 
-@entry("p12_named_features", "SELECT vec_id, 'x' || CAST(i AS VARCHAR) AS feature, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS value FROM embeddings, range(64) t(i)")
+def _windowed(column: str, i: int) -> str:
+    x = f"list_transform(range({i}, 65, 4), lambda j: CAST(embedding[j] AS DOUBLE))"
+    signs = "list_transform(range(1, 17), lambda j: CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END)"
+    power = f"(list_sum(list_transform({x}, lambda v: power(v - list_avg({x}), 2))) / 2 + power(list_sum(list_transform(range(1, 17), lambda j: ({x})[j] * ({signs})[j])), 2) / 32)"
+    kinds = {"mean": f"list_avg({x})", "std": f"list_stddev_pop({x})", "min": f"list_min({x})", "max": f"list_max({x})", "energy": f"list_avg(list_transform({x}, lambda v: v * v))"} | ({"spectral_power": power} if column in _SPECTRAL else {})
+    return " UNION ALL ".join(f"SELECT vec_id, '{column}_{k}' AS feature, round({e}, 6) AS value FROM embeddings" for k, e in kinds.items())
+
+
+# a window of 16 frames with four columns
+_COLUMNS, _SPECTRAL = ["ear_avg", "mar", "head_pitch", "head_yaw"], ["ear_avg", "head_pitch", "head_yaw"]
+
+
+@entry("p12_named_features", " UNION ALL ".join(_windowed(c, i + 1) for i, c in enumerate(_COLUMNS)))
 def p12(spark, d):
-    return windows(spark, d).select("vec_id", F.posexplode("x").alias("i", "v")).select("vec_id", F.concat(F.lit("x"), F.col("i").cast("string")).alias("feature"), r(F.col("v")).alias("value"))
+    columns = {c: F.transform(F.sequence(F.lit(i), F.lit(60 + i), F.lit(4)), lambda j: F.get("x", j)) for i, c in enumerate(_COLUMNS)}
+    named = windows(spark, d).select("vec_id", spectral.named_statistics(columns, _SPECTRAL).alias("m"))
+    return named.select("vec_id", F.explode("m").alias("feature", "value")).select("vec_id", "feature", r(F.col("value")).alias("value"))
 
 
 _floor = [f"greatest({at(i)}, 0)" for i in range(5)]
@@ -309,11 +328,9 @@ def w17(spark, d):
     return x.select("frame_idx", r(F.col("ear")).alias("ear"), "event", r(sequence.difference(F.col("ear"), sequence.in_order())).alias("velocity"), sequence.blink_rate("event", "us", "session", "frame_idx", 432000).cast("long").alias("rate"))
 
 
-@entry("w19_scaled_history", f"{FRAMES}, q AS (SELECT frame_idx, ear, min(ear) OVER w AS lo, max(ear) OVER w AS hi FROM fr WINDOW w AS (PARTITION BY session ORDER BY ts, frame_idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) SELECT frame_idx, round((ear - lo) / greatest(hi - lo, 1e-4), 6) AS scaled FROM q")
+@entry("w19_scaled_history", f"{FRAMES}, q AS (SELECT frame_idx, ear, min(ear) OVER w AS lo, max(ear) OVER w AS hi, max(abs(ear)) OVER v AS top FROM fr WINDOW w AS (PARTITION BY session ORDER BY ts, frame_idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), v AS (PARTITION BY session ORDER BY ts, frame_idx ROWS BETWEEN 511 PRECEDING AND CURRENT ROW)) SELECT frame_idx, round((ear - lo) / greatest(hi - lo, 1e-4), 6) AS scaled, round(ear / greatest(top, 1e-4), 6) AS waveform FROM q")
 def w19(spark, d):
-    w = sequence.in_order().rowsBetween(-59, 0)
-    lo, hi = F.min("ear").over(w), F.max("ear").over(w)
-    return frames(spark, d).select("frame_idx", r((F.col("ear") - lo) / F.greatest(hi - lo, F.lit(1e-4))).alias("scaled"))
+    return sequence.scaled_history(frames(spark, d), "ear").select("frame_idx", r(F.col("scaled")).alias("scaled"), r(F.col("waveform")).alias("waveform"))
 
 
 def _clocks(spark, d):
@@ -347,9 +364,18 @@ def j3(spark, d):
     return alignment.attach_markers(alignment.frame_windows(fa, 4, 2), markers, 86400).select("frame_idx", "session", F.col("start").cast("long").alias("start"))
 
 
-@entry("s5_session_catalogue", "SELECT split_part(o_orderpriority, '-', 1) AS subject, count(*) AS sessions, count(DISTINCT o_custkey) AS people FROM orders GROUP BY 1")
+@entry("s5_session_catalogue", f"{FRAMES}, s AS (SELECT 's' || CAST(session % 7 AS VARCHAR) AS subject, session, count(*) // 4 AS n FROM fr WHERE session IN (SELECT session FROM fr WHERE event_type = 'click') AND session IN (SELECT session FROM fr WHERE event_type = 'signup') AND event_type = 'click' GROUP BY ALL) SELECT subject, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS windows FROM s GROUP BY subject")
 def s5(spark, d):
-    return table(spark, d, "orders").groupBy(F.substring_index("o_orderpriority", "-", 1).alias("subject")).agg(F.count("*").alias("sessions"), F.countDistinct("o_custkey").alias("people"))
+    """Clicks are written as the frames and signups as the samples of session folders, which are then read as sessions; one without either is skipped."""
+    from uuid import uuid4
+
+    from facewave.sources.shared import shared_top
+
+    top = f"{shared_top(spark)}/sessions-{uuid4().hex}"
+    x = frames(spark, d).withColumn("session", F.format_string("s%d_%d", F.col("session") % 7, "session"))
+    for name, kind in (("frames", "click"), ("samples", "signup")):
+        sources.write_session(x.where(F.col("event_type") == kind), f"{top}/{name}")
+    return sources.session_catalogue(sources.read_sessions(spark, top)[0], 4)
 
 
 @entry("s6_provenance", "SELECT url, contains(lower(regexp_replace(split_part(url, '/', -1), '\\.[^.]*$', '')), 'synth') OR contains(lower(html), 'synthetic') AS synthetic, page_id FROM pages")

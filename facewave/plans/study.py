@@ -82,7 +82,7 @@ def clustering_study(df: DataFrame, folds: int = 3, ks: Sequence[int] = range(2,
     """Held-out labels (id, subject, fold, label, alpha) with labels of different folds apart, and one row of statistics for each fold:
     (fold, rows, components, h, epsilon2, p)."""
     spark = df.sparkSession
-    placed = df.join(F.broadcast(splits.subject_folds(df, folds).drop("rows")), "subject").cache()
+    placed = splits.placed(df, folds).cache()
     outs, table = [], []
     try:
         for fold in range(folds):
@@ -118,7 +118,7 @@ def stability(df: DataFrame, boots: int = 2, ks: Sequence[int] = (2,), keep: flo
 def compact_and_augmented(df: DataFrame, folds: int = 3, alpha: float = 1.0) -> DataFrame:
     """(subject, mae_compact, mae_augmented, gain): ridge on the features alone and with the held-out cluster probabilities beside them,
     on the same folds."""
-    placed = df.join(F.broadcast(splits.subject_folds(df, folds).drop("rows")), "subject")
+    placed = splits.placed(df, folds)
     scored = None
     for fold in range(folds):
         part = fit_scorer(placed.where(F.col("fold") != fold), (2,), 0.6, 8).score(placed.where(F.col("fold") == fold))
@@ -132,7 +132,7 @@ def compact_and_augmented(df: DataFrame, folds: int = 3, alpha: float = 1.0) ->
 
 def experiment(df: DataFrame, folds: int = 3, permutations: int = 20) -> DataFrame:
     """(measure, value): pooled R2 of two ridges, the permutation control and an ablation."""
-    placed = df.join(F.broadcast(splits.subject_folds(df, folds).drop("rows")), "subject").cache()
+    placed = splits.placed(df, folds).cache()
     d = len(placed.select("features").first()[0])
     score = lambda x, a: float(models.pooled_r2(models.gram(x, "features", ["alpha"], "fold"), d, a)[0])
     base = score(placed, 100.0)

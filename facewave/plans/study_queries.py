@@ -300,9 +300,10 @@ def e4(spark, d):
     return spectral.clean_windows(windows(spark, d), "vec_id", "x", 256.0)
 
 
-@entry("e5_long_spectrum")
+# 50 windows of 64 samples and more for each label, so every signal has segments of 512
+@entry("e5_long_spectrum", _joined.format(by="label").split("z AS (SELECT")[0].rstrip().rstrip(",") + " SELECT CAST(g AS INTEGER) AS label, CAST(b AS INTEGER) AS bin, round(t * 1000, 6) AS power FROM q")
 def e5(spark, d):
-    return spectral.long_signal_psd(windows(spark, d), "label", "vec_id", "x", 64, 256.0, 512)
+    return spectral.long_signal_psd(windows(spark, d), "label", "vec_id", "x", 64, 256.0, 512).select(F.col("label").cast("int").alias("label"), "bin", r(F.col("power") * 1000).alias("power"))
 
 
 @entry("e6_spectral_distance", f"WITH {_psd}, c AS (SELECT label, bin, avg(power) AS b FROM p JOIN embeddings USING (vec_id) GROUP BY label, bin), q AS (SELECT p.vec_id, p.power AS a, c.b FROM p JOIN embeddings e USING (vec_id) JOIN c ON c.label = e.label AND c.bin = p.bin) SELECT vec_id, round(coalesce(corr(a, b), 0), 6) AS correlation, round(sqrt(sum(power(a - b, 2))) * 1000, 6) AS distance FROM q GROUP BY vec_id")
@@ -313,9 +314,9 @@ def e6(spark, d):
     return q.groupBy("vec_id").agg(r(metrics.safe_corr("power", "b")).alias("correlation"), r(F.sqrt(F.sum(F.pow(F.col("power") - F.col("b"), 2))) * 1000).alias("distance"))
 
 
-@entry("e7_spectrogram")
+@entry("e7_spectrogram", "WITH s AS (SELECT vec_id, k AS segment, i, CAST(embedding[k * 8 + i + 1] AS DOUBLE) AS x FROM embeddings, range(5) t(k), range(32) u(i)), m AS (SELECT vec_id, segment, avg(x) AS m FROM s GROUP BY ALL), f AS (SELECT vec_id, segment, b, sum((x - m) * (0.5 - 0.5 * cos(2 * pi() * i / 32)) * cos(2 * pi() * b * i / 32)) AS re, sum((x - m) * (0.5 - 0.5 * cos(2 * pi() * i / 32)) * sin(2 * pi() * b * i / 32)) AS im FROM s JOIN m USING (vec_id, segment), range(13) v(b) GROUP BY ALL) SELECT vec_id, CAST(segment AS INTEGER) AS segment, b * 8.0 AS freq, round((re * re + im * im) / (256 * 12) * CASE WHEN b = 0 THEN 1 ELSE 2 END * 1000, 6) AS power FROM f")
 def e7(spark, d):
-    return spectral.spectrogram(windows(spark, d), "vec_id", "x", 256.0, 32, 24)
+    return spectral.spectrogram(windows(spark, d), "vec_id", "x", 256.0, 32, 24).select("vec_id", "segment", "freq", r(F.col("power") * 1000).alias("power"))
 
 
 @entry("e9_resample", f"{FRAMES}, q AS (SELECT session, ts AS a, ear AS va, lead(ts) OVER w AS b, lead(ear) OVER w AS vb, min(ts) OVER (PARTITION BY session) AS o FROM fr WINDOW w AS (PARTITION BY session ORDER BY ts)) SELECT session, CAST(i AS BIGINT) AS i, round(va + (vb - va) * (o + i * 21600.0 - a) / (b - a), 5) AS value FROM (SELECT *, unnest(range(CAST(ceil((a - o) / 21600) AS BIGINT), CAST(ceil((b - o) / 21600) AS BIGINT))) AS i FROM q WHERE b > a)")
@@ -466,6 +467,12 @@ def m6(spark, d):
     return x.join(F.broadcast(means), "fold").groupBy("fold").agg(r(F.avg(F.abs(F.col("y") - F.col("p")))).alias("ridge_mae"), r(F.avg(F.abs(F.col("y") - F.col("m")))).alias("mean_mae"))
 
 
+@entry("m6_all_baselines")
+def m6_all(spark, d):
+    w = windows(spark, d).select("vec_id", "x", F.col("x")[20].alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
+    return models.baselines(w.withColumn("x", F.slice("x", 1, 16)), "x", "y", "fold", 2)
+
+
 @entry("m7_pooled_r2", f"{_folds} SELECT round(1 - sum(power(y - (my + (x - mx) * b), 2)) / (sum(y * y) - power(sum(y), 2) / count(*)), 6) AS r2 FROM f JOIN w USING (fold)")
 def m7(spark, d):
     x = _one_feature(spark, d)

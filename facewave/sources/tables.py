@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from io import BytesIO
 
@@ -64,6 +65,21 @@ def subject_of(path: Column) -> Column:
     return F.substring_index(F.element_at(F.split(path, "/"), -2), "_", 1)
 
 
+def read_sessions(spark: SparkSession, top: str) -> tuple[DataFrame, DataFrame]:
+    """Frames and samples of all valid sessions, as ``write_session`` leaves them in ``frames`` and ``samples`` below a folder: each with ``session`` (the folder's
+    value) and ``subject``, its text up to the first underscore. A session without rows of either is skipped."""
+    one = lambda name: spark.read.parquet(f"{top.rstrip('/')}/{name}").withColumn("session", F.col("session").cast("string")).withColumn("subject", F.substring_index("session", "_", 1))
+    frames, samples = one("frames"), one("samples")
+    valid = frames.select("session").intersect(samples.select("session"))
+    return frames.join(valid, "session", "left_semi"), samples.join(valid, "session", "left_semi")
+
+
+def session_catalogue(frames: DataFrame, window: int, session: str = "session", subject: str = "subject") -> DataFrame:
+    """(subject, sessions, windows): what each subject has, with windows of ``window`` frames."""
+    sizes = frames.groupBy(subject, session).agg(F.floor(F.count("*") / window).alias("n"))
+    return sizes.groupBy(subject).agg(F.count("*").alias("sessions"), F.sum("n").alias("windows"))
+
+
 def is_synthetic(path: Column, metadata: Column) -> Column:
     """Whether the file's stem holds ``synth`` or the metadata ``synthetic``, in any case."""
     stem = F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""))
@@ -96,3 +112,21 @@ def planted_windows(spark: SparkSession, subjects: int = 8, per_subject: int = 6
                 yield pd.DataFrame({"window_id": [i], "subject": [f"s{subject:03d}"], "ear": [ear.tolist()], "eeg": [eeg.tolist()]})
 
     return spark.range(subjects * per_subject).mapInPandas(work, "window_id long, subject string, ear array<double>, eeg array<double>")
+
+
+def planted_oscillations(spark: SparkSession, subjects: int = 4, per_subject: int = 60, samples: int = 128, rate: float = 256.0, seed: int = 42) -> DataFrame:
+    """(window_id, subject, movement, eeg): a second planted link. Movement lowers slow and raises fast oscillations; every window is standardised. All is
+    built-in expressions, and the random numbers are hashes of the window, so the result does not hang on partitioning."""
+    uniform = lambda *k: (F.pmod(F.xxhash64(F.lit(seed), "window_id", *k), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    normal = lambda k: F.sqrt(-2 * F.log(uniform(F.lit(1), k))) * F.cos(2 * math.pi * uniform(F.lit(2), k))
+    m, f = F.col("movement"), F.col("factor")
+    rows = spark.range(subjects * per_subject).select(F.col("id").alias("window_id"), F.format_string("sub-%02d", F.floor(F.col("id") / per_subject) + 1).alias("subject"))
+    rows = rows.withColumns({"movement": 0.05 + 0.9 * uniform(F.lit(3)), "factor": 0.8 + 0.4 * uniform(F.lit(4))})
+    # Frequency, amplitude at rest, and its change with movement
+    waves = [(10.0, 1.2, -1.0), (20.0, 0.2, 0.8), (6.0, 0.7, -0.4), (40.0, 0.1, 0.5)]
+    wave = lambda i: sum((F.greatest(F.lit(0.1), a + b * m) * F.sin(2 * math.pi * w * f * i / rate) for w, a, b in waves), 0.08 * normal(i))
+    rows = rows.withColumn("eeg", F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), wave))
+    mean = F.aggregate("eeg", F.lit(0.0), lambda t, x: t + x) / samples
+    rows = rows.withColumn("__m", mean)
+    rows = rows.withColumn("__s", F.sqrt(F.aggregate("eeg", F.lit(0.0), lambda t, x: t + (x - F.col("__m")) * (x - F.col("__m"))) / samples) + 1e-6)
+    return rows.select("window_id", "subject", "movement", F.transform("eeg", lambda x: (x - F.col("__m")) / F.col("__s")).alias("eeg"))

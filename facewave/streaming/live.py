@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from facewave.operators import models
+from facewave.sources.tables import RECORDING
+
 FRAMES = "session long, frame_idx long, ts timestamp, ear double, face boolean"
-BLINKS = "session long, frame_idx long, ts timestamp, event int, rate int, energy double, emitted boolean"
+BLINKS = "session long, frame_idx long, ts timestamp, event int, rate int, energy double, emitted boolean, pose_velocity array<double>"
+#: No estimate.
+NONE = "N/A"
 
 
-def blinks(frames: DataFrame, threshold: float, seconds: float = 60, decay: float = 0.9, least: float = 0.5, late: str = "10 seconds", most: int = 300) -> DataFrame:
-    """Blink events, their rate, movement energy and rate-limited emission per frame; the state of a session is a flag, the times of its
+def blinks(frames: DataFrame, threshold: float, seconds: float = 60, decay: float = 0.9, least: float = 0.5, late: str = "10 seconds", most: int = 300, pose: Sequence[str] = ()) -> DataFrame:
+    """Blink events, their rate, movement energy, rate-limited emission and the velocities of the angles in ``pose`` (0 for a session's first frame); the state of a session is a flag, the times of its
     last blinks and a few numbers. A batch is folded in time order; frames behind the watermark are dropped by it."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        below, times, energy, last, emitted = state.get if state.exists else (False, [], 0.0, float("nan"), float("-inf"))
-        times = list(times)
+        below, times, energy, last, emitted, angles = state.get if state.exists else (False, [], 0.0, float("nan"), float("-inf"), [])
+        times, angles = list(times), list(angles)
         rows = pd.concat(list(batches)).sort_values(["ts", "frame_idx"])
         out = []
-        for i, ts, ear in zip(rows["frame_idx"], rows["ts"], rows["ear"], strict=True):
+        turns = rows[list(pose)].to_numpy(float).tolist()
+        for i, ts, ear, now in zip(rows["frame_idx"], rows["ts"], rows["ear"], turns, strict=True):
             t = ts.timestamp()
+            moved, angles = [a - b for a, b in zip(now, angles, strict=True)] if angles else [0.0] * len(now), now
             event = 0
             if ear < threshold:
                 event, below = int(not below), True
@@ -36,11 +45,11 @@ def blinks(frames: DataFrame, threshold: float, seconds: float = 60, decay: floa
             last = ear if ear == ear else last
             emit = t - emitted >= least
             emitted = t if emit else emitted
-            out.append((key[0], i, ts, event, len(times), energy, emit))
-        state.update((below, times, energy, last, emitted))
-        yield pd.DataFrame(out, columns=["session", "frame_idx", "ts", "event", "rate", "energy", "emitted"])
+            out.append((key[0], i, ts, event, len(times), energy, emit, moved))
+        state.update((below, times, energy, last, emitted, angles))
+        yield pd.DataFrame(out, columns=["session", "frame_idx", "ts", "event", "rate", "energy", "emitted", "pose_velocity"])
 
-    return frames.withWatermark("ts", late).groupBy("session").applyInPandasWithState(fold, BLINKS, "below boolean, times array<double>, energy double, last double, emitted double", "append", GroupStateTimeout.NoTimeout)
+    return frames.withWatermark("ts", late).groupBy("session").applyInPandasWithState(fold, BLINKS, "below boolean, times array<double>, energy double, last double, emitted double, angles array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def windows(frames: DataFrame, length: int, late: str = "10 seconds") -> DataFrame:
@@ -60,6 +69,48 @@ def windows(frames: DataFrame, length: int, late: str = "10 seconds") -> DataFra
     return frames.withWatermark("ts", late).groupBy("session").applyInPandasWithState(fold, "session long, frame_idx long, mean double, low double, high double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+@dataclass(frozen=True)
+class StateModel:
+    """What a live estimate needs: the normaliser of a window's features, axes, a mixture, and names of its components."""
+
+    mean: np.ndarray
+    std: np.ndarray
+    axes: models.Components
+    mixture: models.Mixture
+    names: Sequence[str]
+    frames: int = 64
+    fps: float = 18.0
+    synthetic: bool = False
+
+    def estimate(self, window: np.ndarray) -> str:
+        """Name and share of the likeliest component for a window [frames, columns]; its features are each column's mean, deviation, least, largest and energy."""
+        x = np.concatenate([window.mean(axis=0), window.std(axis=0), window.min(axis=0), window.max(axis=0), (window * window).mean(axis=0)])
+        log = self.mixture.log_densities((((x - self.mean) / self.std - self.axes.mean) @ self.axes.axes.T)[None, :])[0]
+        share = np.exp(log - log.max())
+        share /= share.sum()
+        best = int(share.argmax())
+        return f"{self.names[best] if best < len(self.names) else f'cluster {best}'} ({share[best]:.0%})"
+
+
+def facial_state(frames: DataFrame, model: StateModel | None, columns: Sequence[str], fps: float = 18.0, late: str = "10 seconds") -> DataFrame:
+    """(session, frame_idx, state): the estimate from the last frames with a face. N/A without a model, with one that was trained on synthetic data or for another frame rate, and while
+    fewer frames are held than it needs; a lost face clears them."""
+    able = model is not None and not model.synthetic and abs(model.fps - fps) <= 1e-8 + 1e-5 * abs(fps)
+    length, many = (model.frames, len(columns)) if able else (1, len(columns))
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = np.array(state.get[0] if state.exists else [], float).reshape(-1, many)
+        rows = pd.concat(list(batches)).sort_values(["ts", "frame_idx"])
+        out = []
+        for i, face, values in zip(rows["frame_idx"], rows["face"], rows[list(columns)].to_numpy(float), strict=True):
+            held = np.vstack([held, values])[-length:] if face else held[:0]
+            out.append((key[0], i, model.estimate(held) if able and len(held) == length and np.isfinite(held).all() else NONE))
+        state.update((held.ravel().tolist(),))
+        yield pd.DataFrame(out, columns=["session", "frame_idx", "state"])
+
+    return frames.withWatermark("ts", late).groupBy("session").applyInPandasWithState(fold, "session long, frame_idx long, state string", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def telemetry(frames: DataFrame, width: str, late: str = "10 seconds") -> DataFrame:
     """Frames, lost faces and frame rate of each interval."""
     seconds = F.col("w.end").cast("double") - F.col("w.start").cast("double")
@@ -80,6 +131,11 @@ def aligned(frames: DataFrame, samples: DataFrame, within: str, late: str = "10
     return a.join(b, F.expr(f"f.session = s.session and s.ts <= f.ts and s.ts >= f.ts - interval {within}")).select("f.session", "f.frame_idx", F.col("f.ts").alias("ts"), "s.sample_idx", F.col("s.value").alias("value"))
 
 
+def recording(frames: DataFrame) -> DataFrame:
+    """A recording's columns in their order, by session; what the stream lacks is null."""
+    return frames.select("session", *[(F.col(c) if c in frames.columns else F.lit(None)).cast("int" if c in ("blink_flag", "face_detected") else "double").alias(c) for c in RECORDING])
+
+
 def record(frames: DataFrame, path: str, checkpoint: str):
-    """Writes a stream to Parquet by session, what is there now, and returns the query."""
+    """Writes a stream to Parquet by session, what is there now, and returns the query. Markers are a stream of their own."""
     return frames.writeStream.format("parquet").partitionBy("session").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -266,3 +266,85 @@ def test_selection_is_not_held_to_few_clusters(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     curve = {r["k"]: r["chosen"] for r in study_queries.m3(spark, str(tmp_path)).collect()}
     assert sorted(curve) == list(range(2, 9)) and [k for k in curve if curve[k]] == [5]
+
+
+def test_live_estimate_and_its_gates(spark, tmp_path):
+    from dataclasses import replace
+
+    from facewave.operators import models
+    from facewave.streaming import live
+
+    mixture = models.Mixture(np.array([0.5, 0.5]), np.array([[-1.0], [1.0]]), np.full((2, 1, 1), 0.25), True)
+    model = live.StateModel(np.zeros(5), np.ones(5), models.Components(np.zeros(5), np.eye(1, 5), np.ones(1)), mixture, ["low"], frames=3)
+    rows = [(1, i, f"2026-01-01 00:00:{i:02d}", -1.0 if i < 4 else 1.0, i != 7) for i in range(12)]
+    df = spark.createDataFrame(rows, "session long, frame_idx long, ts string, ear double, face boolean").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(str(tmp_path / "in"))
+
+    def states(model):
+        out = []
+        stream = live.facial_state(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), model, ["ear"], late="1 day")
+        stream.writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / f"state{len(list(tmp_path.iterdir()))}")).trigger(availableNow=True).start().awaitTermination()
+        return [r["state"] for r in sorted(out, key=lambda r: r["frame_idx"])]
+
+    got = states(model)
+    assert got[:2] == ["N/A"] * 2 and got[7:10] == ["N/A"] * 3  # too few frames, and after a lost face
+    assert got[2] == "low (100%)" and got[6] == "cluster 1 (100%)"
+    for other in (None, replace(model, synthetic=True), replace(model, fps=30.0), replace(model, frames=64)):
+        assert set(states(other)) == {"N/A"}
+
+
+def test_sessions_are_written_and_read(spark, tmp_path):
+    rows = [("s1_a", i, 0.1 * i) for i in range(9)] + [("s1_b", i, 0.2) for i in range(4)] + [("s2_a", 0, 1.0)]
+    frames = spark.createDataFrame(rows, "session string, frame_idx long, ear double")
+    tables.write_session(frames, str(tmp_path / "frames"))
+    tables.write_session(frames.where("session <> 's2_a'").drop("ear"), str(tmp_path / "samples"))
+    read, samples = tables.read_sessions(spark, str(tmp_path))
+    assert sorted({(r["subject"], r["session"]) for r in read.collect()}) == [("s1", "s1_a"), ("s1", "s1_b")] and samples.count() == 13
+    assert [tuple(r) for r in tables.session_catalogue(read, 4).collect()] == [("s1", 2, 3)]
+
+
+def test_second_planted_windows(spark):
+    a = tables.planted_oscillations(spark, per_subject=20)
+    rows = a.orderBy("window_id").collect()
+    assert rows == a.repartition(3).orderBy("window_id").collect() and len({r["subject"] for r in rows}) == 4
+    x = np.array([r["eeg"] for r in rows])
+    assert np.allclose(x.mean(axis=1), 0, atol=1e-9) and np.allclose(x.std(axis=1), 1, atol=1e-3)
+    fast = (np.abs(np.fft.rfft(x, axis=1))[:, 8:12] ** 2).sum(axis=1)  # 16 to 22 Hz
+    assert np.corrcoef([r["movement"] for r in rows], fast)[0, 1] > 0.5
+
+
+def test_permutation_control_by_sums(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    rows = [(i, r.tolist(), float(r @ [1, 2, 0] + rng.normal()), float(rng.normal()), i % 4) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y double, noise double, fold int")
+    true, p = models.permutation_control(df, "x", "y", "fold", "id", 1.0, 60, group_rows=70)
+    assert true > 0.5 and p == 1 / 61
+    assert models.permutation_control(df.repartition(7), "x", "noise", "fold", "id", 1.0, 60)[1] > 0.02
+
+
+def test_bootstrap_by_weights_agrees_with_resampling(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, i, float(v)) for k in ("a", None) for i, v in enumerate(rng.normal(3, 1, 400))], "g string, id long, v double")
+    few, many = (hypothesis.bootstrap_ci(df, "g", "v", 1000, key="id", group_rows=n).orderBy("g").collect() for n in (10_000, 100))
+    for a, b in zip(few, many, strict=True):
+        assert (a["g"], a["n"], a["mean"], a["std"]) == (b["g"], b["n"], b["mean"], b["std"])
+        assert abs(a["low"] - b["low"]) < 0.03 and abs(a["high"] - b["high"]) < 0.03 and a["low"] < a["mean"] < a["high"]
+
+
+def test_signed_rank_table(spark):
+    rng = np.random.default_rng(5)
+    for d in (rng.normal(0.3, 1, 20), rng.integers(-3, 5, 80).astype(float), np.zeros(4), np.array([1.0])):
+        df = spark.createDataFrame([(float(x),) for x in d] + [(None,), (float("nan"),)], "d double")
+        assert abs(hypothesis.signed_rank_table(df, "d").first()["p"] - hypothesis.signed_rank(d)) < 1e-9
+
+
+def test_large_strata_and_many_subjects_are_dealt(spark):
+    rows = [(i, i % 3, float(i % 3 + (i * 7919 % 100) / 50), "s") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, label int, rank double, stratum string")
+    sums = hypothesis.permutation_ranks(df, "label", "rank", ["stratum"], "id", 20, group_rows=50).toPandas()
+    assert len(sums) == 60 and (sums.groupby("perm")["m"].sum() == 300).all()
+    assert np.allclose(sums.groupby("perm")["r"].sum(), sum(r[2] for r in rows))
+    subjects = spark.createDataFrame([(f"u{i % 40}",) for i in range(400)], "subject string")
+    folds = splits.subject_folds(subjects, 4, most=10).collect()
+    assert len(folds) == 40 and {r["fold"] for r in folds} == {0, 1, 2, 3}
