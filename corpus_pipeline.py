@@ -27,7 +27,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component."""
+    """Keeps the document with the smallest id of each component; rows that share an id are judged each by its text."""
     return jaccard_join.keep_one(docs)
 
 
@@ -51,7 +51,7 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: SQL cannot express the learned stages; the tests compare each stage with a brute-force version.
+#: SQL cannot express the learned stages. The tests compare near duplicates and benchmark with brute force, and the learned stages with what was planted.
 ORACLE_SQL = None
 
 

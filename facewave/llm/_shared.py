@@ -8,13 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facewave.sources.shared import shared_top
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all machines of a cluster share. It goes when the application ends."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
-    path = f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder in the one that all machines share. It goes when the application ends."""
+    path = f"{shared_top(spark)}/llm-{uuid.uuid4().hex}"
     _files(spark, path, lambda system, place: system.deleteOnExit(place))
     return path
 

@@ -2,10 +2,11 @@
 
 A text is the vector of its byte trigrams (A-Z in lower case, other ASCII that is no letter as one blank), hashed to
 ``DIM`` places, weighted by TF-IDF and set to length one. Each language has a few centroids, found by spherical k-means
-among its own training rows; the nearest centroid by cosine names the language. A text whose best cosine lies below a quarter
-of the training rows' lowest per mille is ``rejected``.
+among its own training rows; the nearest centroid by cosine names the language. Cosines grow with length, so texts are held against training rows of their own
+length (trigrams between two powers of two): a text is ``rejected`` if its best cosine lies below ``STRICT`` of the lowest per mille there. Shorter ones than
+``BRIEF`` trigrams, of which a clean one may have no common trigram, are rejected only below a quarter of the lowest per mille of all rows.
 
-Bound: the model is fitted on about ``per_lang`` rows of each language (chosen by a hash of the key; all rows where there
+Bound: the model is fitted on about ``per_lang`` rows of each language, ``per_model`` in all (chosen by a hash of the key; all rows where there
 are fewer); its size does not follow the input. Every text is scored whole.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and rejected; with no training rows every
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 from facewave.llm._text import SLICE, slices, tidy, utf8
 
 DIM = 4096
+LENGTHS = 40
+#: Trigrams from which on a text is held against those of its length, the share of their lowest cosine, and rows that make a length's bound.
+BRIEF, STRICT, ENOUGH = 64, 0.6, 30
 LETTER = regex.compile(r"\p{L}")
 #: Bytes as they count: letters in lower case, all bytes from 0x80 on as they are, the rest as a blank.
 CLASS = np.full(256, 0x20, np.uint8)
@@ -94,12 +98,25 @@ class Model:
     names: list[str]  # one for each centroid
     idf: np.ndarray
     centroids: np.ndarray
-    reject_below: float
+    reject_below: np.ndarray  # by length: the whole logarithm (base 2) of the number of trigrams
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return unit(np.log1p(counts, dtype=np.float32) * self.idf)
 
 
+def length_of(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64), LENGTHS - 1)
+
+
+def bounds(length: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The least cosine that is not rejected, by length; a length with few rows takes the bound of the one below it."""
+    out = np.full(LENGTHS, np.quantile(best, 0.001) / 4)
+    for k in range(BRIEF.bit_length() - 1, LENGTHS):
+        here = best[length == k]
+        out[k] = STRICT * np.quantile(here, 0.001) if len(here) >= ENOUGH else out[k - 1]
+    return out
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; every start after the first is drawn (by a fixed seed) the likelier the farther it is from the others.
     Clusters under a twentieth of the rows are dropped, as they may be rows with a wrong label."""
@@ -118,12 +135,14 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c[share >= min(0.05, share.max())]
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 800, clusters: int = 3) -> Model | None:
-    """The model of the languages in ``rows``; None where no row has both a language and a text."""
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 800, clusters: int = 3, per_model: int = 40_000) -> Model | None:
+    """The model of the languages in ``rows``; None where no row has both a language and a text. With very many languages each has fewer rows, so that
+    ``per_model`` rows (8 kB each) come to the driver in all."""
     rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
+    per_lang = max(1, min(per_lang, per_model // len(sizes)))
     share = F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, int(2**20 * min(1.0, per_lang / c)))])
     sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(2**20)) < share[F.col("lang")])
 
@@ -142,14 +161,14 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if not len(labels):
         return None
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model([], idf, np.empty((0, DIM), np.float32), 0.0)
+    model = Model([], idf, np.empty((0, DIM), np.float32), np.zeros(LENGTHS))
     x = model.vectors(counts)
     order = np.lexsort(x.T[:8])  # the sample comes in any order; the starts must not follow it
-    x, labels = x[order], labels[order]
+    x, labels, length = x[order], labels[order], length_of(counts)[order]
     found = [(name, c) for name in sorted(set(labels)) for c in k_means(x[labels == name], clusters)]
     centroids = np.array([c for _, c in found], np.float32)
     best = (x @ centroids.T).max(axis=1)
-    return Model([str(n) for n, _ in found], idf, centroids, float(np.quantile(best, 0.001)) / 4)
+    return Model([str(n) for n, _ in found], idf, centroids, bounds(length, best))
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -162,15 +181,16 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[s
         for batch in batches:
             column = batch.column(0)
             letters = lettered(column)
-            best, at = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            best, at, least = np.zeros(len(batch)), np.zeros(len(batch), np.int64), np.full(len(batch), 2.0)
             if model:
                 for first, cells in trigram_counts(column):
                     near = model.vectors(cells) @ model.centroids.T
                     best[first : first + len(cells)] = near.max(axis=1)
                     at[first : first + len(cells)] = near.argmax(axis=1)
+                    least[first : first + len(cells)] = model.reject_below[length_of(cells)]
             names = [model.names[i] if ok and model else "und" for i, ok in zip(at, letters, strict=True)]
             score = np.where(letters, np.clip(best, 0, 1), 0.0)
-            rejected = ~letters | (score < (model.reject_below if model else 2))
+            rejected = ~letters | (score < least)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*kept, *new])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)

@@ -144,3 +144,54 @@ def test_pipeline_keeps_clean_and_drops_the_rest(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_shards_of_the_query(spark):
+    """Sizes, sums and places of op8 by hand; its shards are near equal in bytes as far as single texts allow."""
+    import zlib
+
+    docs = spark.read.parquet(str(DATA / "documents.parquet")).toPandas()
+    got = kd_shards.op8_kd_shards(spark, str(DATA), 8).toPandas().merge(docs, on="doc_id")
+    raw = [(t or "").encode() for t in got["text"]]
+    assert len(got) == len(docs) and (got["size"] == [len(t) + 16 for t in raw]).all() and (got["text_crc32"] == [zlib.crc32(t) for t in raw]).all()
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"]) and set(got["shard"]) == set(range(8))
+    total = got.groupby("shard")["size"].sum()
+    assert (total - got["size"].sum() / 8).abs().max() <= 2 * got["size"].max()
+
+
+def test_shards_of_odd_rows(spark):
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "x", "en", "s", 1), (2, "", "en", None, 0), (3, "y" * 5000, None, "s", -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    dims = {"lang": kd_shards.placed_by(df, "lang"), "chars": kd_shards.scaled(df, "n_chars")}
+    out = kd_shards.shards(df, 3, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, dims, F.crc32(F.coalesce("text", F.lit("")).cast("binary")), "doc_id").toPandas()
+    assert len(out) == 5 and set(out["shard"]) <= {0, 1, 2} and all(sorted(s) == list(range(len(s))) for _, s in out.groupby("shard")["slot"])
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_stages_by_brute_force(spark):
+    """What the near-duplicate and benchmark stages keep of the given documents, with rows that share an id beside them, against pairs and windows by hand."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tests.llm.test_text_operators import components_by_hand, windows_by_hand
+
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    groups = components_by_hand(rows)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(DATA)).collect()}
+    assert kept == {d for d, (_, low) in groups.items() if d == low}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(str(DATA / "benchmark.parquet")).collect()]
+    hit = windows_by_hand(rows, items)
+    shared = docs.union(docs.where("doc_id < 40").withColumn("text", F.lit("nothing of any item here, only this")))
+    clean = corpus_pipeline.benchmark(spark, shared, str(DATA))
+    assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted([str(d) for d, x in hit.items() if not x[1]] + [str(d) for d, _ in rows if d is not None and d < 40])
+
+
+def test_pipeline_of_no_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

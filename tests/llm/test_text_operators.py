@@ -257,6 +257,25 @@ def test_language(spark):
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and all(got[i]["rejected"] and got[i]["score"] == 0 for i in (1, 2, 3))
     assert got[4]["lang_pred"] == "de" and 0 <= got[4]["score"] <= 1
     assert langid.predict(odd, langid.fit(rows.limit(0))).where("lang_pred = 'und'").count() == 5
+    # long texts of no learned language, and of no language, go; a brief clean one stays; repeated rows and ties agree
+    rng = np.random.default_rng(9)
+    junk = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz "), 600)), rng.bytes(400).hex(), "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 300)), "это предложение на русском языке " * 12]
+    texts = [*junk, "was it", "der und die", "la de que", "was it"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["rejected"] for r in got] == [True] * 4 + [False] * 4 and got[4][2:] == got[7][2:]
+    assert langid.predict(odd.limit(0), model).count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_held_out_rows_of_the_queries(spark):
+    """The learned queries on held-out rows of the given tables: languages, what is rejected, and toxic documents."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = langid.op10_langid(spark, folder).where("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id").where("lang is not null and text rlike '[A-Za-z]'").toPandas()
+    assert (found["lang"] == found["lang_pred"]).mean() > 0.98 and found["rejected"].mean() < 0.01
+    scored = toxicity.op4_toxicity(spark, folder).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").where("toxic is not null").toPandas()
+    toxic = scored[scored["toxic"] == 1]
+    assert (toxic["predicted"] == 1).mean() > 0.6 and (scored[scored["toxic"] == 0]["predicted"] == 1).mean() < 0.03
 
 
 def toxic_rows(spark, n=300):
