@@ -84,6 +84,15 @@ COMPACT = (
 ).split()
 
 
+#: Action units and the blend shapes that each is the mean of.
+ACTION_UNITS = {
+    "brow_raiser": ["browInnerUp", "browOuterUpLeft", "browOuterUpRight"], "brow_lowerer": ["browDownLeft", "browDownRight"],
+    "eye_widener": ["eyeWideLeft", "eyeWideRight"], "eye_squint": ["eyeSquintLeft", "eyeSquintRight"], "cheek_raiser": ["cheekSquintLeft", "cheekSquintRight"],
+    "nose_wrinkler": ["noseSneerLeft", "noseSneerRight"], "smile_AU12": ["mouthSmileLeft", "mouthSmileRight"], "lip_depressor": ["mouthFrownLeft", "mouthFrownRight"],
+    "jaw_open": ["jawOpen"], "lip_pucker": ["mouthPucker"], "lip_stretch": ["mouthStretchLeft", "mouthStretchRight"],
+}
+
+
 def geometry(points: Column, pairs: Mapping[str, tuple[int, int]] = GEOMETRY, nose: int = NOSE, corners: tuple[int, int] = EYE_CORNERS) -> dict[str, Column]:
     """Distances of pairs in normalised points, the nose's place as hints of yaw and pitch, and the roll of the eye line; 0 where a point is missing."""
     p = normalised(points, corners)

@@ -5,10 +5,15 @@ All take the names of the session, order and value columns. Rows of one session
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from facewave.functions import facial
+
 
 def in_order(session: str = "session", ts: str = "ts", tie: str = "frame_idx") -> WindowSpec:
     return Window.partitionBy(session).orderBy(ts, tie)
@@ -56,10 +61,11 @@ def movement_energy(df: DataFrame, value: str, session: str = "session", ts: str
     w = Window.partitionBy(session, "__chunk").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("__local", (1 - decay) * F.pow(F.lit(decay), F.col("__i")) * F.sum(F.col(value) * F.pow(F.lit(decay), -F.col("__i"))).over(w))
     ends = df.groupBy(session, "__chunk").agg(F.max("__i").alias("m"), F.max_by("__local", "__i").alias("e"))
-    # a session has one row here for each chunk; its carries are folded in order
-    carry = ends.groupBy(session).agg(F.sort_array(F.collect_list(F.struct("__chunk", "m", "e"))).alias("ends"))
-    fold = F.aggregate("ends", F.array().cast("array<double>"), lambda t, x: F.concat(t, F.array(x["e"] + F.pow(F.lit(decay), x["m"] + 1) * F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(0.0)))))
-    carry = carry.select(session, F.posexplode(fold).alias("c", "__carry")).select(session, (F.col("c") + 1).cast("long").alias("__chunk"), "__carry")
+    # what came before enters by powers of ``decay``; so many chunk ends as are above a double's precision make up the carry
+    reach = math.ceil(math.log(1e-18) / (chunk * math.log(decay))) + 1
+    last = F.collect_list(F.struct("m", "e")).over(Window.partitionBy(session).orderBy("__chunk").rowsBetween(-reach, 0))
+    fold = F.aggregate(last, F.lit(0.0), lambda t, x: x["e"] + F.pow(F.lit(decay), x["m"] + 1) * t)
+    carry = ends.select(session, (F.col("__chunk") + 1).alias("__chunk"), fold.alias("__carry"))
     df = df.join(carry, [session, "__chunk"], "left")
     return df.withColumn("energy", F.col("__local") + F.coalesce(F.col("__carry"), F.lit(0.0)) * F.pow(F.lit(decay), F.col("__i") + 1)).drop("__n", "__chunk", "__i", "__local", "__carry")
 
@@ -132,3 +138,32 @@ def scaled_history(df: DataFrame, value: str, bands: int = 60, samples: int = 51
     w, v = in_order().rowsBetween(1 - bands, 0), in_order().rowsBetween(1 - samples, 0)
     low, high, top = F.min(value).over(w), F.max(value).over(w), F.max(F.abs(value)).over(v)
     return df.withColumns({"scaled": (F.col(value) - low) / F.greatest(high - low, F.lit(floor)), "waveform": F.col(value) / F.greatest(top, F.lit(floor))})
+
+
+@dataclass(frozen=True)
+class Face:
+    """Which landmarks are what."""
+
+    left: tuple[int, ...] = facial.LEFT_EYE
+    right: tuple[int, ...] = facial.RIGHT_EYE
+    lips: tuple[tuple[int, int], ...] = ((13, 14), (81, 178), (311, 402))
+    mouth: tuple[int, int] = (61, 291)
+    nose: int = facial.NOSE
+    sides: tuple[tuple[int, int], ...] = ((33, 263), (61, 291), (70, 300))
+    corners: tuple[int, int] = facial.EYE_CORNERS
+
+
+def compact_frames(df: DataFrame, face: Face, threshold: float, session: str = "session", ts: str = "ts", tie: str = "frame_idx", decay: float = 0.9, seconds: float = 60) -> DataFrame:
+    """(session, frame_idx, the columns of ``facial.COMPACT`` and an ``au_`` column for each action unit) of frames with points (array<struct<x, y, z>>), scores (map of blend shapes) and
+    pitch, yaw and roll in degrees. All of a session's columns are made in its time order."""
+    w, p = in_order(session, ts, tie), F.col("points")
+    left, right = facial.eye_aspect_ratio(p, face.left), facial.eye_aspect_ratio(p, face.right)
+    df = df.withColumns({
+        "ear_left": left, "ear_right": right, "ear_avg": (left + right) / 2, "mar": facial.mouth_aspect_ratio(p, face.lips, face.mouth), "facial_symmetry": facial.symmetry(p, face.nose, face.sides),
+        **{f"head_{a}": facial.head_angle(F.col(a)) for a in ("pitch", "yaw", "roll")}, "__micros": (F.col(ts) * 1e6).cast("long"),
+        "__flat": F.flatten(F.transform(facial.normalised(p, face.corners), lambda q: F.array(q["x"], q["y"], q["z"]))), "__units": facial.action_units(F.col("scores"), facial.ACTION_UNITS),
+    })
+    df = landmark_dynamics(df, "__flat", w)
+    df = df.withColumns({f"head_{a}_vel": difference(F.col(f"head_{a}"), w) for a in ("pitch", "yaw", "roll")}).withColumn("blink_event", blink_event(F.col("ear_avg"), threshold, w))
+    df = movement_energy(df, "magnitude", session, ts, tie, decay).withColumn("blink_rate", blink_rate("blink_event", "__micros", session, tie, seconds)).withColumnRenamed("energy", "movement_energy")
+    return df.select(session, tie, *facial.COMPACT, *[F.get("__units", i).alias(f"au_{n}") for i, n in enumerate(facial.ACTION_UNITS)])

@@ -322,10 +322,34 @@ def w16(spark, d):
     return sequence.label_runs(frames(spark, d), "event_type", "session", "frame_idx")
 
 
-@entry("w17_compact_frame", f"{_blink} SELECT frame_idx, round(ear, 6) AS ear, event, round(coalesce(ear - lag(ear) {W}, 0), 6) AS velocity, CAST(sum(event) OVER (PARTITION BY session ORDER BY us RANGE BETWEEN 432000000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS rate FROM b")
+# a label's windows, in the order of their ids and a second apart, are its frames: 32 landmarks, blend shapes and pose from the same values
+_FACE = sequence.Face(LEFT, RIGHT, tuple(LIPS), (18, 19), 20, tuple(PAIRS), (0, 3))
+_SHAPES = [s for names in f.ACTION_UNITS.values() for s in names]
+_units = ", ".join(f"round(({' + '.join(at(_SHAPES.index(s)) for s in names)}) / {len(names)}, 6) AS au_{n}" for n, names in f.ACTION_UNITS.items())
+_turn = lambda i: f"(({at(i)} * 900 + 180) - 360 * floor(({at(i)} * 900 + 180) / 360) - 180)"
+_half = lambda i: f"CASE WHEN {_turn(i)} > 90 THEN {_turn(i)} - 180 WHEN {_turn(i)} < -90 THEN {_turn(i)} + 180 ELSE {_turn(i)} END"
+_POSE = {"pitch": 60, "yaw": 61, "roll": 62}
+
+
+@entry("w17_compact_frame", f"""WITH p1 AS ({ENTRIES["p1_eye_aspect_ratio"][1]}), p2 AS ({ENTRIES["p2_mouth_aspect_ratio"][1]}), p3 AS ({ENTRIES["p3_symmetry"][1]}),
+s AS (SELECT label, vec_id, i, (CAST(embedding[i + 1] AS DOUBLE) - CASE WHEN i % 2 = 0 THEN mx ELSE my END) / scale AS x FROM (SELECT *, {_mean["x"]} AS mx, {_mean["y"]} AS my, {_dist(0, 3)} AS scale FROM embeddings), range(64) t(i)),
+v AS (SELECT *, coalesce(x - lag(x) OVER w, 0) AS v FROM s WINDOW w AS (PARTITION BY label, i ORDER BY vec_id)), a AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY label, i ORDER BY vec_id), 0) AS a FROM v),
+d AS (SELECT label, vec_id, sum(abs(v)) / 96 AS velocity, sum(abs(a)) / 96 AS acceleration, sqrt(sum(v * v)) AS magnitude FROM a GROUP BY label, vec_id), n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM d),
+g AS (SELECT x.vec_id, sum(0.1 * power(0.9, x.n - y.n) * y.magnitude) AS energy FROM n x JOIN n y ON x.label = y.label AND y.n <= x.n GROUP BY x.vec_id),
+b AS (SELECT vec_id, label, CASE WHEN ear_avg < 1 AND coalesce(lag(ear_avg) OVER (PARTITION BY label ORDER BY vec_id) >= 1, true) THEN 1 ELSE 0 END AS event FROM p1 JOIN embeddings USING (vec_id)),
+r AS (SELECT vec_id, event, least(sum(event) OVER (PARTITION BY label ORDER BY vec_id RANGE BETWEEN 60 PRECEDING AND CURRENT ROW), 300) AS rate FROM b),
+h AS (SELECT vec_id, label, {", ".join(f"{_half(i)} AS {n}" for n, i in _POSE.items())}, {_units} FROM embeddings)
+SELECT h.vec_id AS frame_idx, ear_left, ear_right, ear_avg, CAST(event AS INTEGER) AS blink_event, CAST(rate AS BIGINT) AS blink_rate, mar, {", ".join(f"round({n}, 5) AS head_{n}" for n in _POSE)},
+{", ".join(f"round(coalesce({n} - lag({n}) OVER (PARTITION BY h.label ORDER BY h.vec_id), 0), 5) AS head_{n}_vel" for n in _POSE)}, symmetry AS facial_symmetry, round(100 * velocity, 5) AS movement_magnitude, round(energy, 6) AS movement_energy, round(velocity, 6) AS mean_velocity, round(acceleration, 6) AS mean_acceleration,
+{", ".join(f"au_{n}" for n in f.ACTION_UNITS)} FROM h JOIN p1 USING (vec_id) JOIN p2 USING (vec_id) JOIN p3 USING (vec_id) JOIN d USING (vec_id) JOIN g USING (vec_id) JOIN r USING (vec_id)""")
 def w17(spark, d):
-    x = _blinks(spark, d)
-    return x.select("frame_idx", r(F.col("ear")).alias("ear"), "event", r(sequence.difference(F.col("ear"), sequence.in_order())).alias("velocity"), sequence.blink_rate("event", "us", "session", "frame_idx", 432000).cast("long").alias("rate"))
+    x = windows(spark, d)
+    scores = F.map_from_arrays(F.array(*map(F.lit, _SHAPES)), F.slice("x", 1, len(_SHAPES)))
+    x = x.select(F.col("label").alias("session"), F.col("vec_id").alias("frame_idx"), F.col("vec_id").cast("double").alias("ts"), points().alias("points"), scores.alias("scores"), *[(F.get("x", i) * 900).alias(n) for n, i in _POSE.items()])
+    out = sequence.compact_frames(x, _FACE, 1.0)
+    places = {**dict.fromkeys([f"head_{n}{v}" for n in _POSE for v in ("", "_vel")], 5), "movement_magnitude": 5}
+    whole = {"blink_event": "int", "blink_rate": "long"}
+    return out.select("frame_idx", *[F.col(c).cast(whole[c]).alias(c) if c in whole else r(F.col(c), places.get(c, 6)).alias(c) for c in out.columns if c not in ("session", "frame_idx")])
 
 
 @entry("w19_scaled_history", f"{FRAMES}, q AS (SELECT frame_idx, ear, min(ear) OVER w AS lo, max(ear) OVER w AS hi, max(abs(ear)) OVER v AS top FROM fr WINDOW w AS (PARTITION BY session ORDER BY ts, frame_idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), v AS (PARTITION BY session ORDER BY ts, frame_idx ROWS BETWEEN 511 PRECEDING AND CURRENT ROW)) SELECT frame_idx, round((ear - lo) / greatest(hi - lo, 1e-4), 6) AS scaled, round(ear / greatest(top, 1e-4), 6) AS waveform FROM q")
