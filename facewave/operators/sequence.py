@@ -6,6 +6,7 @@ All take the names of the session, order and value columns. Rows of one session
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,8 @@ def difference(value: Column, w: WindowSpec) -> Column:
     return F.coalesce(value - F.lag(value).over(w), F.lit(0.0))
 
 
-def landmark_dynamics(df: DataFrame, points: str, w: WindowSpec) -> DataFrame:
-    """Velocity and acceleration of a vector (array) per frame, as mean absolute values and the velocity's length."""
+def landmark_dynamics(df: DataFrame, points: str, w: WindowSpec, whole: bool = False) -> DataFrame:
+    """Velocity and acceleration of a vector (array) per frame, as mean absolute values and the velocity's length; ``whole`` keeps both as arrays too."""
     zeros = F.transform(points, lambda _: F.lit(0.0))
     df = df.withColumn("__v", F.zip_with(points, F.coalesce(F.lag(points).over(w), F.col(points)), lambda a, b: (a - b).cast("double")))
     df = df.withColumn("__a", F.zip_with("__v", F.coalesce(F.lag("__v").over(w), zeros), lambda a, b: a - b))
@@ -47,7 +48,7 @@ def landmark_dynamics(df: DataFrame, points: str, w: WindowSpec) -> DataFrame:
     return df.withColumns({
         "mean_velocity": mean("__v"), "mean_acceleration": mean("__a"),
         "magnitude": F.sqrt(F.aggregate("__v", F.lit(0.0), lambda t, x: t + x * x)),
-        "movement_magnitude": 100 * mean("__v"),
+        "movement_magnitude": 100 * mean("__v"), **({"velocity": F.col("__v"), "acceleration": F.col("__a")} if whole else {}),
     }).drop("__v", "__a")
 
 
@@ -167,3 +168,13 @@ def compact_frames(df: DataFrame, face: Face, threshold: float, session: str = "
     df = df.withColumns({f"head_{a}_vel": difference(F.col(f"head_{a}"), w) for a in ("pitch", "yaw", "roll")}).withColumn("blink_event", blink_event(F.col("ear_avg"), threshold, w))
     df = movement_energy(df, "magnitude", session, ts, tie, decay).withColumn("blink_rate", blink_rate("blink_event", "__micros", session, tie, seconds)).withColumnRenamed("energy", "movement_energy")
     return df.select(session, tie, *facial.COMPACT, *[F.get("__units", i).alias(f"au_{n}") for i, n in enumerate(facial.ACTION_UNITS)])
+
+
+def full_vectors(df: DataFrame, face: Face, pairs: Mapping[str, tuple[int, int]], nose: int, expressions: Sequence[str], session: str = "session", ts: str = "ts", tie: str = "frame_idx", decay: float = 0.9) -> DataFrame:
+    """(session, frame_idx, features) of the same frames: normalised points, geometry, velocity, acceleration, magnitude and energy, expressions."""
+    p, w = F.col("points"), in_order(session, ts, tie)
+    df = df.withColumn("__flat", F.flatten(F.transform(facial.normalised(p, face.corners), lambda q: F.array(q["x"], q["y"], q["z"]))))
+    df = movement_energy(landmark_dynamics(df, "__flat", w, whole=True), "magnitude", session, ts, tie, decay)
+    shape = F.array(*facial.geometry(p, pairs, nose, face.corners).values())
+    parts = F.concat("__flat", shape, "velocity", "acceleration", F.array("magnitude", "energy"), facial.expression_scores(F.col("scores"), expressions))
+    return df.select(session, tie, parts.alias("features"))

@@ -73,7 +73,13 @@ _scale = f"nullif(sqrt(power({at(0, 'x')} - {at(3, 'x')}, 2) + power({at(0, 'y')
 _middle = lambda axis: f"(list_sum(list_transform(range({1 + (axis == 'y')}, 65, 2), lambda i: CAST(embedding[i] AS DOUBLE))) / 32)"
 
 
-@entry("p5_geometry", f"SELECT vec_id, {', '.join(f'round({_dist(a, b)} / {_scale}, 6) AS {n}' for n, (a, b) in _pairs.items())}, round(({at(8, 'x')} - {_middle('x')}) / {_scale}, 6) AS yaw_hint, round(({at(8, 'y')} - {_middle('y')}) / {_scale}, 6) AS pitch_hint, round(atan2({at(3, 'y')} - {at(0, 'y')}, {at(3, 'x')} - {at(0, 'x')}), 6) AS roll_hint FROM embeddings")
+_geometry = {n: f"{_dist(a, b)} / {_scale}" for n, (a, b) in _pairs.items()} | {
+    "yaw_hint": f"({at(8, 'x')} - {_middle('x')}) / {_scale}", "pitch_hint": f"({at(8, 'y')} - {_middle('y')}) / {_scale}",
+    "roll_hint": f"atan2({at(3, 'y')} - {at(0, 'y')}, {at(3, 'x')} - {at(0, 'x')})",
+}
+
+
+@entry("p5_geometry", f"SELECT vec_id, {', '.join(f'round({e}, 6) AS {n}' for n, e in _geometry.items())} FROM embeddings")
 def p5(spark, d):
     w = windows(spark, d).withColumn("p", points())
     return w.select("vec_id", *[r(c).alias(n) for n, c in f.geometry(F.col("p"), _pairs, 8, (0, 3)).items()])
@@ -331,27 +337,41 @@ _half = lambda i: f"CASE WHEN {_turn(i)} > 90 THEN {_turn(i)} - 180 WHEN {_turn(
 _POSE = {"pitch": 60, "yaw": 61, "roll": 62}
 
 
-@entry("w17_compact_frame", f"""WITH p1 AS ({ENTRIES["p1_eye_aspect_ratio"][1]}), p2 AS ({ENTRIES["p2_mouth_aspect_ratio"][1]}), p3 AS ({ENTRIES["p3_symmetry"][1]}),
+_frames_sql = f"""WITH p1 AS ({ENTRIES["p1_eye_aspect_ratio"][1]}), p2 AS ({ENTRIES["p2_mouth_aspect_ratio"][1]}), p3 AS ({ENTRIES["p3_symmetry"][1]}),
 s AS (SELECT label, vec_id, i, (CAST(embedding[i + 1] AS DOUBLE) - CASE WHEN i % 2 = 0 THEN mx ELSE my END) / scale AS x FROM (SELECT *, {_mean["x"]} AS mx, {_mean["y"]} AS my, {_dist(0, 3)} AS scale FROM embeddings), range(64) t(i)),
 v AS (SELECT *, coalesce(x - lag(x) OVER w, 0) AS v FROM s WINDOW w AS (PARTITION BY label, i ORDER BY vec_id)), a AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY label, i ORDER BY vec_id), 0) AS a FROM v),
-d AS (SELECT label, vec_id, sum(abs(v)) / 96 AS velocity, sum(abs(a)) / 96 AS acceleration, sqrt(sum(v * v)) AS magnitude FROM a GROUP BY label, vec_id), n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM d),
+d AS (SELECT label, vec_id, sum(v) AS turned, sum(a) AS pushed, sum(abs(v)) / 96 AS velocity, sum(abs(a)) / 96 AS acceleration, sqrt(sum(v * v)) AS magnitude FROM a GROUP BY label, vec_id), n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM d),
 g AS (SELECT x.vec_id, sum(0.1 * power(0.9, x.n - y.n) * y.magnitude) AS energy FROM n x JOIN n y ON x.label = y.label AND y.n <= x.n GROUP BY x.vec_id),
 b AS (SELECT vec_id, label, CASE WHEN ear_avg < 1 AND coalesce(lag(ear_avg) OVER (PARTITION BY label ORDER BY vec_id) >= 1, true) THEN 1 ELSE 0 END AS event FROM p1 JOIN embeddings USING (vec_id)),
 r AS (SELECT vec_id, event, least(sum(event) OVER (PARTITION BY label ORDER BY vec_id RANGE BETWEEN 60 PRECEDING AND CURRENT ROW), 300) AS rate FROM b),
-h AS (SELECT vec_id, label, {", ".join(f"{_half(i)} AS {n}" for n, i in _POSE.items())}, {_units} FROM embeddings)
-SELECT h.vec_id AS frame_idx, ear_left, ear_right, ear_avg, CAST(event AS INTEGER) AS blink_event, CAST(rate AS BIGINT) AS blink_rate, mar, {", ".join(f"round({n}, 5) AS head_{n}" for n in _POSE)},
+h AS (SELECT vec_id, label, {", ".join(f"{_half(i)} AS {n}" for n, i in _POSE.items())}, {_units} FROM embeddings)"""
+
+
+def _faces(spark, d):
+    scores = F.map_from_arrays(F.array(*map(F.lit, _SHAPES)), F.slice("x", 1, len(_SHAPES)))
+    return windows(spark, d).select(F.col("label").alias("session"), F.col("vec_id").alias("frame_idx"), F.col("vec_id").cast("double").alias("ts"), points().alias("points"), scores.alias("scores"), *[(F.get("x", i) * 900).alias(n) for n, i in _POSE.items()])
+
+
+@entry("w17_compact_frame", f"""{_frames_sql} SELECT h.vec_id AS frame_idx, ear_left, ear_right, ear_avg, CAST(event AS INTEGER) AS blink_event, CAST(rate AS BIGINT) AS blink_rate, mar, {", ".join(f"round({n}, 5) AS head_{n}" for n in _POSE)},
 {", ".join(f"round(coalesce({n} - lag({n}) OVER (PARTITION BY h.label ORDER BY h.vec_id), 0), 5) AS head_{n}_vel" for n in _POSE)}, symmetry AS facial_symmetry, round(100 * velocity, 5) AS movement_magnitude, round(energy, 6) AS movement_energy, round(velocity, 6) AS mean_velocity, round(acceleration, 6) AS mean_acceleration,
 {", ".join(f"au_{n}" for n in f.ACTION_UNITS)} FROM h JOIN p1 USING (vec_id) JOIN p2 USING (vec_id) JOIN p3 USING (vec_id) JOIN d USING (vec_id) JOIN g USING (vec_id) JOIN r USING (vec_id)""")
 def w17(spark, d):
-    x = windows(spark, d)
-    scores = F.map_from_arrays(F.array(*map(F.lit, _SHAPES)), F.slice("x", 1, len(_SHAPES)))
-    x = x.select(F.col("label").alias("session"), F.col("vec_id").alias("frame_idx"), F.col("vec_id").cast("double").alias("ts"), points().alias("points"), scores.alias("scores"), *[(F.get("x", i) * 900).alias(n) for n, i in _POSE.items()])
-    out = sequence.compact_frames(x, _FACE, 1.0)
+    out = sequence.compact_frames(_faces(spark, d), _FACE, 1.0)
     places = {**dict.fromkeys([f"head_{n}{v}" for n in _POSE for v in ("", "_vel")], 5), "movement_magnitude": 5}
     whole = {"blink_event": "int", "blink_rate": "long"}
     return out.select("frame_idx", *[F.col(c).cast(whole[c]).alias(c) if c in whole else r(F.col(c), places.get(c, 6)).alias(c) for c in out.columns if c not in ("session", "frame_idx")])
 
 
+_SHOWN = ["browInnerUp", "jawOpen", "mouthPucker", "absent"]
+
+
+@entry("w18_full_vector", f"""{_frames_sql}, q AS (SELECT vec_id, {", ".join(f"{e} AS {n}" for n, e in _geometry.items())} FROM embeddings), e AS (SELECT vec_id, {" + ".join(at(_SHAPES.index(c)) for c in _SHOWN[:3])} + greatest(0, {", ".join(at(_SHAPES.index(c)) for c in _SHOWN[1:3])}, 0) AS shown FROM embeddings)
+SELECT h.vec_id AS frame_idx, 3 * 96 + 11 + 2 + 5 AS n, round({" + ".join(_geometry)} + turned + pushed + magnitude + energy + shown, 3) AS total FROM h JOIN q USING (vec_id) JOIN d USING (vec_id) JOIN g USING (vec_id) JOIN e USING (vec_id)""")
+def w18(spark, d):
+    out = sequence.full_vectors(_faces(spark, d), _FACE, _pairs, 8, _SHOWN)
+    return out.select("frame_idx", F.size("features").alias("n"), r(F.aggregate("features", F.lit(0.0), lambda t, v: t + v), 3).alias("total"))
+
+
 @entry("w19_scaled_history", f"{FRAMES}, q AS (SELECT frame_idx, ear, min(ear) OVER w AS lo, max(ear) OVER w AS hi, max(abs(ear)) OVER v AS top FROM fr WINDOW w AS (PARTITION BY session ORDER BY ts, frame_idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), v AS (PARTITION BY session ORDER BY ts, frame_idx ROWS BETWEEN 511 PRECEDING AND CURRENT ROW)) SELECT frame_idx, round((ear - lo) / greatest(hi - lo, 1e-4), 6) AS scaled, round(ear / greatest(top, 1e-4), 6) AS waveform FROM q")
 def w19(spark, d):
     return sequence.scaled_history(frames(spark, d), "ear").select("frame_idx", r(F.col("scaled")).alias("scaled"), r(F.col("waveform")).alias("waveform"))

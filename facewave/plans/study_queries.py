@@ -569,18 +569,3 @@ def t8(spark, d):
     x = lines(spark, d).withColumns({"label": F.col("l_linenumber"), "fold": (F.col("l_suppkey") % 2).cast("int")})
     out = study.artifact_check(x, {0: [3, 7], 1: [3, 7]}, _bands)
     return out.select("fold", "variable", "n", "groups", r(F.col("h"), 5).alias("h"), r(F.col("p"), 8).alias("p"), r(F.col("adjusted"), 8).alias("adjusted"), "survives")
-
-
-@entry("w18_full_vector")
-def w18(spark, d):
-    from pyspark.sql.window import Window
-
-    from facewave.functions import facial
-    from facewave.operators import sequence
-    from facewave.plans.tables import points
-
-    x = sequence.landmark_dynamics(windows(spark, d), "x", Window.partitionBy("label").orderBy("vec_id"))
-    flat = F.flatten(F.transform(facial.normalised(points(), (0, 3)), lambda p: F.array(p["x"], p["y"], p["z"])))
-    p = points()
-    geometry = F.array(*[facial.distance(facial.point(p, a), facial.point(p, b)) for a, b in ((0, 3), (1, 2), (4, 5))], facial.roll_hint(facial.point(p, 0), facial.point(p, 3)))
-    return x.select("vec_id", F.concat(flat, geometry, F.array("mean_velocity", "mean_acceleration", "magnitude")).alias("features")).select("vec_id", F.size("features").alias("n"), r(F.aggregate("features", F.lit(0.0), lambda t, v: t + v)).alias("total"))
