@@ -6,12 +6,12 @@ background less that under the target: the higher, the more it reads like the ta
 
 With additive smoothing, log p(b | a) = log(count(a b) + alpha) - log(count(a) + alpha V), so a document's losses are sums of one
 term per bigram and one per context. Context counts are a table of the vocabulary's size and go to every task. Bigrams are dealt to tasks by
-hash, each with its document's number; a task counts its bigrams over all documents, works out their terms and returns one partial sum for
+hash, in parts of about ``part_bytes`` of text, each with its document's number; a task counts its bigrams over all documents, works out their terms and returns one partial sum for
 each document, packed by destination. Bigrams that make up ``hot`` of any slice of the text, which would all meet in one task, are counted apart
 (there are 1 / hot of them in a slice at most) and scored where the documents are. Counts cover all documents.
 
 Defined results: words are runs other than white space, A-Z in lower case; the first word follows a start mark; null text
-and text without words have no words, no losses and score 0; rows with a null id are left out; rows that share an id are one document;
+and text without words have no words, no losses and score 0; ids are whole numbers, and rows with a null id or one that is no number are left out; rows that share an id are one document;
 with no target rows, or none with words, every score is 0; other columns are not read.
 """
 
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facewave.llm._shared import stored
-from facewave.llm._text import LOWER, NOT_SPACE, U, mix, slices, utf8, word_hashes, word_spans
+from facewave.llm._shared import parts_by_bytes, stored
+from facewave.llm._text import LOWER, NOT_SPACE, SLICE, U, mix, slices, tidy, utf8, word_hashes, word_spans
 from facewave.llm.langid import held_out
 
 BITS = 18
@@ -34,7 +34,7 @@ VOCABULARY = 1 << BITS
 START = VOCABULARY
 
 
-def bigrams(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def bigrams(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end, contexts, words, row of each) of slices of rows."""
     data, offsets = utf8(column)
     for first, last in slices(offsets, limit):
@@ -70,7 +70,7 @@ def _counted(rows: DataFrame, hot: float) -> tuple[np.ndarray, np.ndarray]:
         for kind, a, b, c in ((0, at, total[0][at], total[1][at]), (1, np.array(sorted(found), np.int64), np.zeros(len(found), np.int64), np.zeros(len(found), np.int64))):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)], ["kind", "key", "n", "t"])
 
-    got = rows.mapInArrow(work, "kind int, key long, n long, t long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+    got = rows.mapInArrow(tidy(work), "kind int, key long, n long, t long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
     kind, key = got["kind"].to_numpy(), got["key"].to_numpy()
     context = np.zeros((2, VOCABULARY + 1))
     for i, name in enumerate(("n", "t")):
@@ -92,7 +92,7 @@ def _hot_counts(rows: DataFrame, keys: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(keys))), pa.array(total[0]), pa.array(total[1])], ["i", "n", "t"])
 
     out = np.zeros((2, len(keys)))
-    for r in rows.mapInArrow(work, "i long, n long, t long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect():
+    for r in rows.mapInArrow(tidy(work), "i long, n long, t long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect():
         out[:, r["i"]] = r["n"], r["t"]
     return out
 
@@ -112,13 +112,13 @@ def _packed(parts: int, ids: np.ndarray, sums: np.ndarray) -> list[tuple[int, by
     return [(int(to[at[0]]), ids[at].tobytes(), np.ascontiguousarray(sums[:, at]).tobytes()) for at in np.split(order, cuts) if len(at)]
 
 
-def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.01, hot: float = 0.001, broadcast_rows: int = 2_000_000, flush: int = 1 << 20) -> DataFrame:
+def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.01, hot: float = 0.001, broadcast_rows: int = 2_000_000, flush: int = 1 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """(key, n_tokens, target_loss, background_loss, score) of every document; ``target`` has the keys of the target corpus, which is part of ``docs``."""
     spark = docs.sparkSession
-    parts = min(65536, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    marks = stored(target.select(F.col(key).alias("__id")).where("__id is not null").distinct(), "target")
+    parts = max(16, parts_by_bytes(docs, text, part_bytes))
+    marks = stored(target.select(F.col(key).try_cast("long").alias("__id")).where("__id is not null").distinct(), "target")
     marks = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("__id"), F.col(text).alias("text")).join(marks.withColumn("__t", F.lit(True)), "__id", "left").select("__id", "text", F.coalesce("__t", F.lit(False)).alias("target"))
+    rows = docs.select(F.col(key).try_cast("long").alias("__id"), F.col(text).alias("text")).where("__id is not null").join(marks.withColumn("__t", F.lit(True)), "__id", "left").select("__id", "text", F.coalesce("__t", F.lit(False)).alias("target"))
     context, keys = _counted(rows, hot)
     counts = _hot_counts(rows, keys) if len(keys) else np.zeros((2, 0))
     scale = context[1].sum() / max(context[0].sum(), 1)  # the background's mass becomes the target's
@@ -141,12 +141,12 @@ def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
             k = np.concatenate([x for x, _ in held])
             of = np.concatenate([x for _, x in held])
             rows = [(1, p, b"", b"", i, s) for p, i, s in _packed(parts, doc, np.concatenate(local, axis=1))]
-            part = (((k >> U(48)) * U(parts)) >> U(16)).astype(np.int64)
+            part = (((k >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                 if len(at):
                     inside, place = np.unique(of[at], return_inverse=True)
-                    rows.append((0, int(part[at[0]]), ((k[at] >> U(16)) & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), place.astype(np.uint32 if len(inside) > 65535 else np.uint16).tobytes(), doc[inside].tobytes(), flag[inside].tobytes()))
+                    rows.append((0, int(part[at[0]]), (k[at] & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), place.astype(np.uint32 if len(inside) > 65535 else np.uint16).tobytes(), doc[inside].tobytes(), flag[inside].tobytes()))
             types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["kind", "part", "keys", "docs", "ids", "extra"])
 
@@ -210,7 +210,7 @@ def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
         none = n == 0
         return pa.table([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(t, mask=none), pa.array(b, mask=none), pa.array(np.where(none, 0.0, b - t))], ["id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    dealt = rows.mapInArrow(spread, "kind int, part int, keys binary, docs binary, ids binary, extra binary")
+    dealt = rows.mapInArrow(tidy(spread), "kind int, part int, keys binary, docs binary, ids binary, extra binary")
     partial = dealt.groupBy("kind", "part").applyInArrow(meet, "part int, ids binary, extra binary")
     out = partial.groupBy("part").applyInArrow(finish, "id long, n_tokens long, target_loss double, background_loss double, score double")
     if not context[1].sum():
