@@ -252,7 +252,7 @@ def test_streams_read_tables_of_several_files(spark, tmp_path, parts):
     df.repartition(parts).write.parquet(str(tmp_path / "events.parquet"))
     assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) == parts
     want = {u: (sum(r[1] == u for r in rows), sum(r[3] for r in rows if r[1] == u)) for u in range(3)}
-    got = {r["session"]: (r["frames"], r["total"]) for r in stream_queries.r7(spark, str(tmp_path)).collect()}
+    got = {r["session"]: (r["frames"], r["ear"]) for r in stream_queries.r7(spark, str(tmp_path)).collect()}
     assert got == want
     assert stream_queries.r1(spark, str(tmp_path)).count() == 40
 
