@@ -495,12 +495,12 @@ def join_regions(regions: DataFrame, sets: DataFrame, leaf_rows: int, leaf_shing
         members = stored(inside, "members")
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", often: int = 16, frequent_limit: int = 1_000_000, leaf_rows: int = 512, leaf_shingles: int = 1 << 19, part_bytes: int = 8 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", often: int = 16, frequent_limit: int = 1_000_000, leaf_rows: int = 512, leaf_shingles: int = 1 << 19, part_bytes: int = 4 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     return _components(docs, key, text, often, frequent_limit, leaf_rows, leaf_shingles, part_bytes, broadcast_rows).select(key, "n_shingles", "component_id")
 
 
-def _components(docs: DataFrame, key: str, text: str, often: int = 16, frequent_limit: int = 1_000_000, leaf_rows: int = 512, leaf_shingles: int = 1 << 19, part_bytes: int = 8 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
+def _components(docs: DataFrame, key: str, text: str, often: int = 16, frequent_limit: int = 1_000_000, leaf_rows: int = 512, leaf_shingles: int = 1 << 19, part_bytes: int = 4 << 20, broadcast_rows: int = 2_000_000) -> DataFrame:
     """The same with the number of each row's set (sid; null for an empty set or a null key)."""
     parts = parts_by_bytes(docs, text, part_bytes)
     kind = docs.schema[key].dataType.simpleString()
