@@ -6,7 +6,7 @@ background less that under the target: the higher, the more it reads like the ta
 
 With additive smoothing, log p(b | a) = log(count(a b) + alpha) - log(count(a) + alpha V), so a document's losses are sums of one
 term per bigram and one per context. Context counts are a table of the vocabulary's size and go to every task. Bigrams are dealt to tasks by
-hash, in parts of about ``part_bytes`` of text, each with its document's number; a task counts its bigrams over all documents, works out their terms and returns one partial sum for
+hash, in parts of about ``part_bytes`` of text (more parts would mean more partial sums for a document), each with its document's number; a task counts its bigrams over all documents, works out their terms and returns one partial sum for
 each document, packed by destination. Bigrams that make up ``hot`` of any slice of the text, which would all meet in one task, are counted apart
 (there are 1 / hot of them in a slice at most) and scored where the documents are. Counts cover all documents.
 
@@ -105,14 +105,14 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _packed(parts: int, ids: np.ndarray, sums: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    """(destination, ids, sums [3, n]) by destination of the document."""
+    """(destination, ids, sums [3 or 2, n]) by destination of the document: words and both losses, or the losses alone."""
     to = (mix(ids.view(U)) % U(parts)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     cuts = np.flatnonzero(np.diff(to[order])) + 1
     return [(int(to[at[0]]), ids[at].tobytes(), np.ascontiguousarray(sums[:, at]).tobytes()) for at in np.split(order, cuts) if len(at)]
 
 
-def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.01, hot: float = 0.001, broadcast_rows: int = 2_000_000, flush: int = 1 << 20, part_bytes: int = 8 << 20) -> DataFrame:
+def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.01, hot: float = 0.001, broadcast_rows: int = 2_000_000, flush: int = 1 << 20, part_bytes: int = 32 << 20) -> DataFrame:
     """(key, n_tokens, target_loss, background_loss, score) of every document; ``target`` has the keys of the target corpus, which is part of ``docs``."""
     spark = docs.sparkSession
     parts = max(16, parts_by_bytes(docs, text, part_bytes))
@@ -192,9 +192,7 @@ def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
         begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         n = np.diff(np.append(begins, len(keys)))
         t = np.add.reduceat(flags[of].astype(np.int64), begins)
-        sums = np.zeros((3, len(ids)))
-        for j, x in enumerate(term(n, t)):
-            sums[j + 1] = np.bincount(of, weights=np.repeat(x, n), minlength=len(ids))
+        sums = np.array([np.bincount(of, weights=np.repeat(x, n), minlength=len(ids)) for x in term(n, t)])
         ids, place = np.unique(ids, return_inverse=True)
         sums = np.array([np.bincount(place, weights=s, minlength=len(ids)) for s in sums])
         rows = _packed(parts, ids, sums)
@@ -202,7 +200,11 @@ def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
 
     def finish(table: pa.Table) -> pa.Table:
         ids = np.concatenate([np.frombuffer(i, np.int64) for i in table["ids"].to_pylist()])
-        sums = np.concatenate([np.frombuffer(s, np.float64).reshape(3, -1) for s in table["extra"].to_pylist()], axis=1)
+        size = [len(i) // 8 for i in table["ids"].to_pylist()]
+        sums = np.zeros((3, len(ids)))
+        for n, end, s in zip(size, np.cumsum(size), table["extra"].to_pylist(), strict=True):
+            part = np.frombuffer(s, np.float64).reshape(-1, n)
+            sums[3 - len(part) :, end - n : end] = part
         ids, place = np.unique(ids, return_inverse=True)
         n, t, b = (np.bincount(place, weights=s, minlength=len(ids)) for s in sums)
         with np.errstate(invalid="ignore", divide="ignore"):
