@@ -29,7 +29,7 @@ from facewave.llm._text import SLICE, slices, tidy, utf8
 DIM = 4096
 LENGTHS = 40
 #: Trigrams from which on a text is held against those of its length, the share of their lowest cosine, and rows that make a length's bound.
-BRIEF, STRICT, ENOUGH = 64, 0.6, 30
+BRIEF, STRICT, ENOUGH = 64, 0.5, 30
 LETTER = regex.compile(r"\p{L}")
 #: Bytes as they count: letters in lower case, all bytes from 0x80 on as they are, the rest as a blank.
 CLASS = np.full(256, 0x20, np.uint8)
