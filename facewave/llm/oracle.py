@@ -41,4 +41,22 @@ b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum(list_transform(range(0, 5), lambda k: CAST(substr(bits, j * 5 + k + 1, 1) AS BIGINT) * CAST(power(2, 4 - k) AS BIGINT))) AS BIGINT) + 1, 1)), '') AS payload_digest,
 CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM b"""
 
-ORACLE_SQL = {"op1_suffix_arrays": OP1, "op5_jaccard_join": OP5, "op7_warc": OP7}
+# crc32 of a conversation's id, bit by bit; a node is its depth and smallest member
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"
+OP12 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY i) AS l FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, l, {_CRC} % 9 AS h, conv_id - conv_id % 5 AS base FROM own),
+s AS (SELECT c.conv_id, coalesce(list_slice(b.l, 1, h), []) || list_slice(c.l, h + 1, len(c.l)) AS l FROM c LEFT JOIN own b ON b.conv_id = c.base),
+p AS (SELECT conv_id, d, list_slice(l, 1, d) AS pre, len(l) = d AS ends FROM s, unnest(range(0, len(l) + 1)) AS u(d)),
+m AS (SELECT conv_id, d, min(conv_id) OVER (PARTITION BY d, pre) AS rep, ends, CASE WHEN d > 0 THEN strlen(pre[d].t) ELSE 0 END AS b FROM p),
+n AS (SELECT d, rep, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS saved, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids FROM m GROUP BY d, rep),
+up AS (SELECT n.d, n.rep, m.rep AS parent FROM n LEFT JOIN m ON m.conv_id = n.rep AND m.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS rep, count(*) AS k FROM up WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(k, 0) AS k FROM n LEFT JOIN kids USING (d, rep)),
+sub AS (SELECT m.d, m.rep, sum(v.saved) AS saved_tokens, count(*) FILTER (WHERE v.k = 0) AS n_leaves FROM v JOIN m ON m.conv_id = v.rep AND m.d <= v.d GROUP BY ALL)
+SELECT v.rep AS conv_id, v.d AS depth, up.parent AS parent_conv_id, n_convs, k AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN up USING (d, rep) JOIN sub USING (d, rep)"""
+
+ORACLE_SQL = {"op1_suffix_arrays": OP1, "op5_jaccard_join": OP5, "op7_warc": OP7, "op12_prefix_trie": OP12}
