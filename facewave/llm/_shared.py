@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facewave.llm._text import tidy
 from facewave.sources.shared import shared_top
 
 
@@ -39,9 +42,35 @@ def discard(df: DataFrame) -> None:
         _files(df.sparkSession, folder, lambda system, place: system.delete(place, True))
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_they_are(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` in their order, whatever their names hold."""
+    return [named(c) for c in df.columns]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their places, for Arrow functions, which do not read names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def rows_where(df: DataFrame, column: str, good: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows for whose value in ``column`` a function of an Arrow array holds, in their own columns, whatever these are called."""
+    place, names = df.columns.index(column), df.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good(batch.column(place)), pa.bool_())).columns, names)
+
+    return by_place(df).mapInArrow(tidy(work), df.schema)
+
+
 def parts_by_bytes(df: DataFrame, column: str, part_bytes: int) -> int:
     """How many parts of about ``part_bytes`` the texts of a column make."""
-    total = df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    total = df.agg(F.coalesce(F.sum(F.octet_length(named(column))), F.lit(0))).first()[0]
     return int(total // part_bytes) + 1
 
 

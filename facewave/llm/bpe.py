@@ -24,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from facewave.llm._shared import by_place, named
 from facewave.llm._text import SLICE, slices, tidy, utf8
 
 LONG = 48
@@ -249,24 +251,25 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     """Adds ``ids`` (array<int>) to every row; a column of that name is replaced."""
 
     def work(bpe: Bpe, batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [pa.array(bpe.encode(run), pa.list_(pa.int32())) for run in _runs(batch.column(batch.schema.get_field_index(text)))]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], [*batch.schema.names, ids])
+        out = [pa.array(bpe.encode(run), pa.list_(pa.int32())) for run in _runs(batch.column(place))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], schema.names)
 
-    df = df.drop(ids)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{ids}` array<int>"
-    return df.mapInArrow(_task(path, work), schema)
+    df = df.select([named(c) for c in df.columns if c != ids])
+    place, schema = df.columns.index(text), StructType([*df.schema, StructField(ids, ArrayType(IntegerType()))])
+    return by_place(df).mapInArrow(_task(path, work), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the text of ``ids`` to every row; a column of that name is replaced. Null ids give an empty text."""
 
     def work(bpe: Bpe, batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = batch.column(batch.schema.get_field_index(ids))
+        column = batch.column(place)
         out = [bpe.decode(x) for first in range(0, len(column), 256) for x in column.slice(first, 256).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, decoded])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], schema.names)
 
-    df = df.drop(decoded)
-    return df.mapInArrow(_task(path, work), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{decoded}` string")
+    df = df.select([named(c) for c in df.columns if c != decoded])
+    place, schema = df.columns.index(ids), StructType([*df.schema, StructField(decoded, StringType())])
+    return by_place(df).mapInArrow(_task(path, work), schema)
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,8 +10,9 @@ threshold that are mostly link text (lists of links) are left out of what is kep
 
 Density does not tell a footer of one sentence from an article of one sentence. Elements whose name, role, class or id says that they are menus, headers or
 footers of the page, side bars, forms, notices, adverts or reader comments therefore weigh ``DOUBT`` of their text in every density, theirs
-and those around them; but one that holds more than ``MOST`` of the page's text without links, with no ``article`` or ``main`` around or beside it, is weighed
-in full. Only what is never text (scripts, styles, controls) is skipped.
+and those around them. Where no ``article`` or ``main`` stands outside them, a word of class, role or id counts the less the more of the page's text without links its
+element holds: of an element that holds it all, nothing is doubted. Words behind "no", "with", "has" and the like ("main-with-sidebar") say nothing. What lies in a menu, footer or side
+bar by the element's own name is never the article; where all else is empty, so is the text. Only what is never text (scripts, styles, controls) is skipped.
 
 Defined results: null or empty html, and pages without text, give an empty text; plain text without tags is its own content;
 unclosed elements end where HTML says or with the page; equal pages get equal results; other columns are not touched.
@@ -28,14 +29,17 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from facewave.llm._shared import by_place, named
 from facewave.llm._text import tidy
 
 # Element groups of HTML, and words of class, id and role that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video head title button select option textarea input".split())
-BESIDE = frozenset("nav footer aside menu dialog form".split())
+NEVER = frozenset("nav footer aside menu".split())
+BESIDE = NEVER | {"dialog", "form"}
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl td th body article section div nav aside footer header main".split())
@@ -44,24 +48,26 @@ NOT_CONTENT = re.compile(
     r"sidebar|side-bar|footer|masthead|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|search|social|share|sharing|"
     r"related|recommended|pagination|pager|comment|comments|respond|disqus|discussion|replies|widget|toolbar|copyright|skip|hidden)(?:$|[\s_-])"
 )
+ABSENT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|not|non|without|with|has|have|hide|show)[_-]\w+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SPACES = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What the text of an element of another purpose weighs, and the share of the article's sum that makes a node content.
 DOUBT, SHARE = 0.01, 0.25
-MOST = 0.8  # share of the page's text without links above which a word of class, id or role does not rule an element out
+LEAST = DOUBT**4  # what an element weighs at least, however deep it lies in others that are doubted
 
 
 class Node:
     """A block element. ``parts`` holds its text, link text and child nodes in page order."""
 
-    __slots__ = ("tag", "up", "parts", "chars", "link_chars", "tags", "link_tags", "density", "sum", "own", "own_chars", "top", "article", "doubted", "nested", "weight")
+    __slots__ = ("tag", "up", "parts", "chars", "link_chars", "tags", "link_tags", "density", "sum", "own", "own_chars", "top", "article", "doubted", "named", "nested", "weight")
 
     def __init__(self, tag: str, up: Node | None) -> None:
         self.tag, self.up, self.parts = tag, up, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = self.own = 0.0
         self.own_chars, self.top, self.doubted, self.nested, self.weight = 0, self, False, 0, 1.0
+        self.named = bool(up and up.named)  # in an element whose own name says that it is no article
         self.article: Node | None = self if tag in ("article", "main") else up.article if up else None
 
 
@@ -126,13 +132,14 @@ class Tree(HTMLParser):
             return
         about = dict(attrs)
         names = f"{about.get('class') or ''} {about.get('id') or ''}".lower()
-        doubted = tag in BESIDE or (tag == "header" and not self.at.article) or (about.get("role") or "").lower() in ROLES or bool(names.strip() and tag not in ("article", "main", "body") and NOT_CONTENT.search(names))
+        doubted = tag in BESIDE or (tag == "header" and not self.at.article) or (about.get("role") or "").lower() in ROLES or bool(names.strip() and tag not in ("article", "main", "body") and NOT_CONTENT.search(ABSENT.sub("", names)))
         if tag in SKIPPED or "hidden" in about:
             self.skip = [tag]
         elif tag not in INLINE or doubted:
             self.at.tags += tag not in INLINE
             node = Node(tag, self.at)
             node.doubted = doubted
+            node.named = self.at.named or tag in NEVER
             self.at.parts.append(node)
             self.open[tag] += 1
             self.at, self.links = node, self.links if tag in INLINE else 0
@@ -191,7 +198,7 @@ def _length(text: str) -> int:
 
 
 def _settle(root: Node) -> None:
-    """Gives doubted elements their weight, but for those that hold most of the page's text."""
+    """Gives doubted elements their weight."""
     nodes = _nodes(root)
     if not any(x.doubted for x in nodes):
         return
@@ -205,7 +212,8 @@ def _settle(root: Node) -> None:
         clear += sum(_length(x[0]) for x in node.parts if not isinstance(x, Node)) if node.article else 0
         stack.extend(x for x in node.parts if isinstance(x, Node) and not x.doubted)
     for node in nodes[1:]:
-        node.weight = node.up.weight * (DOUBT if node.doubted and (clear or plain[node] <= MOST * plain[root]) else 1.0)
+        share = 0.0 if clear or node.named or not plain[root] else plain[node] / plain[root]
+        node.weight = max(node.up.weight * (DOUBT ** (1 - share) if node.doubted else 1.0), LEAST)
 
 
 def _density(c: int, lc: int, t: int, lt: int, share: float) -> float:
@@ -252,7 +260,7 @@ def _without_links(node: Node, least: float) -> list:
     kids = [x for x in node.parts if isinstance(x, Node) and x.chars]
     linked = [x.link_chars * 2 > x.chars and x.density < least and x.tag not in HEADINGS for x in kids]
     out = {x for i, x in enumerate(kids) if linked[i] and (x.link_tags > 1 or any(linked[max(i - 1, 0) : i]) or any(linked[i + 1 : i + 2]))}
-    out |= {x for x in kids if x.weight < node.weight and x.density < least}
+    out |= {x for x in kids if x.weight < node.weight and (x.named or x.density < least)}
     return [x for x in node.parts if x not in out] if out else node.parts
 
 
@@ -291,7 +299,7 @@ def main_text(html: str | None, weigh: bool = True, dense: bool = True) -> str:
         _settle(tree.root)
     nodes = _measure(tree.root)
     best = node = tree.root.top
-    if not tree.root.chars or best.weight < 1:
+    if not tree.root.chars or best.named and weigh:
         return ""
     least = node.density
     while node.up:
@@ -310,14 +318,14 @@ def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """Adds the main text of every row; a column of that name is replaced."""
     kept = [c for c in df.columns if c != text or c == html]
     names = [c for c in kept if c != text]
+    schema = StructType([*(df.schema[c] for c in names), StructField(text, StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [main_text(h) for h in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string())], [*names, text])
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.select(F.col(html).alias("__html"), *[F.col(f"`{c}`") for c in names]).mapInArrow(tidy(work), f"{schema + ', ' if schema else ''}`{text}` string")
+    return by_place(df.select(named(html), *map(named, names))).mapInArrow(tidy(work), schema)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from facewave.llm._shared import connected, parts_by_bytes, small, stored
+from facewave.llm._shared import as_they_are, by_place, connected, parts_by_bytes, small, stored
 from facewave.llm._text import U, mix, shingle_sets, tidy
 
 #: Similarity as a fraction. Two sets link when DEN * shared >= NUM * union.
@@ -540,9 +540,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -
     repeated = stored(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
     gone = stored(found.where(F.col("component_id") != F.col(key)).select(key).distinct(), "gone")
     if repeated.isEmpty():
-        return docs.join(small(gone), key, "left_anti").select(docs.columns)
+        return docs.join(small(gone), key, "left_anti").select(as_they_are(docs))
     repeated = small(repeated)
-    once = docs.join(repeated, key, "left_anti").join(small(gone), key, "left_anti").select(docs.columns)
+    once = docs.join(repeated, key, "left_anti").join(small(gone), key, "left_anti").select(as_they_are(docs))
     place, sid_name = docs.columns.index(text), "__sid"
     while sid_name in docs.columns:
         sid_name += "_"
@@ -552,12 +552,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sid = [set_id(s) if len(s) else None for _, s in shingle_sets(batch.column(place))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.int64())], [*batch.schema.names, sid_name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.int64())], schema.names)
 
     schema = StructType([*docs.schema.fields, StructField(sid_name, LongType())])
-    rows = docs.join(repeated, key, "left_semi").select(docs.columns).mapInArrow(tidy(number), schema)
+    rows = by_place(docs.join(repeated, key, "left_semi").select(as_they_are(docs))).mapInArrow(tidy(number), schema)
     one = rows.join(small(first), [key, sid_name], "left_semi").dropDuplicates([key, sid_name])
-    return once.unionByName(one.select(docs.columns)).unionByName(rows.where(F.col(sid_name).isNull()).select(docs.columns))
+    return once.union(one.select(as_they_are(docs))).union(rows.where(F.col(sid_name).isNull()).select(as_they_are(docs)))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ The rows are points with a weight in bytes; the dimensions are their metadata, e
 and number of characters). A node that stands for several shards is split along its widest dimension at the weighted median - the place that gives each half its share of the shards in bytes - and so on until every leaf is one shard of the
 target size. Medians are found for all nodes of a level together: counts of bytes by a few bits of the coordinate at a time (a
 grouped sum in Spark, some thousands of rows to the driver whatever the input) narrow each down to one coordinate, then rows with that very
-coordinate are split by the text's CRC and at last by a hash of the key, so that sizes come out near equal even where
-many rows share a coordinate. Texts that are equal in their metadata too have equal coordinates and the same CRC and thus stay together but for at most one
-group at each split.
+coordinate are split by the text's CRC and at last by a hash, so that sizes come out near equal even where many rows share a coordinate.
 
-Defined results: null text has no bytes (the fixed part of the size remains) and CRC 0; null metadata counts as 0; rows that are equal in all
-get shards by their hash; an empty table gives an empty result; extra columns are dropped by the query and kept by ``shards``,
-which replaces columns named shard and slot.
+Rows with equal texts stay in one shard: they take the metadata and the hash of their group, so no cut can part them. Only a group that holds more than ``WHOLE`` of a shard's bytes is split, by
+a hash of its keys, as no shards near equal in size could hold it.
+
+Defined results: null text has no bytes (the fixed part of the size remains) and CRC 0, and counts as the empty text in groups; null metadata counts as 0; rows that are equal in all
+get shards by their hash; an empty table gives an empty result; extra columns are dropped by the query and kept by ``shards`` whatever they are called, but that it
+replaces columns named shard and slot.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from facewave.llm._shared import stored
+from facewave.llm._shared import as_they_are, named, small, stored
 from facewave.llm._text import tidy
 
 #: Bits of a coordinate, and bits that one pass settles.
 BITS, STEP = 24, 12
 #: A split may miss its share by so much of a shard.
 MISS = 0.0005
+#: Share of a shard's bytes up to which rows with equal texts stay together.
+WHOLE = 0.25
 
 
 @dataclass
@@ -143,43 +147,57 @@ def tree(points: DataFrame, n: int) -> Node:
 
 def scaled(df: DataFrame, column: str) -> Column:
     """A numeric column stretched over [0, 2^BITS); null counts as 0. The bounds are one aggregate over the table."""
-    low, high = df.agg(F.min(F.coalesce(F.col(column), F.lit(0))), F.max(F.coalesce(F.col(column), F.lit(0)))).first()
+    low, high = df.agg(F.min(F.coalesce(named(column), F.lit(0))), F.max(F.coalesce(named(column), F.lit(0)))).first()
     if low is None or high == low:
         return F.lit(0)
-    return ((F.coalesce(F.col(column), F.lit(0)) - F.lit(low)) / F.lit(float(high - low)) * F.lit(float((1 << BITS) - 1))).cast("int")
+    return ((F.coalesce(named(column), F.lit(0)) - F.lit(low)) / F.lit(float(high - low)) * F.lit(float((1 << BITS) - 1))).cast("int")
 
 
 def placed_by(df: DataFrame, column: str) -> Column:
     """A column of names or marks as a coordinate: a hash, so that equal values have one place; null counts as 0."""
-    code = F.shiftrightunsigned(F.xxhash64(F.col(column).cast("string")), 64 - BITS).cast("int")
-    return F.when(F.col(column).isNull(), 0).otherwise(code)
+    code = F.shiftrightunsigned(F.xxhash64(named(column).cast("string")), 64 - BITS).cast("int")
+    return F.when(named(column).isNull(), 0).otherwise(code)
+
+
+def in_groups(points: DataFrame, group: list[str], about: list[str], key: str, n: int) -> DataFrame:
+    """Rows with equal ``group`` (not null) take the least ``about`` among them, and ``tie``, which is theirs in common where they hold at most ``WHOLE`` of the bytes of one of ``n`` shards and their
+    key's elsewhere. Only groups of several rows are joined."""
+    total = points.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    several = points.groupBy(*group).agg(F.count("*").alias("__rows"), F.sum("size").alias("__bytes"), F.min(F.struct(*map(named, about))).alias("__about")).where("__rows > 1")
+    rows = points.join(small(stored(several, "groups")), group, "left")
+    own = F.xxhash64(named(key).cast("string"))
+    tie = F.when(F.col("__bytes") <= WHOLE * total / n, F.xxhash64(*map(named, group))).otherwise(own)
+    shared = {c: F.coalesce(F.col(f"__about.{c}"), named(c)) for c in about}
+    return rows.withColumns({**shared, "tie": tie}).drop("__rows", "__bytes", "__about")
 
 
-def shards(df: DataFrame, n: int, size: Column, dims: dict[str, Column], crc: Column, key: str, part_rows: int = 250_000) -> DataFrame:
-    """Adds shard (0 to n - 1) and slot (gapless from 0 within the shard). ``dims`` are the dimensions as integers in [0, 2^BITS).
+def shards(df: DataFrame, n: int, size: Column, dims: dict[str, Column], crc: Column, key: str, tie: Column | None = None, part_rows: int = 250_000) -> DataFrame:
+    """Adds shard (0 to n - 1) and slot (gapless from 0 within the shard). ``dims`` are the dimensions as integers in [0, 2^BITS); rows that are equal in one and in ``crc`` go by ``tie``
+    (by default a hash of the key).
 
     Slots are numbered within parts of about ``part_rows`` of every shard, by the hash of the key, and the parts' counts are added up
     before, so no task sorts a whole shard."""
     df = df.drop("shard", "slot")
     names = [f"__d{i}" for i in range(len(dims))]
     fields = [c.cast("int").alias(a) for c, a in zip(dims.values(), names, strict=True)]
-    code = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 64 - BITS).cast("int")
-    every = df.select(size.cast("long").alias("__size"), F.shiftright(crc, 32 - BITS).cast("int").alias("__crc"), code.alias("__hash"), *fields, F.struct(*df.columns).alias("__row"))
+    top = lambda c: F.shiftrightunsigned(c, 64 - BITS).cast("int")
+    own = F.xxhash64(named(key).cast("string"))
+    every = df.select(size.cast("long").alias("__size"), F.shiftright(crc, 32 - BITS).cast("int").alias("__crc"), top(own if tie is None else tie).alias("__hash"), *fields, F.struct(*as_they_are(df)).alias("__row"))
     root = tree(every.drop("__row"), n)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, hashed = batch.column(batch.num_columns - 1), batch.column(2)
             dims, crc, key, _ = _columns(batch.select([*range(batch.num_columns - 1)]))
-            yield pa.RecordBatch.from_arrays([row, hashed, pa.array(leaf_of(root, dims, crc, key))], ["__row", "__hash", "shard"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1), pa.array(leaf_of(root, dims, crc, key))], ["row", "shard"])
 
-    row = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema)
-    placed = stored(every.mapInArrow(tidy(place), f"__row struct<{row}>, __hash int, shard int"), "placed")
+    placed = stored(every.mapInArrow(tidy(place), StructType([StructField("row", df.schema), StructField("shard", IntegerType())])), "placed")
     spread = placed.groupBy("shard").count().agg(F.ceil(F.coalesce(F.max("count"), F.lit(0)) / part_rows)).first()[0]
-    placed = placed.select("__row.*", "shard", F.pmod(F.col("__hash"), F.lit(max(1, int(spread)))).alias("__part"))
+    key_of = F.col("row").getField(key)
+    placed = placed.withColumn("__part", F.pmod(F.xxhash64(key_of.cast("string")), F.lit(max(1, int(spread)))))
     before = placed.groupBy("shard", "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    slot = F.row_number().over(Window.partitionBy("shard", "__part").orderBy(key)) - 1
-    return placed.withColumn("__slot", slot).join(F.broadcast(before), ["shard", "__part"]).withColumn("slot", (F.col("__slot") + F.col("__before")).cast("long")).drop("__slot", "__before", "__n", "__part")
+    slot = F.row_number().over(Window.partitionBy("shard", "__part").orderBy(key_of)) - 1
+    placed = placed.withColumn("__slot", slot).join(F.broadcast(before), ["shard", "__part"])  # n times the parts of the largest shard
+    return placed.select("row.*", "shard", (F.col("__slot") + F.col("__before")).cast("long").alias("slot"))
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
@@ -187,7 +205,9 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text"), F.lit(""))
     about = [placed_by(docs, "lang").alias("at_lang"), placed_by(docs, "source").alias("at_source"), F.log1p(F.greatest(F.coalesce("n_chars", F.lit(0)), F.lit(0))).alias("log_chars")]
-    points = stored(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *about), "points")
+    equal = [F.octet_length(text).alias("bytes"), F.xxhash64(F.lit(1), text).alias("text_a"), F.xxhash64(F.lit(2), text).alias("text_b")]
+    points = stored(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *equal, *about), "points")
+    points = stored(in_groups(points, ["bytes", "text_a", "text_b"], ["at_lang", "at_source", "log_chars"], "doc_id", n).drop("bytes", "text_a", "text_b"), "points")
     dims = {"lang": F.col("at_lang"), "source": F.col("at_source"), "chars": scaled(points, "log_chars")}
-    out = shards(points, n, F.col("size"), dims, F.col("text_crc32"), "doc_id")
+    out = shards(points, n, F.col("size"), dims, F.col("text_crc32"), "doc_id", F.col("tie"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -23,10 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from facewave.llm._shared import by_place, named, rows_where
 from facewave.llm._text import SLICE, slices, tidy, utf8
 
 DIM = 4096
+MOST = 65535  # a trigram counts so often in a text at most, in training and later
 LENGTHS = 40
 #: Trigrams from which on a text is held against those of its length, the share of their lowest cosine, and rows that make a length's bound.
 BRIEF, STRICT, ENOUGH = 64, 0.5, 30
@@ -101,7 +104,7 @@ class Model:
     reject_below: np.ndarray  # by length: the whole logarithm (base 2) of the number of trigrams
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return unit(np.log1p(counts, dtype=np.float32) * self.idf)
+        return unit(np.log1p(np.minimum(counts, MOST), dtype=np.float32) * self.idf)
 
 
 def length_of(counts: np.ndarray) -> np.ndarray:
@@ -149,7 +152,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, cells in trigram_counts(batch.column(0)):
-                packed = [np.minimum(c, 65535).astype(np.uint16).tobytes() for c in cells]
+                packed = [np.minimum(c, MOST).astype(np.uint16).tobytes() for c in cells]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(cells)), pa.array(packed, pa.binary())], ["lang", "cells"])
 
     got = sample.select("text", "lang").mapInArrow(tidy(count), "lang string, cells binary").toArrow()
@@ -174,27 +177,35 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred, score (cosine with the nearest centroid) and rejected to the columns ``keep`` (default: all);
     columns of these names are replaced."""
-    new = ["lang_pred", "score", "rejected"]
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
+    new = StructType.fromDDL("lang_pred string, score double, rejected boolean")
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0)
-            letters = lettered(column)
-            best, at, least = np.zeros(len(batch)), np.zeros(len(batch), np.int64), np.full(len(batch), 2.0)
-            if model:
-                for first, cells in trigram_counts(column):
-                    near = model.vectors(cells) @ model.centroids.T
-                    best[first : first + len(cells)] = near.max(axis=1)
-                    at[first : first + len(cells)] = near.argmax(axis=1)
-                    least[first : first + len(cells)] = model.reject_below[length_of(cells)]
-            names = [model.names[i] if ok and model else "und" for i, ok in zip(at, letters, strict=True)]
-            score = np.where(letters, np.clip(best, 0, 1), 0.0)
-            rejected = ~letters | (score < least)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*kept, *new])
-
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(tidy(work), f"{schema + ', ' if schema else ''}lang_pred string, score double, rejected boolean")
+            names, score, rejected = judge(batch.column(0), model)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*kept, *new.names])
+
+    return by_place(df.select(named(text), *map(named, kept))).mapInArrow(tidy(work), StructType([*(df.schema[c] for c in kept), *new]))
+
+
+def judge(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether the text is rejected, of each text."""
+    letters = lettered(column)
+    best, at, least = np.zeros(len(column)), np.zeros(len(column), np.int64), np.full(len(column), 2.0)
+    if model:
+        for first, cells in trigram_counts(column):
+            near = model.vectors(cells) @ model.centroids.T
+            best[first : first + len(cells)] = near.max(axis=1)
+            at[first : first + len(cells)] = near.argmax(axis=1)
+            least[first : first + len(cells)] = model.reject_below[length_of(cells)]
+    names = [model.names[i] if ok and model else "und" for i, ok in zip(at, letters, strict=True)]
+    score = np.where(letters, np.clip(best, 0, 1), 0.0)
+    return names, score, ~letters | (score < least)
+
+
+def accepted(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows that are not rejected, in their own columns, whatever these are called."""
+    return rows_where(df, text, lambda column: ~judge(column, model)[2])
 
 
 def held_out(key: str = "doc_id") -> F.Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facewave.llm._shared import discard, stored
+from facewave.llm._shared import discard, rows_where, stored
 from facewave.llm._text import slices, tidy, utf8
 
 #: A-Z in lower case; bytes that are neither letter, digit nor from 0x80 on become blanks.
@@ -280,15 +280,10 @@ def longest_matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, shard_bytes: int = 1 << 22, block_words: int = 200_000) -> DataFrame:
     """The rows without any hit, in their own columns. Each row is kept or dropped where its text is searched, so neither its id nor a join has a part in it."""
-    place = docs.columns.index(text)
 
     def one(rows: DataFrame, block: Suffixes) -> DataFrame:
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [not found for _, shard in _shards(batch.column(place), block, int(block.widths.max()), shard_bytes) for found in shard.windows(block)[1]]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        return rows.mapInArrow(tidy(work), docs.schema)
+        depth = int(block.widths.max())
+        return rows_where(rows, text, lambda column: [not found for _, shard in _shards(column, block, depth, shard_bytes) for found in shard.windows(block)[1]])
 
     n, blocks = _blocks(bench, item, item_text, block_words)
     rows = docs

@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from facewave.llm._shared import stored
+from facewave.llm._shared import by_place, named, rows_where, stored
 from facewave.llm._text import LOWER, SLICE, shingle_sets, slices, tidy, utf8, word_hashes, word_spans
 from facewave.llm.langid import held_out
 
@@ -293,15 +294,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """Adds score and predicted to the columns ``keep`` (default: all); columns of these names are replaced."""
-    kept = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted")]
+    new = StructType.fromDDL("score double, predicted int")
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.score(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*kept, *new.names])
 
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.select(F.col(text).alias("__text"), *[F.col(f"`{c}`") for c in kept]).mapInArrow(tidy(work), f"{schema + ', ' if schema else ''}score double, predicted int")
+    return by_place(df.select(named(text), *map(named, kept))).mapInArrow(tidy(work), StructType([*(df.schema[c] for c in kept), *new]))
+
+
+def accepted(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows that score below the threshold, in their own columns, whatever these are called."""
+    return rows_where(df, text, lambda column: model.score(column) < threshold)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

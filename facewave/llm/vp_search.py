@@ -2,15 +2,16 @@
 
 The vectors are dealt to shards by a hash of their id. Each shard turns inner product into a distance - one more coordinate gives all
 its vectors the same length, so that the nearest by Euclid is the largest by inner product - and builds a vantage-point tree: a
-vector, the median distance of the others from it, those within and those beyond. A block of queries walks down the tree
-together. The far side of a node is searched where the triangle inequality allows a nearer vector there; the gap is
+vector, the median distance of the others from it, those within and those beyond, and for both the least and largest distance. A block of queries walks down the tree
+together. A side of a node is searched where the triangle inequality allows a nearer vector there: the gap between the query's distance and those of the side is
 multiplied by ``factor``, so with factor one the search is exact and with a larger one it prunes more.
 
 Every row is indexed and every query meets every shard; a query brings back the ``k`` nearest of the shards of a task, and the
 best ``k`` of these are its result.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows with a null id; of several
-dimensions the most frequent takes part; copies of a vector are neighbours of each other, ties go to the smaller id; a repeated query id asks once (with the
+dimensions the most frequent takes part; copies of a vector are neighbours of each other, ties go to the smaller id; rows of a query's own id never are its neighbours, rows of another id with several
+vectors are each a candidate; extra columns are not read; a repeated query id asks once (with the
 smallest of its vectors), rows that repeat an id and a vector are one candidate; fewer
 candidates than ``k`` give fewer rows; empty tables give an empty result.
 """
@@ -44,6 +45,8 @@ class Node:
     radius: float = 0.0
     inside: Node | None = None
     beyond: Node | None = None
+    # least and largest distance from the point to the rows inside and to those beyond
+    reach: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
 
 
 class VpTree:
@@ -67,7 +70,9 @@ class VpTree:
         d = self._distance(self.x[[point]], self.square[[point]], rows)[0]
         order = np.argsort(d, kind="stable")
         half = len(rows) // 2
-        return Node(None, point, float(d[order[half]]), self._build(rows[order[:half]], depth + 1), self._build(rows[order[half:]], depth + 1))
+        parts = order[:half], order[half:]
+        reach = tuple((float(d[p[0]]), float(d[p[-1]])) for p in parts)
+        return Node(None, point, float(d[order[half]]), *(self._build(rows[p], depth + 1) for p in parts), reach)
 
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, int]:
         """Places (in ``queries``, in the tree's rows) of all rows found that are as near as a query's ``k``-th, ties at that place included; and the
@@ -93,12 +98,12 @@ class VpTree:
                 return
             seen += len(on)
             d = self._distance(q[on], square[on], np.array([node.point]))[:, 0]
+            # no row of a side is nearer than the gap between d and that side's distances
+            gaps = [np.maximum(np.maximum(low - d, d - high), 0) for low, high in node.reach]
             near = d < node.radius
-            walk(node.inside, on[near])
-            walk(node.beyond, on[~near])
-            far = (np.abs(d - node.radius) * factor) <= best[on].max(axis=1) + slack[on]
-            walk(node.beyond, on[near & far])
-            walk(node.inside, on[~near & far])
+            for first in (True, False):  # the near side of each query, then the other
+                for part, gap, own in ((node.inside, gaps[0], near), (node.beyond, gaps[1], ~near)):
+                    walk(part, on[(own == first) & (gap * factor <= best[on].max(axis=1) + slack[on])])
 
         walk(self.root, np.arange(len(q)))
         i, j, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
@@ -122,15 +127,16 @@ class Shard:
         _, first, copy_of = np.unique(x.view([("", x.dtype)] * x.shape[1]), return_index=True, return_inverse=True)
         copy_of = copy_of.ravel()
         self.ids, self.begins = ids[np.argsort(copy_of, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(copy_of))])
-        self.x = x[first]
+        self.x, self.sorted_ids = x[first], ids  # ids are in order
         self.tree = VpTree(self.x.astype(np.float64))
 
     def nearest(self, query_ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, vector id, score) of the vectors found, a query's own id left out."""
-        # one more than wanted, as one may be the query itself
-        i, r, _ = self.tree.search(q, k + 1, factor)
+        # more than wanted by the vectors that stand here under a query's own id
+        own = np.searchsorted(self.sorted_ids, query_ids, "right") - np.searchsorted(self.sorted_ids, query_ids, "left")
+        i, r, _ = self.tree.search(q, k + int(own.max(initial=0)), factor)
         score = np.concatenate([(self.x[r[a : a + 65536]].astype(np.float64) * q[i[a : a + 65536]]).sum(axis=1) for a in range(0, len(r), 65536)] or [np.empty(0)])
-        # of copies the smallest ids
+        # of copies the smallest ids; an id has a vector once, so one of them may be the query's own
         n = np.minimum(self.begins[r + 1] - self.begins[r], k + 1)
         at = np.repeat(self.begins[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
         found = np.repeat(query_ids[i], n), self.ids[at], np.repeat(score, n)
