@@ -8,7 +8,6 @@ of each near-duplicate component, text with a benchmark window. Every stage but
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from facewave.llm import bpe, jaccard_join, langid, suffix_arrays, toxicity
 from facewave.llm._shared import stored
@@ -17,13 +16,13 @@ from facewave.llm._shared import stored
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language identification rejects."""
     model = langid.fit(docs.where(~langid.held_out()))
-    return langid.predict(docs, model).where(~F.col("rejected")).select(docs.columns)
+    return langid.accepted(docs, model)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what scores as toxic."""
     model = toxicity.fit(docs.where(~langid.held_out()), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(docs.columns)
+    return toxicity.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
