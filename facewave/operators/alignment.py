@@ -4,36 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from facewave.operators import segments
+from facewave.operators.segments import centre_index, frame_windows
 
-def frame_windows(frames: DataFrame, length: int, stride: int, session: str = "session", ts: str = "ts", tie: str = "frame_idx") -> DataFrame:
-    """(session, start, start_time, end_time) of windows of ``length`` frames at starts 0, stride, 2 stride, ..."""
-    w = Window.partitionBy(session).orderBy(ts, tie)
-    rows = frames.select(session, (F.row_number().over(w) - 1).alias("start"), F.col(ts).alias("start_time"), F.lead(ts, length - 1).over(w).alias("end_time"))
-    return rows.where(F.col("end_time").isNotNull() & (F.col("start") % stride == 0))
+__all__ = ["align", "alignment_report", "attach_markers", "centre_index", "frame_windows", "numbered"]
 
 
-def numbered(samples: DataFrame, session: str = "session", ts: str = "ts", tie: str = "sample_idx") -> DataFrame:
-    return samples.withColumn("idx", F.row_number().over(Window.partitionBy(session).orderBy(ts, tie)) - 1)
+def numbered(samples: DataFrame, session: str = "session", ts: str = "ts", tie: str = "sample_idx", rows: int = segments.ROWS) -> DataFrame:
+    return segments.ranked(samples, "idx", session, ts, tie, rows)
 
 
-def centre_index(windows: DataFrame, samples: DataFrame, session: str = "session", ts: str = "ts") -> DataFrame:
-    """Adds ``centre`` and ``idx``, the number of samples strictly before it: centres and samples run in one order, and a
-    centre stands before a sample of the same time."""
-    both = windows.withColumn("centre", (F.col("start_time") + F.col("end_time")) / 2)
-    marks = both.select(session, F.col("centre").alias("__t"), F.lit(0).alias("__s"), F.struct(*both.columns).alias("__w"))
-    marks = marks.unionByName(samples.select(session, F.col(ts).alias("__t"), F.lit(1).alias("__s")), allowMissingColumns=True)
-    before = F.coalesce(F.sum("__s").over(Window.partitionBy(session).orderBy("__t", "__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return marks.withColumn("idx", before).where("__s = 0").select("__w.*", "idx")
-
-
-def align(windows: DataFrame, samples: DataFrame, width: int, session: str = "session", ts: str = "ts", value: str = "value") -> DataFrame:
+def align(windows: DataFrame, samples: DataFrame, width: int, session: str = "session", ts: str = "ts", value: str = "value", rows: int = segments.ROWS) -> DataFrame:
     """Windows with the ``width`` samples about their centre as ``segment``; windows that reach beyond the samples go.
 
     Samples are kept as arrays of ``width``, so a window joins two of them and cuts its segment; no sample is repeated."""
-    blocks = numbered(samples, session, ts).groupBy(session, F.floor(F.col("idx") / width).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", value))), lambda x: x[value]).alias("values"))
-    at = centre_index(windows, samples, session, ts).withColumn("from", F.col("idx") - width // 2).where("from >= 0").withColumn("block", F.floor(F.col("from") / width))
+    blocks = numbered(samples, session, ts, rows=rows).groupBy(session, F.floor(F.col("idx") / width).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", value))), lambda x: x[value]).alias("values"))
+    at = centre_index(windows, samples, session, ts, rows).withColumn("from", F.col("idx") - width // 2).where("from >= 0").withColumn("block", F.floor(F.col("from") / width))
     pair = at.join(blocks, [session, "block"]).join(blocks.select(session, (F.col("block") - 1).alias("block"), F.col("values").alias("next")), [session, "block"], "left")
     segment = F.slice(F.concat("values", F.coalesce("next", F.array().cast("array<double>"))), (F.col("from") % width + 1).cast("int"), F.lit(width))
     return pair.withColumn("segment", segment).where(F.size("segment") == width).drop("block", "values", "next", "from")

@@ -14,6 +14,9 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from facewave.operators.metrics import mid_ranks
+from facewave.operators.sequence import numbered
+from facewave.operators.shuffles import places, round_keys
+from facewave.operators.splits import some
 
 
 def chi_square_tail(x: float, df: int) -> float:
@@ -149,28 +152,40 @@ def _exact_signed(n: int, plus: float) -> float:
     return float(min(1.0, 2 * ways[: low + 1].sum() / 2.0**n))
 
 
-def permutation_ranks(df: DataFrame, label: str, rank: str, strata: Sequence[str], key: str, n: int, seed: int = 42, block: int = 50, group_rows: int = 100_000) -> DataFrame:
+def permutation_ranks(df: DataFrame, label: str, rank: str, strata: Sequence[str], key: str, n: int, seed: int = 42) -> DataFrame:
     """(perm, label, r, m): rank sums by label when labels are shuffled within strata. Ranks never change, so they are made once.
 
-    A stratum of more than ``group_rows`` rows is dealt to groups of about that many by a seeded hash, anew for each block of permutations; labels are shuffled in each
-    group, and only sums by label leave it. No task holds more than a group, whatever the stratum."""
-    labels = df.schema[label].dataType.simpleString()
-    sizes = df.groupBy(*strata).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("__groups"))
-    spread = df.select(*strata, label, rank, key).join(sizes, list(strata)) if strata else df.select(label, rank, key).crossJoin(F.broadcast(sizes))  # one row
-    spread = spread.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block)))).withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), "__block", key), F.col("__groups")).cast("int")).drop("__groups")
-
-    def shuffle(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        rng = np.random.default_rng([seed, *map(int, keys[-2:]), *(hash_text(str(k)) for k in keys[:-2])])
-        names, codes = np.unique(pdf[label].to_numpy(), return_inverse=True)
-        ranks, out = pdf[rank].to_numpy(float), []
-        m = np.bincount(codes, minlength=len(names))
-        for perm in range(int(keys[-2]) * block, min(n, (int(keys[-2]) + 1) * block)):
-            sums = np.bincount(rng.permutation(codes), weights=ranks, minlength=len(names))
-            out += [(perm, names[i], sums[i], int(m[i])) for i in range(len(names))]
-        return pd.DataFrame(out, columns=["perm", "label", "r", "m"])
-
-    return spread.groupBy(*strata, "__block", "__group").applyInPandas(shuffle, f"perm int, label {labels}, r double, m long").groupBy("perm", "label").agg(F.sum("r").alias("r"), F.sum("m").alias("m"))
+    Rows of a stratum are numbered, and its labels stand in order over the numbers, so many of each; in a permutation a row takes the label that stands over the place it goes to
+    (``shuffles.places``). A stratum of any size is permuted as a whole, where its rows lie: nothing is shuffled but the sums by permutation and label."""
+    kind = df.schema[label].dataType.simpleString()
+    stratum = F.xxhash64(*strata) if strata else F.lit(0).cast("long")
+    rows = df.select(F.col(label).alias("label"), F.col(rank).cast("double").alias("rank"), F.col(key).alias("key"), stratum.alias("stratum"), F.xxhash64(F.lit(seed), key).cast("double").alias("h"))
+    counts = rows.groupBy("stratum", "label").agg(F.count("*").alias("c"))
+    names = sorted(r[0] for r in counts.select("label").distinct().collect())  # the groups that are compared
+    code = F.array_position(F.lit(names) if names else F.array(), F.col("label")).cast("int") - 1
+    dealt = counts.withColumn("code", code).groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("code", "c"))).alias("held"))
+    dealt = dealt.select("stratum", F.col("held.code").alias("codes"), F.col("held.c").alias("sizes"))
+    spread = numbered(rows, ["stratum"], "h", "i", tie="key").join(some(dealt, dealt.count()), "stratum").select("stratum", "i", "rank", "codes", "sizes")
+
+    def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, many = np.zeros((n, len(names))), np.zeros((n, len(names)), np.int64)
+        for pdf in batches:
+            for s, part in pdf.groupby("stratum", sort=False):
+                codes, ends = np.array(part["codes"].iloc[0], np.int64), np.cumsum(part["sizes"].iloc[0])
+                keys = round_keys(seed ^ int(s), list(range(n)))
+                step = max(1, (1 << 18) // min(len(part), 4096))
+                for a in range(0, len(part), 4096):
+                    i, ranks = part["i"].to_numpy(np.int64)[a : a + 4096], part["rank"].to_numpy(float)[a : a + 4096]
+                    for b in range(0, n, step):
+                        here = codes[np.searchsorted(ends, places(i, int(ends[-1]), keys[:, b : b + step]), "right")]
+                        cell = (here + np.arange(here.shape[1]) * len(names)).ravel()
+                        sums[b : b + step] += np.bincount(cell, np.repeat(ranks, here.shape[1]), here.shape[1] * len(names)).reshape(-1, len(names))
+                        many[b : b + step] += np.bincount(cell, minlength=here.shape[1] * len(names)).reshape(-1, len(names))
+        perm, at = np.nonzero(many)
+        yield pd.DataFrame({"perm": perm, "at": at, "r": sums[perm, at], "m": many[perm, at]})
+
+    sums = spread.mapInPandas(permute, "perm int, at int, r double, m long").groupBy("perm", "at").agg(F.sum("r").alias("r"), F.sum("m").alias("m"))
+    return sums.select("perm", F.get(F.lit(names) if names else F.array(), F.col("at")).cast(kind).alias("label"), "r", "m")
 
 
 def hash_text(text: str) -> int:
@@ -191,38 +206,41 @@ def permutation_test(df: DataFrame, label: str, value: str, strata: Sequence[str
     return true.crossJoin(reached).select("h", F.when(F.col("h") > 0, (F.col("reached") + 1) / F.lit(n + 1)).otherwise(1.0).alias("p"))
 
 
-def bootstrap_ci(df: DataFrame, by: str, value: str, n: int = 2000, confidence: float = 0.95, seed: int = 0, group_rows: int = 10_000, key: str | None = None) -> DataFrame:
+def bootstrap_ci(df: DataFrame, by: str, value: str, n: int = 2000, confidence: float = 0.95, seed: int = 0, block_rows: int = 10_000, key: str | None = None) -> DataFrame:
     """(by, n, mean, std, low, high) of finite values; nulls where there is none.
 
-    A group of at most ``group_rows`` values is drawn from with replacement in one task. Of a larger one the rows stay where they are: each draws its own weights, one Poisson number of mean 1 for
-    each bootstrap, and a bootstrap's mean is the weighted sum over the sum of weights, added up by Spark. Weights follow ``key``, so that they do not hang on partitions."""
+    Each bootstrap draws as many values as there are, with replacement. The values of a group are numbered and stand in blocks; how many of a bootstrap's draws fall into a block comes from halving
+    the blocks again and again, by a binomial draw each time, which is the same for all who ask. A block is drawn from in a task, and its sums are added up, so that groups of
+    every size are resampled in the same way. Rows are numbered by a hash of ``key``, or else of the value."""
     kind = df.schema[by].dataType.simpleString()
     v = F.col(value).cast("double")
-    rows = df.select(F.col(by).alias("k"), (F.col(key) if key else F.monotonically_increasing_id()).alias("row"), F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v).alias("x"))
+    rows = df.select(F.col(by).alias("k"), (F.col(key) if key else v).alias("row"), F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v).alias("x"))
     about = rows.groupBy("k").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.when(F.count("x") > 1, F.stddev_samp("x")).when(F.count("x") == 1, 0.0).alias("std"))
-    some = rows.where("x is not null").join(about.select(F.col("k").alias("g"), F.col("n").alias("many")), F.col("k").eqNullSafe(F.col("g"))).select("k", "row", "x", "many")
     bounds = [(1 - confidence) / 2, (1 + confidence) / 2]
-
-    def small_group(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf["x"].to_numpy(float))
-        rng = np.random.default_rng([seed, hash_text(str(keys[0]))])
-        means = np.concatenate([x[rng.integers(0, len(x), (min(200, n - i), len(x)))].mean(axis=1) for i in range(0, n, 200)])
-        return pd.DataFrame([(keys[0], *np.quantile(means, bounds))], columns=["k", "low", "high"])
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict = {}
-        for pdf in batches:
-            for k, part in pdf.groupby("k", dropna=False):
-                for a in range(0, len(part), 1000):
-                    x, at = part["x"].to_numpy(float)[a : a + 1000], part["at"].to_numpy(np.int64)[a : a + 1000]
-                    w = np.array([np.random.default_rng([seed, int(i) & (2**63 - 1)]).poisson(1.0, n) for i in at], float)
-                    total[k] = total.get(k, 0) + np.stack([w.sum(axis=0), x @ w])
-        for k, t in total.items():
-            yield pd.DataFrame({"k": pd.Series([None if pd.isna(k) else k] * n, dtype=object), "boot": range(n), "w": t[0], "s": t[1]})
-
-    ends = some.where(F.col("many") <= group_rows).groupBy("k").applyInPandas(small_group, f"k {kind}, low double, high double")
-    large = some.where(F.col("many") > group_rows).select("k", "x", F.xxhash64("k", "x", "row").alias("at"))
-    boots = large.mapInPandas(weigh, f"k {kind}, boot int, w double, s double").groupBy("k", "boot").agg((F.sum("s") / F.sum("w")).alias("m"))
-    wide = boots.groupBy("k").agg(F.percentile("m", F.lit(bounds[0])).alias("low"), F.percentile("m", F.lit(bounds[1])).alias("high"))  # n values each
-    ends = ends.unionByName(wide).withColumnRenamed("k", "g")
-    return about.join(ends, F.col("k").eqNullSafe(F.col("g")), "left").select(F.col("k").alias(by), "n", "mean", "std", "low", "high")
+    some_ = rows.where("x is not null").withColumns({"g": F.coalesce(F.xxhash64("k"), F.lit(0)), "h": F.xxhash64(F.lit(seed), "k", "row", "x").cast("double")})
+    many = some_.groupBy("g").agg(F.count("*").alias("many"))
+    some_ = numbered(some_, ["g"], "h", "i", tie="x").join(some(many, many.count()), "g").withColumn("block", F.floor(F.col("i") / block_rows))
+
+    def draws(name: int, block: int, many: int) -> np.ndarray:
+        """How many draws of each bootstrap fall into a block."""
+        low, high, out = 0, -(-many // block_rows), np.full(n, many)
+        while high - low > 1:
+            half = (low + high) // 2
+            size = [min(b * block_rows, many) - min(a * block_rows, many) for a, b in ((low, half), (low, high))]
+            first = np.random.default_rng([seed, name, low, high]).binomial(out, size[0] / size[1])
+            low, high, out = (low, half, first) if block < half else (half, high, out - first)
+        return out
+
+    def resample(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, name, block = pdf.sort_values("i")["x"].to_numpy(float), int(keys[0]) & (2**63 - 1), int(keys[1])
+        rng, sums = np.random.default_rng([seed, name, block]), np.empty(n)
+        counts = draws(name, block, int(pdf["many"].iloc[0]))
+        for a in range(0, n, 100):
+            c = counts[a : a + 100]
+            taken = np.append(x[rng.integers(0, len(x), c.sum())], 0.0)
+            sums[a : a + 100] = np.where(c > 0, np.add.reduceat(taken, np.cumsum(c) - c), 0.0)
+        return pd.DataFrame({"g": keys[0], "boot": range(n), "s": sums})
+
+    boots = some_.select("g", "block", "i", "x", "many").groupBy("g", "block").applyInPandas(resample, "g long, boot int, s double").groupBy("g", "boot").agg(F.sum("s").alias("s"))
+    ends = boots.join(some(many, many.count()), "g").groupBy("g").agg(*[F.percentile(F.col("s") / F.col("many"), F.lit(b)).alias(c) for b, c in zip(bounds, ("low", "high"), strict=True)])  # n values each
+    return about.withColumn("g", F.coalesce(F.xxhash64("k"), F.lit(0))).join(ends, "g", "left").select(F.col("k").alias(by), "n", "mean", "std", "low", "high")

@@ -18,6 +18,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facewave.operators.sequence import numbered
+from facewave.operators.shuffles import places, round_keys
+
 
 def gram(df: DataFrame, features: str, targets: Sequence[str] = (), by: str | None = None) -> dict:
     """Sums of z z' with z = (1, features, targets), for each value of ``by`` (None: one entry)."""
@@ -110,30 +113,50 @@ def pooled_r2(sums: dict[int, np.ndarray], d: int, alpha: float) -> np.ndarray:
     return np.where(spread > 1e-12, 1 - residual / np.where(spread > 1e-12, spread, 1), (residual < 1e-12).astype(float))
 
 
-def permutation_control(df: DataFrame, features: str, target: str, fold: str, key: str, alpha: float, n: int = 200, seed: int = 42, group_rows: int = 20_000, block: int = 50) -> tuple[float, float]:
-    """(true R2, p) when targets are permuted. A permutation leaves the features' moments alone, so those of the true targets serve for all; only sums of features
-    by permuted target are made anew. For each block of permutations rows fall into groups of about ``group_rows`` by a seeded hash, targets change places within a
-    group, and a group gives one vector for each permutation and fold. No task holds more than a group, whatever the table."""
+def permutation_control(df: DataFrame, features: str, target: str, fold: str, key: str, alpha: float, n: int = 200, seed: int = 42, cells: int = 1 << 22) -> tuple[float, float]:
+    """(true R2, p) when targets are permuted over all rows. A permutation leaves the features' moments alone, so those of the true targets serve for all; only sums of features
+    by permuted target are made anew.
+
+    Rows are numbered; in each permutation a row's target goes to the row that ``shuffles.places`` names. Targets are sent to blocks of rows, where they meet the features of that block, and a block
+    gives one vector for each permutation and fold. No task holds more than a block (``cells`` targets), and no row is bound to a group, whatever the table."""
     base = gram(df, features, [target], fold)
-    d = len(next(iter(base.values()))) - 2
-    true = float(pooled_r2(base, d, alpha)[0])
-    groups = max(1, math.ceil(sum(m[0, 0] for m in base.values()) / group_rows))
-    spread = df.select(F.col(key).alias("key"), F.col(target).alias("y"), F.col(features).alias("x"), F.col(fold).cast("int").alias("fold")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block))))
-    spread = spread.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "block", "key"), F.lit(groups)).cast("int"))
-
-    def shuffle(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fold", "key"])
-        rng = np.random.default_rng([seed, int(keys[0]), int(keys[1])])
-        x, y = np.column_stack([np.ones(len(pdf)), np.array(pdf["x"].tolist(), float)]), pdf["y"].to_numpy(float)
-        names, first = np.unique(pdf["fold"].to_numpy(), return_index=True)
+    d, count = len(next(iter(base.values()))) - 2, int(sum(m[0, 0] for m in base.values()))
+    true, width = float(pooled_r2(base, d, alpha)[0]), max(256, cells // n)
+    rows = df.select(F.col(key).alias("key"), F.col(target).cast("double").alias("y"), F.col(features).alias("x"), F.col(fold).cast("int").alias("fold"), F.xxhash64(F.lit(seed), key).cast("double").alias("h"))
+    rows = numbered(rows, [], "h", "i", tie="key")
+    kind = np.dtype([("perm", "<i4"), ("at", "<i4"), ("y", "<f8")])
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = round_keys(seed, list(range(n)))
+        for pdf in batches:
+            for a in range(0, len(pdf), 4096):
+                i, y = pdf["i"].to_numpy(np.int64)[a : a + 4096], pdf["y"].to_numpy(float)[a : a + 4096]
+                to = places(i, count, keys).ravel()
+                packed = np.empty(len(to), kind)
+                packed["perm"], packed["at"], packed["y"] = np.tile(np.arange(n), len(i)), to % width, np.repeat(y, n)
+                block = to // width
+                order = np.argsort(block, kind="stable")
+                names, first = np.unique(block[order], return_index=True)
+                yield pd.DataFrame({"block": names, "sent": [p.tobytes() for p in np.split(packed[order], first[1:])]})
+
+    def meet(rows: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"perm": [], "fold": [], "s": []})
+        rows = rows.sort_values("i")
+        x, z = np.column_stack([np.ones(len(rows)), np.array(rows["x"].tolist(), float)]), np.zeros((n, len(rows)))
+        for got in sent["sent"]:
+            got = np.frombuffer(got, kind)
+            z[got["perm"], got["at"]] = got["y"]
         out = []
-        for perm in range(int(keys[0]) * block, min(n, (int(keys[0]) + 1) * block)):
-            z = rng.permutation(y)
-            for k, a, b in zip(names.tolist(), first, [*first[1:], len(y)], strict=True):
-                out.append((perm, k, [*(z[a:b] @ x[a:b]), z[a:b] @ z[a:b]]))
+        for k in np.unique(rows["fold"]):
+            on = (rows["fold"] == k).to_numpy()
+            sums = np.column_stack([z[:, on] @ x[on], (z[:, on] ** 2).sum(axis=1)])
+            out += [(perm, k, s.tolist()) for perm, s in enumerate(sums)]
         return pd.DataFrame(out, columns=["perm", "fold", "s"])
 
-    sums = spread.groupBy("block", "group").applyInPandas(shuffle, "perm int, fold int, s array<double>").select("perm", "fold", F.posexplode("s").alias("i", "v")).groupBy("perm", "fold", "i").agg(F.sum("v").alias("v"))
+    blocks = rows.select(F.floor(F.col("i") / width).alias("block"), "i", "x", "fold").groupBy("block")
+    sent = rows.select("i", "y").mapInPandas(send, "block long, sent binary").groupBy("block")
+    sums = blocks.cogroup(sent).applyInPandas(meet, "perm int, fold int, s array<double>").select("perm", "fold", F.posexplode("s").alias("i", "v")).groupBy("perm", "fold", "i").agg(F.sum("v").alias("v"))
     found: dict[int, dict[int, np.ndarray]] = {}
     for r in sums.collect():  # permutations by folds by features
         found.setdefault(r["perm"], {}).setdefault(r["fold"], np.zeros(d + 2))[r["i"]] = r["v"]

@@ -20,8 +20,8 @@ def in_order(session: str = "session", ts: str = "ts", tie: str = "frame_idx") -
     return Window.partitionBy(session).orderBy(ts, tie)
 
 
-def numbered(df: DataFrame, by: list[str], order: str, name: str, parts: int = 64) -> DataFrame:
-    """Adds ``name``: the place (from 0) of each row by a numeric column, among all rows or those equal in ``by``. Rows are numbered in ranges of the column, whose
+def numbered(df: DataFrame, by: list[str], order: str, name: str, parts: int = 64, tie: str | None = None) -> DataFrame:
+    """Adds ``name``: the place (from 0) of each row by a numeric column (and ``tie`` where that is equal), among all rows or those equal in ``by``. Rows are numbered in ranges of the column, whose
     counts are added up apart, so neither a large group nor the whole table is one window's partition."""
     bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
     part = F.lit(0)
@@ -30,7 +30,7 @@ def numbered(df: DataFrame, by: list[str], order: str, name: str, parts: int = 6
     df = df.withColumn("__part", part)
     before = F.coalesce(F.sum("__rows").over(Window.partitionBy(*by, F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = df.groupBy(*by, "__part").agg(F.count("*").alias("__rows")).withColumn("__before", before).drop("__rows")  # ``parts`` rows for each group at most
-    here = (F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order)) - 1).cast("long")
+    here = (F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order, *[tie] * bool(tie))) - 1).cast("long")
     return df.withColumn("__here", here).join(counts, [*by, "__part"]).withColumn(name, F.col("__here") + F.col("__before")).drop("__part", "__here", "__before")
 
 
@@ -105,34 +105,6 @@ def calibrate(df: DataFrame, ear: str, session: str, ts: str, seconds: float) ->
     return out.withColumn("baseline", F.when(F.col(ts) - F.col("__begin") >= seconds, F.col("__base"))).drop("__begin", "__base")
 
 
-def rate_limited(df: DataFrame, session: str, ts: str, tie: str, least: float) -> DataFrame:
-    """Adds ``emitted``: a frame is emitted if at least ``least`` has passed since the last emitted one. What the next frame
-    does hangs on that choice, so a session is folded in time order, in batches that carry the last emitted time."""
-    import pandas as pd
-
-    schema = df.schema.add("emitted", "boolean")
-
-    def fold(batches):
-        last: dict = {}
-        for pdf in batches:
-            out = []
-            for s, t in zip(pdf[session], pdf[ts], strict=True):
-                out.append(s not in last or t - last[s] >= least)
-                if out[-1]:
-                    last = {s: t}  # sessions come one after another
-            yield pdf.assign(emitted=pd.Series(out, index=pdf.index, dtype=bool))
-
-    return df.repartition(session).sortWithinPartitions(session, ts, tie).mapInPandas(fold, schema)
-
-
-def label_runs(df: DataFrame, label: str, session: str, order: str) -> DataFrame:
-    """(session, run, label, first, last, frames) of the stretches of equal labels."""
-    w = Window.partitionBy(session).orderBy(order)
-    change = F.when(F.col(label).eqNullSafe(F.lag(label).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    run = df.withColumn("__change", change).withColumn("run", F.sum("__change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(session, "run").agg(F.first(label).alias("label"), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("frames"))
-
-
 def scaled_history(df: DataFrame, value: str, bands: int = 60, samples: int = 512, floor: float = 1e-4) -> DataFrame:
     """Adds ``scaled``, the value between the least and largest of its session's last ``bands``, and ``waveform``, the value over the largest size of the last
     ``samples``; spans below ``floor`` count as that."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from facewave.functions import facial as f
-from facewave.operators import alignment, sequence, spectral
+from facewave.operators import alignment, segments, sequence, spectral
 from facewave.plans.tables import FRAMES, at, frames, points, table, windows
 from facewave.sources import tables as sources
 
@@ -243,24 +243,20 @@ def w2(spark, d):
 
 @entry("w3_blink_event", f"{FRAMES} SELECT frame_idx, CASE WHEN ear < 20 AND coalesce(lag(ear) {W} >= 20, true) THEN 1 ELSE 0 END AS event FROM fr")
 def w3(spark, d):
-    return frames(spark, d).withColumn("event", sequence.blink_event(F.col("ear"), 20, sequence.in_order())).select("frame_idx", "event")
+    return segments.blink_events(frames(spark, d), "ear", 20).select("frame_idx", "event")
 
 
 _blink = f"{FRAMES}, b AS (SELECT *, CASE WHEN ear < 20 AND coalesce(lag(ear) {W} >= 20, true) THEN 1 ELSE 0 END AS event FROM fr)"
 
 
-def _blinks(spark, d):
-    return frames(spark, d).withColumn("event", sequence.blink_event(F.col("ear"), 20, sequence.in_order()))
-
-
 @entry("w4_blink_rate", f"{_blink} SELECT frame_idx, CAST(least(sum(event) OVER (PARTITION BY session ORDER BY us RANGE BETWEEN 432000000000 PRECEDING AND CURRENT ROW), 300) AS BIGINT) AS rate FROM b")
 def w4(spark, d):
-    return _blinks(spark, d).select("frame_idx", sequence.blink_rate("event", "us", "session", "frame_idx", 432000).cast("long").alias("rate"))
+    return segments.blink_rates(frames(spark, d), "ear", 20, "us", 432000).select("frame_idx", F.col("rate").cast("long").alias("rate"))
 
 
 @entry("w5_pose_velocity", f"{FRAMES} SELECT frame_idx, round(coalesce(ear - lag(ear) {W}, 0), 6) AS velocity FROM fr")
 def w5(spark, d):
-    return frames(spark, d).select("frame_idx", r(sequence.difference(F.col("ear"), sequence.in_order())).alias("velocity"))
+    return segments.differences(frames(spark, d), {"velocity": "ear"}).select("frame_idx", r(F.col("velocity")).alias("velocity"))
 
 
 @entry("w6_dropped_frames", f"{FRAMES}, g AS (SELECT session, ts - lag(ts) {W} AS g FROM fr) SELECT session, CAST(sum(CASE WHEN g > 1.8 * 21600 THEN greatest(round_even(g / 21600, 0) - 1, 1) ELSE 0 END) AS BIGINT) AS dropped FROM g GROUP BY session")
@@ -271,7 +267,7 @@ def w6(spark, d):
 
 @entry("w7_face_runs", f"{FRAMES} SELECT session, run, CAST(count(*) FILTER (face) AS BIGINT) AS frames FROM (SELECT *, CAST(sum(CASE WHEN face THEN 0 ELSE 1 END) {W} AS BIGINT) AS run FROM fr) GROUP BY session, run")
 def w7(spark, d):
-    x = frames(spark, d).withColumn("run", sequence.runs(~F.col("face"), sequence.in_order()))
+    x = segments.face_runs(frames(spark, d), ~F.col("face"))
     return x.groupBy("session", "run").agg(F.count(F.when(F.col("face"), 1)).alias("frames"))
 
 
@@ -308,8 +304,7 @@ def w12(spark, d):
 
 @entry("w13_since_blink", f"{_blink} SELECT frame_idx, CAST(sum(event) {W} AS BIGINT) AS blinks, round(ts - max(CASE WHEN event = 1 THEN ts END) {W}, 3) AS since FROM b")
 def w13(spark, d):
-    w = sequence.in_order()
-    return _blinks(spark, d).select("frame_idx", F.sum("event").over(w).cast("long").alias("blinks"), r(F.col("ts") - F.last(F.when(F.col("event") == 1, F.col("ts")), ignorenulls=True).over(w), 3).alias("since"))
+    return segments.since_blink(frames(spark, d), "ear", 20).select("frame_idx", F.col("blinks").cast("long").alias("blinks"), r(F.col("since"), 3).alias("since"))
 
 
 @entry("w14_frame_rate", f"{FRAMES} SELECT session, CAST(floor(us / 86400000000) AS BIGINT) AS day, count(*) AS frames, round(count(*) / 86400.0, 9) AS fps FROM fr GROUP BY 1, 2")
@@ -320,12 +315,12 @@ def w14(spark, d):
 
 @entry("w15_rate_limit", f"WITH RECURSIVE {FRAMES[5:]}, n AS (SELECT *, row_number() {W} AS n FROM fr), e AS (SELECT session, frame_idx, n, ts, ts AS last, true AS emitted FROM n WHERE n = 1 UNION ALL SELECT n.session, n.frame_idx, n.n, n.ts, CASE WHEN n.ts - e.last >= 86400 THEN n.ts ELSE e.last END, n.ts - e.last >= 86400 FROM e JOIN n ON n.session = e.session AND n.n = e.n + 1) SELECT frame_idx, emitted FROM e")
 def w15(spark, d):
-    return sequence.rate_limited(frames(spark, d).select("session", "frame_idx", "ts"), "session", "ts", "frame_idx", 86400).select("frame_idx", "emitted")
+    return segments.rate_limited(frames(spark, d).select("session", "frame_idx", "ts"), "session", "ts", "frame_idx", 86400).select("frame_idx", "emitted")
 
 
 @entry("w16_label_runs", f"{FRAMES}, c AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY session ORDER BY frame_idx) THEN 0 ELSE 1 END AS c FROM fr), q AS (SELECT *, sum(c) OVER (PARTITION BY session ORDER BY frame_idx) AS run FROM c) SELECT session, CAST(run AS BIGINT) AS run, any_value(event_type) AS label, min(frame_idx) AS first, max(frame_idx) AS last, count(*) AS frames FROM q GROUP BY session, run")
 def w16(spark, d):
-    return sequence.label_runs(frames(spark, d), "event_type", "session", "frame_idx")
+    return segments.label_runs(frames(spark, d), "event_type", "session", "frame_idx")
 
 
 # a label's windows, in the order of their ids and a second apart, are its frames: 32 landmarks, blend shapes and pose from the same values

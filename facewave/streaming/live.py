@@ -1,14 +1,16 @@
-"""The live loop on Structured Streaming: event time, with a watermark for late frames."""
+"""The live loop on Structured Streaming: event time, with a watermark for late frames and an end to every state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter, deque
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from facewave.operators import models
@@ -20,15 +22,38 @@ BLINKS = "session long, frame_idx long, ts timestamp, event int, rate int, energ
 NONE = "N/A"
 
 
-def blinks(frames: DataFrame, threshold: float, seconds: float = 60, decay: float = 0.9, least: float = 0.5, late: str = "10 seconds", most: int = 300, pose: Sequence[str] = ()) -> DataFrame:
-    """Blink events, their rate, movement energy, rate-limited emission and the velocities of the angles in ``pose`` (0 for a session's first frame); the state of a session is a flag, the times of its
-    last blinks and a few numbers. A batch is folded in time order; frames behind the watermark are dropped by it."""
+#: Event time without a frame after which a session has ended.
+IDLE = "1 hour"
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        below, times, energy, last, emitted, angles = state.get if state.exists else (False, [], 0.0, float("nan"), float("-inf"), [])
-        times, angles = list(times), list(angles)
-        rows = pd.concat(list(batches)).sort_values(["ts", "frame_idx"])
-        out = []
+
+def by_session(frames: DataFrame, fold: Callable[[int, pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]], rows: str, held: str, late: str, idle: str) -> DataFrame:
+    """``fold`` over the frames of each session in time order, a batch at a time: from the session, its new frames and what it held (None at first) come rows and what it holds now.
+
+    A session ends when the watermark has passed its last frame by ``idle``: what it held is given up then, and frames that come after that begin anew. Frames behind the watermark are
+    dropped and counted (see ``late_rows``)."""
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    clock = "__clock"  # a day later than ``ts``: watermarks begin in 1970, and so may the clock of a recording
+
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(batches)).sort_values(["ts", "frame_idx"])
+        out, now = fold(key[0], new, state.get if state.exists else None)
+        state.update(now)
+        state.setTimeoutTimestamp(max(int(new[clock].max().timestamp() * 1000) + wait, state.getCurrentWatermarkMs() + 1))
+        yield out
+
+    return frames.withColumn(clock, F.col("ts") + F.expr("interval 1 day")).withWatermark(clock, late).groupBy("session").applyInPandasWithState(work, rows, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def blinks(frames: DataFrame, threshold: float, seconds: float = 60, decay: float = 0.9, least: float = 0.5, late: str = "10 seconds", most: int = 300, pose: Sequence[str] = (), idle: str = IDLE) -> DataFrame:
+    """Blink events, their rate, movement energy, rate-limited emission and the velocities of the angles in ``pose`` (0 for a session's first frame); a session holds a flag, the times of its
+    last blinks and a few numbers."""
+
+    def fold(session: int, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        below, times, energy, last, emitted, angles = held or (False, [], 0.0, float("nan"), float("-inf"), [])
+        times, angles, out = list(times), list(angles), []
         turns = rows[list(pose)].to_numpy(float).tolist()
         for i, ts, ear, now in zip(rows["frame_idx"], rows["ts"], rows["ear"], turns, strict=True):
             t = ts.timestamp()
@@ -45,28 +70,27 @@ def blinks(frames: DataFrame, threshold: float, seconds: float = 60, decay: floa
             last = ear if ear == ear else last
             emit = t - emitted >= least
             emitted = t if emit else emitted
-            out.append((key[0], i, ts, event, len(times), energy, emit, moved))
-        state.update((below, times, energy, last, emitted, angles))
-        yield pd.DataFrame(out, columns=["session", "frame_idx", "ts", "event", "rate", "energy", "emitted", "pose_velocity"])
+            out.append((session, i, ts, event, len(times), energy, emit, moved))
+        return pd.DataFrame(out, columns=["session", "frame_idx", "ts", "event", "rate", "energy", "emitted", "pose_velocity"]), (below, times, energy, last, emitted, angles)
 
-    return frames.withWatermark("ts", late).groupBy("session").applyInPandasWithState(fold, BLINKS, "below boolean, times array<double>, energy double, last double, emitted double, angles array<double>", "append", GroupStateTimeout.NoTimeout)
+    return by_session(frames, fold, BLINKS, "below boolean, times array<double>, energy double, last double, emitted double, angles array<double>", late, idle)
 
 
-def windows(frames: DataFrame, length: int, late: str = "10 seconds") -> DataFrame:
+def windows(frames: DataFrame, length: int, late: str = "10 seconds", idle: str = IDLE) -> DataFrame:
     """(session, end, mean, low, high) of the last ``length`` frames, whenever that many are held; a lost face clears them."""
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "frame_idx"])
+    def fold(session: int, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        last, out = deque(held[0] if held else (), maxlen=length), []
         for i, ear, face in zip(rows["frame_idx"], rows["ear"], rows["face"], strict=True):
-            held = (held + [float(ear)])[-length:] if face else []
-            if len(held) == length:
-                out.append((key[0], i, sum(held) / length, min(held), max(held)))
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["session", "frame_idx", "mean", "low", "high"])
+            if not face:
+                last.clear()
+                continue
+            last.append(float(ear))
+            if len(last) == length:
+                out.append((session, i, sum(last) / length, min(last), max(last)))
+        return pd.DataFrame(out, columns=["session", "frame_idx", "mean", "low", "high"]), (list(last),)
 
-    return frames.withWatermark("ts", late).groupBy("session").applyInPandasWithState(fold, "session long, frame_idx long, mean double, low double, high double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return by_session(frames, fold, "session long, frame_idx long, mean double, low double, high double", "held array<double>", late, idle)
 
 
 @dataclass(frozen=True)
@@ -92,40 +116,65 @@ class StateModel:
         return f"{self.names[best] if best < len(self.names) else f'cluster {best}'} ({share[best]:.0%})"
 
 
-def facial_state(frames: DataFrame, model: StateModel | None, columns: Sequence[str], fps: float = 18.0, late: str = "10 seconds") -> DataFrame:
+def facial_state(frames: DataFrame, model: StateModel | None, columns: Sequence[str], fps: float = 18.0, late: str = "10 seconds", idle: str = IDLE) -> DataFrame:
     """(session, frame_idx, state): the estimate from the last frames with a face. N/A without a model, with one that was trained on synthetic data or for another frame rate, and while
     fewer frames are held than it needs; a lost face clears them."""
     able = model is not None and not model.synthetic and abs(model.fps - fps) <= 1e-8 + 1e-5 * abs(fps)
     length, many = (model.frames, len(columns)) if able else (1, len(columns))
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = np.array(state.get[0] if state.exists else [], float).reshape(-1, many)
-        rows = pd.concat(list(batches)).sort_values(["ts", "frame_idx"])
-        out = []
-        for i, face, values in zip(rows["frame_idx"], rows["face"], rows[list(columns)].to_numpy(float), strict=True):
-            held = np.vstack([held, values])[-length:] if face else held[:0]
-            out.append((key[0], i, model.estimate(held) if able and len(held) == length and np.isfinite(held).all() else NONE))
-        state.update((held.ravel().tolist(),))
-        yield pd.DataFrame(out, columns=["session", "frame_idx", "state"])
+    def fold(session: int, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        old = np.array(held[0] if held else [], float).reshape(-1, many)
+        every, first, out = np.vstack([old, rows[list(columns)].to_numpy(float)]), 0, []
+        for end, (i, face) in enumerate(zip(rows["frame_idx"], rows["face"], strict=True), len(old) + 1):
+            first = max(first, end - length) if face else end
+            window = every[first:end]
+            out.append((session, i, model.estimate(window) if able and len(window) == length and np.isfinite(window).all() else NONE))
+        return pd.DataFrame(out, columns=["session", "frame_idx", "state"]), (every[max(first, len(every) - length) :].ravel().tolist(),)
+
+    return by_session(frames, fold, "session long, frame_idx long, state string", "held array<double>", late, idle)
+
+
+class LateRows(StreamingQueryListener):
+    """Counts, for each query by its name (or id), the rows that came behind the watermark and were dropped. Add it to ``spark.streams``. Joins and folds by session count rows; a window's
+    aggregation counts what is left of them after the rows of a task and window are added up."""
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.dropped[p.name or str(p.id)] += sum(max(op.numRowsDroppedByWatermark, 0) for op in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
 
-    return frames.withWatermark("ts", late).groupBy("session").applyInPandasWithState(fold, "session long, frame_idx long, state string", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query dropped as late, over the progress reports that it keeps."""
+    return sum(max(op["numRowsDroppedByWatermark"], 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
 def telemetry(frames: DataFrame, width: str, late: str = "10 seconds") -> DataFrame:
-    """Frames, lost faces and frame rate of each interval."""
+    """Frames, lost faces and frame rate of each interval, which is given out, and its state given up, once the watermark has passed it (append mode)."""
     seconds = F.col("w.end").cast("double") - F.col("w.start").cast("double")
     out = frames.withWatermark("ts", late).groupBy("session", F.window("ts", width).alias("w")).agg(F.count("*").alias("frames"), F.sum(F.when(F.col("face"), 0).otherwise(1)).alias("lost"))
     return out.select("session", F.col("w.start").alias("start"), "frames", "lost", (F.col("frames") / seconds).alias("fps"))
 
 
 def presence(frames: DataFrame, gap: str, late: str = "10 seconds") -> DataFrame:
-    """Stretches of face presence: frames with a face that are less than ``gap`` apart."""
+    """Stretches of face presence: frames with a face that are less than ``gap`` apart. A stretch is given out once the watermark has passed its end (append mode)."""
     out = frames.where("face").withWatermark("ts", late).groupBy("session", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("frames"))
     return out.select("session", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames")
 
 
 def aligned(frames: DataFrame, samples: DataFrame, within: str, late: str = "10 seconds") -> DataFrame:
-    """Frames with the samples of their session up to ``within`` before them; both sides are bounded by watermarks."""
+    """Frames with the samples of their session up to ``within`` before them; both sides are bounded by watermarks, and rows behind these are dropped and counted."""
     a = frames.withWatermark("ts", late).alias("f")
     b = samples.withWatermark("ts", late).alias("s")
     return a.join(b, F.expr(f"f.session = s.session and s.ts <= f.ts and s.ts >= f.ts - interval {within}")).select("f.session", "f.frame_idx", F.col("f.ts").alias("ts"), "s.sample_idx", F.col("s.value").alias("value"))

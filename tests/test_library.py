@@ -318,15 +318,15 @@ def test_permutation_control_by_sums(spark):
     x = rng.normal(size=(200, 3))
     rows = [(i, r.tolist(), float(r @ [1, 2, 0] + rng.normal()), float(rng.normal()), i % 4) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "id long, x array<double>, y double, noise double, fold int")
-    true, p = models.permutation_control(df, "x", "y", "fold", "id", 1.0, 60, group_rows=70)
+    true, p = models.permutation_control(df, "x", "y", "fold", "id", 1.0, 60, cells=60 * 256)
     assert true > 0.5 and p == 1 / 61
     assert models.permutation_control(df.repartition(7), "x", "noise", "fold", "id", 1.0, 60)[1] > 0.02
 
 
-def test_bootstrap_by_weights_agrees_with_resampling(spark):
+def test_bootstrap_in_blocks_agrees_with_one_block(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(k, i, float(v)) for k in ("a", None) for i, v in enumerate(rng.normal(3, 1, 400))], "g string, id long, v double")
-    few, many = (hypothesis.bootstrap_ci(df, "g", "v", 1000, key="id", group_rows=n).orderBy("g").collect() for n in (10_000, 100))
+    few, many = (hypothesis.bootstrap_ci(df, "g", "v", 1000, key="id", block_rows=n).orderBy("g").collect() for n in (10_000, 100))
     for a, b in zip(few, many, strict=True):
         assert (a["g"], a["n"], a["mean"], a["std"]) == (b["g"], b["n"], b["mean"], b["std"])
         assert abs(a["low"] - b["low"]) < 0.03 and abs(a["high"] - b["high"]) < 0.03 and a["low"] < a["mean"] < a["high"]
@@ -342,7 +342,7 @@ def test_signed_rank_table(spark):
 def test_large_strata_and_many_subjects_are_dealt(spark):
     rows = [(i, i % 3, float(i % 3 + (i * 7919 % 100) / 50), "s") for i in range(300)]
     df = spark.createDataFrame(rows, "id long, label int, rank double, stratum string")
-    sums = hypothesis.permutation_ranks(df, "label", "rank", ["stratum"], "id", 20, group_rows=50).toPandas()
+    sums = hypothesis.permutation_ranks(df, "label", "rank", ["stratum"], "id", 20).toPandas()
     assert len(sums) == 60 and (sums.groupby("perm")["m"].sum() == 300).all()
     assert np.allclose(sums.groupby("perm")["r"].sum(), sum(r[2] for r in rows))
     subjects = spark.createDataFrame([(f"u{i % 40}",) for i in range(400)], "subject string")
