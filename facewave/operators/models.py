@@ -14,32 +14,48 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facewave.operators.boosting import fit_boosted, predict_boosted
 from facewave.operators.sequence import numbered
 from facewave.operators.shuffles import places, round_keys
 
 
-def gram(df: DataFrame, features: str, targets: Sequence[str] = (), by: str | None = None) -> dict:
-    """Sums of z z' with z = (1, features, targets), for each value of ``by`` (None: one entry)."""
+class Moments(dict):
+    """Sums of w z z' by key, with z = (1, features, targets) less ``shift`` (which has no part for the 1)."""
+
+    shift: np.ndarray
+
+
+def centre(df: DataFrame, rows: int = 1000) -> np.ndarray:
+    """The medians of some rows (array<double> z): numbers near all values, so that sums of squares about them lose no digits."""
+    some = [r[0] for r in df.limit(rows).collect()]
+    return np.nan_to_num(np.median(np.array(some, float), axis=0)) if some else np.zeros(0)
+
+
+def gram(df: DataFrame, features: str, targets: Sequence[str] = (), by: str | None = None, weight: str | None = None) -> Moments:
+    """Moments for each value of ``by`` (None: one entry), rows counting by ``weight``."""
+    z = F.concat(F.transform(features, lambda x: x.cast("double")), F.array(*[F.col(t).cast("double") for t in targets]).cast("array<double>"))
+    rows = df.select(z.alias("z"), (F.col(by) if by else F.lit(0)).cast("long").alias("k"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("w"))
+    shift = centre(rows.select("z"))
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for pdf in batches:
-            for k, rows in pdf.groupby("__by") if by else [(0, pdf)]:
-                if len(rows):
-                    z = np.column_stack([np.ones(len(rows)), np.array(rows[features].tolist(), float), *(rows[t].to_numpy(float) for t in targets)])
-                    total[k] = total.get(k, 0) + z.T @ z
+            for k, part in pdf.groupby("k"):
+                z = np.column_stack([np.ones(len(part)), np.array(part["z"].tolist(), float) - shift])
+                total[k] = total.get(k, 0) + (z.T * part["w"].to_numpy(float)) @ z
         for k, m in total.items():
             yield pd.DataFrame({"k": [int(k)], "m": [m.ravel().tolist()]})
 
-    cols = [features, *targets, *([F.col(by).cast("long").alias("__by")] if by else [])]
-    parts = df.select(*cols).mapInPandas(work, "k long, m array<double>").select("k", F.posexplode("m").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
-    out: dict = {}
+    parts = rows.mapInPandas(work, "k long, m array<double>").select("k", F.posexplode("m").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
+    held: dict = {}
     for r in parts.orderBy("k", "i").collect():
-        out.setdefault(r["k"], []).append(r["v"])
-    return {k: np.array(v).reshape(math.isqrt(len(v)), -1) for k, v in out.items()}
+        held.setdefault(r["k"], []).append(r["v"])
+    out = Moments({k: np.array(v).reshape(math.isqrt(len(v)), -1) for k, v in held.items()})
+    out.shift = shift
+    return out
 
 
 @dataclass
@@ -61,16 +77,17 @@ class Components:
         return points @ self.axes + self.mean
 
 
-def principal_components(df: DataFrame, features: str, keep: float = 0.95) -> Components:
+def principal_components(df: DataFrame, features: str, keep: float = 0.95, weight: str | None = None) -> Components:
     """The fewest axes whose share of variance exceeds ``keep``; the largest loading of each axis is positive."""
-    m = gram(df, features)[0]
+    sums = gram(df, features, weight=weight)
+    m = sums[0]
     n, mean = m[0, 0], m[0, 1:] / m[0, 0]
     values, vectors = np.linalg.eigh((m[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1))
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1].T
     ratio = values / max(values.sum(), 1e-300)
     k = min(int(np.searchsorted(np.cumsum(ratio), keep, "right")) + 1, len(ratio))
     axes = vectors[:k] * np.sign(vectors[np.arange(k), np.abs(vectors[:k]).argmax(axis=1)])[:, None]
-    return Components(mean, axes, ratio)
+    return Components(mean + sums.shift, axes, ratio)
 
 
 def _ridge(m: np.ndarray, d: int, alpha: float) -> np.ndarray:
@@ -90,14 +107,18 @@ def ridge_by_fold(df: DataFrame, features: str, targets: Sequence[str], fold: st
     sums = gram(df, features, targets, fold)
     total = sum(sums.values())
     d = len(total) - 1 - len(targets)
-    return {k: _ridge(total - m, d, alpha) for k, m in sums.items()}
+    out = {k: _ridge(total - m, d, alpha) for k, m in sums.items()}
+    for w in out.values():  # the constant for features as they are
+        w[0] += sums.shift[d:] - sums.shift[:d] @ w[1:]
+    return out
 
 
 def predict_by_fold(df: DataFrame, features: str, fold: str, weights: dict[int, np.ndarray], names: Sequence[str]) -> DataFrame:
-    """Adds the held-out predictions as columns ``names``."""
-    table = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.array(*[F.array(*map(F.lit, map(float, w[:, j]))) for j in range(w.shape[1])]))])
-    w = table[F.col(fold)]
-    return df.withColumns({name: w[j][0] + F.aggregate(F.zip_with(F.slice(w[j], F.lit(2), F.size(features)), features, lambda a, x: a * x), F.lit(0.0), lambda t, v: t + v) for j, name in enumerate(names)})
+    """Adds the held-out predictions as columns ``names``. The weights go to every task as a table with a row for each fold."""
+    table = df.sparkSession.createDataFrame([(int(k), w.T.tolist()) for k, w in weights.items()], "__k int, __w array<array<double>>")
+    at = lambda j: F.get("__w", F.lit(j))
+    sums = {name: F.get(at(j), F.lit(0)) + F.aggregate(F.zip_with(F.slice(at(j), F.lit(2), F.size(features)), features, lambda a, x: a * x), F.lit(0.0), lambda t, v: t + v) for j, name in enumerate(names)}
+    return df.join(F.broadcast(table), F.col(fold) == F.col("__k"), "left").withColumns(sums).drop("__k", "__w")
 
 
 def pooled_r2(sums: dict[int, np.ndarray], d: int, alpha: float) -> np.ndarray:
@@ -120,7 +141,7 @@ def permutation_control(df: DataFrame, features: str, target: str, fold: str, ke
     Rows are numbered; in each permutation a row's target goes to the row that ``shuffles.places`` names. Targets are sent to blocks of rows, where they meet the features of that block, and a block
     gives one vector for each permutation and fold. No task holds more than a block (``cells`` targets), and no row is bound to a group, whatever the table."""
     base = gram(df, features, [target], fold)
-    d, count = len(next(iter(base.values()))) - 2, int(sum(m[0, 0] for m in base.values()))
+    d, count, shift = len(next(iter(base.values()))) - 2, int(sum(m[0, 0] for m in base.values())), base.shift
     true, width = float(pooled_r2(base, d, alpha)[0]), max(256, cells // n)
     rows = df.select(F.col(key).alias("key"), F.col(target).cast("double").alias("y"), F.col(features).alias("x"), F.col(fold).cast("int").alias("fold"), F.xxhash64(F.lit(seed), key).cast("double").alias("h"))
     rows = numbered(rows, [], "h", "i", tie="key")
@@ -130,7 +151,7 @@ def permutation_control(df: DataFrame, features: str, target: str, fold: str, ke
         keys = round_keys(seed, list(range(n)))
         for pdf in batches:
             for a in range(0, len(pdf), 4096):
-                i, y = pdf["i"].to_numpy(np.int64)[a : a + 4096], pdf["y"].to_numpy(float)[a : a + 4096]
+                i, y = pdf["i"].to_numpy(np.int64)[a : a + 4096], pdf["y"].to_numpy(float)[a : a + 4096] - shift[d]
                 to = places(i, count, keys).ravel()
                 packed = np.empty(len(to), kind)
                 packed["perm"], packed["at"], packed["y"] = np.tile(np.arange(n), len(i)), to % width, np.repeat(y, n)
@@ -143,7 +164,7 @@ def permutation_control(df: DataFrame, features: str, target: str, fold: str, ke
         if not len(rows):
             return pd.DataFrame({"perm": [], "fold": [], "s": []})
         rows = rows.sort_values("i")
-        x, z = np.column_stack([np.ones(len(rows)), np.array(rows["x"].tolist(), float)]), np.zeros((n, len(rows)))
+        x, z = np.column_stack([np.ones(len(rows)), np.array(rows["x"].tolist(), float) - shift[:d]]), np.zeros((n, len(rows)))
         for got in sent["sent"]:
             got = np.frombuffer(got, kind)
             z[got["perm"], got["at"]] = got["y"]
@@ -171,18 +192,9 @@ def permutation_control(df: DataFrame, features: str, target: str, fold: str, ke
     return true, (reached + 1) / (n + 1)
 
 
-def boosted_by_fold(df: DataFrame, features: str, target: str, fold: str, name: str, trees: int = 50, depth: int = 3, seed: int = 42) -> DataFrame:
+def boosted_by_fold(df: DataFrame, features: str, target: str, fold: str, name: str, trees: int = 50, depth: int = 3) -> DataFrame:
     """Adds ``name``: each row's prediction by gradient boosting fitted on the other folds."""
-    rows = df.withColumn("__x", array_to_vector(F.transform(features, lambda x: x.cast("double")))).cache()
-    try:
-        out = None
-        for k in sorted(r[0] for r in rows.select(fold).distinct().collect()):
-            model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol=name, maxIter=trees, maxDepth=depth, seed=seed).fit(rows.where(F.col(fold) != k))
-            part = model.transform(rows.where(F.col(fold) == k))
-            out = part if out is None else out.unionByName(part)
-        return out.drop("__x")
-    finally:
-        rows.unpersist()
+    return predict_boosted(df, fit_boosted(df, features, [target], fold, trees, depth), features, fold, [name])
 
 
 def baselines(df: DataFrame, features: str, target: str, fold: str, column: int, trees: int = 50, depth: int = 3) -> DataFrame:
@@ -251,7 +263,9 @@ def fit_mixtures(df: DataFrame, features: str, ks: Sequence[int] = range(2, 9),
     sums of the size of the models."""
     rows = df.select(features).cache()
     start = [np.array(r[0], float) for r in rows.orderBy(F.xxhash64(F.lit(seed), F.to_json(features))).limit(20 * max(ks)).collect()]
-    m = gram(rows, features)[0]
+    sums = gram(rows, features)
+    m, shift = sums[0], sums.shift
+    start = [p - shift for p in start]  # all of it about a centre
     n, mean = m[0, 0], m[0, 1:] / m[0, 0]
     spread = (m[1:, 1:] - n * np.outer(mean, mean)) / n
     models = []
@@ -270,9 +284,9 @@ def fit_mixtures(df: DataFrame, features: str, ks: Sequence[int] = range(2, 9),
             def work(batches: Iterator[pd.DataFrame], now: dict = now) -> Iterator[pd.DataFrame]:
                 total: dict = {}
                 for pdf in batches:
-                    x = np.array(pdf[features].tolist(), float)
-                    if not len(x):
+                    if not len(pdf):
                         continue
+                    x = np.array(pdf[features].tolist(), float) - shift
                     z = np.column_stack([np.ones(len(x)), x])
                     for i, model in now.items():
                         log = model.log_densities(x)
@@ -306,6 +320,8 @@ def fit_mixtures(df: DataFrame, features: str, ks: Sequence[int] = range(2, 9),
                 break
     finally:
         rows.unpersist()
+    for model in models:
+        model.means = model.means + shift
     return sorted(models, key=lambda m: m.bic)
 
 

@@ -467,10 +467,15 @@ def m6(spark, d):
     return x.join(F.broadcast(means), "fold").groupBy("fold").agg(r(F.avg(F.abs(F.col("y") - F.col("p")))).alias("ridge_mae"), r(F.avg(F.abs(F.col("y") - F.col("m")))).alias("mean_mae"))
 
 
+def _without(x, i):
+    """A vector without the component that is the target."""
+    return F.filter(x, lambda v, k: k != i)
+
+
 @entry("m6_all_baselines")
 def m6_all(spark, d):
     w = windows(spark, d).select("vec_id", "x", F.col("x")[20].alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
-    return models.baselines(w.withColumn("x", F.slice("x", 1, 16)), "x", "y", "fold", 2)
+    return models.baselines(w.withColumn("x", _without("x", 20)), "x", "y", "fold", 2)
 
 
 @entry("m7_pooled_r2", f"{_folds} SELECT round(1 - sum(power(y - (my + (x - mx) * b), 2)) / (sum(y * y) - power(sum(y), 2) / count(*)), 6) AS r2 FROM f JOIN w USING (fold)")
@@ -481,21 +486,21 @@ def m7(spark, d):
 
 @entry("m8_permutation_control")
 def m8(spark, d):
-    w = windows(spark, d).select("vec_id", F.slice("x", 1, 6).alias("x"), F.col("x")[10].alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
+    w = windows(spark, d).select("vec_id", _without("x", 10).alias("x"), F.col("x")[10].alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
     return spark.createDataFrame([models.permutation_control(w, "x", "y", "fold", "vec_id", 10.0)], "r2 double, p double")
 
 
 @entry("m9_ablation")
 def m9(spark, d):
-    w = windows(spark, d).select("vec_id", F.slice("x", 1, 6).alias("x"), F.col("x")[3].alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
-    score = lambda df: float(models.pooled_r2(models.gram(df, "x", ["y"], "fold"), 6, 10.0)[0])
+    w = windows(spark, d).select("vec_id", _without("x", 10).alias("x"), F.col("x")[10].alias("y"), (F.col("vec_id") % 5).cast("int").alias("fold"))
+    score = lambda df: float(models.pooled_r2(models.gram(df, "x", ["y"], "fold"), 63, 10.0)[0])
     a, b = score(w), score(models.zeroed(w, "x", [3, 4]))
     return spark.createDataFrame([(a, b, a - b)], "base double, ablated double, lost double")
 
 
 def _study(spark, d):
     w = windows(spark, d)
-    return w.select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("subject"), F.col("x").alias("features"), F.col("x")[20].alias("alpha"), "label", "x")
+    return w.select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("subject"), _without("x", 20).alias("features"), F.col("x")[20].alias("alpha"), "label", "x")
 
 
 @entry("a7_alpha_metrics", "WITH q AS (SELECT l_suppkey, l_linestatus AS model, l_discount AS p, l_tax AS t, avg(l_tax) OVER (PARTITION BY l_suppkey, l_linestatus) AS m FROM lineitem) SELECT l_suppkey, model, round(avg(abs(p - t)), 6) AS mae, round(1 - sum(power(t - p, 2)) / sum(power(t - m, 2)), 6) AS r2, round(corr(p, t), 6) AS pearson FROM q GROUP BY l_suppkey, model")
