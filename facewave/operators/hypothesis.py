@@ -161,31 +161,35 @@ def permutation_ranks(df: DataFrame, label: str, rank: str, strata: Sequence[str
     stratum = F.xxhash64(*strata) if strata else F.lit(0).cast("long")
     rows = df.select(F.col(label).alias("label"), F.col(rank).cast("double").alias("rank"), F.col(key).alias("key"), stratum.alias("stratum"), F.xxhash64(F.lit(seed), key).cast("double").alias("h"))
     counts = rows.groupBy("stratum", "label").agg(F.count("*").alias("c"))
-    names = sorted(r[0] for r in counts.select("label").distinct().collect())  # the groups that are compared
+    about = counts.agg(F.sum("c").alias("rows"), F.collect_set("label").alias("names")).first()
+    names = sorted(about["names"])  # the groups that are compared
+    tasks = int((about["rows"] or 0) * n // 20_000_000) + 1  # of some seconds each
     code = F.array_position(F.lit(names) if names else F.array(), F.col("label")).cast("int") - 1
     dealt = counts.withColumn("code", code).groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("code", "c"))).alias("held"))
     dealt = dealt.select("stratum", F.col("held.code").alias("codes"), F.col("held.c").alias("sizes"))
-    spread = numbered(rows, ["stratum"], "h", "i", tie="key").join(some(dealt, dealt.count()), "stratum").select("stratum", "i", "rank", "codes", "sizes")
+    spread = numbered(rows, ["stratum"], "h", "i", tie="key").join(some(dealt, dealt.count()), "stratum").select("stratum", "i", "rank", "codes", "sizes").repartition(tasks, "stratum", "i")
 
     def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, many = np.zeros((n, len(names))), np.zeros((n, len(names)), np.int64)
+        sums, seen = np.zeros((n, len(names))), np.zeros(len(names), bool)
         for pdf in batches:
             for s, part in pdf.groupby("stratum", sort=False):
                 codes, ends = np.array(part["codes"].iloc[0], np.int64), np.cumsum(part["sizes"].iloc[0])
                 keys = round_keys(seed ^ int(s), list(range(n)))
-                step = max(1, (1 << 18) // min(len(part), 4096))
-                for a in range(0, len(part), 4096):
-                    i, ranks = part["i"].to_numpy(np.int64)[a : a + 4096], part["rank"].to_numpy(float)[a : a + 4096]
+                seen[codes] = True
+                wide, step = min(len(part), 1024), max(1, (1 << 15) // min(len(part), 1024))  # numbers that stay near the processor
+                for a in range(0, len(part), wide):
+                    i, ranks = part["i"].to_numpy(np.int64)[a : a + wide], part["rank"].to_numpy(float)[a : a + wide]
                     for b in range(0, n, step):
                         here = codes[np.searchsorted(ends, places(i, int(ends[-1]), keys[:, b : b + step]), "right")]
                         cell = (here + np.arange(here.shape[1]) * len(names)).ravel()
                         sums[b : b + step] += np.bincount(cell, np.repeat(ranks, here.shape[1]), here.shape[1] * len(names)).reshape(-1, len(names))
-                        many[b : b + step] += np.bincount(cell, minlength=here.shape[1] * len(names)).reshape(-1, len(names))
-        perm, at = np.nonzero(many)
-        yield pd.DataFrame({"perm": perm, "at": at, "r": sums[perm, at], "m": many[perm, at]})
+        perm, at = np.nonzero(np.broadcast_to(seen, sums.shape))
+        yield pd.DataFrame({"perm": perm, "at": at, "r": sums[perm, at]})
 
-    sums = spread.mapInPandas(permute, "perm int, at int, r double, m long").groupBy("perm", "at").agg(F.sum("r").alias("r"), F.sum("m").alias("m"))
-    return sums.select("perm", F.get(F.lit(names) if names else F.array(), F.col("at")).cast(kind).alias("label"), "r", "m")
+    sums = spread.mapInPandas(permute, "perm int, at int, r double").groupBy("perm", "at").agg(F.sum("r").alias("r"))
+    sums = sums.withColumn("label", F.get(F.lit(names) if names else F.array(), F.col("at")).cast(kind))
+    many = counts.groupBy("label").agg(F.sum("c").alias("m"))  # a permutation leaves as many of each
+    return sums.join(F.broadcast(many), "label").select("perm", "label", "r", "m")
 
 
 def hash_text(text: str) -> int:
