@@ -115,19 +115,28 @@ def stability(df: DataFrame, boots: int = 2, ks: Sequence[int] = (2,), keep: flo
     return out.select("boot", "ari")
 
 
-def compact_and_augmented(df: DataFrame, folds: int = 3, alpha: float = 1.0) -> DataFrame:
-    """(subject, mae_compact, mae_augmented, gain): ridge on the features alone and with the held-out cluster probabilities beside them,
-    on the same folds."""
+def compact_and_augmented(df: DataFrame, folds: int = 3, alpha: float = 1.0, trees: int = 40, depth: int = 2) -> DataFrame:
+    """(model, subject, mae_compact, mae_augmented, gain): ridge and boosting on the features alone and with the held-out cluster probabilities beside them, on the same folds."""
     placed = splits.placed(df, folds)
     scored = None
     for fold in range(folds):
         part = fit_scorer(placed.where(F.col("fold") != fold), (2,), 0.6, 8).score(placed.where(F.col("fold") == fold))
         scored = part if scored is None else scored.unionByName(part)
-    scored = scored.withColumn("more", F.concat("features", "probability")).cache()
+    scored = scored.withColumn("more", F.concat("features", "probability")).select("id", "subject", "fold", "alpha", "features", "more").cache()
     for name, x in (("compact", "features"), ("augmented", "more")):
-        scored = models.predict_by_fold(scored, x, "fold", models.ridge_by_fold(scored, x, ["alpha"], "fold", alpha), [name])
+        scored = models.predict_by_fold(scored, x, "fold", models.ridge_by_fold(scored, x, ["alpha"], "fold", alpha), [f"ridge_{name}"])
+        scored = models.boosted_by_fold(scored, x, "alpha", "fold", f"boosted_{name}", trees, depth)
+    pair = lambda m: F.struct(F.lit(m).alias("model"), F.col(f"{m}_compact").alias("compact"), F.col(f"{m}_augmented").alias("augmented"))
+    long = scored.select("subject", "alpha", F.explode(F.array(pair("ridge"), pair("boosted"))).alias("x")).select("subject", "alpha", "x.*")
     mae = lambda c: F.avg(F.abs(F.col("alpha") - F.col(c)))
-    return scored.groupBy("subject").agg(mae("compact").alias("mae_compact"), mae("augmented").alias("mae_augmented")).withColumn("gain", F.col("mae_compact") - F.col("mae_augmented"))
+    return long.groupBy("model", "subject").agg(mae("compact").alias("mae_compact"), mae("augmented").alias("mae_augmented")).withColumn("gain", F.col("mae_compact") - F.col("mae_augmented"))
+
+
+def paired_summary(gains: DataFrame, by: str = "model", subject: str = "subject", gain: str = "gain", n: int = 2000) -> DataFrame:
+    """(by, n, mean, std, low, high, p) of the subjects' gains: their mean with its bootstrap interval, and the signed-rank test of no gain."""
+    tests = [hypothesis.signed_rank_table(gains.where(F.col(by) == m), gain).select(F.lit(m).alias(by), "p") for m in sorted(r[0] for r in gains.select(by).distinct().collect())]  # a few models
+    out = hypothesis.bootstrap_ci(gains, by, gain, n, key=subject)
+    return out.join(F.broadcast(reduce(DataFrame.unionByName, tests)), by) if tests else out.withColumn("p", F.lit(None).cast("double"))
 
 
 def experiment(df: DataFrame, folds: int = 3, permutations: int = 20) -> DataFrame:

@@ -537,6 +537,16 @@ def m10(spark, d):
     return study.compact_and_augmented(_study(spark, d))
 
 
+# subjects are suppliers, models line states: the gain is the lower error of the tax beside the discount
+@entry("m10_paired_summary")
+def m10_paired(spark, d):
+    from facewave.plans import study
+
+    gap = lambda c: F.avg(F.abs(F.col(c) - 0.05))
+    gains = lines(spark, d).groupBy(F.col("l_linestatus").alias("model"), F.col("l_suppkey").alias("subject")).agg((gap("l_discount") - gap("l_tax")).alias("gain"))
+    return study.paired_summary(gains)
+
+
 @entry("m11_clustering_study")
 def m11(spark, d):
     from facewave.plans import study

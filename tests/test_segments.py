@@ -219,3 +219,18 @@ def test_bootstrap_of_blocks_equals_resampling(spark):
         assert abs(out["a"].low - np.quantile(means, 0.025)) < 0.012 and abs(out["a"].high - np.quantile(means, 0.975)) < 0.012
         assert (out["b"].low, out["b"].high, out["b"].std, out["c"].low, out["c"].n) == (2.0, 2.0, 0.0, None, 0)
         assert 1.0 <= out[None].low <= out[None].high <= 3.0
+
+
+def test_paired_summary(spark):
+    from facewave.plans import study
+
+    rng = np.random.default_rng(9)
+    d = {"a": rng.normal(0.4, 1, 30), "b": rng.normal(0, 1, 25)}
+    gains = spark.createDataFrame([(m, f"s{i}", float(v)) for m, x in d.items() for i, v in enumerate(x)], "model string, subject string, gain double")
+    out = {r.model: r for r in study.paired_summary(gains).collect()}
+    for m, x in d.items():
+        assert (out[m].n, round(out[m].mean, 9)) == (len(x), round(x.mean(), 9))
+        assert abs(out[m].p - hypothesis.signed_rank(x)) < 1e-9
+        half = 1.96 * x.std() / math.sqrt(len(x))
+        assert abs(out[m].low - (x.mean() - half)) < 0.12 and abs(out[m].high - (x.mean() + half)) < 0.12
+    assert study.paired_summary(gains.limit(0)).count() == 0
