@@ -72,6 +72,26 @@ def band_statistics(df: DataFrame, label: str, bands: Sequence[str]) -> DataFram
     return holm(reduce(DataFrame.unionByName, rows), "p", tie="band")
 
 
+def kruskal_wallis_by(df: DataFrame, by: Sequence[str], label: str, value: str, parts: int = 64) -> DataFrame:
+    """(by..., n, groups, h, p, epsilon2): ``kruskal_wallis`` of every group of rows in one plan. Equal values are counted first; a group's ranks are worked out in ``parts`` ranges of its values,
+    so that no window holds a whole group. Null values of ``by`` are a group."""
+    rows = df.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(F.struct(*by).alias("__g"), F.col(label).alias("__l"), F.col(value).cast("double").alias("__v"))
+    cells = rows.groupBy("__g", "__v", "__l").agg(F.count("*").alias("m"))
+    bounds = rows.groupBy("__g").agg(F.percentile_approx("__v", [i / parts for i in range(1, parts)], 1000).alias("__q"))
+    values = cells.groupBy("__g", "__v").agg(F.sum("m").alias("t")).join(F.broadcast(bounds), "__g").withColumn("__p", F.size(F.filter("__q", lambda b: b < F.col("__v")))).drop("__q")
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = values.groupBy("__g", "__p").agg(F.sum("t").alias("all")).withColumn("o", before(Window.partitionBy("__g").orderBy("__p"), "all")).drop("all")  # ``parts`` rows a group
+    ranked = values.withColumn("b", before(Window.partitionBy("__g", "__p").orderBy("__v"), "t")).join(F.broadcast(ranges), ["__g", "__p"]).select("__g", "__v", (F.col("o") + F.col("b") + (F.col("t") + 1) / 2).alias("rank"))
+    sums = cells.join(ranked, ["__g", "__v"]).groupBy("__g", "__l").agg(F.sum(F.col("rank") * F.col("m")).alias("r"), F.sum("m").alias("m"))
+    sums = sums.groupBy("__g").agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.sum("m").alias("n"), F.count("*").alias("groups"))
+    ties = values.groupBy("__g").agg(F.sum(F.col("t").cast("double") * (F.col("t") * F.col("t") - 1)).alias("ties"))
+    n, k = F.col("n").cast("double"), F.col("groups")
+    correct = 1 - F.col("ties") / F.greatest(n * n * n - n, F.lit(1.0))
+    h = F.when((k >= 2) & (n > k) & (correct > 0), (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / correct).otherwise(0.0)
+    out = sums.join(ties, "__g").withColumn("h", h)
+    return out.select("__g.*", "n", "groups", "h", chi_square_p(F.col("h"), F.col("groups") - 1).alias("p"), epsilon_squared(F.col("h"), k, n).alias("epsilon2"))
+
+
 def epsilon_squared(h: Column, groups: Column, n: Column) -> Column:
     return F.when((n > groups) & (groups >= 2), F.greatest(F.lit(0.0), (h - groups + 1) / (n - groups))).otherwise(0.0)
 

@@ -59,7 +59,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1), part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
-def _sums(table: DataFrame, parts: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+def block_sums(table: DataFrame, parts: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
     """What ``work`` gives for every block of rows (h, z, w), added up by key."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
@@ -88,7 +88,7 @@ def prepare(df: DataFrame, features: str, weights: str, key: str, samples: Seque
         for s in sorted(set(samples)):
             yield s, ((z * w[:, [s]]).T @ z).ravel()
 
-    found = _sums(table, fits.parts, work)
+    found = block_sums(table, fits.parts, work)
     for f, s in enumerate(samples):
         if s not in found or not found[s][0] > 0:
             fits.close()
@@ -160,7 +160,7 @@ def seeds(fits: Fits, drawn: int, starts: int, rounds: int = 4, seed: int = 42)
                 c = at[f, s]
                 yield f * starts + s, np.bincount(_near(x, c).argmin(axis=1), weight, len(c)) if len(x) else np.zeros(len(c))
 
-    many = _sums(fits.rows, fits.parts, count)
+    many = block_sums(fits.rows, fits.parts, count)
     return {(f, s): (c, many[f * starts + s]) for (f, s), c in at.items()}
 
 
@@ -223,7 +223,7 @@ def k_means(fits: Fits, ks: Sequence[Sequence[int]], restarts: int = 20, rounds:
                     cost.append(weight @ part[np.arange(len(x)), own])
                 yield f, np.concatenate([cost, (hit.T @ np.column_stack([np.ones(len(x)), x])).ravel()])
 
-        sums, left = _sums(fits.rows, fits.parts, work), []
+        sums, left = block_sums(fits.rows, fits.parts, work), []
         for f, held in now.items():
             s, wide = sums[f], len(fits.axes[f].axes) + 1
             moments, a = s[len(held) :].reshape(-1, wide), 0
@@ -254,7 +254,7 @@ def silhouettes(fits: Fits, models: Sequence[tuple[int, Callable[[np.ndarray], n
             hit[np.arange(len(x)), label(x)] = weight
             yield i, (hit.T @ np.column_stack([np.ones(len(x)), (x * x).sum(axis=1), x])).ravel()
 
-    sums = {i: s.reshape(models[i][2], -1) for i, s in _sums(fits.rows, fits.parts, about).items()}
+    sums = {i: s.reshape(models[i][2], -1) for i, s in block_sums(fits.rows, fits.parts, about).items()}
 
     def score(h, z, w):
         for i, (f, label, k) in enumerate(models):
@@ -270,17 +270,16 @@ def silhouettes(fits: Fits, models: Sequence[tuple[int, Callable[[np.ndarray], n
                 s = np.where((n[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
             yield i, np.array([weight @ s, weight.sum()])
 
-    return [float(s[0] / s[1]) if (sums[i][:, 0] > 0).sum() > 1 else -1.0 for i, s in sorted(_sums(fits.rows, fits.parts, score).items())]
+    return [float(s[0] / s[1]) if (sums[i][:, 0] > 0).sum() > 1 else -1.0 for i, s in sorted(block_sums(fits.rows, fits.parts, score).items())]
 
 
 def chosen_k_means(fits: Fits, found: dict[tuple[int, int], list[Centres]]) -> list[tuple[Centres, dict[int, float]]]:
-    """For each fit the cheapest restart of the number of clusters with the largest silhouette (ties: the smaller number), and the silhouette of every number."""
+    """For each fit in ``found``, in order, the cheapest restart of the number of clusters with the largest silhouette (ties: the smaller number), and the silhouette of every number."""
     best = [v[0] for _, v in sorted(found.items(), key=lambda x: x[0])]
-    curve: list[dict[int, float]] = [{} for _ in fits.axes]
+    curve: dict[int, dict[int, float]] = {f: {} for f, _ in sorted(found)}
     for c, s in zip(best, silhouettes(fits, [(c.fit, c.label, len(c.at)) for c in best]), strict=True):
         curve[c.fit][c.k] = s
-    at = [max(sorted(c), key=c.get) for c in curve]
-    return [(found[f, k][0], curve[f]) for f, k in enumerate(at)]
+    return [(found[f, max(sorted(c), key=c.get)][0], c) for f, c in curve.items()]
 
 
 def _log_densities(m: Mixture, x: np.ndarray) -> np.ndarray:
@@ -333,7 +332,7 @@ def mixtures(fits: Fits, kinds: Sequence[Sequence[tuple[int, bool]]], found: dic
                     parts = [(r.T @ both).ravel()] if m.diagonal else [((one * r[:, [j]]).T @ one).ravel() for j in range(r.shape[1])]
                     yield i, np.concatenate([[weight @ whole, weight.sum()], *parts])
 
-        sums, left = _sums(fits.rows, fits.parts, work), []
+        sums, left = block_sums(fits.rows, fits.parts, work), []
         for i in live:
             _, m, _ = tries[i]
             s, d = sums[i], m.means.shape[1]

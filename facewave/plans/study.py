@@ -1,4 +1,4 @@
-"""Studies made of the operators: held-out clustering with its statistics, stability, scoring, baselines with controls.
+"""Parts of studies made of the operators: normalising, scoring, paired regressions, artifact checks, the cluster table, silhouettes.
 
 A study takes a table (id, subject, features array<double>, alpha double). Only tables of subjects, folds, components and
 metrics reach the driver.
@@ -78,43 +78,6 @@ def fit_scorer(train: DataFrame, ks: Sequence[int] = range(2, 5), keep: float =
     return Scorer(stats, axes, mixture)
 
 
-def clustering_study(df: DataFrame, folds: int = 3, ks: Sequence[int] = range(2, 4), permutations: int = 100, keep: float = 0.6, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Held-out labels (id, subject, fold, label, alpha) with labels of different folds apart, and one row of statistics for each fold:
-    (fold, rows, components, h, epsilon2, p)."""
-    spark = df.sparkSession
-    placed = splits.placed(df, folds).cache()
-    outs, table = [], []
-    try:
-        for fold in range(folds):
-            train, test = placed.where(F.col("fold") != fold), placed.where(F.col("fold") == fold)
-            if not splits.leaked_subjects(train, test).isEmpty():
-                raise ValueError("a subject is on both sides of a fold")
-            scorer = fit_scorer(train, ks, keep, rounds)
-            labels = scorer.score(test).select("id", "subject", "label", "alpha").cache()
-            row = hypothesis.kruskal_wallis(labels, "label", "alpha").first()
-            p = hypothesis.permutation_test(labels, "label", "alpha", ["subject"], "id", permutations).first()["p"]
-            table.append((fold, row["n"], len(scorer.mixture.weights), row["h"], row["epsilon2"], p))
-            outs.append((fold, labels))
-        every = splits.distinct_labels(outs, "label")
-        return every, spark.createDataFrame(table, "fold int, rows long, components int, h double, epsilon2 double, p double")
-    finally:
-        placed.unpersist()
-
-
-def stability(df: DataFrame, boots: int = 2, ks: Sequence[int] = (2,), keep: float = 0.6, rounds: int = 8, seed: int = 42) -> DataFrame:
-    """(boot, ari): agreement of the labels of all rows with those of a pipeline fitted on whole subjects drawn with replacement. A drawn
-    subject's rows are repeated by its weight only inside the fit."""
-    base = fit_scorer(df, ks, keep, rounds).score(df).select("id", F.col("label").alias("a"))
-    draws = splits.subject_bootstrap(df, boots, seed)
-    out = None
-    for b in range(boots):
-        drawn = draws.where(F.col("boot") == b).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).select(df.columns)
-        labels = fit_scorer(drawn, ks, keep, rounds).score(df).select("id", F.col("label").alias("b"))
-        row = metrics.rand_index(base.join(labels, "id"), "a", "b").withColumn("boot", F.lit(b))
-        out = row if out is None else out.unionByName(row)
-    return out.select("boot", "ari")
-
-
 def compact_and_augmented(df: DataFrame, folds: int = 3, alpha: float = 1.0, trees: int = 40, depth: int = 2) -> DataFrame:
     """(model, subject, mae_compact, mae_augmented, gain): ridge and boosting on the features alone and with the held-out cluster probabilities beside them, on the same folds."""
     placed = splits.placed(df, folds)
@@ -139,18 +102,6 @@ def paired_summary(gains: DataFrame, by: str = "model", subject: str = "subject"
     return out.join(F.broadcast(reduce(DataFrame.unionByName, tests)), by) if tests else out.withColumn("p", F.lit(None).cast("double"))
 
 
-def experiment(df: DataFrame, folds: int = 3, permutations: int = 20) -> DataFrame:
-    """(measure, value): pooled R2 of two ridges, the permutation control and an ablation."""
-    placed = splits.placed(df, folds).cache()
-    d = len(placed.select("features").first()[0])
-    score = lambda x, a: float(models.pooled_r2(models.gram(x, "features", ["alpha"], "fold"), d, a)[0])
-    base = score(placed, 100.0)
-    _, p = models.permutation_control(placed, "features", "alpha", "fold", "id", 100.0, permutations)
-    ablated = score(models.zeroed(placed, "features", [3, 4]), 100.0)
-    rows = [("r2_ridge_100", base), ("r2_ridge_10", score(placed, 10.0)), ("p", p), ("r2_ablated", ablated), ("lost", base - ablated)]
-    return df.sparkSession.createDataFrame(rows, "measure string, value double")
-
-
 def artifact_check(labels: DataFrame, excluded: dict[int, Sequence[int]], bands: Sequence[str]) -> DataFrame:
     """(fold, variable, n, groups, h, p, adjusted, survives): the tests of each fold after the rows of its excluded clusters are left out; a variable survives where its p, adjusted over the
     variables, is below 0.05."""

@@ -547,18 +547,30 @@ def m10_paired(spark, d):
     return study.paired_summary(gains)
 
 
+def _bands_study(spark, d):
+    """Windows with three targets that are none of their features; the first components stand in for the named features."""
+    rest = F.filter("x", lambda v, k: ~k.isin(19, 20, 21))
+    return windows(spark, d).select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("subject"), rest.alias("features"), *[F.col("x")[i].alias(b) for b, i in zip(("theta", "alpha", "beta"), (19, 20, 21), strict=True)])
+
+
+def _fitted(spark, d):
+    from facewave.plans import held_out
+
+    return held_out.fit(_bands_study(spark, d), targets=("theta", "alpha", "beta"), roles={n: i for i, n in enumerate(held_out.ARTIFACT_ROLES)}, blink=(0, 3))
+
+
 @entry("m11_clustering_study")
 def m11(spark, d):
-    from facewave.plans import study
+    from facewave.plans import held_out
 
-    return study.clustering_study(_study(spark, d))[1]
+    return held_out.study(_fitted(spark, d), "alpha")
 
 
 @entry("m12_stability")
 def m12(spark, d):
-    from facewave.plans import study
+    from facewave.plans import held_out
 
-    return study.stability(_study(spark, d))
+    return held_out.agreement(_fitted(spark, d))
 
 
 @entry("m13_scored_windows")
@@ -571,9 +583,9 @@ def m13(spark, d):
 
 @entry("m14_experiment")
 def m14(spark, d):
-    from facewave.plans import study
+    from facewave.plans import held_out
 
-    return study.experiment(_study(spark, d), 5, 200)
+    return held_out.experiment(_bands_study(spark, d), ablated=(3, 4), clustering=_fitted(spark, d))
 
 
 # five groups have four degrees of freedom, where the tail is exp(-h / 2) (1 + h / 2)
