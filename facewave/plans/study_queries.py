@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facewave.operators import hypothesis, metrics, models, normalise, spectral, splits
+from facewave.operators import hypothesis, metrics, models, normalise, spectral, splits, together
 from facewave.plans.tables import FRAMES, at, frames, lines, windows
 
 ENTRIES: dict = {}
@@ -445,9 +445,12 @@ def m2(spark, d):
 
 @entry("m3_kmeans_selection")
 def m3(spark, d):
-    w = windows(spark, d)
-    k, curve, _ = models.k_means(w, "x")
-    return spark.createDataFrame([(int(a), float(b), a == k) for a, b in curve.items()], "k int, silhouette double, chosen boolean")
+    fits = together.prepare(windows(spark, d).withColumn("w", F.array(F.lit(1.0))), "x", "w", "vec_id", [0], None, 1.0)
+    try:
+        best, curve = together.chosen_k_means(fits, together.k_means(fits, [range(2, 9)]))[0]
+    finally:
+        fits.close()
+    return spark.createDataFrame([(a, b, a == best.k) for a, b in curve.items()], "k int, silhouette double, chosen boolean")
 
 
 _folds = "WITH f AS (SELECT l_suppkey % 5 AS fold, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem), t AS (SELECT fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy FROM f GROUP BY fold), o AS (SELECT a.fold, sum(b.n) AS n, sum(b.sx) AS sx, sum(b.sy) AS sy, sum(b.xx) AS xx, sum(b.xy) AS xy FROM t a JOIN t b ON a.fold <> b.fold GROUP BY a.fold), w AS (SELECT fold, sy / n AS my, sx / n AS mx, (xy - sx * sy / n) / ((xx - sx * sx / n) + 10 * (xx / n - sx * sx / n / n)) AS b FROM o)"
