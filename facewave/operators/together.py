@@ -149,9 +149,11 @@ def seeds(fits: Fits, drawn: int, starts: int, rounds: int = 4, seed: int = 42)
                     yield pa.RecordBatch.from_arrays([pa.array(pdf["f"], pa.int32()), pa.array(pdf["s"], pa.int32()), pa.array(pdf["e"], pa.float64()), pa.array([r.tolist() for r in pdf["x"]], pa.list_(pa.float64()))], ["f", "s", "e", "x"])
 
         best = fits.rows.mapInArrow(batches_of, "f int, s int, e double, x array<double>").withColumn("r", F.row_number().over(Window.partitionBy("f", "s").orderBy("e", "x"))).where(F.col("r") <= drawn)
-        at = dict(at)
+        drawn_now: dict = {}
         for r in best.orderBy("f", "s", "r").collect():  # fits by starts by draws
-            at[r["f"], r["s"]] = np.vstack([at[r["f"], r["s"]], r["x"]])
+            drawn_now.setdefault((r["f"], r["s"]), []).append(r["x"])
+        # the mean is no row and goes when there are rows: near all others in many dimensions, it would keep them
+        at = {k: np.vstack([*([c] if turn else []), *drawn_now[k]]) if k in drawn_now else c for k, c in at.items()}
 
     def count(h, z, w):
         for f in range(len(light.axes)):
