@@ -6,13 +6,13 @@ background less that under the target: the higher, the more it reads like the ta
 
 With additive smoothing, log p(b | a) = log(count(a b) + alpha) - log(count(a) + alpha V), so a document's losses are sums of one
 term per bigram and one per context. Context counts are a table of the vocabulary's size and go to every task. Bigrams are dealt to tasks by
-hash, in parts of about ``part_bytes`` of text (more parts would mean more partial sums for a document), each with its document's number; a task counts its bigrams over all documents, works out their terms and returns one partial sum for
+hash, in parts of about ``part_bytes`` of text (more parts would mean more partial sums for a document), each with its row's number and length; a task counts its bigrams over all rows and in each row, works out their terms and returns one partial sum for
 each document, packed by destination. Bigrams that make up ``hot`` of any slice of the text, which would all meet in one task, are counted apart
 (there are 1 / hot of them in a slice at most) and scored where the documents are. Counts cover all documents.
 
 Defined results: words are runs other than white space, A-Z in lower case; the first word follows a start mark; null text
-and text without words have no words, no losses and score 0; ids are whole numbers, and rows with a null id or one that is no number are left out; rows that share an id are one document;
-with no target rows, or none with words, every score is 0; other columns are not read.
+and text without words have no words, no losses and score 0; ids are whole numbers, and rows with a null id or one that is no number are left out; rows that share an id are one document,
+whose losses are summed over its rows, each scored without itself alone; where no other target row has words both models are even and the score is 0; other columns are not read.
 """
 
 from __future__ import annotations
@@ -104,6 +104,12 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _times(row: np.ndarray, code: np.ndarray, codes: int) -> np.ndarray:
+    """How often each entry's code occurs in its row."""
+    _, place, n = np.unique(row * codes + code, return_inverse=True, return_counts=True)
+    return n[place]
+
+
 def _packed(parts: int, ids: np.ndarray, sums: np.ndarray) -> list[tuple[int, bytes, bytes]]:
     """(destination, ids, sums [3 or 2, n]) by destination of the document: words and both losses, or the losses alone."""
     to = (mix(ids.view(U)) % U(parts)).astype(np.int64)
@@ -121,15 +127,15 @@ def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).try_cast("long").alias("__id"), F.col(text).alias("text")).where("__id is not null").join(marks.withColumn("__t", F.lit(True)), "__id", "left").select("__id", "text", F.coalesce("__t", F.lit(False)).alias("target"))
     context, keys = _counted(rows, hot)
     counts = _hot_counts(rows, keys) if len(keys) else np.zeros((2, 0))
-    scale = context[1].sum() / max(context[0].sum(), 1)  # the background's mass becomes the target's
-    if not scale:
-        scale = 1.0
-    term = lambda n, t: (np.log(t + alpha), np.log(n * scale + alpha))
-    below = (np.log(context[1] + alpha * VOCABULARY), np.log(context[0] * scale + alpha * VOCABULARY))
-    shared = spark.sparkContext.broadcast((keys, np.array(term(*counts)), np.array(below)))
+    total, mass = int(context[0].sum()), int(context[1].sum())
+    shared = spark.sparkContext.broadcast((keys, counts, context))
+
+    def scale(length: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """What makes the background's mass the target's, both without a row of this length."""
+        return (mass - length * target) / np.maximum(total - length, 1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, known, below = shared.value
+        keys, counts, context = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         ids: list[np.ndarray] = []
         flags: list[np.ndarray] = []
@@ -157,13 +163,17 @@ def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
                 k = _key(before, word)
                 at, hit = _find(keys, k)
                 n = last - first
-                sums = np.zeros((3, n))
-                sums[0] = np.bincount(row, minlength=n)
-                for j in (0, 1):
-                    sums[j + 1] = np.bincount(row[hit], weights=known[j][at[hit]], minlength=n) - np.bincount(row, weights=below[j][before], minlength=n)
-                local.append(sums)
+                length, in_target = np.bincount(row, minlength=n), target[first:last]
+                own, even = _times(row, before, VOCABULARY + 1), scale(length, in_target)[row]
+                below = [np.log(context[1][before] - own * in_target[row] + alpha * VOCABULARY), np.log((context[0][before] - own) * even + alpha * VOCABULARY)]
+                known = [np.zeros(0)] * 2
+                if hit.any():
+                    own, place = _times(row[hit], at[hit], len(keys)), at[hit]
+                    known = [np.log(counts[1][place] - own * in_target[row[hit]] + alpha), np.log((counts[0][place] - own) * even[hit] + alpha)]
+                losses_of = [np.bincount(row[hit], weights=a, minlength=n) - np.bincount(row, weights=b, minlength=n) for a, b in zip(known, below, strict=True)]
+                local.append(np.array([length, *losses_of]))
                 ids.append(number[first:last])
-                flags.append(target[first:last].astype(np.uint8))
+                flags.append(np.where(in_target, -length, length).astype(np.int32))
                 held.append((k[~hit], row[~hit] + docs_held))
                 docs_held += n
                 size += len(word)
@@ -176,23 +186,26 @@ def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
     def meet(table: pa.Table) -> pa.Table:
         if table["kind"][0].as_py() == 1:
             return table.select(["part", "ids", "extra"])
-        ids, flags, keys, of = [], [], [], []
+        ids, lengths, pairs = [], [], []  # a pair: a bigram's hash, then the row it is in
         base = 0
         for k, d, i, f in zip(*(table[c].to_pylist() for c in ("keys", "docs", "ids", "extra")), strict=True):
             i = np.frombuffer(i, np.int64)
             k = np.frombuffer(k, np.uint32)
             ids.append(i)
-            flags.append(np.frombuffer(f, np.uint8))
-            keys.append(k)
-            of.append(np.frombuffer(d, np.uint16 if len(d) == 2 * len(k) else np.uint32).astype(np.int64) + base)
+            lengths.append(np.frombuffer(f, np.int32))
+            pairs.append((k.astype(U) << U(32)) | (np.frombuffer(d, np.uint16 if len(d) == 2 * len(k) else np.uint32).astype(U) + U(base)))
             base += len(i)
-        ids, flags, keys, of = map(np.concatenate, (ids, flags, keys, of))
-        order = np.argsort(keys, kind="stable")
-        keys, of = keys[order], of[order]
-        begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        n = np.diff(np.append(begins, len(keys)))
-        t = np.add.reduceat(flags[of].astype(np.int64), begins)
-        sums = np.array([np.bincount(of, weights=np.repeat(x, n), minlength=len(ids)) for x in term(n, t)])
+        ids, lengths, pairs = map(np.concatenate, (ids, lengths, pairs))
+        pairs.sort()
+        starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        own = np.diff(np.append(starts, len(pairs)))
+        of, key = (pairs[starts] & U(0xFFFFFFFF)).astype(np.int64), pairs[starts] >> U(32)
+        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(begins, len(key)))
+        n, t = (np.repeat(np.add.reduceat(x, begins), size) for x in (own, own * (lengths < 0)[of]))
+        even = scale(np.abs(lengths).astype(np.int64), lengths < 0)[of]
+        terms = np.log(t - own * (lengths < 0)[of] + alpha), np.log((n - own) * even + alpha)
+        sums = np.array([np.bincount(of, weights=own * x, minlength=len(ids)) for x in terms])
         ids, place = np.unique(ids, return_inverse=True)
         sums = np.array([np.bincount(place, weights=s, minlength=len(ids)) for s in sums])
         rows = _packed(parts, ids, sums)
@@ -215,8 +228,6 @@ def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
     dealt = rows.mapInArrow(tidy(spread), "kind int, part int, keys binary, docs binary, ids binary, extra binary")
     partial = dealt.groupBy("kind", "part").applyInArrow(meet, "part int, ids binary, extra binary")
     out = partial.groupBy("part").applyInArrow(finish, "id long, n_tokens long, target_loss double, background_loss double, score double")
-    if not context[1].sum():
-        out = out.withColumn("score", F.lit(0.0))
     return out.withColumnRenamed("id", key)
 
 

@@ -30,10 +30,12 @@ def plain(docs, target, alpha=0.01):
             if k == 0 or d in target:
                 pairs[k].update(seqs[d])
                 one[k].update(a for a, _ in seqs[d])
-    scale = sum(one[1].values()) / sum(one[0].values())
     out = {}
     for d, s in seqs.items():
-        loss = [-sum(math.log(pairs[k][x] * m + alpha) - math.log(one[k][x[0]] * m + alpha * lm_score.VOCABULARY) for x in s) / len(s) if s else None for k, m in ((1, 1), (0, scale))]
+        own = (Counter(s), Counter(s) if d in target else Counter())
+        before = [Counter(a for a, _ in x.elements()) for x in own]
+        scale = (sum(one[1].values()) - own[1].total()) / (sum(one[0].values()) - own[0].total())
+        loss = [-sum(math.log((pairs[k][x] - own[k][x]) * m + alpha) - math.log((one[k][x[0]] - before[k][x[0]]) * m + alpha * lm_score.VOCABULARY) for x in s) / len(s) if s else None for k, m in ((1, 1), (0, scale))]
         out[d] = (len(s), loss[0], loss[1], loss[1] - loss[0] if s else 0.0)
     return out
 
@@ -58,3 +60,24 @@ def test_no_target_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert [(r["doc_id"], r["score"]) for r in lm_score.losses(df, none).collect()] == [(1, 0.0)]
     assert lm_score.losses(df.limit(0), none).count() == 0
+
+
+def test_only_target_row_and_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "x y")], "doc_id long, text string")
+    one = spark.createDataFrame([(1,)], "doc_id long")
+    out = {r["doc_id"]: r["score"] for r in lm_score.losses(df, one).collect()}
+    assert out[1] == 0.0  # nothing is left of the target
+    assert out[2] > out[3]
+    twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b d")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_score.losses(twice, one).collect()}
+    assert got[1]["n_tokens"] == 6 and got[1]["score"] > 0  # each row still has the other one
+
+
+def test_target_documents_score_as_held_out_ones(spark):
+    """The documents that were counted as target and good ones that were not have about the same scores."""
+    out = lm_score.op3_lm_score(spark, "/root/testdata/sf0.01").toPandas()
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").toPandas()["doc_id"]
+    out = out[out.doc_id.isin(good) & (out.n_tokens >= 20)]
+    counted, held = out[~out.held_out].score, out[out.held_out].score
+    assert len(counted) > 20 and len(held) > 5
+    assert abs(counted.mean() - held.mean()) < 3 * (counted.var() / len(counted) + held.var() / len(held)) ** 0.5
