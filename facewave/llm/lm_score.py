@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +111,17 @@ def _times(row: np.ndarray, code: np.ndarray, codes: int) -> np.ndarray:
     return n[place]
 
 
+def _whole_keys(pairs: np.ndarray, size: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Sorted pairs in pieces of about ``size``, all pairs of a key in one."""
+    a = 0
+    while a < len(pairs):
+        b = min(a + size, len(pairs))
+        if b < len(pairs):
+            b = int(np.searchsorted(pairs, pairs[b - 1] | U(0xFFFFFFFF), "right"))
+        yield pairs[a:b]
+        a = b
+
+
 def _packed(parts: int, ids: np.ndarray, sums: np.ndarray) -> list[tuple[int, bytes, bytes]]:
     """(destination, ids, sums [3 or 2, n]) by destination of the document: words and both losses, or the losses alone."""
     to = (mix(ids.view(U)) % U(parts)).astype(np.int64)
@@ -186,26 +198,31 @@ def losses(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
     def meet(table: pa.Table) -> pa.Table:
         if table["kind"][0].as_py() == 1:
             return table.select(["part", "ids", "extra"])
-        ids, lengths, pairs = [], [], []  # a pair: a bigram's hash, then the row it is in
-        base = 0
-        for k, d, i, f in zip(*(table[c].to_pylist() for c in ("keys", "docs", "ids", "extra")), strict=True):
-            i = np.frombuffer(i, np.int64)
-            k = np.frombuffer(k, np.uint32)
+        ids, lengths = [], []
+        pairs = np.empty(pc.sum(pc.binary_length(table["keys"])).as_py() // 4, U)  # a bigram's hash, then the row it is in
+        base = end = 0
+        for k, d, i, f in zip(*(table[c] for c in ("keys", "docs", "ids", "extra")), strict=True):
+            i, k, d = np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(k.as_buffer(), np.uint32), d.as_buffer()
+            part = pairs[end : end + len(k)]
+            part[:] = k
+            part <<= U(32)
+            part |= np.frombuffer(d, np.uint16 if d.size == 2 * len(k) else np.uint32).astype(U) + U(base)
             ids.append(i)
-            lengths.append(np.frombuffer(f, np.int32))
-            pairs.append((k.astype(U) << U(32)) | (np.frombuffer(d, np.uint16 if len(d) == 2 * len(k) else np.uint32).astype(U) + U(base)))
-            base += len(i)
-        ids, lengths, pairs = map(np.concatenate, (ids, lengths, pairs))
+            lengths.append(np.frombuffer(f.as_buffer(), np.int32))
+            base, end = base + len(i), end + len(k)
+        ids, lengths = np.concatenate(ids), np.concatenate(lengths)
         pairs.sort()
-        starts = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
-        own = np.diff(np.append(starts, len(pairs)))
-        of, key = (pairs[starts] & U(0xFFFFFFFF)).astype(np.int64), pairs[starts] >> U(32)
-        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(begins, len(key)))
-        n, t = (np.repeat(np.add.reduceat(x, begins), size) for x in (own, own * (lengths < 0)[of]))
-        even = scale(np.abs(lengths).astype(np.int64), lengths < 0)[of]
-        terms = np.log(t - own * (lengths < 0)[of] + alpha), np.log((n - own) * even + alpha)
-        sums = np.array([np.bincount(of, weights=own * x, minlength=len(ids)) for x in terms])
+        in_target, even = lengths < 0, scale(np.abs(lengths).astype(np.int64), lengths < 0)
+        sums = np.zeros((2, len(ids)))
+        for p in _whole_keys(pairs):
+            starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+            own = np.diff(np.append(starts, len(p)))
+            of, key = (p[starts] & U(0xFFFFFFFF)).astype(np.int64), p[starts] >> U(32)
+            begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(begins, len(key)))
+            left_n, left_t = (np.repeat(np.add.reduceat(x, begins), size) - x for x in (own, own * in_target[of]))
+            for j, x in enumerate((left_t, left_n * even[of])):
+                sums[j] += np.bincount(of, weights=own * np.log(x + alpha), minlength=len(ids))
         ids, place = np.unique(ids, return_inverse=True)
         sums = np.array([np.bincount(place, weights=s, minlength=len(ids)) for s in sums])
         rows = _packed(parts, ids, sums)

@@ -55,6 +55,14 @@ def test_losses(spark, hot, flush):
         assert out[d] == want[d] if want[d][1] is None else out[d] == pytest.approx(want[d], rel=1e-9)
 
 
+def test_pieces_hold_whole_keys():
+    pairs = np.sort(np.random.default_rng(2).integers(0, 40, 500).astype(np.uint64) << np.uint64(32) | np.arange(500, dtype=np.uint64))
+    parts = list(lm_score._whole_keys(pairs, 30))
+    assert np.array_equal(np.concatenate(parts), pairs)
+    keys = [set((p >> np.uint64(32)).tolist()) for p in parts]
+    assert len(parts) > 5 and not any(a & b for a, b in zip(keys, keys[1:]))
+
+
 def test_no_target_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (None, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long")
