@@ -7,7 +7,7 @@ feature and bin, and these sums, whose size follows the models and not the rows,
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,10 @@ class Forest:
     feature: np.ndarray
     cut: np.ndarray
     value: np.ndarray  # [fold, target, tree, leaf]
+    columns: list[np.ndarray] = field(default_factory=list)  # the places in the vector that each fold sees, all if empty
+
+    def seen(self, bins: np.ndarray, f: int) -> np.ndarray:
+        return bins[:, self.columns[f]] if self.columns else bins
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(self.edges)]).astype(np.uint8)
@@ -64,8 +68,10 @@ def _splits(counts: np.ndarray, sums: np.ndarray) -> tuple[int, int, np.ndarray,
     return int(d), int(b), np.array([left[d, b], right[d, b]]), np.array([low[d, b], high[d, b]])
 
 
-def fit_boosted(df: DataFrame, features: str, targets: Sequence[str], fold: str, trees: int = 50, depth: int = 3, rate: float = 0.1, bins: int = 32, part_rows: int = 50_000) -> Forest:
-    """Each fold's trees, fitted on the rows of all other folds."""
+def fit_boosted(df: DataFrame, features: str, targets: Sequence[str], fold: str, trees: int = 50, depth: int = 3, rate: float = 0.1, bins: int = 32, part_rows: int = 50_000, columns: Sequence[Sequence[int]] = ()) -> Forest:
+    """Each fold's trees, fitted on the rows of all other folds, in order of the folds. ``columns`` are the places in the vector that each fold's trees see, as many for each; none given: all of it."""
+    if len({len(c) for c in columns}) > 1:
+        raise ValueError("folds must see equally many features")
     rows = df.select(F.col(fold).cast("int").alias("fold"), F.transform(features, lambda x: x.cast("double")).alias("x"), F.array(*[F.col(t).cast("double") for t in targets]).alias("y"))
     about = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.get("y", F.lit(j))).alias(f"s{j}") for j in range(len(targets))]).orderBy("fold").collect()
     if not about:
@@ -77,7 +83,8 @@ def fit_boosted(df: DataFrame, features: str, targets: Sequence[str], fold: str,
     found = rows.agg(*[F.percentile_approx(F.get("x", F.lit(i)), at, 1000).alias(f"q{i}") for i in range(d)]).first()
     others = np.maximum(many.sum() - many, 1)[:, None]
     shape = (len(folds), len(targets), trees)
-    forest = Forest(folds, [np.unique(q) for q in found], (sums.sum(axis=0) - sums) / others, np.zeros((*shape, 2**depth - 1), np.int64), np.full((*shape, 2**depth - 1), bins, np.int64), np.zeros((*shape, 2**depth)))
+    forest = Forest(folds, [np.unique(q) for q in found], (sums.sum(axis=0) - sums) / others, np.zeros((*shape, 2**depth - 1), np.int64), np.full((*shape, 2**depth - 1), bins, np.int64), np.zeros((*shape, 2**depth)), [np.array(c, int) for c in columns])
+    d = len(columns[0]) if columns else d
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -101,12 +108,13 @@ def fit_boosted(df: DataFrame, features: str, targets: Sequence[str], fold: str,
             total = np.zeros((2, *size))
             for batch in batches:
                 of, b, y, m = read(batch.to_pandas())
-                cell = np.arange(d) * bins + b
                 for f, k in enumerate(forest.folds):
                     on = of != k
+                    own = forest.seen(b, f)[on]
+                    cell = np.arange(d) * bins + own
                     for j in range(y.shape[1]):
-                        residual = y[on, j] - m[on, f, j] - forest.gains(b[on], f, j, since, tree)
-                        place = (forest.nodes(b[on], f, j, tree, level)[:, None] * (d * bins) + cell[on]).ravel()
+                        residual = y[on, j] - m[on, f, j] - forest.gains(own, f, j, since, tree)
+                        place = (forest.nodes(own, f, j, tree, level)[:, None] * (d * bins) + cell).ravel()
                         total[0, f, j] += np.bincount(place, minlength=total[0, f, j].size).reshape(size[2:])
                         total[1, f, j] += np.bincount(place, np.repeat(residual, d), total[0, f, j].size).reshape(size[2:])
             return {0: total.ravel()}
@@ -132,7 +140,7 @@ def fit_boosted(df: DataFrame, features: str, targets: Sequence[str], fold: str,
                             _, b, _, m = read(pdf)
                             for f in range(m.shape[1]):
                                 for j in range(m.shape[2]):
-                                    m[:, f, j] += forest.gains(b, f, j, since, to)
+                                    m[:, f, j] += forest.gains(forest.seen(b, f), f, j, since, to)
                             yield pdf.assign(m=list(m.reshape(len(pdf), -1)))
 
                 old, table, since = table, table.mapInPandas(taken_in, kept).persist(), tree + 1
@@ -156,7 +164,7 @@ def predict_boosted(df: DataFrame, forest: Forest, features: str, fold: str, nam
                 for f, k in enumerate(forest.folds):
                     on = of == k
                     for j in range(len(names)):
-                        out[j, on] = forest.base[f, j] + forest.gains(b[on], f, j, 0, forest.value.shape[2])
+                        out[j, on] = forest.base[f, j] + forest.gains(forest.seen(b, f)[on], f, j, 0, forest.value.shape[2])
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(o, pa.float64(), from_pandas=True) for o in out]], names=schema.names)
 
     return df.mapInArrow(work, schema)

@@ -258,73 +258,6 @@ class Mixture:
         return -2 * self.loglik + free * math.log(max(self.n, 1))
 
 
-def fit_mixtures(df: DataFrame, features: str, ks: Sequence[int] = range(2, 9), diagonal: Sequence[bool] = (True, False), rounds: int = 50, seed: int = 42, tol: float = 1e-4, floor: float = 1e-6) -> list[Mixture]:
-    """All candidates by expectation-maximisation; one pass over the rows serves every candidate that has not settled, and brings back
-    sums of the size of the models."""
-    rows = df.select(features).cache()
-    start = [np.array(r[0], float) for r in rows.orderBy(F.xxhash64(F.lit(seed), F.to_json(features))).limit(20 * max(ks)).collect()]
-    sums = gram(rows, features)
-    m, shift = sums[0], sums.shift
-    start = [p - shift for p in start]  # all of it about a centre
-    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-    spread = (m[1:, 1:] - n * np.outer(mean, mean)) / n
-    models = []
-    for k in ks:
-        chosen = [start[0]]
-        while len(chosen) < min(k, len(start)):  # far apart, so that components start in different places
-            chosen.append(max(start, key=lambda p: min(((p - c) ** 2).sum() for c in chosen)))
-        for diag in diagonal:
-            c = np.diag(np.diag(spread)) if diag else spread
-            models.append(Mixture(np.full(len(chosen), 1 / len(chosen)), np.array(chosen), np.array([c / len(chosen) + floor * np.eye(len(mean))] * len(chosen)), diag))
-    live = list(range(len(models)))
-    try:
-        for _ in range(rounds):
-            now = {i: models[i] for i in live}
-
-            def work(batches: Iterator[pd.DataFrame], now: dict = now) -> Iterator[pd.DataFrame]:
-                total: dict = {}
-                for pdf in batches:
-                    if not len(pdf):
-                        continue
-                    x = np.array(pdf[features].tolist(), float) - shift
-                    z = np.column_stack([np.ones(len(x)), x])
-                    for i, model in now.items():
-                        log = model.log_densities(x)
-                        top = log.max(axis=1, keepdims=True)
-                        whole = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
-                        r = np.exp(log - whole[:, None])
-                        sums = np.concatenate([[whole.sum()], *[((z * r[:, [j]]).T @ z).ravel() for j in range(r.shape[1])]])
-                        total[i] = total.get(i, 0) + sums
-                for i, s in total.items():
-                    yield pd.DataFrame({"i": [i], "s": [s.tolist()]})
-
-            parts = rows.mapInPandas(work, "i int, s array<double>").select("i", F.posexplode("s").alias("p", "v")).groupBy("i", "p").agg(F.sum("v").alias("v")).orderBy("i", "p").collect()
-            sums: dict[int, list[float]] = {}
-            for r in parts:
-                sums.setdefault(r["i"], []).append(r["v"])
-            for i in [*live]:
-                model, s = models[i], np.array(sums[i])
-                done = s[0] - model.loglik < tol * abs(s[0])
-                model.loglik, model.n = float(s[0]), n
-                if done:
-                    live.remove(i)
-                    continue
-                d = len(mean)
-                blocks = s[1:].reshape(-1, d + 1, d + 1)
-                size = np.maximum(blocks[:, 0, 0], 1e-9)
-                model.weights, model.means = size / size.sum(), blocks[:, 0, 1:] / size[:, None]
-                for j, b in enumerate(blocks):
-                    c = b[1:, 1:] / size[j] - np.outer(model.means[j], model.means[j])
-                    model.covariances[j] = (np.diag(np.maximum(np.diag(c), 0)) if model.diagonal else c) + floor * np.eye(d)
-            if not live:
-                break
-    finally:
-        rows.unpersist()
-    for model in models:
-        model.means = model.means + shift
-    return sorted(models, key=lambda m: m.bic)
-
-
 def assign(df: DataFrame, features: str, model: Mixture) -> DataFrame:
     """Adds ``probability`` (array) and ``label``, the most probable component."""
 

@@ -20,10 +20,11 @@ def in_order(session: str = "session", ts: str = "ts", tie: str = "frame_idx") -
     return Window.partitionBy(session).orderBy(ts, tie)
 
 
-def numbered(df: DataFrame, by: list[str], order: str, name: str, parts: int = 64, tie: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: str, name: str, parts: int = 64, tie: str | None = None, bounds: Sequence | None = None) -> DataFrame:
     """Adds ``name``: the place (from 0) of each row by a numeric column (and ``tie`` where that is equal), among all rows or those equal in ``by``. Rows are numbered in ranges of the column, whose
-    counts are added up apart, so neither a large group nor the whole table is one window's partition."""
-    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
+    counts are added up apart, so neither a large group nor the whole table is one window's partition. A column of another kind needs the ``bounds`` of the ranges."""
+    if bounds is None:
+        bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
     part = F.lit(0)
     for b in bounds:
         part = part + (F.col(order) > b).cast("int")

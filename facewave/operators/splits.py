@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -16,25 +15,45 @@ def some(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def subject_folds(rows: DataFrame, folds: int, subject: str = "subject", most: int = 1_000_000) -> DataFrame:
-    """(subject, rows, fold): subjects from the largest on, each to the fold with the fewest rows so far. Of equal
-    sizes the larger id comes first. The ``most`` largest subjects reach the driver; if there are more, the many small ones after them are dealt by a hash."""
+def _dealt(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, list[tuple[int, list[int]]]]]:
+    """(size, subjects, steps) for sizes from the largest on with their numbers of subjects: who gets the next subject, as the lightest of ``k`` folds, for all subjects of a size at once. Each fold would take them
+    at its load, its load and one size, and so on; all folds merged, these loads are rounds over the folds that lie low enough, and a step (first place, folds in turn) holds until the next fold is reached."""
+    load, out = [0] * k, []
+    for size, many in sizes:
+        high = [divmod(x, size) for x in load]
+        levels = sorted({a for a, _ in high})
+        steps, start = [], 0
+        for i, level in enumerate(levels):
+            if start >= many:
+                break
+            turn = sorted((f for f in range(k) if high[f][0] <= level), key=lambda f: (high[f][1], f))
+            items = many - start
+            if i + 1 < len(levels):
+                items = min(items, (levels[i + 1] - level) * len(turn))
+            each, more = divmod(items, len(turn))
+            for at, f in enumerate(turn):
+                load[f] += size * (each + (at < more))
+            steps.append((start, turn))
+            start += items
+        out.append((size, many, steps))
+    return out
+
+
+def subject_folds(rows: DataFrame, folds: int, subject: str = "subject", sample: int = 1280) -> DataFrame:
+    """(subject, rows, fold): subjects from the largest on, each to the fold with the fewest rows so far (ties: the first). Of equal sizes the larger id comes first. Only the distinct sizes with their
+    numbers of subjects reach the driver (n rows have at most sqrt(2 n)), and ``sample`` ids that cut the subjects of a size into ranges, in which they are numbered."""
     sizes = rows.where(F.col(subject).isNotNull()).groupBy(subject).agg(F.count("*").alias("rows"))
-    count = sizes.count()
-    k = min(folds, count)
+    classes = [(r["rows"], r["n"]) for r in sizes.groupBy("rows").agg(F.count("*").alias("n")).orderBy(F.desc("rows")).collect()]
+    k = min(folds, sum(n for _, n in classes))
     if k < 2:
         raise ValueError("subject-wise folds need at least two subjects")
-    heap = [(0, i) for i in range(k)]
-    out = []
-    for name, n in sizes.orderBy(F.desc("rows"), F.desc(subject)).limit(most).collect():
-        load, i = heapq.heappop(heap)
-        out.append((name, n, i))
-        heapq.heappush(heap, (load + n, i))
-    kind = rows.schema[subject].dataType.simpleString()
-    dealt = rows.sparkSession.createDataFrame(out, f"{subject} {kind}, rows long, fold int")
-    if count <= most:
-        return dealt
-    return dealt.unionByName(sizes.join(F.broadcast(dealt.select(subject)), subject, "left_anti").withColumn("fold", F.pmod(F.xxhash64(subject), F.lit(k)).cast("int")))
+    ids = sizes.select(subject).orderBy(F.xxhash64(subject), subject).limit(sample).orderBy(subject).collect()
+    at = numbered(sizes, ["rows"], subject, "__at", bounds=[r[0] for r in ids[20::20]])
+    table = rows.sparkSession.createDataFrame(_dealt(classes, k), "rows long, __many long, __steps array<struct<start: long, turn: array<int>>>")
+    place = F.col("__many") - 1 - F.col("__at")
+    step = F.element_at(F.filter("__steps", lambda s: s["start"] <= place), -1)
+    out = at.join(some(table, len(classes), 100_000), "rows").withColumn("__place", place).withColumn("__step", step)
+    return out.select(subject, "rows", F.get("__step.turn", ((F.col("__place") - F.col("__step.start")) % F.size("__step.turn")).cast("int")).alias("fold"))
 
 
 def placed(rows: DataFrame, folds: int, subject: str = "subject") -> DataFrame:

@@ -72,9 +72,9 @@ def block_sums(table: DataFrame, parts: int, work: Callable[[np.ndarray, np.ndar
     return added(table, task, parts)
 
 
-def prepare(df: DataFrame, features: str, weights: str, key: str, samples: Sequence[int], columns: Sequence[Sequence[int] | None] | None = None, keep: float = 0.95, part_rows: int = 50_000) -> Fits:
+def prepare(df: DataFrame, features: str, weights: str, key: str, samples: Sequence[int], columns: Sequence[Sequence[int] | None] | None = None, keep: float | None = 0.95, part_rows: int = 50_000) -> Fits:
     """Fits with their axes: fit f is of sample ``samples[f]`` (a place in ``weights``) and of the features ``columns[f]`` (None: all). Axes are the fewest whose share of variance exceeds ``keep``, the
-    largest loading of each positive. Rows with a null or non-finite feature, or without weights, take no part; a sample without rows is refused."""
+    largest loading of each positive; without ``keep`` they are the features themselves. Rows with a null or non-finite feature, or without weights, take no part; a sample without rows is refused."""
     real = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = df.select(F.xxhash64(key).alias("h"), F.transform(features, lambda x: x.cast("double")).alias("z"), F.transform(weights, lambda x: x.cast("double")).alias("w"))
     rows = rows.where(F.col("w").isNotNull() & F.col("z").isNotNull() & F.forall("z", real) & F.exists("w", lambda x: x > 0))
@@ -100,6 +100,9 @@ def prepare(df: DataFrame, features: str, weights: str, key: str, samples: Seque
         values, vectors = np.linalg.eigh(spread)
         values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1].T
         ratio = values / max(values.sum(), 1e-300)
+        if keep is None:
+            fits.axes.append(Components(mean + shift, np.eye(len(shift))[used], np.diag(spread) / max(np.trace(spread), 1e-300)))
+            continue
         k = min(int(np.searchsorted(np.cumsum(ratio), keep, "right")) + 1, len(ratio))
         axes = np.zeros((k, len(shift)))
         axes[:, used] = vectors[:k] * np.where(vectors[np.arange(k), np.abs(vectors[:k]).argmax(axis=1)] < 0, -1, 1)[:, None]
@@ -368,6 +371,19 @@ def mixtures(fits: Fits, kinds: Sequence[Sequence[tuple[int, bool]]], found: dic
     return [sorted(b.values(), key=lambda m: m.bic) for b in best]
 
 
+def fit_mixtures(df: DataFrame, features: str, key: str, ks: Sequence[int] = range(2, 9), diagonal: Sequence[bool] = (True, False), keep: float | None = None, restarts: int = 20, starts: int = 2, rounds: int = 50, seed: int = 42) -> tuple[Components, list[Mixture]]:
+    """The axes of one sample, all rows, and every candidate on them, lowest BIC first. Without ``keep`` the mixtures are of the features as they are."""
+    fits = prepare(df.withColumn("__w", F.array(F.lit(1.0))), features, "__w", key, [0], None, keep)
+    try:
+        found = mixtures(fits, [[(k, d) for k in ks for d in diagonal]], k_means(fits, [ks], restarts, rounds, seed=seed), starts, rounds)[0]
+    finally:
+        fits.close()
+    if keep is None:
+        for m in found:
+            m.means = m.means + fits.axes[0].mean
+    return fits.axes[0], found
+
+
 def _positive(c: np.ndarray, floor: float) -> np.ndarray:
     """A covariance without negative directions (rounding), plus the floor."""
     c = (c + c.T) / 2

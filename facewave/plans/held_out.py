@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facewave.operators import hypothesis, metrics, models, splits, together
+from facewave.operators import boosting, hypothesis, metrics, models, splits, together
 from facewave.plans.study import normaliser, paired_summary
 
 #: Normalised means above this mark a cluster as an artifact.
@@ -31,7 +31,8 @@ class Fitted:
     """What a study has fitted. ``rows`` are all rows with what every fold says of them:
 
     (id, subject, fold, y, label, kmeans, blink_free, probability, compact, augmented, reference, boots), where y are the normalised targets, compact and augmented the ridges' predictions of them without and
-    with the cluster probabilities, reference the labels of all folds' mixtures and then K-Means, boots those of the fold's bootstraps in the same order."""
+    with the cluster probabilities, reference the labels of all folds' mixtures and then K-Means, boots those of the fold's bootstraps in the same order. For boosting they also have z and zy, features and targets as the
+    folds that train on them see them, own, the features as their own fold sees them, and probabilities, those of every fold, ``most`` places for each."""
 
     rows: DataFrame
     folds: int
@@ -43,6 +44,7 @@ class Fitted:
     k_means: list[tuple[together.Centres, dict[int, float]]]
     profiles: list[np.ndarray]
     train_rows: list[int]
+    most: int = 0
 
     def close(self) -> None:
         self.rows.unpersist()
@@ -84,9 +86,9 @@ def _moments(rows: DataFrame, parts: int, column: int) -> dict[int, np.ndarray]:
     return out
 
 
-def fit(df: DataFrame, folds: int = 5, ks: Sequence[int] = range(2, 9), targets: Sequence[str] = ("alpha",), roles: Mapping[str, int] | None = None, blink: Sequence[int] = (), boots: int = 5, restarts: int = 20, keep: float = 0.95, rounds: int = 50, alpha: float = 1.0, seed: int = 42, part_rows: int = 50_000) -> Fitted:
+def fit(df: DataFrame, folds: int = 5, ks: Sequence[int] = range(2, 9), targets: Sequence[str] = ("alpha",), roles: Mapping[str, int] | None = None, blink: Sequence[int] = (), boots: int = 5, restarts: int = 20, keep: float = 0.95, rounds: int = 50, alpha: float = 1.0, seed: int = 42, part_rows: int = 50_000, with_boosting: bool = False) -> Fitted:
     """Folds of whole subjects; for each: statistics of the training subjects (held-out ones take those of all training rows), axes for ``keep`` of the variance, the mixture of lowest BIC and the K-Means of
-    largest silhouette over ``ks``, a mixture without the ``blink`` columns, ``boots`` refits of the chosen kinds on training subjects drawn with replacement, and ridges on the features without and with
+    largest silhouette over ``ks``, a mixture without the ``blink`` columns (none given: the same one), ``boots`` refits of the chosen kinds on training subjects drawn with replacement, and ridges on the features without and with
     the fold's own probabilities. A subject's statistics are the same in every sample that holds it, so rows are normalised once."""
     real = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     v = F.concat(F.transform("features", lambda x: x.cast("double")), F.array(*[F.col(t).cast("double") for t in targets]))
@@ -102,11 +104,13 @@ def fit(df: DataFrame, folds: int = 5, ks: Sequence[int] = range(2, 9), targets:
     used = list(range(d))
     plain = [c for c in used if c not in set(blink)]
 
-    selected = together.prepare(table, "z", "w", "id", [*range(folds), *range(folds)], [used] * folds + [plain] * folds, keep, part_rows)
+    bare_at = folds if blink else 0
+    both = folds + bare_at
+    selected = together.prepare(table, "z", "w", "id", [i % folds for i in range(both)], ([used] * folds + [plain] * folds)[:both], keep, part_rows)
     again = None
     try:
-        found = together.k_means(selected, [ks] * (2 * folds), restarts, rounds, seed=seed)
-        kinds = [[(k, diagonal) for k in ks for diagonal in (True, False)]] * (2 * folds)
+        found = together.k_means(selected, [ks] * both, restarts, rounds, seed=seed)
+        kinds = [[(k, diagonal) for k in ks for diagonal in (True, False)]] * both
         mixed = together.mixtures(selected, kinds, found, 2, rounds)
         picked = together.chosen_k_means(selected, {k: c for k, c in found.items() if k[0] < folds})
         best = [m[0] for m in mixed]
@@ -138,7 +142,7 @@ def fit(df: DataFrame, folds: int = 5, ks: Sequence[int] = range(2, 9), targets:
         if again:
             again.close()
 
-    axes, means = selected.axes, [p[0] for p in picked]
+    axes, means, most = selected.axes, [p[0] for p in picked], max(len(m.weights) for m in best[:folds])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,15 +160,17 @@ def fit(df: DataFrame, folds: int = 5, ks: Sequence[int] = range(2, 9), targets:
             reference = np.zeros((n, 2 * folds), int)
             label, other, plain_, boot = np.zeros(n, int), np.zeros(n, int), np.zeros(n, int), np.zeros((n, 2 * boots), int)
             y, probability, compact, augmented = np.zeros((n, len(targets))), [None] * n, np.zeros((n, len(targets))), np.zeros((n, len(targets)))
+            own, every_p = np.zeros((n, d)), np.zeros((n, folds, most))
             for f in range(folds):
                 x = by(f, all_)
                 at = (x - axes[f].mean) @ axes[f].axes.T
                 p = together.predict(best[f], at)
                 reference[:, f], reference[:, folds + f] = p.argmax(axis=1), means[f].label(at)
                 on = np.flatnonzero(fold == f)
+                own[on], every_p[:, f, : p.shape[1]] = x[on, :d], p
                 label[on], other[on], y[on] = reference[on, f], reference[on, folds + f], x[on, d:]
-                bare = (x[on] - axes[folds + f].mean) @ axes[folds + f].axes.T
-                plain_[on] = together.predict(best[folds + f], bare).argmax(axis=1)
+                bare = (x[on] - axes[bare_at + f].mean) @ axes[bare_at + f].axes.T
+                plain_[on] = together.predict(best[bare_at + f], bare).argmax(axis=1)
                 one = np.ones((len(on), 1))
                 compact[on], augmented[on] = np.hstack([one, x[on, :d]]) @ weights[f][0], np.hstack([one, x[on, :d], p[on]]) @ weights[f][1]
                 for i in on:
@@ -173,14 +179,15 @@ def fit(df: DataFrame, folds: int = 5, ks: Sequence[int] = range(2, 9), targets:
                     i = f * boots + b
                     at = (by(folds + i, on) - boot_axes[i].mean) @ boot_axes[i].axes.T
                     boot[on, b], boot[on, boots + b] = together.predict(boot_mixtures[i], at).argmax(axis=1), boot_means[i].label(at)
-            yield pd.DataFrame({"id": pdf["id"], "subject": pdf["subject"], "fold": fold, "y": y.tolist(), "label": label, "kmeans": other, "blink_free": plain_, "probability": probability, "compact": compact.tolist(), "augmented": augmented.tolist(), "reference": reference.tolist(), "boots": boot.tolist()})
+            more = {"z": z[:, :d].tolist(), "zy": z[:, d:].tolist(), "own": own.tolist(), "probabilities": every_p.reshape(n, -1).tolist()} if with_boosting else {}
+            yield pd.DataFrame({"id": pdf["id"], "subject": pdf["subject"], "fold": fold, "y": y.tolist(), "label": label, "kmeans": other, "blink_free": plain_, "probability": probability, "compact": compact.tolist(), "augmented": augmented.tolist(), "reference": reference.tolist(), "boots": boot.tolist()} | more)
 
     name = lambda c: table.schema[c].dataType.simpleString()
-    rows = table.mapInPandas(score, f"id {name('id')}, subject {name('subject')}, fold int, y array<double>, label int, kmeans int, blink_free int, probability array<double>, compact array<double>, augmented array<double>, reference array<int>, boots array<int>").persist()
+    rows = table.mapInPandas(score, f"id {name('id')}, subject {name('subject')}, fold int, y array<double>, label int, kmeans int, blink_free int, probability array<double>, compact array<double>, augmented array<double>, reference array<int>, boots array<int>" + ", z array<double>, zy array<double>, own array<double>, probabilities array<double>" * with_boosting).persist()
     rows.count()
     table.unpersist()
     profiles = [axes[f].inverse(best[f].means)[:, :d] for f in range(folds)]
-    return Fitted(rows, folds, boots, list(targets), dict(roles or {}), mixed[:folds], spread, picked, profiles, [int(every[f][0]) for f in range(folds)])
+    return Fitted(rows, folds, boots, list(targets), dict(roles or {}), mixed[:folds], spread, picked, profiles, [int(every[f][0]) for f in range(folds)], most)
 
 
 def agreement(fitted: Fitted) -> DataFrame:
@@ -222,11 +229,38 @@ def motion(fitted: Fitted, target: str) -> DataFrame:
     return fitted.rows.join(F.broadcast(table), "fold").groupBy("fold", "subject").agg((mean("high") - mean("low")).alias("contrast")).where("contrast is not null")  # a row for each fold
 
 
+def _by_subject(rows: DataFrame, targets: Sequence[str]) -> DataFrame:
+    sides = [F.struct(F.lit(s).alias("features"), F.lit(t).alias("target"), F.get(s, F.lit(i)).alias("pred"), F.get("y", F.lit(i)).alias("true")) for s in ("compact", "augmented") for i, t in enumerate(targets)]
+    long = rows.select("subject", F.explode(F.array(*sides)).alias("x")).select("subject", "x.*")
+    return metrics.regression(long, ["subject", "features", "target"], "pred", "true").select("subject", "features", "target", "mae", "r2", "pearson")
+
+
 def regression(fitted: Fitted) -> DataFrame:
     """(subject, features, target, mae, r2, pearson) of the held-out ridges without (compact) and with (augmented) the cluster probabilities."""
-    sides = [F.struct(F.lit(s).alias("features"), F.lit(t).alias("target"), F.get(s, F.lit(i)).alias("pred"), F.get("y", F.lit(i)).alias("true")) for s in ("compact", "augmented") for i, t in enumerate(fitted.targets)]
-    long = fitted.rows.select("subject", F.explode(F.array(*sides)).alias("x")).select("subject", "x.*")
-    return metrics.regression(long, ["subject", "features", "target"], "pred", "true").select("subject", "features", "target", "mae", "r2", "pearson")
+    return _by_subject(fitted.rows, fitted.targets)
+
+
+def boosted(fitted: Fitted, trees: int = 40, depth: int = 2) -> DataFrame:
+    """The same as ``regression`` of gradient boosting: a fold's trees learn from the other folds' rows as that fold sees them and with the probabilities of its own mixture, all folds and targets in the
+    same passes. Needs a study that was fitted ``with_boosting``."""
+    names = [f"__p{i}" for i in range(len(fitted.targets))]
+    rows = fitted.rows.select("subject", "fold", "y", "zy", F.concat("z", "probabilities").alias("x"), F.concat("own", "probabilities").alias("own"))
+    learnt = rows.select("fold", "x", *[F.get("zy", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    d = fitted.profiles[0].shape[1]
+    for side, wide in (("compact", 0), ("augmented", fitted.most)):
+        forest = boosting.fit_boosted(learnt, "x", names, "fold", trees, depth, columns=[[*range(d), *range(d + f * fitted.most, d + f * fitted.most + wide)] for f in range(fitted.folds)])
+        rows = boosting.predict_boosted(rows, forest, "own", "fold", names).withColumn(side, F.array(*names)).drop(*names)
+    return _by_subject(rows, fitted.targets)
+
+
+def compact_and_augmented(fitted: Fitted) -> DataFrame:
+    """(model, subject, target, mae_compact, mae_augmented, gain) of ridges and of boosting without and with the cluster probabilities, on the same folds. The study is closed."""
+    both = regression(fitted).withColumn("model", F.lit("ridge")).unionByName(boosted(fitted).withColumn("model", F.lit("boosted")))
+    side = lambda s: F.max(F.when(F.col("features") == s, F.col("mae")))
+    out = both.groupBy("model", "subject", "target").agg(side("compact").alias("mae_compact"), side("augmented").alias("mae_augmented")).withColumn("gain", F.col("mae_compact") - F.col("mae_augmented")).persist()
+    out.count()
+    fitted.close()
+    return out
 
 
 def gains(results: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facewave.operators import hypothesis, metrics, models, splits
+from facewave.operators import hypothesis, models, together
 
 
 def normaliser(train: DataFrame, features: str = "features", subject: str = "subject") -> DataFrame:
@@ -67,32 +67,11 @@ def load_scorer(spark, path: str) -> Scorer:
     return Scorer(spark.read.parquet(f"{path}/stats"), models.Components(a["mean"], a["axes"], a["ratio"]), models.Mixture(a["weights"], a["means"], a["covariances"], b["diagonal"]))
 
 
-def fit_scorer(train: DataFrame, ks: Sequence[int] = range(2, 5), keep: float = 0.95, rounds: int = 20) -> Scorer:
+def fit_scorer(train: DataFrame, ks: Sequence[int] = range(2, 9), keep: float = 0.95, rounds: int = 50) -> Scorer:
+    """Statistics, axes and the mixture of lowest BIC over ``ks``, each from the two cheapest different K-Means of its number."""
     stats = normaliser(train)
-    z = normalised(train, stats).cache()
-    try:
-        axes = models.principal_components(z, "features", keep)
-        mixture = models.fit_mixtures(axes.transform(z, "features"), "components", ks, rounds=rounds)[0]
-    finally:
-        z.unpersist()
-    return Scorer(stats, axes, mixture)
-
-
-def compact_and_augmented(df: DataFrame, folds: int = 3, alpha: float = 1.0, trees: int = 40, depth: int = 2) -> DataFrame:
-    """(model, subject, mae_compact, mae_augmented, gain): ridge and boosting on the features alone and with the held-out cluster probabilities beside them, on the same folds."""
-    placed = splits.placed(df, folds)
-    scored = None
-    for fold in range(folds):
-        part = fit_scorer(placed.where(F.col("fold") != fold), (2,), 0.6, 8).score(placed.where(F.col("fold") == fold))
-        scored = part if scored is None else scored.unionByName(part)
-    scored = scored.withColumn("more", F.concat("features", "probability")).select("id", "subject", "fold", "alpha", "features", "more").cache()
-    for name, x in (("compact", "features"), ("augmented", "more")):
-        scored = models.predict_by_fold(scored, x, "fold", models.ridge_by_fold(scored, x, ["alpha"], "fold", alpha), [f"ridge_{name}"])
-        scored = models.boosted_by_fold(scored, x, "alpha", "fold", f"boosted_{name}", trees, depth)
-    pair = lambda m: F.struct(F.lit(m).alias("model"), F.col(f"{m}_compact").alias("compact"), F.col(f"{m}_augmented").alias("augmented"))
-    long = scored.select("subject", "alpha", F.explode(F.array(pair("ridge"), pair("boosted"))).alias("x")).select("subject", "alpha", "x.*")
-    mae = lambda c: F.avg(F.abs(F.col("alpha") - F.col(c)))
-    return long.groupBy("model", "subject").agg(mae("compact").alias("mae_compact"), mae("augmented").alias("mae_augmented")).withColumn("gain", F.col("mae_compact") - F.col("mae_augmented"))
+    axes, found = together.fit_mixtures(normalised(train, stats), "features", "id", ks, keep=keep, rounds=rounds)
+    return Scorer(stats, axes, found[0])
 
 
 def paired_summary(gains: DataFrame, by: str = "model", subject: str = "subject", gain: str = "gain", n: int = 2000) -> DataFrame:

@@ -324,9 +324,10 @@ def e9(spark, d):
     return spectral.resample(frames(spark, d), 21600.0, "session", "ts", "ear").select("session", "i", r(F.col("ear"), 5).alias("value"))
 
 
-@entry("g1_subject_folds", "SELECT l_suppkey, count(*) AS rows FROM lineitem GROUP BY l_suppkey")
+# the lightest fold, subject by subject
+@entry("g1_subject_folds", "WITH RECURSIVE s AS (SELECT l_suppkey, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, l_suppkey DESC) AS i FROM lineitem GROUP BY l_suppkey), g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST(NULL AS BIGINT) AS l_suppkey, CAST(NULL AS BIGINT) AS rows, 0 AS fold UNION ALL SELECT s.i, list_transform(range(1, 6), lambda k: g.load[k] + CASE WHEN k = list_position(g.load, list_min(g.load)) THEN s.rows ELSE 0 END), s.l_suppkey, s.rows, list_position(g.load, list_min(g.load)) - 1 FROM g JOIN s ON s.i = g.i + 1) SELECT l_suppkey, rows, CAST(fold AS INTEGER) AS fold FROM g WHERE i > 0")
 def g1(spark, d):
-    return splits.subject_folds(lines(spark, d), 5, "l_suppkey").select("l_suppkey", "rows")
+    return splits.subject_folds(lines(spark, d), 5, "l_suppkey")
 
 
 @entry("g2_hold_out", "SELECT CAST(ceil(count(DISTINCT user_id) * 0.2) AS BIGINT) AS held_out, count(DISTINCT user_id) AS subjects FROM events")
@@ -439,7 +440,7 @@ def m1(spark, d):
 @entry("m2_mixture_selection")
 def m2(spark, d):
     w = windows(spark, d).select("vec_id", "x")
-    best = models.fit_mixtures(w, "x")[0]
+    best = together.fit_mixtures(w, "x", "vec_id")[1][0]
     return models.assign(w, "x", best).select("vec_id", "label")
 
 
@@ -529,15 +530,15 @@ def m4(spark, d):
 def m5(spark, d):
     from facewave.plans import study
 
-    p = study.fit_scorer(_study(spark, d), range(2, 9), rounds=50).profiles()
+    p = study.fit_scorer(_study(spark, d), range(2, 9)).profiles()
     return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(p) for j, v in enumerate(row)], "component int, feature int, mean double")
 
 
 @entry("m10_augmented_regression")
 def m10(spark, d):
-    from facewave.plans import study
+    from facewave.plans import held_out
 
-    return study.compact_and_augmented(_study(spark, d))
+    return held_out.compact_and_augmented(held_out.fit(_study(spark, d), boots=0, with_boosting=True))
 
 
 # subjects are suppliers, models line states: the gain is the lower error of the tax beside the discount
@@ -581,7 +582,7 @@ def m13(spark, d):
     from facewave.plans import study
 
     x = _study(spark, d)
-    return study.fit_scorer(x, range(2, 9), rounds=50).score(x).select("id", "label", "share")
+    return study.fit_scorer(x, range(2, 9)).score(x).select("id", "label", "share")
 
 
 @entry("m14_experiment")

@@ -63,6 +63,23 @@ def test_boosting_equals_a_plain_version(spark, data, part_rows):
     assert 1 - ((out.a - y[:, 0]) ** 2).sum() / ((y[:, 0] - y[:, 0].mean()) ** 2).sum() > 0.5
 
 
+def test_folds_see_their_own_columns(spark, data):
+    """Three shared columns and one for each fold: as three fits of their own."""
+    rng = np.random.default_rng(9)
+    n, fold = 240, np.arange(240) % 3
+    shared, own = rng.normal(size=(n, 3)), rng.normal(size=(n, 3))
+    y = shared[:, 0] + own[:, 1] * (shared[:, 2] > 0) + own[:, 0]
+    df = spark.createDataFrame([(i, [*shared[i].tolist(), *own[i].tolist()], float(y[i]), int(fold[i])) for i in range(n)], "id long, x array<double>, y double, fold int")
+    forest = boosting.fit_boosted(df, "x", ["y"], "fold", 12, 2, columns=[[0, 1, 2, 3 + f] for f in range(3)])
+    got = {r.id: r.p for r in boosting.predict_boosted(df, forest, "x", "fold", ["p"]).collect()}
+    for f in range(3):
+        one = df.select("id", F.array(*[F.get("x", F.lit(i)) for i in (0, 1, 2, 3 + f)]).alias("x"), "y", (F.col("fold") == f).cast("int").alias("fold"))
+        for r in models.boosted_by_fold(one, "x", "y", "fold", "p", 12, 2).where("fold = 1").collect():
+            assert got[r.id] == pytest.approx(r.p)
+    with pytest.raises(ValueError):
+        boosting.fit_boosted(df, "x", ["y"], "fold", 1, 1, columns=[[0], [0, 1], [0]])
+
+
 def test_boosting_of_odd_tables(spark):
     schema = "id long, x array<double>, y double, fold int"
     one = spark.createDataFrame([(i, [1.0, float("nan")], 2.0, i % 2) for i in range(6)], schema)

@@ -31,7 +31,7 @@ def planted():
 @pytest.fixture(scope="module")
 def fitted(spark, planted):
     df = spark.createDataFrame(planted, "id long, subject string, features array<double>, alpha double, theta double")
-    found = held_out.fit(df, 3, range(2, 5), ("theta", "alpha"), {"blink_rate": 0, "ear_std": 1, "head_motion_energy": 2}, (0, 1), 2, 4, 0.6)
+    found = held_out.fit(df, 3, range(2, 5), ("theta", "alpha"), {"blink_rate": 0, "ear_std": 1, "head_motion_energy": 2}, (0, 1), 2, 4, 0.6, with_boosting=True)
     yield found
     found.close()
 
@@ -102,3 +102,15 @@ def test_grouped_tests_equal_single_ones_over_ranges(spark):
     for g, r in got.items():
         want = hypothesis.kruskal_wallis(df.where(F.col("g") == g), "a", "v").first()
         assert tuple(r)[1:] == pytest.approx(tuple(want))
+
+
+def test_boosting_by_each_fold_s_own_probabilities(fitted):
+    out = held_out.boosted(fitted, 30, 2).toPandas()
+    assert len(out) == 12 * 2 * 2
+    alpha = out[out.target == "alpha"].groupby("features").r2.mean()
+    assert alpha["compact"] > 0.7 and alpha["augmented"] > 0.7  # alpha follows the state
+    assert out[out.target == "theta"].r2.mean() < 0.1
+    first = fitted.rows.first()
+    k = fitted.most
+    assert first["probabilities"][first["fold"] * k : (first["fold"] + 1) * k] == pytest.approx(first["probability"])
+    assert len(first["z"]) == len(first["own"]) == D

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facewave.functions import facial
-from facewave.operators import alignment, hypothesis, metrics, models, normalise, sequence, spectral, splits
+from facewave.operators import alignment, hypothesis, metrics, models, normalise, sequence, spectral, splits, together
 from facewave.sources import tables
 
 
@@ -179,7 +180,7 @@ def test_components_and_mixture(spark):
     df = spark.createDataFrame([(i, i // 40, r.tolist()) for i, r in enumerate(x)], "id int, truth int, x array<double>")
     c = models.principal_components(df, "x", 0.95)
     assert c.ratio.sum() == pytest.approx(1) and len(c.axes) == 2
-    best = models.fit_mixtures(df, "x", range(2, 5), rounds=30)[0]
+    best = together.fit_mixtures(df, "x", "id", range(2, 5), rounds=30)[1][0]
     assert len(best.weights) == 3
     out = models.assign(df, "x", best)
     assert metrics.rand_index(out, "truth", "label").first()["ari"] > 0.95
@@ -345,6 +346,18 @@ def test_large_strata_and_many_subjects_are_dealt(spark):
     sums = hypothesis.permutation_ranks(df, "label", "rank", ["stratum"], "id", 20).toPandas()
     assert len(sums) == 60 and (sums.groupby("perm")["m"].sum() == 300).all()
     assert np.allclose(sums.groupby("perm")["r"].sum(), sum(r[2] for r in rows))
-    subjects = spark.createDataFrame([(f"u{i % 40}",) for i in range(400)], "subject string")
-    folds = splits.subject_folds(subjects, 4, most=10).collect()
-    assert len(folds) == 40 and {r["fold"] for r in folds} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_folds_are_those_of_a_heap(spark, case):
+    rng = np.random.default_rng(case)
+    n = [60, 400, 7, 90][case]
+    sizes = [rng.integers(1, 6, n), rng.integers(1, 3, n), np.array([50, 9, 9, 1, 1, 1, 1]), np.sort(rng.integers(1, 40, n) ** 2 // 30 + 1)][case]
+    name = (lambda i: f"s{i}") if case % 2 else int
+    rows = spark.createDataFrame([(name(i),) for i, c in enumerate(sizes) for _ in range(c)], f"subject {'string' if case % 2 else 'long'}").repartition(5)
+    heap, want = [(0, i) for i in range(4)], {}
+    for i, c in sorted(((name(i), int(c)) for i, c in enumerate(sizes)), key=lambda x: (x[1], x[0]), reverse=True):
+        load, f = heapq.heappop(heap)
+        want[i] = (c, f)
+        heapq.heappush(heap, (load + c, f))
+    assert {r["subject"]: (r["rows"], r["fold"]) for r in splits.subject_folds(rows, 4, sample=120).collect()} == want
