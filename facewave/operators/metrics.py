@@ -33,6 +33,18 @@ def mid_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "ra
     return df.join(ranked, on, "left").select(df["*"], ranked[name])
 
 
+def mean_gap(value: str, first: Column, second: Column) -> Column:
+    """Aggregate: the mean of ``value`` where ``first`` holds less that where ``second`` holds. A sum of doubles hangs on its order, so that equal means may come out a last digit apart; here sums are
+    of decimals and the gap is one quotient of exact numbers, so its sign is exact and equal gaps are equal. Groups with a value that 26 digits, 18 of them decimals, do not hold have the gap of plain averages."""
+    v, count = F.col(value), "decimal(10,0)"
+    exact = v.try_cast("decimal(26,18)")
+    total = lambda c: F.try_sum(F.when(c, exact)).try_cast("decimal(26,18)")
+    a, b, n, m = total(first), total(second), F.count(F.when(first, v)), F.count(F.when(second, v))
+    gap = (a * m.cast(count) - b * n.cast(count)) / F.nullif((n * m).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    held = F.coalesce(F.bool_and(F.coalesce(exact.cast("double") == v, F.lit(False)) | v.isNull()), F.lit(False))
+    return F.coalesce(F.when(held, gap.cast("double")), F.avg(F.when(first, v)) - F.avg(F.when(second, v)))
+
+
 def safe_corr(a: str, b: str) -> Column:
     """Correlation; 0 where one side does not vary."""
     spread = F.stddev_pop(a) * F.stddev_pop(b)

@@ -415,8 +415,8 @@ _differences = "WITH d AS (SELECT l_suppkey, avg(l_tax) FILTER (l_linestatus = '
 
 
 def _difference(spark, d):
-    mean = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_tax")))
-    return lines(spark, d).groupBy("l_suppkey").agg((mean("F") - mean("O")).alias("d"))
+    s = F.col("l_linestatus")
+    return lines(spark, d).groupBy("l_suppkey").agg(metrics.mean_gap("l_tax", s == "F", s == "O").alias("d"))
 
 
 @entry("t6_sign_test", f"{_differences}, c AS (SELECT count(*) FILTER (d > 0) AS positive, count(*) FILTER (d <> 0) AS n FROM d) SELECT positive, n, round(least(1, 2 * list_sum(list_transform(range(least(positive, n - positive) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 8) AS p FROM c")
