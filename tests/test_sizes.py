@@ -32,3 +32,19 @@ def test_gaps_of_odd_values(spark):
     s = F.col("status")
     out = spark.createDataFrame(rows, "subject int, status string, x double").groupBy("subject").agg(metrics.mean_gap("x", s == "F", s == "O").alias("d")).collect()
     assert {r["subject"]: r["d"] for r in out} == {1: 1e300, 2: float("inf"), 3: None, 4: None, 5: pytest.approx(1 / 3), 6: 2.0}
+
+
+def test_equal_gaps_share_their_rank(spark):
+    """Subjects with the same rows in another order are tied: 150 at one size, 50 of them below zero, and 50 without a gap."""
+    rows = []
+    for subject in range(200):
+        values = [float(x) for x in np.random.default_rng(subject).permutation([0.01, 0.05, 0.06, 0.07, 0.08, 0.02, 0.03] * 5)]
+        sides = [(values, [0.04]), ([0.04], values), (values, [0.04]), (values, values[::-1])][subject % 4]
+        rows += [(subject, s, x) for s, side in zip("FO", sides, strict=True) for x in side]
+    s = F.col("status")
+    gaps = spark.createDataFrame(rows, "subject int, status string, tax double").repartition(7).groupBy("subject").agg(metrics.mean_gap("tax", s == "F", s == "O").alias("d"))
+    out = hypothesis.signed_rank_table(gaps, "d", exact=0).first()
+    n = 150
+    z = (100 * (n + 1) / 2 - n * (n + 1) / 4) / (n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48) ** 0.5
+    assert (out["n"], out["plus"]) == (n, 100 * (n + 1) / 2)
+    assert out["z"] == pytest.approx(z)
