@@ -25,8 +25,18 @@ def write_recording(df: DataFrame, path: str) -> None:
     df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("int" if c in ("blink_flag", "face_detected") else "double").alias(c) for c in RECORDING]).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Folders that sessions are dealt to, however many there are: a folder each would make as many small files.
+FOLDERS = 16
+
+
+def in_folders(df: DataFrame, session: str = "session", folders: int = FOLDERS) -> DataFrame:
+    """Adds ``folder``: where the rows of a session are written."""
+    return df.withColumn("folder", F.pmod(F.xxhash64(session), F.lit(folders)).cast("int"))
+
+
 def write_session(df: DataFrame, path: str, session: str = "session") -> None:
-    df.write.mode("overwrite").partitionBy(session).parquet(path)
+    """Rows by folder, those of a session in one; files are as many as tasks times folders at most."""
+    in_folders(df, session).write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
 def plain(value: Column) -> Column:
@@ -66,9 +76,9 @@ def subject_of(path: Column) -> Column:
 
 
 def read_sessions(spark: SparkSession, top: str) -> tuple[DataFrame, DataFrame]:
-    """Frames and samples of all valid sessions, as ``write_session`` leaves them in ``frames`` and ``samples`` below a folder: each with ``session`` (the folder's
-    value) and ``subject``, its text up to the first underscore. A session without rows of either is skipped."""
-    one = lambda name: spark.read.parquet(f"{top.rstrip('/')}/{name}").withColumn("session", F.col("session").cast("string")).withColumn("subject", F.substring_index("session", "_", 1))
+    """Frames and samples of all valid sessions, as ``write_session`` leaves them in ``frames`` and ``samples`` below a folder: each with ``session`` and
+    ``subject``, its text up to the first underscore. A session without rows of either is skipped."""
+    one = lambda name: spark.read.parquet(f"{top.rstrip('/')}/{name}").drop("folder").withColumn("session", F.col("session").cast("string")).withColumn("subject", F.substring_index("session", "_", 1))
     frames, samples = one("frames"), one("samples")
     valid = frames.select("session").intersect(samples.select("session"))
     return frames.join(valid, "session", "left_semi"), samples.join(valid, "session", "left_semi")

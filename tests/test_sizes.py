@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from facewave.operators import hypothesis, metrics
+from facewave.sources import tables
+from facewave.streaming import live
 
 
 def test_gaps_of_equal_means_are_zero(spark):
@@ -48,3 +50,18 @@ def test_equal_gaps_share_their_rank(spark):
     z = (100 * (n + 1) / 2 - n * (n + 1) / 4) / (n * (n + 1) * (2 * n + 1) / 24 - (n**3 - n) / 48) ** 0.5
     assert (out["n"], out["plus"]) == (n, 100 * (n + 1) / 2)
     assert out["z"] == pytest.approx(z)
+
+
+def _files(path):
+    return len(list(path.rglob("*.parquet")))
+
+
+def test_many_sessions_are_few_files(spark, tmp_path):
+    df = spark.range(3000, numPartitions=2).select(F.format_string("s%d_%d", F.col("id") % 5, F.col("id") % 1000).alias("session"), "id")
+    tables.write_session(df, str(tmp_path / "frames"))
+    tables.write_session(df.where("id % 2 = 0"), str(tmp_path / "samples"))
+    assert _files(tmp_path / "frames") <= 2 * tables.FOLDERS
+    read, samples = tables.read_sessions(spark, str(tmp_path))
+    assert sorted(read.columns) == ["id", "session", "subject"]
+    assert read.count() == 1500 and samples.count() == 1500
+    assert sorted(tuple(r) for r in tables.session_catalogue(read, 3).collect()) == [(f"s{i}", 100, 100) for i in range(5)]
