@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from facewave.operators import models
-from facewave.sources.tables import RECORDING
+from facewave.sources.tables import RECORDING, in_folders
 
 FRAMES = "session long, frame_idx long, ts timestamp, ear double, face boolean"
 BLINKS = "session long, frame_idx long, ts timestamp, event int, rate int, energy double, emitted boolean, pose_velocity array<double>"
@@ -186,5 +186,5 @@ def recording(frames: DataFrame) -> DataFrame:
 
 
 def record(frames: DataFrame, path: str, checkpoint: str):
-    """Writes a stream to Parquet by session, what is there now, and returns the query. Markers are a stream of their own."""
-    return frames.writeStream.format("parquet").partitionBy("session").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Writes a stream to Parquet, what is there now, and returns the query: the rows of a session in one folder. Markers are a stream of their own."""
+    return in_folders(frames).writeStream.format("parquet").partitionBy("folder").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

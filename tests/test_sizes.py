@@ -65,3 +65,12 @@ def test_many_sessions_are_few_files(spark, tmp_path):
     assert sorted(read.columns) == ["id", "session", "subject"]
     assert read.count() == 1500 and samples.count() == 1500
     assert sorted(tuple(r) for r in tables.session_catalogue(read, 3).collect()) == [(f"s{i}", 100, 100) for i in range(5)]
+
+
+def test_many_recorded_sessions_are_few_files(spark, tmp_path):
+    spark.range(2000, numPartitions=2).selectExpr("id % 1000 as session", "id / 8 as timestamp").write.parquet(str(tmp_path / "in"))
+    stream = live.recording(spark.readStream.schema("session long, timestamp double").parquet(str(tmp_path / "in")))
+    live.record(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert _files(tmp_path / "out") <= 2 * tables.FOLDERS
+    out = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert sorted((r["session"], r["timestamp"]) for r in out.select("session", "timestamp").collect()) == sorted((i % 1000, i / 8) for i in range(2000))
