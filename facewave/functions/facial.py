@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +19,11 @@ RIGHT_EYE = (362, 385, 387, 263, 373, 380)
 EYE_CORNERS = (33, 263)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for a row: a column that an expression names several times, or in a lambda, is worked out each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(points: Column, i: int) -> Column:
     return F.try_element_at(points, F.lit(i + 1))
 
@@ -57,14 +62,18 @@ def symmetry(points: Column, nose: int, pairs: Sequence[tuple[int, int]]) -> Col
 
 def normalised(points: Column, corners: tuple[int, int] = EYE_CORNERS) -> Column:
     """Points less their centroid, over the distance of two corners (or the spread of x and y where that is none)."""
-    n = F.nullif(F.size(points), F.lit(0))
-    total = lambda c: F.aggregate(points, F.lit(0.0), lambda t, p: t + p[c])
-    mean = {c: total(c) / n for c in "xyz"}
-    width = distance(point(points, corners[0]), point(points, corners[1]))
-    both = (mean["x"] + mean["y"]) / 2
-    spread = F.sqrt(F.aggregate(points, F.lit(0.0), lambda t, p: t + F.pow(p["x"] - both, 2) + F.pow(p["y"] - both, 2)) / (2 * n))
-    scale = F.greatest(F.coalesce(F.when(width > TINY, width), spread), F.lit(TINY))
-    return F.transform(points, lambda p: F.struct(*[((p[c] - mean[c]) / scale).alias(c) for c in "xyz"]))
+
+    def scaled(q: Column, mean: Column) -> Column:
+        both = (mean["x"] + mean["y"]) / 2
+        width = distance(point(q, corners[0]), point(q, corners[1]))
+        spread = once(both, lambda b: F.sqrt(F.aggregate(q, F.lit(0.0), lambda t, p: t + F.pow(p["x"] - b, 2) + F.pow(p["y"] - b, 2)) / (2 * F.nullif(F.size(q), F.lit(0)))))
+        scale = F.greatest(F.coalesce(F.when(width > TINY, width), spread), F.lit(TINY))
+        return once(scale, lambda s: F.transform(q, lambda p: F.struct(*[((p[c] - mean[c]) / s).alias(c) for c in "xyz"])))
+
+    def means(q: Column) -> Column:
+        return F.struct(*[(F.aggregate(q, F.lit(0.0), lambda t, p: t + p[c]) / F.nullif(F.size(q), F.lit(0))).alias(c) for c in "xyz"])
+
+    return once(points, lambda q: once(means(q), lambda mean: scaled(q, mean)))
 
 
 def roll_hint(a: Column, b: Column) -> Column:
@@ -93,13 +102,22 @@ ACTION_UNITS = {
 }
 
 
+def shape(points: Column, pairs: Mapping[str, tuple[int, int]] = GEOMETRY, nose: int = NOSE, corners: tuple[int, int] = EYE_CORNERS) -> Column:
+    """Struct of the distances of pairs in normalised points, the nose's place as hints of yaw and pitch, and the roll of the eye line; 0 where a point is missing."""
+
+    def found(p: Column) -> Column:
+        gap = lambda a, b: F.sqrt(sum((F.pow(a[c] - b[c], 2) for c in "yz"), F.pow(a["x"] - b["x"], 2)))
+        out = {name: gap(point(p, a), point(p, b)) for name, (a, b) in pairs.items()}
+        out |= {"yaw_hint": point(p, nose)["x"], "pitch_hint": point(p, nose)["y"], "roll_hint": roll_hint(point(p, corners[0]), point(p, corners[1]))}
+        return F.struct(*[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in out.items()])
+
+    return once(normalised(points, corners), found)
+
+
 def geometry(points: Column, pairs: Mapping[str, tuple[int, int]] = GEOMETRY, nose: int = NOSE, corners: tuple[int, int] = EYE_CORNERS) -> dict[str, Column]:
-    """Distances of pairs in normalised points, the nose's place as hints of yaw and pitch, and the roll of the eye line; 0 where a point is missing."""
-    p = normalised(points, corners)
-    gap = lambda a, b: F.sqrt(sum((F.pow(a[c] - b[c], 2) for c in "yz"), F.pow(a["x"] - b["x"], 2)))
-    out = {name: gap(point(p, a), point(p, b)) for name, (a, b) in pairs.items()}
-    out |= {"yaw_hint": point(p, nose)["x"], "pitch_hint": point(p, nose)["y"], "roll_hint": roll_hint(point(p, corners[0]), point(p, corners[1]))}
-    return {k: F.coalesce(v, F.lit(0.0)) for k, v in out.items()}
+    """The fields of ``shape`` by name. Where several are selected, keep the struct as a column and take them from that."""
+    found = shape(points, pairs, nose, corners)
+    return {k: found[k] for k in (*pairs, "yaw_hint", "pitch_hint", "roll_hint")}
 
 
 def window_feature_names(columns: Sequence[str], spectral: Sequence[str] = ("ear_avg", "head_pitch", "head_yaw", "head_roll")) -> list[str]:

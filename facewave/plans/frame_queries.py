@@ -81,8 +81,8 @@ _geometry = {n: f"{_dist(a, b)} / {_scale}" for n, (a, b) in _pairs.items()} | {
 
 @entry("p5_geometry", f"SELECT vec_id, {', '.join(f'round({e}, 6) AS {n}' for n, e in _geometry.items())} FROM embeddings")
 def p5(spark, d):
-    w = windows(spark, d).withColumn("p", points())
-    return w.select("vec_id", *[r(c).alias(n) for n, c in f.geometry(F.col("p"), _pairs, 8, (0, 3)).items()])
+    g = windows(spark, d).select("vec_id", f.shape(points(), _pairs, 8, (0, 3)).alias("g"))
+    return g.select("vec_id", *[r(F.col("g")[n]).alias(n) for n in _geometry])
 
 
 NAMES = ["browUp", "browDown", "jawOpen", "smileL", "smileR", "blinkL", "blinkR"]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from facewave.functions import facial
 from facewave.operators import hypothesis, metrics
 from facewave.sources import tables
 from facewave.streaming import live
@@ -74,3 +75,9 @@ def test_many_recorded_sessions_are_few_files(spark, tmp_path):
     assert _files(tmp_path / "out") <= 2 * tables.FOLDERS
     out = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
     assert sorted((r["session"], r["timestamp"]) for r in out.select("session", "timestamp").collect()) == sorted((i % 1000, i / 8) for i in range(2000))
+
+
+def test_points_are_normalised_once():
+    """A lambda that works out a mean anew for every point makes the work of a row grow with the square or cube of its points."""
+    pairs = {n: (i, i + 1) for i, n in enumerate("abcdefgh")}
+    assert str(facial.shape(F.col("p"), pairs, 8, (0, 3))).count("aggregate(") <= 4
