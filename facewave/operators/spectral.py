@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
+from facewave.functions.facial import once
 from facewave.operators.sequence import numbered
 
 #: EEG bands in Hz, lower end in and upper end out.
@@ -85,29 +86,45 @@ def magnitudes(x: pd.Series) -> pd.Series:
 def plain_power(values: Column) -> Column:
     """Sum of squared magnitudes of the spectrum of (x - mean), over the length. By Parseval no transform is needed: half the sum
     of squares and, for an even length, half the squared alternating sum over the length."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda t, x: t + x) / n
-    squares = F.aggregate(values, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean))
-    signs = F.sequence(F.lit(0), n - 1)
-    alternating = F.aggregate(F.zip_with(values, signs, lambda x, i: F.when(i % 2 == 0, x - mean).otherwise(mean - x)), F.lit(0.0), lambda t, x: t + x)
-    return F.when(n < 2, 0.0).otherwise(squares / 2 + F.when(n % 2 == 0, alternating * alternating / (2 * n)).otherwise(0.0))
+
+    def about(v: Column, mean: Column) -> Column:
+        n = F.size(v)
+        squares = F.aggregate(v, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean))
+        signs = F.sequence(F.lit(0), n - 1)
+        alternating = F.aggregate(F.zip_with(v, signs, lambda x, i: F.when(i % 2 == 0, x - mean).otherwise(mean - x)), F.lit(0.0), lambda t, x: t + x)
+        return F.when(n < 2, 0.0).otherwise(squares / 2 + F.when(n % 2 == 0, once(alternating, lambda a: a * a) / (2 * n)).otherwise(0.0))
+
+    return once(values, lambda v: once(_mean(v), lambda mean: about(v, mean)))
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(values), F.lit(0))
+
+
+def statistics(values: Column) -> Column:
+    """Struct of mean, std (population), min, max, energy and spectral power of one column of a window."""
+
+    def about(v: Column, mean: Column) -> Column:
+        n = F.size(v)
+        square = F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x) / n
+        spread = F.aggregate(v, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean)) / n
+        out = {"mean": mean, "std": F.sqrt(spread), "min": F.array_min(v).cast("double"), "max": F.array_max(v).cast("double"), "energy": square, "power": plain_power(v)}
+        return F.struct(*[F.when(n < 2, 0.0).otherwise(x).alias(k) for k, x in out.items()])
+
+    return once(values, lambda v: once(_mean(v), lambda mean: about(v, mean)))
 
 
 def window_statistics(values: Column) -> dict[str, Column]:
-    """mean, std (population), min, max, energy and spectral power of one column of a window."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda t, x: t + x) / n
-    square = F.aggregate(values, F.lit(0.0), lambda t, x: t + x * x) / n
-    spread = F.aggregate(values, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean)) / n
-    out = {"mean": mean, "std": F.sqrt(spread), "min": F.array_min(values).cast("double"), "max": F.array_max(values).cast("double"), "energy": square, "power": plain_power(values)}
-    return {k: F.when(n < 2, 0.0).otherwise(v) for k, v in out.items()}
+    """The fields of ``statistics`` by name. Where several are selected, keep the struct as a column and take them from that."""
+    found = statistics(values)
+    return {k: found[k] for k in ("mean", "std", "min", "max", "energy", "power")}
 
 
 def named_statistics(columns: Mapping[str, Column], spectral: Sequence[str]) -> Column:
     """A window's columns (arrays over its frames) as a map from feature name to value, in the order of ``facial.window_feature_names``."""
-    found = {c: window_statistics(v) for c, v in columns.items()}
-    pairs = [(f"{c}_{s}", found[c][s]) for s in ("mean", "std", "min", "max", "energy") for c in columns] + [(f"{c}_spectral_power", found[c]["power"]) for c in spectral]
-    return F.create_map(*[x for name, value in pairs for x in (F.lit(name), value)])
+    names = [(f"{c}_{s}", c, s) for s in ("mean", "std", "min", "max", "energy") for c in columns] + [(f"{c}_spectral_power", c, "power") for c in spectral]
+    found = F.struct(*[statistics(v).alias(c) for c, v in columns.items()])
+    return once(found, lambda s: F.create_map(*[x for name, c, k in names for x in (F.lit(name), s[c][k])]))
 
 
 def long_signal_psd(windows: DataFrame, group: str | None, order: str, signal: str, width: int, rate: float, size: int = 512) -> DataFrame:

@@ -28,8 +28,8 @@ _list = "embedding::DOUBLE[]"
 
 @entry("a1_window_statistics", f"SELECT vec_id, round(list_avg({_list}), 6) AS mean, round(list_stddev_pop({_list}), 6) AS std, round(list_min({_list}), 6) AS low, round(list_max({_list}), 6) AS high, round(list_avg(list_transform({_list}, lambda v: v * v)), 6) AS energy FROM embeddings")
 def a1(spark: SparkSession, d: str) -> DataFrame:
-    s = spectral.window_statistics(F.col("x"))
-    return windows(spark, d).select("vec_id", *[r(s[k]).alias(n) for k, n in (("mean", "mean"), ("std", "std"), ("min", "low"), ("max", "high"), ("energy", "energy"))])
+    s = windows(spark, d).select("vec_id", spectral.statistics(F.col("x")).alias("s"))
+    return s.select("vec_id", *[r(F.col("s")[k]).alias(n) for k, n in (("mean", "mean"), ("std", "std"), ("min", "low"), ("max", "high"), ("energy", "energy"))])
 
 
 @entry("e8_plain_power", "WITH s AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(64) t(i)), m AS (SELECT vec_id, avg(x) AS m FROM s GROUP BY vec_id), b AS (SELECT vec_id, k, sum((x - m) * cos(2 * pi() * k * i / 64)) AS re, sum((x - m) * sin(2 * pi() * k * i / 64)) AS im FROM s JOIN m USING (vec_id), range(33) u(k) GROUP BY vec_id, k) SELECT vec_id, round(sum(re * re + im * im) / 64, 6) AS power FROM b GROUP BY vec_id")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facewave.functions import facial
-from facewave.operators import hypothesis, metrics
+from facewave.operators import hypothesis, metrics, spectral
 from facewave.sources import tables
 from facewave.streaming import live
 
@@ -77,7 +77,22 @@ def test_many_recorded_sessions_are_few_files(spark, tmp_path):
     assert sorted((r["session"], r["timestamp"]) for r in out.select("session", "timestamp").collect()) == sorted((i % 1000, i / 8) for i in range(2000))
 
 
-def test_points_are_normalised_once():
+def test_points_are_normalised_once(spark):
     """A lambda that works out a mean anew for every point makes the work of a row grow with the square or cube of its points."""
     pairs = {n: (i, i + 1) for i, n in enumerate("abcdefgh")}
     assert str(facial.shape(F.col("p"), pairs, 8, (0, 3))).count("aggregate(") <= 4
+
+
+def test_statistics_of_a_column_are_worked_out_once(spark):
+    many = str(spectral.named_statistics({c: F.col(c) for c in "abcd"}, ["a", "b"])).count("aggregate(")
+    assert many <= 4 * 6  # mean, square and spread, and of the power mean, squares and alternating sum
+    df = str(spectral.plain_power(F.col("a")))
+    assert df.count("aggregate(") == 3
+
+
+def test_statistics_of_short_windows(spark):
+    df = spark.createDataFrame([(1, []), (2, [3.0]), (3, [1.0, 2.0]), (4, None)], "id int, x array<double>")
+    out = {r["id"]: tuple(r["s"]) if r["s"] else None for r in df.select("id", spectral.statistics(F.col("x")).alias("s")).collect()}
+    assert out[1] == out[2] == (0.0,) * 6
+    assert out[3] == pytest.approx((1.5, 0.5, 1.0, 2.0, 2.5, 0.5))
+    assert out[4] in (None, (None,) * 6)
