@@ -148,6 +148,6 @@ def full_vectors(df: DataFrame, face: Face, pairs: Mapping[str, tuple[int, int]]
     p, w = F.col("points"), in_order(session, ts, tie)
     df = df.withColumn("__flat", F.flatten(F.transform(facial.normalised(p, face.corners), lambda q: F.array(q["x"], q["y"], q["z"]))))
     df = movement_energy(landmark_dynamics(df, "__flat", w, whole=True), "magnitude", session, ts, tie, decay)
-    shape = F.array(*facial.geometry(p, pairs, nose, face.corners).values())
+    shape = facial.once(facial.shape(p, pairs, nose, face.corners), lambda g: F.array(*[g[n] for n in (*pairs, "yaw_hint", "pitch_hint", "roll_hint")]))
     parts = F.concat("__flat", shape, "velocity", "acceleration", F.array("magnitude", "energy"), facial.expression_scores(F.col("scores"), expressions))
     return df.select(session, tie, parts.alias("features"))
