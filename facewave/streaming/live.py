@@ -38,7 +38,8 @@ def by_session(frames: DataFrame, fold: Callable[[int, pd.DataFrame, tuple | Non
         if state.hasTimedOut:
             state.remove()
             return
-        new = pd.concat(list(batches)).sort_values(["ts", "frame_idx"])
+        parts = list(batches)
+        new = (parts[0] if len(parts) == 1 else pd.concat(parts)).sort_values(["ts", "frame_idx"])
         out, now = fold(key[0], new, state.get if state.exists else None)
         state.update(now)
         state.setTimeoutTimestamp(max(int(new[clock].max().timestamp() * 1000) + wait, state.getCurrentWatermarkMs() + 1))
@@ -54,9 +55,10 @@ def blinks(frames: DataFrame, threshold: float, seconds: float = 60, decay: floa
     def fold(session: int, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
         below, times, energy, last, emitted, angles = held or (False, [], 0.0, float("nan"), float("-inf"), [])
         times, angles, out = list(times), list(angles), []
-        turns = rows[list(pose)].to_numpy(float).tolist()
-        for i, ts, ear, now in zip(rows["frame_idx"], rows["ts"], rows["ear"], turns, strict=True):
-            t = ts.timestamp()
+        oldest = min(times, default=float("inf"))
+        turns = rows[list(pose)].to_numpy(float).tolist() if pose else [[]] * len(rows)
+        clock = (rows["ts"].to_numpy("datetime64[us]").astype("int64") / 1e6).tolist()
+        for t, ear, now in zip(clock, rows["ear"].to_numpy(float).tolist(), turns, strict=True):
             moved, angles = [a - b for a, b in zip(now, angles, strict=True)] if angles else [0.0] * len(now), now
             event = 0
             if ear < threshold:
@@ -65,13 +67,18 @@ def blinks(frames: DataFrame, threshold: float, seconds: float = 60, decay: floa
                 below = False
             if event:
                 times.append(t)
-            times = [x for x in times if x >= t - seconds][-most:]
+                oldest = min(oldest, t)
+            if oldest < t - seconds or len(times) > most:
+                times = [x for x in times if x >= t - seconds][-most:]
+                oldest = min(times, default=float("inf"))
             energy = decay * energy + (1 - decay) * (0.0 if last != last or ear != ear else abs(ear - last))
             last = ear if ear == ear else last
             emit = t - emitted >= least
             emitted = t if emit else emitted
-            out.append((session, i, ts, event, len(times), energy, emit, moved))
-        return pd.DataFrame(out, columns=["session", "frame_idx", "ts", "event", "rate", "energy", "emitted", "pose_velocity"]), (below, times, energy, last, emitted, angles)
+            out.append((event, len(times), energy, emit, moved))
+        event, rate, energies, emits, moves = zip(*out, strict=True)
+        found = pd.DataFrame({"session": session, "frame_idx": rows["frame_idx"].to_numpy(), "ts": rows["ts"].to_numpy(), "event": event, "rate": rate, "energy": energies, "emitted": emits, "pose_velocity": list(moves)})
+        return found, (below, times, energy, last, emitted, angles)
 
     return by_session(frames, fold, BLINKS, "below boolean, times array<double>, energy double, last double, emitted double, angles array<double>", late, idle)
 
@@ -107,13 +114,17 @@ class StateModel:
     synthetic: bool = False
 
     def estimate(self, window: np.ndarray) -> str:
-        """Name and share of the likeliest component for a window [frames, columns]; its features are each column's mean, deviation, least, largest and energy."""
-        x = np.concatenate([window.mean(axis=0), window.std(axis=0), window.min(axis=0), window.max(axis=0), (window * window).mean(axis=0)])
-        log = self.mixture.log_densities((((x - self.mean) / self.std - self.axes.mean) @ self.axes.axes.T)[None, :])[0]
-        share = np.exp(log - log.max())
-        share /= share.sum()
-        best = int(share.argmax())
-        return f"{self.names[best] if best < len(self.names) else f'cluster {best}'} ({share[best]:.0%})"
+        """Name and share of the likeliest component for a window [frames, columns]."""
+        return self.estimates(window[None])[0]
+
+    def estimates(self, windows: np.ndarray) -> list[str]:
+        """The same for many windows [windows, frames, columns]; the features of one are each column's mean, deviation, least, largest and energy."""
+        x = np.concatenate([windows.mean(axis=1), windows.std(axis=1), windows.min(axis=1), windows.max(axis=1), (windows * windows).mean(axis=1)], axis=1)
+        log = self.mixture.log_densities(((x - self.mean) / self.std - self.axes.mean) @ self.axes.axes.T)
+        share = np.exp(log - log.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        best = share.argmax(axis=1)
+        return [f"{self.names[k] if k < len(self.names) else f'cluster {k}'} ({p:.0%})" for k, p in zip(best.tolist(), share.max(axis=1).tolist(), strict=True)]
 
 
 def facial_state(frames: DataFrame, model: StateModel | None, columns: Sequence[str], fps: float = 18.0, late: str = "10 seconds", idle: str = IDLE) -> DataFrame:
@@ -124,12 +135,20 @@ def facial_state(frames: DataFrame, model: StateModel | None, columns: Sequence[
 
     def fold(session: int, rows: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
         old = np.array(held[0] if held else [], float).reshape(-1, many)
-        every, first, out = np.vstack([old, rows[list(columns)].to_numpy(float)]), 0, []
-        for end, (i, face) in enumerate(zip(rows["frame_idx"], rows["face"], strict=True), len(old) + 1):
-            first = max(first, end - length) if face else end
-            window = every[first:end]
-            out.append((session, i, model.estimate(window) if able and len(window) == length and np.isfinite(window).all() else NONE))
-        return pd.DataFrame(out, columns=["session", "frame_idx", "state"]), (every[max(first, len(every) - length) :].ravel().tolist(),)
+        every = np.vstack([old, rows[list(columns)].to_numpy(float)])
+        ends = np.arange(len(old) + 1, len(every) + 1)
+        faces = rows["face"].to_numpy(bool)
+        lost = np.maximum.accumulate(np.where(faces, 0, ends))  # where the last frame without a face ends
+        state = np.full(len(rows), NONE, object)
+        if able:
+            full = np.flatnonzero(ends - lost >= length)
+            for part in np.array_split(full, len(full) * length * many // (1 << 20) + 1):  # windows of 8 MB at a time
+                windows = every[ends[part, None] - length + np.arange(length)]
+                sound = np.isfinite(windows).all(axis=(1, 2))
+                if sound.any():
+                    state[part[sound]] = model.estimates(windows[sound])
+        found = pd.DataFrame({"session": session, "frame_idx": rows["frame_idx"].to_numpy(), "state": state})
+        return found, (every[max(int(lost[-1]), len(every) - length) :].ravel().tolist(),)
 
     return by_session(frames, fold, "session long, frame_idx long, state string", "held array<double>", late, idle)
 

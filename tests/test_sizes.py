@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facewave.functions import facial
-from facewave.operators import hypothesis, metrics, spectral
+from facewave.operators import hypothesis, metrics, models, spectral
 from facewave.sources import tables
 from facewave.streaming import live
 
@@ -96,3 +96,22 @@ def test_statistics_of_short_windows(spark):
     assert out[1] == out[2] == (0.0,) * 6
     assert out[3] == pytest.approx((1.5, 0.5, 1.0, 2.0, 2.5, 0.5))
     assert out[4] in (None, (None,) * 6)
+
+
+def test_estimates_of_many_windows_are_those_of_one():
+    mixture = models.Mixture(np.array([0.5, 0.5]), np.array([[-0.5], [0.5]]), np.full((2, 1, 1), 0.25), True)
+    model = live.StateModel(np.zeros(5), np.ones(5), models.Components(np.zeros(5), np.eye(1, 5), np.ones(1)), mixture, ["low"], frames=3)
+    windows = np.random.default_rng(0).normal(size=(500, 3, 1))
+    assert model.estimates(windows) == [model.estimate(w) for w in windows]
+    assert {e.split(" (")[0] for e in model.estimates(windows)} == {"low", "cluster 1"}
+
+
+def test_many_blinks_are_counted_in_linear_time(spark, tmp_path):
+    """Every second frame begins a blink, and a rate counts the last 300 of them at most."""
+    n = 4000
+    df = spark.range(n).selectExpr("1L as session", "id as frame_idx", "timestamp_seconds(1700000000 + id) as ts", "if(id % 2 = 1, 0.1D, 0.3D) as ear", "true as face")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = live.blinks(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 0.2, seconds=100)
+    out.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+    rows = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).orderBy("frame_idx").collect()
+    assert [r["rate"] for r in rows] == [sum(1 for j in range(max(0, i - 100), i + 1) if j % 2) for i in range(n)]
