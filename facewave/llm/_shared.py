@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facewave.llm._text import tidy
-from facewave.sources.shared import shared_top
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that all machines share. It goes when the application ends."""
-    path = f"{shared_top(spark)}/llm-{uuid.uuid4().hex}"
-    _files(spark, path, lambda system, place: system.deleteOnExit(place))
-    return path
-
-
-def _files(spark: SparkSession, path: str, do: Callable) -> None:
-    """``do`` with the file system of ``path`` and the path, by Spark's own Hadoop client."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    do(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place)
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read again: its lineage ends there, and lost executors do
-    not repeat the work before it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of a table that ``stored`` wrote, once nothing reads it any more."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _files(df.sparkSession, folder, lambda system, place: system.delete(place, True))
+from facewave.sources.shared import discard, shared_folder, stored  # noqa: F401 (for the operators)
 
 
 def named(name: str) -> Column:

@@ -80,6 +80,16 @@ def subject_bootstrap(rows: DataFrame, times: int, seed: int = 42, subject: str
     return rows.join(some(weights, times * n), subject)
 
 
+def subject_bootstraps(rows: DataFrame, of: str, times: int, seed: int = 42, subject: str = "subject") -> DataFrame:
+    """(of, subject, boot, weight): what ``subject_bootstrap`` draws from the subjects (distinct rows) of each sample ``of`` (int) with the seed ``seed`` + ``of``, all samples at once."""
+    own = (F.lit(seed) + F.col(of)).cast("int")
+    names = numbered(rows.select(of, subject).withColumn("__h", F.xxhash64(own, subject).cast("double")), [of], "__h", "__at").drop("__h")
+    many = rows.groupBy(of).agg(F.count("*").alias("__n"))
+    ids = rows.sparkSession.range(times * (many.agg(F.max("__n")).first()[0] or 0)).crossJoin(F.broadcast(many)).where(F.col("id") < times * F.col("__n"))  # a row for each sample
+    draws = ids.select(of, F.floor(F.col("id") / F.col("__n")).cast("int").alias("boot"), F.pmod(F.xxhash64(own, "id"), F.col("__n")).alias("__at"))
+    return draws.groupBy(of, "boot", "__at").agg(F.count("*").alias("weight")).join(names, [of, "__at"]).select(of, subject, "boot", "weight")
+
+
 def hashed_sample(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, the first by a seeded hash: a top-n, not a sort of the table."""
     return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)

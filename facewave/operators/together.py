@@ -21,24 +21,41 @@ from facewave.operators.models import Components, Mixture, centre
 from facewave.operators.shuffles import round_keys
 from facewave.operators.sums import added
 
-#: Rows that a task looks at together.
-STEP = 4096
+#: Rows that a task looks at together, and those whose products of features it holds.
+STEP, HELD = 4096, 1024
+#: Tasks that a pass is to have for each core, of a table with several partitions.
+WAVES = 2
 
 
 @dataclass
 class Fits:
-    """Rows (h long, z array, w array) that are kept in memory until ``close``, and the fits on them: fit f weighs a row by w[sample[f]] and sees it along axes[f]."""
+    """Rows (h long, z array, w array) that are kept in memory until ``close``, and the fits on them: fit f weighs a row by w[sample[f]] and sees it along axes[f].
 
-    rows: DataFrame
+    The rows lie in ``parts`` partitions. Where these are fewer than the cores can take, ``kept`` holds the rows in ``copies`` (column g, one of them in a partition) and a pass deals its fits to them, so that work that follows the fits is spread too."""
+
+    kept: DataFrame
     parts: int
     sample: list[int]
     axes: list[Components] = field(default_factory=list)
+    copies: int = 1
+
+    @property
+    def rows(self) -> DataFrame:
+        """Every row once."""
+        return (self.kept.where("g = 0") if self.copies > 1 else self.kept).select("h", "z", "w")
 
     def close(self) -> None:
-        self.rows.unpersist()
+        self.kept.unpersist()
 
-    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        return _blocks(batches)
+    def dealt(self, items: Sequence, cost: Callable = lambda x: 1.0) -> list[list]:
+        """The items in their order, a run of about the same cost for each copy."""
+        costs = np.array([cost(x) for x in items], float)
+        own = ((np.cumsum(costs) - costs / 2) / max(costs.sum(), 1e-300) * self.copies).astype(int)
+        return [[items[i] for i in np.flatnonzero(own == g)] for g in range(self.copies)]
+
+    def sums(self, work: Callable[[int, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+        """What ``work`` gives for the blocks (copy, h, z, w), added up by key; a key belongs to one copy."""
+        return _block_sums(self.kept, self.parts * self.copies, work)
 
     def seen(self, f: int, z: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the rows that count in fit f: which they are, where they lie, their weights."""
@@ -48,47 +65,57 @@ class Fits:
 
     def models(self) -> Fits:
         """Itself without the table, for tasks."""
-        return Fits(None, self.parts, self.sample, self.axes)
+        return Fits(None, self.parts, self.sample, self.axes, self.copies)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         for a in range(0, len(batch), STEP):
             part = batch.slice(a, STEP)
             n = len(part)
-            yield part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1), part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            copy = part.column(3)[0].as_py() if part.num_columns > 3 else 0
+            yield copy, part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1), part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
-def block_sums(table: DataFrame, parts: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
-    """What ``work`` gives for every block of rows (h, z, w), added up by key."""
-
+def _block_sums(table: DataFrame, parts: int, work: Callable[[int, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
     def task(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         total: dict[int, np.ndarray] = {}
-        for h, z, w in _blocks(batches):
-            for k, s in work(h, z, w):
+        for g, h, z, w in _blocks(batches):
+            for k, s in work(g, h, z, w):
                 total[k] = total[k] + s if k in total else s
         return total
 
     return added(table, task, parts)
 
 
+def block_sums(table: DataFrame, parts: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+    """What ``work`` gives for every block of rows (h, z, w), added up by key."""
+    return _block_sums(table, parts, lambda g, h, z, w: work(h, z, w))
+
+
 def prepare(df: DataFrame, features: str, weights: str, key: str, samples: Sequence[int], columns: Sequence[Sequence[int] | None] | None = None, keep: float | None = 0.95, part_rows: int = 50_000) -> Fits:
     """Fits with their axes: fit f is of sample ``samples[f]`` (a place in ``weights``) and of the features ``columns[f]`` (None: all). Axes are the fewest whose share of variance exceeds ``keep``, the
     largest loading of each positive; without ``keep`` they are the features themselves. Rows with a null or non-finite feature, or without weights, take no part; a sample without rows is refused."""
     real = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = df.select(F.xxhash64(key).alias("h"), F.transform(features, lambda x: x.cast("double")).alias("z"), F.transform(weights, lambda x: x.cast("double")).alias("w"))
     rows = rows.where(F.col("w").isNotNull() & F.col("z").isNotNull() & F.forall("z", real) & F.exists("w", lambda x: x > 0))
-    parts = rows.count() // part_rows + 1
-    table = rows.repartition(max(int(parts), 1), "h").persist()
+    parts = max(int(rows.count() // part_rows + 1), 1)
+    copies = max(1, -(-df.sparkSession.sparkContext.defaultParallelism * (WAVES if parts > 1 else 1) // parts))
+    at = F.pmod("h", F.lit(parts)).cast("int")
+    if copies > 1:  # as many as make up for few partitions, so what is kept is bounded by them, not by the rows
+        rows = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        at = at + F.col("g") * parts
+    table = rows.repartitionById(parts * copies, at).persist()
     shift = centre(table.select("z"))
-    fits = Fits(table, int(parts), list(samples))
+    fits = Fits(table, parts, list(samples), copies=copies)
+    dealt = fits.dealt(sorted(set(samples)))
 
-    def work(h, z, w):
+    def work(g, h, z, w):
         z = np.column_stack([np.ones(len(z)), z - shift])
-        for s in sorted(set(samples)):
+        for s in dealt[g]:
             yield s, ((z * w[:, [s]]).T @ z).ravel()
 
-    found = block_sums(table, fits.parts, work)
+    found = fits.sums(work)
     for f, s in enumerate(samples):
         if s not in found or not found[s][0] > 0:
             fits.close()
@@ -124,19 +151,27 @@ def _near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1), 0)
 
 
+def _by_fit(items: Sequence[tuple]) -> dict[int, list[tuple]]:
+    """Items, whose first parts are fits, by these."""
+    out: dict[int, list[tuple]] = {}
+    for x in items:
+        out.setdefault(x[0], []).append(x)
+    return out
+
+
 def seeds(fits: Fits, drawn: int, starts: int, rounds: int = 4, seed: int = 42) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
     """By (fit, start) candidate centres and the weight of the rows nearest to each, as in k-means||: from the mean on, each round draws ``drawn`` rows in proportion to weight times squared
     distance from the candidates so far. A round is one pass: the rows with the least exponential of that rate are such a draw, and tasks keep only so many."""
     at = {(f, s): np.zeros((1, len(a.axes))) for f, a in enumerate(fits.axes) for s in range(starts)}
-    light = fits.models()
+    light, dealt = fits.models(), [_by_fit(x) for x in fits.dealt(list(at))]
     for turn in range(rounds):
 
         def draw(batches: Iterator[pa.RecordBatch], at: dict = at, turn: int = turn) -> Iterator[pd.DataFrame]:
             held: dict = {}
-            for h, z, w in _blocks(batches):
-                for f in range(len(light.axes)):
+            for g, h, z, w in _blocks(batches):
+                for f, of in dealt[g].items():
                     on, x, weight = light.seen(f, z, w)
-                    for s in range(starts):
+                    for _, s in of:
                         rate = weight * _near(x, at[f, s]).min(axis=1)
                         ok = np.flatnonzero(rate > 1e-12 * max(rate.max(initial=0), 1e-300))
                         e = -np.log(_uniform(h[on[ok]], seed, (s * rounds + turn) * 4096 + f)) / rate[ok]
@@ -151,21 +186,21 @@ def seeds(fits: Fits, drawn: int, starts: int, rounds: int = 4, seed: int = 42)
                 if len(pdf):
                     yield pa.RecordBatch.from_arrays([pa.array(pdf["f"], pa.int32()), pa.array(pdf["s"], pa.int32()), pa.array(pdf["e"], pa.float64()), pa.array([r.tolist() for r in pdf["x"]], pa.list_(pa.float64()))], ["f", "s", "e", "x"])
 
-        best = fits.rows.mapInArrow(batches_of, "f int, s int, e double, x array<double>").withColumn("r", F.row_number().over(Window.partitionBy("f", "s").orderBy("e", "x"))).where(F.col("r") <= drawn)
+        best = fits.kept.mapInArrow(batches_of, "f int, s int, e double, x array<double>").withColumn("r", F.row_number().over(Window.partitionBy("f", "s").orderBy("e", "x"))).where(F.col("r") <= drawn)
         drawn_now: dict = {}
         for r in best.orderBy("f", "s", "r").collect():  # fits by starts by draws
             drawn_now.setdefault((r["f"], r["s"]), []).append(r["x"])
         # the mean is no row and goes when there are rows: near all others in many dimensions, it would keep them
         at = {k: np.vstack([*([c] if turn else []), *drawn_now[k]]) if k in drawn_now else c for k, c in at.items()}
 
-    def count(h, z, w):
-        for f in range(len(light.axes)):
+    def count(g, h, z, w):
+        for f, of in dealt[g].items():
             _, x, weight = light.seen(f, z, w)
-            for s in range(starts):
+            for _, s in of:
                 c = at[f, s]
                 yield f * starts + s, np.bincount(_near(x, c).argmin(axis=1), weight, len(c)) if len(x) else np.zeros(len(c))
 
-    many = block_sums(fits.rows, fits.parts, count)
+    many = fits.sums(count)
     return {(f, s): (c, many[f * starts + s]) for (f, s), c in at.items()}
 
 
@@ -209,36 +244,40 @@ def k_means(fits: Fits, ks: Sequence[Sequence[int]], restarts: int = 20, rounds:
     tries = [Centres(f, k, _reclustered(*found[f, i % starts], k, rng)) for f, wanted in enumerate(ks) for k in wanted for i in range(restarts)]
     live, light = list(range(len(tries))), fits.models()
     for _ in range(rounds):
-        now: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for i in live:
-            now.setdefault(tries[i].fit, []).append((i, tries[i].at))
+        now = [_by_fit([(tries[i].fit, i, tries[i].at) for i in of]) for of in fits.dealt(live, lambda i: len(tries[i].at))]
 
-        def work(h, z, w, now=now):
-            for f, held in now.items():
+        def work(g, h, z, w, now=now):
+            for f, held in now[g].items():
                 _, x, weight = light.seen(f, z, w)
                 if not len(x):
                     continue
-                ends = np.cumsum([0, *[len(c) for _, c in held]])
-                far = _near(x, np.vstack([c for _, c in held]))
-                hit, cost = np.zeros_like(far), []
+                ends = np.cumsum([0, *[len(c) for _, _, c in held]])
+                c = np.vstack([c for _, _, c in held])
+                far = -2 * (c @ x.T)
+                far += (c * c).sum(axis=1)[:, None]  # with the square of the row a squared distance
+                hit, near = np.zeros_like(far), np.empty((len(held), len(x)))
                 for j in range(len(held)):
-                    part = far[:, ends[j] : ends[j + 1]]
-                    own = part.argmin(axis=1)
-                    hit[np.arange(len(x)), ends[j] + own] = weight
-                    cost.append(weight @ part[np.arange(len(x)), own])
-                yield f, np.concatenate([cost, (hit.T @ np.column_stack([np.ones(len(x)), x])).ravel()])
-
-        sums, left = block_sums(fits.rows, fits.parts, work), []
-        for f, held in now.items():
-            s, wide = sums[f], len(fits.axes[f].axes) + 1
-            moments, a = s[len(held) :].reshape(-1, wide), 0
-            for j, (i, c) in enumerate(held):
-                m, a = moments[a : a + len(c)], a + len(c)
-                settled = tries[i].cost - s[j] <= tol * max(s[j], 1e-300)
-                tries[i].cost = float(s[j])
-                if not settled:
-                    tries[i].at = np.where(m[:, :1] > 0, m[:, 1:] / np.maximum(m[:, :1], 1e-300), c)
-                    left.append(i)
+                    part = far[ends[j] : ends[j + 1]]
+                    near[j] = part.min(axis=0)
+                    own = part == near[j]
+                    if np.count_nonzero(own) > len(x):  # equally near centres: the first
+                        own &= own.cumsum(axis=0) == 1
+                    hit[ends[j] : ends[j + 1]] = own * weight
+                moments = hit @ np.column_stack([np.ones(len(x)), x])
+                near += (x * x).sum(axis=1)
+                cost = np.maximum(near, 0) @ weight
+                for j, (_, i, _) in enumerate(held):
+                    yield i, np.append(moments[ends[j] : ends[j + 1]].ravel(), cost[j])
+
+        sums, left = fits.sums(work), []
+        for i in live:
+            s, c = sums[i], tries[i].at
+            m, cost = s[:-1].reshape(len(c), -1), float(s[-1])
+            settled = tries[i].cost - cost <= tol * max(cost, 1e-300)
+            tries[i].cost = cost
+            if not settled:
+                tries[i].at = np.where(m[:, :1] > 0, m[:, 1:] / np.maximum(m[:, :1], 1e-300), c)
+                left.append(i)
         live = left
         if not live:
             break
@@ -250,19 +289,19 @@ def k_means(fits: Fits, ks: Sequence[Sequence[int]], restarts: int = 20, rounds:
 
 def silhouettes(fits: Fits, models: Sequence[tuple[int, Callable[[np.ndarray], np.ndarray], int]]) -> list[float]:
     """Mean silhouette (squared distance) of each (fit, labels of points, number of clusters), over rows by weight: two passes for all. The only row of a cluster has 0; one cluster used gives -1."""
-    light = fits.models()
+    light, dealt = fits.models(), fits.dealt([(i, *m) for i, m in enumerate(models)])
 
-    def about(h, z, w):
-        for i, (f, label, k) in enumerate(models):
+    def about(g, h, z, w):
+        for i, f, label, k in dealt[g]:
             _, x, weight = light.seen(f, z, w)
             hit = np.zeros((len(x), k))
             hit[np.arange(len(x)), label(x)] = weight
             yield i, (hit.T @ np.column_stack([np.ones(len(x)), (x * x).sum(axis=1), x])).ravel()
 
-    sums = {i: s.reshape(models[i][2], -1) for i, s in block_sums(fits.rows, fits.parts, about).items()}
+    sums = {i: s.reshape(models[i][2], -1) for i, s in fits.sums(about).items()}
 
-    def score(h, z, w):
-        for i, (f, label, k) in enumerate(models):
+    def score(g, h, z, w):
+        for i, f, label, _ in dealt[g]:
             _, x, weight = light.seen(f, z, w)
             n, square, y = sums[i][:, 0], sums[i][:, 1], sums[i][:, 2:]
             total = np.maximum((x * x).sum(axis=1)[:, None] * n + square - 2 * x @ y.T, 0)
@@ -275,7 +314,7 @@ def silhouettes(fits: Fits, models: Sequence[tuple[int, Callable[[np.ndarray], n
                 s = np.where((n[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
             yield i, np.array([weight @ s, weight.sum()])
 
-    return [float(s[0] / s[1]) if (sums[i][:, 0] > 0).sum() > 1 else -1.0 for i, s in sorted(block_sums(fits.rows, fits.parts, score).items())]
+    return [float(s[0] / s[1]) if (sums[i][:, 0] > 0).sum() > 1 else -1.0 for i, s in sorted(fits.sums(score).items())]
 
 
 def chosen_k_means(fits: Fits, found: dict[tuple[int, int], list[Centres]]) -> list[tuple[Centres, dict[int, float]]]:
@@ -287,17 +326,39 @@ def chosen_k_means(fits: Fits, found: dict[tuple[int, int], list[Centres]]) -> l
     return [(found[f, max(sorted(c), key=c.get)][0], c) for f, c in curve.items()]
 
 
-def _log_densities(m: Mixture, x: np.ndarray) -> np.ndarray:
+def _shape(m: Mixture) -> tuple[np.ndarray, ...]:
+    """What the log densities of a mixture take of it."""
+    d = m.means.shape[1]
+    top = np.log(np.maximum(m.weights, 1e-300)) - 0.5 * d * math.log(2 * math.pi)
     if m.diagonal:
-        v = np.array([np.diag(c) for c in m.covariances])
-        square = np.maximum(np.stack([((x - a) ** 2 / b).sum(axis=1) for a, b in zip(m.means, v, strict=True)], axis=1), 0)
-        half = 0.5 * np.log(v).sum(axis=1)
-    else:
-        low = np.linalg.cholesky(m.covariances)
-        back = np.linalg.inv(low)
-        square = np.stack([(((x - a) @ b.T) ** 2).sum(axis=1) for a, b in zip(m.means, back, strict=True)], axis=1)
-        half = np.log(np.diagonal(low, axis1=1, axis2=2)).sum(axis=1)
-    return np.log(np.maximum(m.weights, 1e-300)) - half - 0.5 * square - 0.5 * x.shape[1] * math.log(2 * math.pi)
+        v = np.diagonal(m.covariances, axis1=1, axis2=2)
+        a = m.means / v
+        return np.vstack([(m.means * a).sum(axis=1), -2 * a.T, (1 / v).T]), top - 0.5 * np.log(v).sum(axis=1)
+    low = np.linalg.cholesky(m.covariances)
+    back = np.linalg.inv(low)
+    return back.reshape(-1, d), np.einsum("kij,kj->ki", back, m.means).ravel(), top - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(axis=1)
+
+
+def _log_densities(m: Mixture, x: np.ndarray, shape: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+    shape = shape or _shape(m)
+    if m.diagonal:
+        return shape[1] - 0.5 * np.maximum(np.column_stack([np.ones(len(x)), x, x * x]) @ shape[0], 0)
+    back, centre_, top = shape
+    y = x @ back.T
+    y -= centre_
+    y = y.reshape(len(x), len(top), x.shape[1])
+    return top - 0.5 * np.einsum("nkd,nkd->nk", y, y)
+
+
+def _products(x: np.ndarray) -> np.ndarray:
+    """1, the features, and the products of every two of them (a <= b, by a)."""
+    n, d = x.shape
+    out = np.empty((n, 1 + d + d * (d + 1) // 2))
+    out[:, 0], out[:, 1 : d + 1], at = 1, x, d + 1
+    for a in range(d):
+        np.multiply(x[:, a : a + 1], x[:, a:], out=out[:, at : at + d - a])
+        at += d - a
+    return out
 
 
 def mixtures(fits: Fits, kinds: Sequence[Sequence[tuple[int, bool]]], found: dict[tuple[int, int], list[Centres]], starts: int = 2, rounds: int = 50, tol: float = 1e-5, floor: float = 1e-6) -> list[list[Mixture]]:
@@ -313,31 +374,44 @@ def mixtures(fits: Fits, kinds: Sequence[Sequence[tuple[int, bool]]], found: dic
                     d = c.at.shape[1]
                     tries.append((f, Mixture(np.full(len(c.at), 1 / len(c.at)), c.at, np.array([np.eye(d)] * len(c.at)), diagonal), c.at))
     live, hard, light = list(range(len(tries))), True, fits.models()
-    for _ in range(rounds + 1):
-        now: dict[int, list[tuple[int, Mixture]]] = {}
-        for i in live:
-            now.setdefault(tries[i][0], []).append((i, tries[i][1]))
+    def cost(i: int) -> float:
+        k, d = tries[i][1].means.shape
+        return k * (d + (0 if tries[i][1].diagonal else d * d))
 
-        def work(h, z, w, now=now, hard=hard):
-            for f, held in now.items():
-                _, x, weight = light.seen(f, z, w)
-                if not len(x):
-                    continue
-                one, both = np.column_stack([np.ones(len(x)), x]), np.column_stack([np.ones(len(x)), x, x * x])
-                for i, m in held:
-                    if hard:
-                        r, whole = np.zeros((len(x), len(m.means))), np.zeros(len(x))
-                        r[np.arange(len(x)), _near(x, m.means).argmin(axis=1)] = 1
-                    else:
-                        log = _log_densities(m, x)
-                        top = log.max(axis=1, keepdims=True)
-                        whole = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
-                        r = np.exp(log - whole[:, None])
-                    r *= weight[:, None]
-                    parts = [(r.T @ both).ravel()] if m.diagonal else [((one * r[:, [j]]).T @ one).ravel() for j in range(r.shape[1])]
-                    yield i, np.concatenate([[weight @ whole, weight.sum()], *parts])
-
-        sums, left = block_sums(fits.rows, fits.parts, work), []
+    for _ in range(rounds + 1):
+        now = [_by_fit([(tries[i][0], i, tries[i][1]) for i in of]) for of in fits.dealt(live, cost)]
+
+        def work(g, h, z, w, now=now, hard=hard, shapes={}):  # noqa: B006 (what a task works out once)
+            for f, held in now[g].items():
+                _, every, weights = light.seen(f, z, w)
+                for a in range(0, len(every), HELD):
+                    x, weight = every[a : a + HELD], weights[a : a + HELD]
+                    for diagonal in (True, False):
+                        of = [(i, m) for _, i, m in held if m.diagonal == diagonal]
+                        if not of:
+                            continue
+                        r, whole = [], []
+                        for i, m in of:
+                            if hard:
+                                p, most = np.zeros((len(x), len(m.means))), np.zeros(len(x))
+                                p[np.arange(len(x)), _near(x, m.means).argmin(axis=1)] = 1
+                            else:
+                                if i not in shapes:
+                                    shapes[i] = _shape(m)
+                                p = _log_densities(m, x, shapes[i])
+                                top = p.max(axis=1, keepdims=True)
+                                p = np.exp(p - top)
+                                total = p.sum(axis=1, keepdims=True)
+                                p /= total
+                                most = (top + np.log(total))[:, 0]
+                            r.append(p * weight[:, None])
+                            whole.append(weight @ most)
+                        s = np.hstack(r).T @ (np.column_stack([np.ones(len(x)), x, x * x]) if diagonal else _products(x))
+                        ends = np.cumsum([0, *[p.shape[1] for p in r]])
+                        for j, (i, _) in enumerate(of):
+                            yield i, np.concatenate([[whole[j], weight.sum()], s[ends[j] : ends[j + 1]].ravel()])
+
+        sums, left = fits.sums(work), []
         for i in live:
             _, m, _ = tries[i]
             s, d = sums[i], m.means.shape[1]
@@ -353,10 +427,13 @@ def mixtures(fits: Fits, kinds: Sequence[Sequence[tuple[int, bool]]], found: dic
                 means = b[:, 1 : d + 1] / size[:, None]
                 m.covariances = np.array([np.diag(v) for v in np.maximum(b[:, d + 1 :] / size[:, None] - means**2, 0) + floor])
             else:
-                b = s[2:].reshape(-1, d + 1, d + 1)
-                size = np.maximum(b[:, 0, 0], 1e-9)
-                means = b[:, 0, 1:] / size[:, None]
-                m.covariances = b[:, 1:, 1:] / size[:, None, None] - means[:, :, None] * means[:, None, :]
+                b = s[2:].reshape(-1, 1 + d + d * (d + 1) // 2)
+                size = np.maximum(b[:, 0], 1e-9)
+                means = b[:, 1 : d + 1] / size[:, None]
+                upper = np.triu_indices(d)
+                both = np.zeros((len(b), d, d))
+                both[:, upper[0], upper[1]] = both[:, upper[1], upper[0]] = b[:, d + 1 :]
+                m.covariances = both / size[:, None, None] - means[:, :, None] * means[:, None, :]
                 m.covariances = np.array([_positive(c, floor) for c in m.covariances])
             m.weights, m.means = size / size.sum(), means
             left.append(i)
@@ -387,6 +464,11 @@ def fit_mixtures(df: DataFrame, features: str, key: str, ks: Sequence[int] = ran
 def _positive(c: np.ndarray, floor: float) -> np.ndarray:
     """A covariance without negative directions (rounding), plus the floor."""
     c = (c + c.T) / 2
+    try:  # none is negative: the floor is all that changes
+        np.linalg.cholesky(c + 1e-6 * floor * np.eye(len(c)))
+        return c + floor * np.eye(len(c))
+    except np.linalg.LinAlgError:
+        pass
     values, vectors = np.linalg.eigh(c)
     return (vectors * (np.maximum(values, 0) + floor)) @ vectors.T
 

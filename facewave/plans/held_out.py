@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from facewave.operators import boosting, hypothesis, metrics, models, splits, together
 from facewave.plans.study import normaliser, paired_summary
+from facewave.sources.shared import stored
 
 #: Normalised means above this mark a cluster as an artifact.
 ARTIFACT = 0.5
@@ -61,8 +61,9 @@ def _weighted(df: DataFrame, folds: int, boots: int, seed: int) -> tuple[DataFra
     count = table.agg(F.max("fold")).first()[0] + 1
     subjects, w = table, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: (F.col("fold") != i).cast("double"))
     if boots:
-        draws = [splits.subject_bootstrap(table.where(F.col("fold") != f), boots, seed + 1000 + f).select("subject", (F.lit(f * boots) + F.col("boot")).alias("s"), F.col("weight").cast("double").alias("weight")) for f in range(count)]
-        drawn = reduce(DataFrame.unionByName, draws).groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("s", "weight"))).alias("__d"))  # an entry for each bootstrap at most
+        each = table.select("subject", F.explode(F.filter(F.sequence(F.lit(0), F.lit(count - 1)), lambda f: f != F.col("fold"))).alias("of"))
+        draws = splits.subject_bootstraps(each, "of", boots, seed + 1000).select("subject", (F.col("of") * boots + F.col("boot")).alias("s"), F.col("weight").cast("double").alias("weight"))
+        drawn = draws.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("s", "weight"))).alias("__d"))  # an entry for each bootstrap at most
         subjects = table.join(drawn, "subject", "left")
         w = F.concat(w, F.transform(F.sequence(F.lit(0), F.lit(count * boots - 1)), lambda i: F.coalesce(F.try_element_at("__d", i), F.lit(0.0))))
     subjects = subjects.select("subject", "fold", w.alias("w"))
@@ -96,7 +97,7 @@ def fit(df: DataFrame, folds: int = 5, ks: Sequence[int] = range(2, 9), targets:
     placed, folds = _weighted(clean, folds, boots, seed)
     own = normaliser(clean, "v").where(F.col("subject").isNotNull())
     z = F.zip_with(F.zip_with("v", "mean", lambda x, m: x - m), "std", lambda x, s: x / s)
-    table = placed.join(splits.some(own, own.count()), "subject").select("id", "subject", "fold", "v", z.alias("z"), "w").persist()
+    table = stored(placed.join(splits.some(own, own.count()), "subject").select("id", "subject", "fold", "v", z.alias("z"), "w"), "windows").persist()
     first = table.select(F.size("v")).first()
     wide, parts = first[0], table.count() // part_rows + 1
     d = wide - len(targets)
@@ -115,16 +116,16 @@ def fit(df: DataFrame, folds: int = 5, ks: Sequence[int] = range(2, 9), targets:
         picked = together.chosen_k_means(selected, {k: c for k, c in found.items() if k[0] < folds})
         best = [m[0] for m in mixed]
         spread = together.silhouettes(selected, [(f, lambda x, m=best[f]: together.predict(m, x).argmax(axis=1), len(best[f].weights)) for f in range(folds)])
-        light = selected.models()
+        light, dealt = selected.models(), selected.dealt(range(folds))
 
-        def ridge(h, z, w):
-            for f in range(folds):
+        def ridge(g, h, z, w):
+            for f in dealt[g]:
                 on, x, weight = light.seen(f, z, w)
                 q = np.column_stack([np.ones(len(on)), z[on, :d], together.predict(best[f], x), z[on, d:]])
                 yield f, ((q * weight[:, None]).T @ q).ravel()
 
         weights = []
-        for f, s in sorted(together.block_sums(selected.rows, selected.parts, ridge).items()):
+        for f, s in sorted(selected.sums(ridge).items()):
             k = len(best[f].weights)
             m = s.reshape(1 + wide + k, -1)
             small = [*range(d + 1), *range(d + 1 + k, 1 + wide + k)]

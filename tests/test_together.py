@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from facewave.operators import models, together
+from facewave.operators import models, splits, together
 
 
 def frame(spark, x, w):
@@ -132,3 +133,29 @@ def test_odd_rows_take_no_part(spark):
     fits.close()
     with pytest.raises(ValueError, match="no rows"):
         together.prepare(df, "x", "w", "id", [1])
+
+
+def test_a_small_table_is_worked_on_by_all_cores(spark):
+    x = np.random.default_rng(3).normal(size=(300, 3))
+    got = []
+    for part_rows in (1000, 20):
+        fits = together.prepare(frame(spark, x, np.ones((300, 2))), "x", "w", "id", [0, 1], None, 0.9999, part_rows)
+        try:
+            copy = "g" if fits.copies > 1 else "0"
+            tasks = fits.kept.selectExpr(copy, "h").rdd.mapPartitions(lambda rows: [[tuple(r) for r in rows]]).collect()
+            assert len(tasks) >= spark.sparkContext.defaultParallelism and all(len({g for g, _ in t}) <= 1 for t in tasks)
+            assert len({r for t in tasks for r in t}) == 300 * fits.copies and fits.rows.count() == 300
+            assert [x for part in fits.dealt(range(10)) for x in part] == list(range(10))
+            found = together.k_means(fits, [[2, 3]] * 2, 4)
+            got.append(([c.cost for v in found.values() for c in v], [m.loglik for f in together.mixtures(fits, [[(3, True), (2, False)]] * 2, found) for m in f]))
+        finally:
+            fits.close()
+    assert got[0][0] == pytest.approx(got[1][0]) and got[0][1] == pytest.approx(got[1][1])
+
+
+def test_bootstraps_of_all_folds_are_those_of_each(spark):
+    table = spark.createDataFrame([(f"s{i:02d}", i % 3) for i in range(20)], "subject string, fold int")
+    each = table.select("subject", F.explode(F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda f: f != F.col("fold"))).alias("of"))
+    got = {tuple(r) for r in splits.subject_bootstraps(each, "of", 4, 7).select("of", "subject", "boot", "weight").collect()}
+    want = {(f, *r) for f in range(3) for r in splits.subject_bootstrap(table.where(F.col("fold") != f), 4, 7 + f).select("subject", "boot", "weight").collect()}
+    assert got == want
