@@ -18,8 +18,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from facewave.operators.sums import added
 
-#: Trees after which rows take in what the trees give them.
-EVERY = 10
+#: Trees after which rows take in what the trees give them, and rows from which on a small table is worth another core.
+EVERY, LEAST = 10, 2000
 
 
 @dataclass
@@ -93,7 +93,7 @@ def fit_boosted(df: DataFrame, features: str, targets: Sequence[str], fold: str,
                 yield pd.DataFrame({"fold": pdf["fold"], "bins": [r.tobytes() for r in b], "y": pdf["y"], "m": [forest.base.ravel().tolist()] * len(pdf)})
 
     kept = "fold int, bins binary, y array<double>, m array<double>"
-    parts = int(many.sum() // part_rows) + 1
+    parts = max(int(many.sum() // part_rows) + 1, min(df.sparkSession.sparkContext.defaultParallelism, int(many.sum() // LEAST) + 1))
     table = rows.repartition(parts).mapInPandas(binned, kept).persist()
 
     def read(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

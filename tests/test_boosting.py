@@ -105,3 +105,16 @@ def test_moments_far_from_zero(spark, data):
     m, n = models.gram(near, "x", ["y"], "fold", "w"), models.gram(again, "x", ["y"], "fold")
     full = lambda g, k: g[k][0, 1:] / g[k][0, 0] + g.shift
     assert all(np.allclose(full(m, k), full(n, k)) and m[k][0, 0] == n[k][0, 0] for k in m)
+
+
+def test_a_small_table_is_worked_on_by_all_cores(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(4100, 2))
+    df = spark.createDataFrame([(i % 3, r.tolist(), float(r[0] > 0.3)) for i, r in enumerate(x)], "fold int, x array<double>, y double")
+    parts, plain = [], boosting.added
+    monkeypatch.setattr(boosting, "added", lambda table, work, n: parts.append((n, table.rdd.getNumPartitions())) or plain(table, work, n))
+    many = boosting.fit_boosted(df, "x", ["y"], "fold", 2, 2)
+    assert set(parts) == {(3, 3)}
+    monkeypatch.setattr(boosting, "LEAST", 1 << 30)
+    one = boosting.fit_boosted(df, "x", ["y"], "fold", 2, 2)
+    assert set(parts[4:]) == {(1, 1)}
+    assert (many.feature == one.feature).all() and (many.cut == one.cut).all() and np.allclose(many.value, one.value)
