@@ -127,29 +127,31 @@ def named_statistics(columns: Mapping[str, Column], spectral: Sequence[str]) ->
     return once(found, lambda s: F.create_map(*[x for name, c, k in names for x in (F.lit(name), s[c][k])]))
 
 
-def long_signal_psd(windows: DataFrame, group: str | None, order: str, signal: str, width: int, rate: float, size: int = 512) -> DataFrame:
+def long_signal_psd(windows: DataFrame, group: str | None, order: str, signal: str, width: int, rate: float, size: int = 512, segments: int = 64) -> DataFrame:
     """(group, bin, freq, power) of windows joined end to end, where segments cross window borders (without a group: one signal of all windows).
-    Each window of ``width`` samples sends its samples to the segments they lie in, so a long signal is spread over tasks by segment. A signal shorter than
+    Windows of ``width`` samples go to the blocks of ``segments`` segments they lie in, so a long signal is spread over tasks by block, and a block gives the sums of its segments. A signal shorter than
     ``size`` is one segment of its own length."""
     by = [group] if group else []
     hop = size // 2
     at = numbered(windows.select(*by, order, signal), by, order, "__n").withColumn("__start", F.col("__n") * width)
     first = F.greatest(F.floor((F.col("__start") - size) / hop) + 1, F.lit(0))
-    parts = at.select(*by, "__start", signal, F.explode(F.sequence(first, F.floor((F.col("__start") + width - 1) / hop))).alias("__segment"))
+    blocks = F.sequence(F.floor(first / segments), F.floor(F.floor((F.col("__start") + width - 1) / hop) / segments))
+    parts = at.select(*by, "__start", signal, F.explode(blocks).alias("__block"))
 
     def work(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__start")
-        begin = int(keys[-1]) * hop
+        begin = int(keys[-1]) * segments * hop
         x = np.concatenate(pdf[signal].tolist()).astype(float)
-        x = x[begin - int(pdf["__start"].iloc[0]) :][:size]
+        x = x[begin - int(pdf["__start"].iloc[0]) :][: (segments - 1) * hop + size]
         if len(x) < size and begin or len(x) < 2:
-            return pd.DataFrame({c: [] for c in [*by, "bin", "freq", "power"]})
-        p = welch(x[None, :], rate, size)[0]
-        return pd.DataFrame({**dict.fromkeys(by, keys[0]), "bin": np.arange(len(p)), "freq": np.arange(len(p)) * rate / len(x), "power": p})
+            return pd.DataFrame({c: [] for c in [*by, "bin", "freq", "power", "n"]})
+        long = min(size, len(x))
+        p = welch(np.lib.stride_tricks.sliding_window_view(x, long)[::hop], rate, size)
+        return pd.DataFrame({**dict.fromkeys(by, keys[0]), "bin": np.arange(p.shape[1]), "freq": np.arange(p.shape[1]) * rate / long, "power": p.sum(axis=0), "n": len(p)})
 
     kind = f"{group} {windows.schema[group].dataType.simpleString()}, " if group else ""
-    found = parts.groupBy(*by, "__segment").applyInPandas(work, f"{kind}bin int, freq double, power double")
-    return found.groupBy(*by, "bin", "freq").agg(F.avg("power").alias("power"))
+    found = parts.groupBy(*by, "__block").applyInPandas(work, f"{kind}bin int, freq double, power double, n long")
+    return found.groupBy(*by, "bin", "freq").agg((F.sum("power") / F.sum("n")).alias("power"))
 
 
 def spectral_errors(windows: DataFrame, group: str | None, order: str, pred: str, target: str, width: int, rate: float, size: int = 512) -> DataFrame:

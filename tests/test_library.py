@@ -361,3 +361,14 @@ def test_folds_are_those_of_a_heap(spark, case):
         want[i] = (c, f)
         heapq.heappush(heap, (load + c, f))
     assert {r["subject"]: (r["rows"], r["fold"]) for r in splits.subject_folds(rows, 4, sample=120).collect()} == want
+
+
+def test_blocks_of_segments_give_the_density_of_the_whole_signal(spark):
+    from facewave.operators import spectral
+
+    x = np.random.default_rng(8).normal(size=64 * 21)
+    df = spark.createDataFrame([(i, x[64 * i : 64 * i + 64].tolist()) for i in range(21)], "id long, x array<double>")
+    want = spectral.welch(x[None, :], 256.0, 128)[0]
+    for segments in (3, 64):
+        got = sorted(spectral.long_signal_psd(df, None, "id", "x", 64, 256.0, 128, segments).collect())
+        assert [r["bin"] for r in got] == list(range(65)) and np.allclose([r["power"] for r in got], want)
