@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 
 from facewave.operators.metrics import mid_ranks
 from facewave.operators.sequence import numbered
-from facewave.operators.shuffles import places, round_keys
 from facewave.operators.splits import some
+from facewave.sources.shared import stored
 
 
 def chi_square_tail(x: float, df: int) -> float:
@@ -172,41 +172,110 @@ def _exact_signed(n: int, plus: float) -> float:
     return float(min(1.0, 2 * ways[: low + 1].sum() / 2.0**n))
 
 
-def permutation_ranks(df: DataFrame, label: str, rank: str, strata: Sequence[str], key: str, n: int, seed: int = 42) -> DataFrame:
+def drawn(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """How many of ``good`` are among ``taken`` of all (hypergeometric). NumPy draws from fewer than 10 ** 9 only; beyond, this is the same method of rejection (Stadlober's ratio of uniforms)."""
+    if not len(good) or (good + bad).max() < 10**9:
+        return rng.hypergeometric(good, bad, taken)
+    lgamma = np.vectorize(math.lgamma, [float])
+    few, many, every = np.minimum(good, bad), np.maximum(good, bad), good + bad
+    m = np.minimum(taken, every - taken)
+    share = few / every
+    mean, wide = m * share + 0.5, np.sqrt((every - m) / (every - 1) * taken * share * (1 - share) + 0.5)
+    scale, mode = 1.7155277699214135 * wide + 0.8989161620588988, np.floor((m + 1) * ((few + 1) / (every + 2)))
+    logs = lambda z, at: lgamma(z + 1) + lgamma(few[at] - z + 1) + lgamma(m[at] - z + 1) + lgamma(many[at] - m[at] + z + 1)
+    top, end = logs(mode, slice(None)), np.minimum(np.minimum(m, few) + 1, np.floor(mean + 16 * wide))
+    out, left = np.zeros(len(good), np.int64), np.arange(len(good))
+    while len(left):
+        x, y = 1 - rng.random(len(left)), rng.random(len(left))
+        z = mean[left] + scale[left] * (y - 0.5) / x
+        inside = (z >= 0) & (z < end[left])
+        at, x, z = left[inside], x[inside], np.floor(z[inside])
+        taken_in = 2 * np.log(x) <= top[at] - logs(z, at)
+        out[at[taken_in]] = z[taken_in]
+        left = np.setdiff1d(left, at[taken_in], assume_unique=True)
+    out = np.where(good > bad, m - out, out)
+    return np.where(m < taken, good - out, out)
+
+
+def halved(rng: np.random.Generator, counts: np.ndarray, taken: int) -> np.ndarray:
+    """Of rows with [permutations, labels] ``counts``, those of each label among the first ``taken`` places of a random order."""
+    out, rest, left = np.zeros_like(counts), counts.sum(axis=1), np.full(len(counts), taken)
+    for j in range(counts.shape[1]):
+        rest = rest - counts[:, j]
+        out[:, j] = drawn(rng, counts[:, j], rest, left)
+        left = left - out[:, j]
+    return out
+
+
+def permutation_ranks(df: DataFrame, label: str, rank: str, strata: Sequence[str], key: str, n: int, seed: int = 42, block_rows: int = 4096) -> DataFrame:
     """(perm, label, r, m): rank sums by label when labels are shuffled within strata. Ranks never change, so they are made once.
 
-    Rows of a stratum are numbered, and its labels stand in order over the numbers, so many of each; in a permutation a row takes the label that stands over the place it goes to
-    (``shuffles.places``). A stratum of any size is permuted as a whole, where its rows lie: nothing is shuffled but the sums by permutation and label."""
+    Rows of a stratum with one rank are alike, so they are counted (and no ``key`` tells them apart). Ranks of ``block_rows`` rows or more are blocks of their own, and the others are dealt to blocks of
+    about as many rows. How many of a stratum's labels fall into a block in a permutation comes from halving its blocks again and again, by hypergeometric draws that are the same for all who ask. In a block
+    of one rank these counts give the sums; in others the rows are permuted. So a stratum of any size is permuted as a whole, and rows of one rank cost no more the more they are."""
     kind = df.schema[label].dataType.simpleString()
     stratum = F.xxhash64(*strata) if strata else F.lit(0).cast("long")
-    rows = df.select(F.col(label).alias("label"), F.col(rank).cast("double").alias("rank"), F.col(key).alias("key"), stratum.alias("stratum"), F.xxhash64(F.lit(seed), key).cast("double").alias("h"))
-    counts = rows.groupBy("stratum", "label").agg(F.count("*").alias("c"))
+    held = df.select(F.col(label).alias("label"), F.col(rank).cast("double").alias("rank"), stratum.alias("stratum")).groupBy("stratum", "rank", "label").agg(F.count("*").alias("c"))
+    held = stored(held, "held")
+    counts = held.groupBy("stratum", "label").agg(F.sum("c").alias("c"))
+    cells = held.groupBy("stratum", "rank").agg(F.sum("c").alias("m"))
     about = counts.agg(F.sum("c").alias("rows"), F.collect_set("label").alias("names")).first()
     names = sorted(about["names"])  # the groups that are compared
-    tasks = int((about["rows"] or 0) * n // 20_000_000) + 1  # of some seconds each
+    block_rows = max(block_rows, (about["rows"] or 0) // 16384)  # so that there are some ten thousand blocks at most beside those of small strata
+    light = F.col("m") < block_rows
+    rest = cells.agg(F.coalesce(F.sum(F.when(light, F.col("m"))), F.lit(0)).alias("rows"), F.count(F.when(~light, 1)).alias("blocks")).first()
+    tasks = int((rest["rows"] + 100 * rest["blocks"]) * n // 20_000_000 + rest["rows"] // 200_000) + 1  # of some seconds each
     code = F.array_position(F.lit(names) if names else F.array(), F.col("label")).cast("int") - 1
     dealt = counts.withColumn("code", code).groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("code", "c"))).alias("held"))
     dealt = dealt.select("stratum", F.col("held.code").alias("codes"), F.col("held.c").alias("sizes"))
-    spread = numbered(rows, ["stratum"], "h", "i", tie="key").join(some(dealt, dealt.count()), "stratum").select("stratum", "i", "rank", "codes", "sizes").repartition(tasks, "stratum", "i")
+    dealt = dealt.join(cells.groupBy("stratum").agg(F.greatest(F.ceil(F.sum(F.when(light, F.col("m"))) / block_rows), F.lit(1)).cast("int").alias("blocks")), "stratum")
+    dealt = stored(dealt, "dealt")
+    own, block = F.when(~light, F.col("rank")), F.when(light, F.pmod(F.xxhash64(F.lit(seed), "rank"), F.col("blocks"))).otherwise(-1).cast("int")
+    spread = cells.join(some(dealt, dealt.count()), "stratum").select("stratum", block.alias("block"), own.alias("own"), "rank", "m", "codes", "sizes")
+    sized = spread.groupBy("stratum", "block", "own").agg(F.sum("m").alias("m")).withColumn("beside", F.count("*").over(Window.partitionBy("stratum")))
+    blocks = sized.where("beside > 1").select("stratum", "block", "own", "m").orderBy("stratum", "block", "own").toPandas()
+    places = {}  # of strata with several blocks: the number of each block, and where its rows begin
+    for s, part in blocks.groupby("stratum"):
+        places[int(s)] = {(b, o): i for i, (b, o) in enumerate(zip(part["block"].tolist(), part["own"].fillna(0.0).tolist(), strict=True))}, np.append(0, part["m"].to_numpy(np.int64).cumsum())
+    shared = df.sparkSession.sparkContext.broadcast(places)
+    start = seed & (2**64 - 1)
+
+    def blocks_of(name: int, counts: np.ndarray, ends: np.ndarray, low: int, high: int, wanted: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(block, [permutations, labels] counts) of the wanted ones of the blocks from ``low`` to ``high``."""
+        if high - low == 1:
+            yield low, counts
+        elif wanted:
+            half = (low + high) // 2
+            first = halved(np.random.default_rng([start, name, low, high]), counts, int(ends[half] - ends[low]))
+            for a, b, c in ((low, half, first), (half, high, counts - first)):
+                if some_ := [i for i in wanted if a <= i < b]:
+                    yield from blocks_of(name, c, ends, a, b, some_)
 
     def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches) or [pd.DataFrame(columns=["stratum", "block", "own", "rank", "m", "codes", "sizes"])])  # bounded by the number of tasks
         sums, seen = np.zeros((n, len(names))), np.zeros(len(names), bool)
-        for pdf in batches:
-            for s, part in pdf.groupby("stratum", sort=False):
-                codes, ends = np.array(part["codes"].iloc[0], np.int64), np.cumsum(part["sizes"].iloc[0])
-                keys = round_keys(seed ^ int(s), list(range(n)))
-                seen[codes] = True
-                wide, step = min(len(part), 1024), max(1, (1 << 15) // min(len(part), 1024))  # numbers that stay near the processor
-                for a in range(0, len(part), wide):
-                    i, ranks = part["i"].to_numpy(np.int64)[a : a + wide], part["rank"].to_numpy(float)[a : a + wide]
-                    for b in range(0, n, step):
-                        here = codes[np.searchsorted(ends, places(i, int(ends[-1]), keys[:, b : b + step]), "right")]
-                        cell = (here + np.arange(here.shape[1]) * len(names)).ravel()
-                        sums[b : b + step] += np.bincount(cell, np.repeat(ranks, here.shape[1]), here.shape[1] * len(names)).reshape(-1, len(names))
+        for s, part in rows.groupby("stratum", sort=False):
+            name, codes, sizes = int(s) & (2**64 - 1), np.array(part["codes"].iloc[0], np.int64), np.array(part["sizes"].iloc[0], np.int64)
+            seen[codes] = True
+            number, ends = shared.value.get(int(s), ({}, np.array([0, sizes.sum()])))
+            own = {number.get((int(b), float(o)), 0): x for (b, o), x in part.fillna({"own": 0.0}).groupby(["block", "own"], sort=False)}
+            for i, counts in blocks_of(name, np.tile(sizes, (n, 1)), ends, 0, len(ends) - 1, sorted(own)):
+                x = own[i].sort_values("rank")
+                ranks, m = x["rank"].to_numpy(float), x["m"].to_numpy(np.int64)
+                if len(ranks) == 1:
+                    sums[:, codes] += ranks[0] * counts
+                    continue
+                ranks, rng, last = np.repeat(ranks, m), np.random.default_rng([start, name, i]), counts.cumsum(axis=1)
+                step = max(1, (1 << 16) // len(ranks))  # numbers that stay near the processor
+                for a in range(0, n, step):
+                    some_ = last[a : a + step]
+                    total = np.zeros((len(some_), len(ranks) + 1))
+                    np.cumsum(rng.permuted(np.broadcast_to(ranks, (len(some_), len(ranks))), axis=1), axis=1, out=total[:, 1:])
+                    sums[a : a + step, codes] += np.diff(np.take_along_axis(total, some_, axis=1), axis=1, prepend=0.0)
         perm, at = np.nonzero(np.broadcast_to(seen, sums.shape))
         yield pd.DataFrame({"perm": perm, "at": at, "r": sums[perm, at]})
 
-    sums = spread.mapInPandas(permute, "perm int, at int, r double").groupBy("perm", "at").agg(F.sum("r").alias("r"))
+    sums = spread.repartition(tasks, "stratum", "block", "own").mapInPandas(permute, "perm int, at int, r double").groupBy("perm", "at").agg(F.sum("r").alias("r"))
     sums = sums.withColumn("label", F.get(F.lit(names) if names else F.array(), F.col("at")).cast(kind))
     many = counts.groupBy("label").agg(F.sum("c").alias("m"))  # a permutation leaves as many of each
     return sums.join(F.broadcast(many), "label").select("perm", "label", "r", "m")

@@ -185,6 +185,40 @@ def test_permutation_test_equals_numpy(spark):
     assert hypothesis.permutation_test(df.repartition(9), "label", "value", ["stratum"], "id", 2000).first()["p"] == p["p"]
 
 
+def test_rows_of_one_rank_cost_permutations_no_more(spark):
+    """120,000 rows of 5 ranks beside 900 of their own, in blocks: 20,000 permutations, with the mean and spread of shuffled labels."""
+    import time
+
+    rows = spark.range(120_900).selectExpr("id", "cast(id % 3 as int) label", "cast(id % 2 as string) stratum", "cast(if(id < 120000, id div 24000, id) as double) rank")
+    began = time.time()
+    got = hypothesis.permutation_ranks(rows, "label", "rank", ["stratum"], "id", 20_000).toPandas()
+    assert time.time() - began < 25  # where each row finds its place in each permutation, these are 2.4 thousand million places
+    assert len(got) == 60_000 and set(got["m"]) == {40_300}
+    i = np.arange(120_900)
+    rank, label, stratum = np.where(i < 120_000, i // 24_000, i).astype(float), i % 3, i % 2
+    mean, variance = 0.0, 0.0
+    for s in range(2):
+        x, k, m = rank[stratum == s], (label[stratum == s] == 1).sum(), (stratum == s).sum()
+        mean += k * x.mean()
+        variance += k * (m - k) / (m - 1) * x.var()
+    r = got[got["label"] == 1]["r"]
+    assert abs(r.mean() - mean) < 4 * math.sqrt(variance / 20_000) and abs(r.var() / variance - 1) < 0.05
+    assert np.allclose(got.groupby("perm")["r"].sum(), rank.sum())
+    small = rows.where("id % 40 = 7")
+    again = [x.sort_values(["perm", "label"])["r"].to_numpy() for x in (hypothesis.permutation_ranks(d, "label", "rank", ["stratum"], "id", 20, block_rows=200).toPandas() for d in (small, small.repartition(7)))]
+    assert (again[0] == again[1]).all()
+
+
+def test_draws_from_a_thousand_million_and_more():
+    rng = np.random.default_rng(5)
+    for good, bad, taken in ((900_000_000, 600_000_000, 500_000_000), (200, 2_000_000_000, 1_500_000_000), (3_000_000_000, 40, 7)):
+        x = hypothesis.drawn(rng, *(np.full(4000, v) for v in (good, bad, taken)))
+        every = good + bad
+        mean, variance = taken * good / every, taken * (good / every) * (bad / every) * (every - taken) / (every - 1)
+        assert abs(x.mean() - mean) < 4 * math.sqrt(variance / 4000) + 1e-9
+        assert variance < 1e-3 or abs(x.var() / variance - 1) < 0.1
+
+
 def test_permutation_control_equals_numpy(spark):
     rng = np.random.default_rng(6)
     n, d = 600, 3
